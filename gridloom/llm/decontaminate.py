@@ -28,6 +28,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", p
 
 
 def _runs(h: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of the different runs of so many words."""
     return np.unique(textnum.shingles(h, np.array([0, len(h)]), run)[0])
 
 
@@ -45,9 +46,8 @@ class Index:
         # items that share words stand together, which makes block maxima tight
         self.ids = np.array([ids[k] for k in keep], np.int64)
         self.length = np.array([len(x) for x in full], np.int64)
-        self.questions = [_runs(hashed[0][k], run) for k in keep]
-        self.answers = [_runs(hashed[1][k], run) for k in keep]
-        self.run = run
+        # a part of fewer words than a run is one run of all its words
+        self.questions, self.answers = ([(size := min(run, len(part[k])), _runs(part[k], max(size, 1))) for k in keep] for part in hashed)
         n = len(keep)
         terms = [np.unique(x, return_counts=True) for x in full]
         self.vocabulary, term = np.unique(np.concatenate([t for t, _ in terms]) if n else np.zeros(0, np.uint64), return_inverse=True)
@@ -134,13 +134,7 @@ class Index:
 
     def verify(self, h: np.ndarray, item: int) -> tuple[float, float]:
         """Shares of the question's and of the answer's runs in the passage (1 for a part without words)."""
-        have = _runs(h, self.run)
-        out = []
-        for part in (self.questions[item], self.answers[item]):
-            shorter = len(part) == 1 and self.length[item] < 2 * self.run
-            found = have if not shorter else np.concatenate([have, *(textnum.shingles(h, np.array([0, len(h)]), k)[0] for k in range(1, self.run))])
-            out.append(float(np.isin(part, found).mean()) if len(part) else 1.0)
-        return out[0], out[1]
+        return tuple(float(np.isin(runs, _runs(h, size)).mean()) if size else 1.0 for size, runs in (self.questions[item], self.answers[item]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, theta: float = 0.6, question_share: float = 0.5, answer_share: float = 0.5, wave_items: int = 2_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", question: str = "question", answer: str = "answer") -> DataFrame:

@@ -46,13 +46,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end]."""
+def span_hasher(data: np.ndarray):
+    """A function from (starts, ends) to the 64-bit hash of each data[start:end]."""
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_CODE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
+
+
+def words_and_stems(raw: np.ndarray, off: np.ndarray, lengths: range = range(4, 9)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the leading bytes (each of the lengths) of longer words, by text, and their bounds."""
+    starts, ends, h, bounds = words(raw, off)
+    hasher, doc = span_hasher(_LOWER[raw]), np.repeat(np.arange(len(off) - 1), np.diff(bounds))
+    found, owner = [h], [doc]
+    for n in lengths:
+        long = np.flatnonzero(ends - starts > n)
+        found.append(hasher(starts[long], starts[long] + n) ^ _U(_SHINGLE[n]))
+        owner.append(doc[long])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], np.searchsorted(owner[order], np.arange(len(off)))
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,8 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other; the model of each also sees the logits of the earlier categories, which
-in training are out-of-fold predictions. Inputs are indicators of the words that go with some category, chosen by
-chi-squared over the training rows.
+in training are out-of-fold predictions. Inputs are indicators of words, and of their first four to eight bytes, that go
+with some category, chosen by chi-squared over the training rows.
 
 The models are fitted on at most `sample` labelled rows (the smallest hashes of the id), the one bounded part; all
 documents are scored, over whole texts. Defined results: a null or empty text has no word and gets the base rate; null
@@ -30,7 +30,7 @@ def word_sets(docs: DataFrame, carried: Sequence[str], text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, raw, off in textnum.text_slices(b.column(n)):
-                _, _, h, bounds = textnum.words(raw, off)
+                h, bounds = textnum.words_and_stems(raw, off)
                 sets = [np.unique(h[bounds[k] : bounds[k + 1]]).view(np.int64) for k in range(j - i)]
                 sig = [int(textnum.mix(np.array([x.view(np.uint64).sum() + np.uint64(len(x))]))[0]) >> 1 for x in sets]
                 yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(n)), pa.array(sets, pa.list_(pa.int64())), pa.array(sig, pa.int64())], names=[*carried, "words", "sig"])
@@ -123,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         vocabulary, chain = shared.value
         for b in batches:
             for i, j, raw, off in textnum.text_slices(b.column(1)):
-                _, _, h, bounds = textnum.words(raw, off)
+                h, bounds = textnum.words_and_stems(raw, off)
                 p = apply_chain(_indicators(h, bounds, vocabulary), chain) if chain else np.zeros((j - i, len(names)))
                 yield pa.record_batch([b.column(0).slice(i, j - i), *(pa.array(p[:, k]) for k in range(len(names)))], names=["id", *(f"p_{c}" for c in names)])
 
