@@ -1,11 +1,479 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the supplied tables and, for each, the same query in SQL.
+
+Events play the readings (a user is a meter), regions, nations, customers and suppliers the metadata.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.operators import activations, disaggregate, energy, forecast, intervals, metrics, resample, sections
+from gridloom.sources import store
+
+H = 3600
+GAP = 6 * H
+DAY = 86400 * sections.US
+START, END = 1704240000000000, 1705536000000000  # 2024-01-03 and 2024-01-18
+STATES = {"fridge": [0.0, 90.0], "heater": [0.0, 60.0, 200.0], "lamp": [0.0, 35.0]}
+EDGES = [0, 21600, 43200, 86400, 172800, 604800]
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def good(s: SparkSession, d: str, parity: int | None = None, gap: float = GAP) -> DataFrame:
+    ev = store.events(s, d)
+    return sections.good_sections(ev if parity is None else ev.where(F.col("id") % 2 == parity), gap)
+
+
+# The pieces that the SQL texts share.
+EV = "ev AS (SELECT user_id AS meter, epoch_us(ts) AS t, value, event_id AS id, event_type AS kind FROM events)"
+
+
+def good_sql(name: str, where: str = "true", gap: int = GAP) -> str:
+    return f"""{name}_g AS (SELECT meter, t, id, CASE WHEN t - lag(t) OVER w <= {gap * 1000000} THEN 0 ELSE 1 END AS new FROM ev WHERE {where} WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+{name}_r AS (SELECT meter, t, sum(new) OVER (PARTITION BY meter ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM {name}_g),
+{name} AS (SELECT meter, min(t) AS s, max(t) AS e FROM {name}_r GROUP BY meter, run HAVING max(t) > min(t))"""
+
+
+def on_sql(name: str, on: str, where: str = "true") -> str:
+    return f"""{name}_a AS (SELECT meter, t, id, {on} AS o, lead(t) OVER w AS nx, lag({on}) OVER w AS pv FROM ev WHERE {where} WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+{name}_b AS (SELECT *, sum(CASE WHEN o = pv THEN 0 ELSE 1 END) OVER (PARTITION BY meter ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM {name}_a),
+{name} AS (SELECT meter, min(t) AS s, max(coalesce(nx, t)) AS e FROM {name}_b WHERE o GROUP BY meter, run HAVING max(coalesce(nx, t)) > min(t))"""
+
+
+def sweep_sql(name: str, sides: dict[str, int]) -> str:
+    events = " UNION ALL ".join(f"SELECT meter, s AS t, {w} AS w FROM {n} UNION ALL SELECT meter, e, {-w} FROM {n}" for n, w in sides.items())
+    return f"""{name}_e AS (SELECT meter, t, sum(w) AS w FROM ({events}) GROUP BY meter, t),
+{name} AS (SELECT * FROM (SELECT meter, t AS s, lead(t) OVER (PARTITION BY meter ORDER BY t) AS e, CAST(sum(w) OVER (PARTITION BY meter ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level FROM {name}_e) WHERE e IS NOT NULL)"""
+
+
+def merge_sql(name: str, source: str, gap: int = 0) -> str:
+    return f"""{name}_m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY meter ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap * 1000000} THEN 0 ELSE 1 END AS new FROM {source}),
+{name}_n AS (SELECT *, sum(new) OVER (PARTITION BY meter ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM {name}_m),
+{name} AS (SELECT meter, min(s) AS s, max(e) AS e FROM {name}_n GROUP BY meter, run)"""
+
+
+def out(name: str, extra: str = "") -> str:
+    return f'SELECT meter, s AS "start", e AS "end"{extra} FROM {name}'
+
+
+BOTH = f"WITH {EV}, {good_sql('a', 'id % 2 = 0')}, {good_sql('b', 'id % 2 = 1')}"
+KWH = "kw AS (SELECT *, least((lead(t) OVER (PARTITION BY meter ORDER BY t, id) - t) / 1e6, 7200.0) * value / 3600000 AS kwh FROM ev), en AS (SELECT meter, coalesce(sum(kwh), 0.0) AS kwh FROM kw GROUP BY meter)"
+GRID = f"ends AS (SELECT meter, min(t - t % 3600000000) AS a, max(t - t % 3600000000) AS b FROM ev GROUP BY meter), grid AS (SELECT meter, unnest(generate_series(a, b, 3600000000)) AS t FROM ends)"
+MEAN = "mn AS (SELECT meter, t - t % 3600000000 AS t, avg(value) AS value FROM ev GROUP BY ALL)"
+
+
+@query(f"WITH {EV}, {good_sql('g')} {out('g')}")
+def good_sections(s, d):
+    return good(s, d)
+
+
+@query(f"WITH {EV}, {good_sql('g')} SELECT meter, count(*) AS sections, CAST(sum(e - s) AS BIGINT) AS uptime_us FROM g GROUP BY meter")
+def uptime_per_meter(s, d):
+    return sections.uptime(good(s, d))
+
+
+@query(f"WITH {EV}, {good_sql('g', gap=2 * H)} {out('g')}")
+def frequency_sections(s, d):
+    return sections.frequency_sections(store.events(s, d), 1 / (2 * H))
+
+
+@query(f"WITH {EV}, {on_sql('n', 'value > 0')}, {good_sql('g')}, {sweep_sql('x', {'n': 1, 'g': 1})} {out('x')} WHERE level = 2")
+def nonzero_sections(s, d):
+    ev = store.events(s, d)
+    return intervals.intersect(sections.on_sections(ev, F.col("value") > 0), sections.good_sections(ev, GAP))
+
+
+@query(f"WITH {EV}, {on_sql('n', 'value > 15')} {out('n')}")
+def overbase_sections(s, d):
+    return sections.on_sections(store.events(s, d), F.col("value") > 15)
+
+
+@query(f"WITH {EV}, {good_sql('g')}, {merge_sql('m', 'g', 12 * H)} {out('m')}")
+def merge_gaps(s, d):
+    return sections.merge_gaps(good(s, d), 12 * H)
+
+
+@query(f"WITH {EV}, {good_sql('g')} {out('g')} WHERE e - s > {4 * H * 1000000}")
+def drop_short(s, d):
+    return sections.drop_short(good(s, d), 4 * H)
+
+
+@query(f"""WITH {EV}, {good_sql('g')}, gp AS (SELECT (s - lag(e) OVER (PARTITION BY meter ORDER BY s, e)) / 1e6 AS gap FROM g),
+bn AS (SELECT CASE {' '.join(f'WHEN gap > {a} AND gap <= {b} THEN {i}' for i, (a, b) in enumerate(zip(EDGES, EDGES[1:])))} END AS bin FROM gp) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS gaps FROM bn WHERE bin IS NOT NULL GROUP BY bin""")
+def gap_histogram(s, d):
+    return sections.gap_histogram(good(s, d), EDGES)
+
+
+@query(f"{BOTH}, {sweep_sql('x', {'a': 1, 'b': 1})}, p AS (SELECT * FROM x WHERE level > 0), {merge_sql('m', 'p')} {out('m')}")
+def interval_union(s, d):
+    return intervals.union(good(s, d, 0), good(s, d, 1))
+
+
+@query(f"{BOTH}, {sweep_sql('x', {'a': 1, 'b': 1})} {out('x')} WHERE level = 2")
+def interval_intersect(s, d):
+    return intervals.intersect(good(s, d, 0), good(s, d, 1))
+
+
+@query(f"{BOTH}, {sweep_sql('x', {'a': 1, 'b': 2})} {out('x')} WHERE level = 1")
+def interval_diff(s, d):
+    return intervals.difference(good(s, d, 0), good(s, d, 1))
+
+
+@query(f"{BOTH}, {sweep_sql('x', {'a': 1, 'b': 1})}, p AS (SELECT * FROM x WHERE level IN (0, 2)), {merge_sql('m', 'p')} {out('m')}")
+def interval_match(s, d):
+    return intervals.matching(good(s, d, 0), good(s, d, 1))
+
+
+_CONF = f"{BOTH}, {good_sql('c', gap=12 * H)}, {sweep_sql('x', {'a': 1, 'b': 2, 'c': 4})}, cf AS (SELECT meter, {', '.join(f'CAST(coalesce(sum(e - s) FILTER (level = {k}), 0) AS BIGINT) AS {n}' for n, k in (('tp', 7), ('tn', 4), ('fp', 5), ('fn', 6)))} FROM x WHERE level >= 4 GROUP BY meter)"
+
+
+@query(f"{_CONF} SELECT * FROM cf")
+def confusion_durations(s, d):
+    return intervals.confusion(good(s, d, 0), good(s, d, 1), good(s, d, gap=12 * H))
+
+
+@query(f"WITH {EV}, {good_sql('g')}, tr AS (SELECT meter, greatest(s, {START}) AS s, least(e, {END}) AS e FROM g) {out('tr')} WHERE s < e")
+def truncate_sections(s, d):
+    return intervals.truncate(good(s, d), START, END)
+
+
+@query(f"""WITH {EV}, {good_sql('g')}, tr AS (SELECT * FROM (SELECT meter, greatest(s, {START}) AS s, least(e, {END}) AS e FROM g) WHERE s < e), {merge_sql('u', 'tr')}, fr AS (SELECT DISTINCT meter, {START}::BIGINT AS s, {END}::BIGINT AS e FROM tr),
+{sweep_sql('x', {'fr': 1, 'u': 2})} {out('x')} WHERE level = 1""")
+def interval_invert(s, d):
+    return intervals.invert(good(s, d), START, END)
+
+
+@query(f"WITH {EV}, {good_sql('g')}, sp AS (SELECT meter, e AS z, unnest(range(s, e, {4 * H * 1000000})) AS s FROM g) SELECT meter, s AS \"start\", least(s + {4 * H * 1000000}, z) AS \"end\" FROM sp")
+def split_sections(s, d):
+    return intervals.split(good(s, d), 4 * H)
+
+
+@query(f"WITH {EV}, {good_sql('g')}, u AS (SELECT t, sum(w) AS w FROM (SELECT s AS t, 1 AS w FROM g UNION ALL SELECT e, -1 FROM g) GROUP BY t) SELECT t, CAST(sum(w) OVER (ORDER BY t) AS BIGINT) AS up FROM u")
+def active_upcounts(s, d):
+    return intervals.upcounts(good(s, d))
+
+
+@query(f"WITH {EV}, {good_sql('g')} SELECT meter, min(s) AS \"start\", max(e) AS \"end\" FROM g GROUP BY meter")
+def section_hull(s, d):
+    return intervals.hull(good(s, d))
+
+
+@query(f"""WITH {EV}, {good_sql('g')}, n AS (SELECT *, (e - s) // 600000000 AS n FROM g), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY meter ORDER BY s ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY meter) AS BIGINT) * 0.5 AS target, count(*) OVER (PARTITION BY meter) AS k FROM n),
+f AS (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY s) AS r FROM c WHERE upto > target OR k = 1) SELECT meter, CAST(s + floor((target - (upto - n)) * 600) * 1000000 AS BIGINT) AS split FROM f WHERE r = 1""")
+def train_test_split(s, d):
+    return intervals.train_test_split(good(s, d), 600)
+
+
+@query(f"WITH {EV}, {KWH} SELECT meter, round(kwh, 6) AS kwh FROM en")
+def total_energy(s, d):
+    return r6(energy.total_energy(store.events(s, d), 7200), "kwh")
+
+
+_QUANTITY = "CASE WHEN user_id % 3 = 0 AND event_type IN ('click', 'view') THEN 'cumulative energy' WHEN user_id % 3 = 1 AND event_type = 'click' THEN 'energy' ELSE 'power' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS meter, epoch_us(ts) AS t, value, event_id AS id, {_QUANTITY} AS q FROM events), k AS (SELECT *, least((lead(t) OVER (PARTITION BY meter, q ORDER BY t, id) - t) / 1e6, 7200.0) * value / 3600000 AS p FROM e),
+f AS (SELECT meter, q, CASE q WHEN 'cumulative energy' THEN arg_max(value, (t, id)) - arg_min(value, (t, id)) WHEN 'energy' THEN sum(value) ELSE coalesce(sum(p), 0) END AS kwh, CASE q WHEN 'cumulative energy' THEN 0 WHEN 'energy' THEN 1 ELSE 2 END AS r FROM k GROUP BY meter, q)
+SELECT meter, arg_min(q, r) AS quantity, round(arg_min(kwh, r), 6) AS kwh FROM f GROUP BY meter""")
+def energy_by_preference(s, d):
+    third = F.col("meter") % 3
+    q = F.when((third == 0) & F.col("kind").isin("click", "view"), "cumulative energy").when((third == 1) & (F.col("kind") == "click"), "energy").otherwise("power")
+    return r6(energy.energy_by_preference(store.events(s, d), q, 7200), "kwh")
+
+
+@query(f"WITH {EV} SELECT meter, CASE WHEN count(*) >= 5 THEN round(greatest(0.0, 1 - count(*) / (round_even((max(t) - min(t)) / 1e6 / 3600, 0) + 1)), 6) END AS rate, count(*) AS n FROM ev GROUP BY meter")
+def dropout_rate(s, d):
+    return r6(energy.dropout_rate(store.events(s, d), H), "rate")
+
+
+@query(f"WITH {EV} SELECT meter, min(value) AS vampire FROM ev GROUP BY meter")
+def vampire_power(s, d):
+    return energy.vampire_power(store.events(s, d))
+
+
+@query(f"WITH {EV} SELECT CAST(least(floor((value - 10) / 24.5), 19) AS INTEGER) AS bin, count(*) AS n FROM ev WHERE value BETWEEN 10 AND 500 GROUP BY 1")
+def power_histogram(s, d):
+    return energy.histogram(store.events(s, d), 10, 500, 20)
+
+
+@query(f"WITH {EV}, h AS (SELECT DISTINCT meter, t // 3600000000 AS h FROM ev WHERE value >= 10) SELECT meter, CAST(h % 24 AS INTEGER) AS hour, count(*) AS on_days FROM h GROUP BY ALL")
+def activity_histogram(s, d):
+    return energy.activity_histogram(store.events(s, d), 10)
+
+
+@query(f"WITH {EV}, {KWH} SELECT meter, CASE WHEN max(t) > min(t) THEN round(sum(kwh) / ((max(t) - min(t)) / 1e6 / 86400), 6) END AS kwh_per_period FROM kw GROUP BY meter")
+def energy_per_period(s, d):
+    return r6(energy.energy_per_period(store.events(s, d), 7200), "kwh_per_period")
+
+
+@query(f"WITH {EV}, {KWH} SELECT meter, round(kwh / (SELECT sum(kwh) FROM en), 6) AS fraction FROM en")
+def fraction_per_meter(s, d):
+    return r6(energy.fraction_per_meter(energy.total_energy(store.events(s, d), 7200)), "fraction")
+
+
+@query(f"WITH {EV}, {KWH} SELECT meter, round(kwh, 6) AS kwh FROM en ORDER BY kwh DESC, meter LIMIT 5")
+def top_k_meters(s, d):
+    return r6(energy.top_k(energy.total_energy(store.events(s, d), 7200), 5), "kwh")
+
+
+@query(f"""{BOTH}, ka AS (SELECT x.meter, x.id % 2 AS p, x.t, x.id, x.value FROM ev x JOIN b g ON x.meter = g.meter AND x.t >= g.s AND x.t < g.e), kb AS (SELECT *, least((lead(t) OVER (PARTITION BY meter, p ORDER BY t, id) - t) / 1e6, 7200.0) * value / 3600000 AS k FROM ka),
+ke AS (SELECT meter, p, coalesce(sum(k), 0) AS k FROM kb GROUP BY ALL) SELECT o.meter, CASE WHEN o.k <> 0 THEN round(coalesce(w.k, 0.0) / o.k, 6) END AS proportion FROM ke o LEFT JOIN ke w ON o.meter = w.meter AND w.p = 0 WHERE o.p = 1""")
+def proportion_of_energy(s, d):
+    ev = store.events(s, d)
+    return r6(energy.proportion_of_energy(ev.where("id % 2 = 0"), ev.where("id % 2 = 1"), good(s, d, 1), 7200), "proportion")
+
+
+@query(f"WITH {EV}, g AS (SELECT kind, t - t % 3600000000 AS g, avg(value) AS value FROM ev GROUP BY ALL) SELECT a.kind AS a, b.kind AS b, round(corr(a.value, b.value), 6) AS r, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.kind <= b.kind GROUP BY ALL")
+def correlation_pairs(s, d):
+    rows = store.events(s, d).groupBy("kind", resample.bin_start(H).alias("g")).agg(F.avg("value").alias("value"))
+    return r6(energy.correlation_pairs(rows), "r")
+
+
+@query(f"WITH {EV} SELECT meter, count(*) AS n, min(t) AS \"start\", max(t) AS \"end\", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS peak FROM ev GROUP BY meter")
+def describe_group(s, d):
+    return r6(energy.describe(store.events(s, d)), "mean", "std")
+
+
+@query(f"WITH {EV}, l AS (SELECT meter, value, lag(value, 1) OVER w AS l1, lag(value, 24) OVER w AS l24 FROM ev WINDOW w AS (PARTITION BY meter ORDER BY t, id)) SELECT meter, round(corr(value, l1), 6) AS r1, round(corr(value, l24), 6) AS r24 FROM l GROUP BY meter")
+def autocorrelation(s, d):
+    return r6(energy.autocorrelation(store.events(s, d), [1, 24]), "r1", "r24")
+
+
+@query(f"WITH {EV} SELECT id, CASE WHEN kind = 'click' THEN greatest(20.0, least(100.0, value)) ELSE value END AS value FROM ev")
+def clip_limits(s, d):
+    lim = lambda x: F.when(F.col("kind") == "click", F.lit(x))
+    return energy.clip(store.events(s, d), lim(20.0), lim(100.0)).select("id", "value")
+
+
+@query(f"WITH {EV}, {GRID} SELECT g.meter, g.t, CASE WHEN g.t - e.t <= {6 * H * 1000000} THEN e.value END AS value FROM grid g ASOF LEFT JOIN (SELECT meter, t, value FROM ev) e ON g.meter = e.meter AND g.t >= e.t")
+def resample_asof(s, d):
+    return resample.asof(store.events(s, d), H, 6 * H)
+
+
+@query(f"WITH {EV}, {MEAN} SELECT meter, t, round(value, 6) AS value FROM mn")
+def resample_mean(s, d):
+    return r6(resample.mean(store.events(s, d), H), "value")
+
+
+@query(f"""WITH {EV}, {GRID}, p AS (SELECT g.meter, g.t, e.t AS pt, e.value AS pv FROM grid g ASOF LEFT JOIN (SELECT meter, t, value FROM ev) e ON g.meter = e.meter AND g.t >= e.t), n AS (SELECT p.*, e.t AS nt, e.value AS nv FROM p ASOF LEFT JOIN (SELECT meter, t, value FROM ev) e ON p.meter = e.meter AND p.t <= e.t)
+SELECT meter, t, round(CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL OR pt = t THEN pv ELSE pv + (t - pt) / (nt - pt) * (nv - pv) END, 6) AS value FROM n""")
+def resample_linear(s, d):
+    return r6(resample.linear(store.events(s, d), H), "value")
+
+
+@query(f"""WITH {EV}, nx AS (SELECT meter, t, value, lead(t) OVER (PARTITION BY meter ORDER BY t, id) AS n FROM ev), b AS (SELECT *, unnest(generate_series(t - t % 3600000000, n - 1 - (n - 1) % 3600000000, 3600000000)) AS b FROM nx WHERE n > t)
+SELECT meter, b AS t, round(sum(value * (least(n, b + 3600000000) - greatest(t, b))) / sum(least(n, b + 3600000000) - greatest(t, b)), 6) AS value FROM b GROUP BY meter, b""")
+def time_weighted_mean(s, d):
+    return r6(resample.time_weighted(store.events(s, d), H), "value")
+
+
+@query(f"WITH {EV}, {MEAN} SELECT t, round(sum(value), 6) AS value, count(value) AS meters FROM mn GROUP BY t")
+def group_load(s, d):
+    return r6(resample.group_load(resample.mean(store.events(s, d), H)), "value")
+
+
+@query(f"WITH {EV}, {MEAN} SELECT t, {', '.join(f'round(sum(value) FILTER (meter = {m}), 6) AS m{m}' for m in (1, 2, 3))} FROM mn WHERE meter IN (1, 2, 3) GROUP BY t")
+def meters_pivot(s, d):
+    rows = resample.meters_pivot(resample.mean(store.events(s, d), H), [1, 2, 3])
+    return rows.select("t", *(F.round(str(m), 6).alias(f"m{m}") for m in (1, 2, 3)))
+
+
+def pairs(s, d) -> DataFrame:
+    ev = store.events(s, d)
+    side = lambda p: resample.mean(ev.where(F.col("id") % 2 == p), 24 * H)
+    return resample.align(side(1), side(0)).withColumnsRenamed({"master": "truth", "slave": "pred"})
+
+
+_PAIRS = f"WITH {EV}, dm AS (SELECT meter, id % 2 AS p, t - t % 86400000000 AS t, avg(value) AS value FROM ev GROUP BY ALL), pr AS (SELECT a.meter, a.t, a.value AS truth, b.value AS pred FROM dm a JOIN dm b ON a.meter = b.meter AND a.t = b.t AND a.p = 1 AND b.p = 0)"
+
+
+@query(f"{_PAIRS} SELECT meter, t, round(truth, 6) AS truth, round(pred, 6) AS pred FROM pr")
+def align_pairs(s, d):
+    return r6(pairs(s, d), "truth", "pred")
+
+
+@query(f"WITH {EV}, l AS (SELECT meter, t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS delta FROM ev) SELECT meter, t, round(delta, 6) AS delta FROM l WHERE abs(delta) > 40")
+def switch_times(s, d):
+    return r6(activations.switch_times(store.events(s, d)), "delta")
+
+
+@query(f"WITH {EV}, l AS (SELECT meter, t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS delta FROM ev), b AS (SELECT DISTINCT meter, t - t % 600000000 AS t FROM l WHERE abs(delta) > 40) SELECT t, count(*) AS meters FROM b GROUP BY t HAVING count(*) >= 2")
+def simultaneous_switches(s, d):
+    return activations.simultaneous_switches(store.events(s, d), bin_us=600 * sections.US)
+
+
+_ACT = f"""WITH {EV}, o AS (SELECT meter, t, id, value >= 30 AS o, lag(value >= 30) OVER (PARTITION BY meter ORDER BY t, id) AS p FROM ev), k AS (SELECT *, lead(t) OVER (PARTITION BY meter ORDER BY t, id) AS e FROM o WHERE o <> p), q AS (SELECT meter, t AS s, e FROM k WHERE o AND e IS NOT NULL),
+z AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY meter ORDER BY s) < {4 * H * 1000000} THEN 0 ELSE 1 END AS new FROM q), y AS (SELECT *, sum(new) OVER (PARTITION BY meter ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM z), act AS (SELECT meter, min(s) AS s, max(e) AS e FROM y GROUP BY meter, run HAVING max(e) - min(s) >= 600000000)"""
+
+
+def found_activations(s, d) -> DataFrame:
+    return activations.activations(store.events(s, d), 30, 4 * H, 600)
+
+
+@query(f"{_ACT} {out('act')}")
+def activations_query(s, d):
+    return found_activations(s, d)
+
+
+@query(f"{_ACT} SELECT meter, s AS t, true AS is_start FROM act UNION ALL SELECT meter, e, false FROM act")
+def activity_script(s, d):
+    return activations.activity_script(found_activations(s, d))
+
+
+@query(f"""{_ACT}, rn AS (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY t, id) - 1 AS n FROM ev), sp AS (SELECT act.meter, act.s, a.n AS a, b.n AS b FROM act JOIN rn a ON a.meter = act.meter AND a.t = act.s JOIN rn b ON b.meter = act.meter AND b.t = act.e)
+SELECT sp.meter, sp.s AS "start", rn.t, rn.value FROM sp JOIN rn ON rn.meter = sp.meter AND rn.n >= greatest(0, a - 2) AND rn.n < b + 1""")
+def activation_rows(s, d):
+    return activations.bordered(store.events(s, d), found_activations(s, d))
+
+
+_EN2 = f"WITH {EV}, kw AS (SELECT *, least((lead(t) OVER (PARTITION BY meter, id % 2 ORDER BY t, id) - t) / 1e6, 7200.0) * value / 3600000 AS kwh FROM ev), e2 AS (SELECT meter, coalesce(sum(kwh) FILTER (id % 2 = 0), 0) AS pred, coalesce(sum(kwh) FILTER (id % 2 = 1), 0) AS truth FROM kw GROUP BY meter HAVING count(*) FILTER (id % 2 = 0) > 0 AND count(*) FILTER (id % 2 = 1) > 0)"
+
+
+def two_energies(s, d) -> DataFrame:
+    ev = store.events(s, d)
+    return energy.total_energy(ev.where("id % 2 = 0"), 7200).withColumnRenamed("kwh", "pred").join(energy.total_energy(ev.where("id % 2 = 1"), 7200).withColumnRenamed("kwh", "truth"), "meter")
+
+
+@query(f"{_EN2} SELECT meter, round(abs(pred - truth), 6) AS error, CASE WHEN truth <> 0 THEN round(pred / truth, 6) END AS assigned, CASE WHEN truth <> 0 THEN round(abs(pred - truth) / truth, 6) END AS deviation FROM e2")
+def err_energy(s, d):
+    return r6(metrics.energy_errors(two_energies(s, d)), "error", "assigned", "deviation")
+
+
+@query(f"{_EN2} SELECT round(sum(least(pred / p, truth / q)), 6) AS fraction FROM e2, (SELECT sum(pred) AS p, sum(truth) AS q FROM e2)")
+def fraction_assigned(s, d):
+    return r6(metrics.fraction_assigned(two_energies(s, d)), "fraction")
+
+
+@query(f"{_PAIRS} SELECT meter, round(sqrt(avg((pred - truth) ** 2)), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(sum(abs(pred - truth)) / sum(truth), 6) AS mne, round(sum((pred - truth) ** 2) / 2, 4) AS disagg_error, round(1 - sum(abs(pred - truth)) / (2 * sum(truth)), 6) AS teca FROM pr GROUP BY meter")
+def pointwise_errors(s, d):
+    return r6(metrics.pointwise(pairs(s, d)), "rmse", "mae", "mne", "teca").withColumn("disagg_error", F.round("disagg_error", 4))
+
+
+@query(f"{_PAIRS} SELECT meter, round(avg(abs(pred - truth)), 4) AS mae, round(avg(abs(pred - truth) / abs(pred)), 4) AS mape, round(sqrt(avg((pred - truth) ** 2)), 4) AS rmse FROM pr GROUP BY meter")
+def forecast_errors(s, d):
+    return metrics.forecast_errors(pairs(s, d)).withColumns({c: F.round(c, 4) for c in ("mae", "mape", "rmse")})
+
+
+@query(f"""{_CONF}, f AS (SELECT meter, tp / 1e6 AS tp, tn / 1e6 AS tn, fp / 1e6 AS fp, fn / 1e6 AS fn FROM cf) SELECT meter, CASE WHEN tp + fp <> 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn <> 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN 2 * tp + fp + fn <> 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END AS f1,
+CASE WHEN tp + tn + fp + fn <> 0 THEN round((tp + tn) / (tp + tn + fp + fn), 6) END AS accuracy, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) <> 0 THEN round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) END AS mcc FROM f""")
+def duration_scores(s, d):
+    return r6(metrics.durations(confusion_durations(s, d)), "precision", "recall", "f1", "accuracy", "mcc")
+
+
+def _combos() -> str:
+    return ", ".join(f"({t}, {', '.join(map(str, c))})" for t, c in {t: c for t, c in reversed(disaggregate.combinations(STATES))}.items())
+
+
+@query(f"""WITH {EV}, c(total, {', '.join(STATES)}) AS (VALUES {_combos()}) SELECT id, value, {', '.join(STATES)} FROM (SELECT id, ev.value, c.*, row_number() OVER (PARTITION BY id ORDER BY abs(total - ev.value), total DESC) AS n FROM ev CROSS JOIN c) WHERE n = 1""")
+def co_predict(s, d):
+    return disaggregate.co_predict(store.events(s, d).select("id", "value"), STATES)
+
+
+@query()
+def steady_states(s, d):
+    return disaggregate.steady_states(store.events(s, d))
+
+
+@query()
+def hart_pairs(s, d):
+    return disaggregate.pair_transitions(disaggregate.steady_states(store.events(s, d), emit_only=True))
+
+
+@query(f"""WITH {EV}, l AS (SELECT meter, t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS delta FROM ev), w AS (SELECT * FROM l WHERE abs(delta) > 40),
+p AS (SELECT a.meter, a.t AS on_t, b.t AS off_t, a.delta AS x, b.delta AS y FROM w a JOIN w b ON a.meter = b.meter AND a.delta > 0 AND b.delta < 0 AND b.t > a.t AND b.t < a.t + 86400000000 AND abs(a.delta + b.delta) < 20)
+SELECT meter, on_t, off_t, round(1e9 * (exp(-((x - 80) ** 2) / (2 * 50.0 ** 2)) / (50 * sqrt(2 * pi()))) * (exp(-((y + 80) ** 2) / (2 * 50.0 ** 2)) / (50 * sqrt(2 * pi()))) * (exp(-((((off_t - on_t) / 1e6) - 30000) ** 2) / (2 * 20000.0 ** 2)) / (20000 * sqrt(2 * pi()))), 6) AS likelihood FROM p""")
+def mle_pairs(s, d):
+    found = disaggregate.likelihood_pairs(activations.switch_times(store.events(s, d)), DAY, 20, (80.0, 50.0), (-80.0, 50.0), (30000.0, 20000.0))
+    return found.withColumn("likelihood", F.round(F.col("likelihood") * 1e9, 6))
+
+
+@query()
+def kmeans_states(s, d):
+    return disaggregate.cluster_states(store.events(s, d))
+
+
+@query()
+def fhmm_decode(s, d):
+    return disaggregate.fhmm_decode(store.events(s, d), STATES)
+
+
+@query(f"WITH {EV}, {MEAN}, l AS (SELECT meter, t, round(value, 6) AS value, round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 3) OVER w, 6) AS lag_3 FROM mn WINDOW w AS (PARTITION BY meter ORDER BY t)) SELECT * FROM l WHERE lag_3 IS NOT NULL")
+def lag_features(s, d):
+    return r6(forecast.lag_features(resample.mean(store.events(s, d), H), [1, 3]), "value", "lag_1", "lag_3")
+
+
+@query(f"""WITH {EV}, {MEAN}, x AS (SELECT meter, t, make_timestamp(t) AS ts FROM mn) SELECT meter, t, round((isodow(ts) - 1) / 7, 6) AS weekday, round((hour(ts) * 60 + minute(ts) - 720) / 1440, 6) AS time, CAST(dayofyear(ts) AS INTEGER) AS day,
+CAST(isodow(ts) <= 5 AS INTEGER) AS workday, CAST(hour(ts) >= 6 AND hour(ts) < 9 AS INTEGER) AS morning FROM x""")
+def time_features(s, d):
+    return r6(forecast.time_features(resample.mean(store.events(s, d), H)), "weekday", "time")
+
+
+@query(f"WITH {EV}, dm AS (SELECT meter, t - t % 86400000000 AS t, avg(value) AS value FROM ev GROUP BY ALL) SELECT a.meter, a.t, round(b.value, 6) AS pred, round(a.value, 6) AS truth FROM dm a JOIN dm b ON a.meter = b.meter AND a.t = b.t + 604800000000")
+def forecast_last_week(s, d):
+    return r6(forecast.seasonal(resample.mean(store.events(s, d), 24 * H), 7 * DAY), "pred", "truth")
+
+
+@query(f"WITH {EV}, {MEAN} SELECT meter, round(coalesce(corr(value, CAST(isodow(make_timestamp(t)) <= 5 AS DOUBLE)), 0), 6) AS workday, round(coalesce(corr(value, CAST(hour(make_timestamp(t)) >= 18 AS DOUBLE)), 0), 6) AS evening FROM mn GROUP BY meter")
+def corr_vectors(s, d):
+    ts = F.timestamp_micros("t")
+    return r6(forecast.correlation_vectors(resample.mean(store.events(s, d), H), {"workday": F.weekday(ts) <= 4, "evening": F.hour(ts) >= 18}), "workday", "evening")
+
+
+# Metadata: nations are groups, suppliers meters, customers appliances.
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND s_acctbal >= 0")
+def select_meters(s, d):
+    t = {n: s.read.parquet(f"{d}/{n}.parquet") for n in ("supplier", "nation", "region")}
+    wanted = t["nation"].join(t["region"].where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t["supplier"].where("s_acctbal >= 0").join(wanted, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'MACHINERY' AND c_acctbal > 5000)")
+def select_by_appliance(s, d):
+    have = s.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'MACHINERY' and c_acctbal > 5000").select(F.col("c_nationkey").alias("s_nationkey"))
+    return s.read.parquet(f"{d}/supplier.parquet").join(have, "s_nationkey", "left_semi").select("s_suppkey")
+
+
+@query("SELECT c_mktsegment AS category, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1")
+def groupby_category(s, d):
+    return s.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("nations"))
+
 
-def queries():
-    return {}
+@query("SELECT r_name AS parent, n_name AS child, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def wiring_children(s, d):
+    t = {n: s.read.parquet(f"{d}/{n}.parquet") for n in ("supplier", "nation", "region")}
+    top = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"), F.lit(1).alias("depth"))
+    return top.unionByName(t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent"), F.col("s_name").alias("child"), F.lit(2).alias("depth")))
 
 
-def oracle_sql():
-    return {}
+@query(f"WITH {EV}, r AS (SELECT meter, kind, min(CASE kind WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS r, count(*) AS n FROM ev GROUP BY ALL) SELECT meter, arg_min(kind, (r, kind)) AS best, CAST(arg_min(n, (r, kind)) AS BIGINT) AS n FROM r GROUP BY meter")
+def best_ac_type(s, d):
+    rank = F.when(F.col("kind") == "purchase", 0).when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 2).otherwise(3)
+    rows = store.events(s, d).groupBy("meter", "kind").agg(F.count("*").alias("n"))
+    return rows.groupBy("meter").agg(F.min_by("kind", F.struct(rank, "kind")).alias("best"), F.min_by("n", F.struct(rank, "kind")).alias("n"))
