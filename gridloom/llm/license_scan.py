@@ -52,21 +52,20 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 
 def base(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     """docs (id, text) with key, n_words, starts (of all phrases) and base_labels."""
-    norm = docs.withColumn("_plain", plain(F.col("text")))
-    padded = F.concat(F.lit(" "), F.col("_plain"), F.lit(" "))
-    hit = None
-    for p in phrases:
-        has = padded.contains(f" {p} ")
-        hit = has if hit is None else hit | has
-    words = F.split("_plain", " ")
-    none = F.array().cast("array<int>")
-    starts = [F.when(padded.contains(f" {p} "), phrase_starts(words, p)).otherwise(none) for p in phrases]
-    labels = [F.when(padded.contains(f" {p} "), F.lit(label)) for p, label in phrases.items()]
+    norm = docs.select("id", common.row_key("id", "text").alias("key"), plain(F.col("text")).alias("_plain"))
+    # a cheap test for the longest word of any phrase (a phrase of short words stands whole) leaves few texts to take apart
+    anchors = {max(p.split(), key=len) if len(max(p.split(), key=len)) > 4 else p for p in phrases}
+    maybe = F.lit(False)
+    for anchor in sorted(anchors):
+        maybe = maybe | F.col("_plain").contains(anchor)
+    blanks = F.octet_length("_plain") - F.octet_length(F.replace("_plain", F.lit(" "), F.lit("")))
+    norm = norm.select("id", "key", F.when(F.col("_plain") == "", F.lit(0)).otherwise(blanks + 1).cast("long").alias("n_words"), F.when(maybe, F.split("_plain", " ")).alias("_words"))
+    found = {p: F.when(F.col("_words").isNotNull(), phrase_starts(F.col("_words"), p)).otherwise(F.array().cast("array<int>")) for p in phrases}
+    norm = norm.select("id", "key", "n_words", *(x.alias(f"_p{k}") for k, x in enumerate(found.values())))
+    labels = [F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]
     return norm.select(
-        "id", common.row_key("id", "text").alias("key"),
-        F.when(F.col("_plain") == "", F.lit(0).cast("long")).otherwise((F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1).cast("long")).alias("n_words"),
-        F.when(hit, F.array_sort(F.concat(*starts))).otherwise(none).alias("starts"),
-        F.when(hit, F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
+        "id", "key", "n_words", F.array_sort(F.concat(*(f"_p{k}" for k in range(len(phrases))))).alias("starts"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base_labels"),
     )
 
 
