@@ -23,20 +23,30 @@ from pyspark.sql import functions as F
 from gridloom.llm import common, textnum
 
 
-def word_sets(docs: DataFrame, carried: Sequence[str], text_col: str) -> DataFrame:
-    """The carried columns, `words` (different word hashes, sorted) and `sig`, their hash."""
+def _over_texts(docs: DataFrame, carried: Sequence[str], schema: str, make) -> DataFrame:
+    """make(list of one set of word hashes a text, the carried columns) -> the columns of `schema`, for some texts at a time."""
     n = len(carried)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, rows, size = [], [], 0
         for b in batches:
             for i, j, raw, off in textnum.text_slices(b.column(n)):
                 h, bounds = textnum.words_and_stems(raw, off)
-                sets = [np.unique(h[bounds[k] : bounds[k + 1]]).view(np.int64) for k in range(j - i)]
-                sig = [int(textnum.mix(np.array([x.view(np.uint64).sum() + np.uint64(len(x))]))[0]) >> 1 for x in sets]
-                yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(n)), pa.array(sets, pa.list_(pa.int64())), pa.array(sig, pa.int64())], names=[*carried, "words", "sig"])
+                sets += [np.unique(h[bounds[k] : bounds[k + 1]]) for k in range(j - i)]
+                rows.append([b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in range(n)])
+                size += len(h)
+                if size > 1 << 22:
+                    yield pa.record_batch(make(sets, [np.concatenate(c) for c in zip(*rows, strict=True)]), names=names)
+                    sets, rows, size = [], [], 0
+        if sets:
+            yield pa.record_batch(make(sets, [np.concatenate(c) for c in zip(*rows, strict=True)]), names=names)
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*carried, text_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", words array<long>, sig long")
+    return docs.select(*carried, "_text").mapInArrow(run, schema)
+
+
+def _signature(x: np.ndarray) -> int:
+    return int(textnum.mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))]))[0] >> np.uint64(1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 12) -> np.ndarray:
@@ -94,12 +104,23 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """(id, p_<category>...) of every document; `categories` maps names, in the order of the chain, to 0/1 columns over `labels`."""
     spark, names = docs.sparkSession, list(categories)
     marks = labels.select(F.col(id_col), *(c.cast("double").alias(f"_y{k}") for k, c in enumerate(categories.values()))).dropna().dropDuplicates([id_col])
-    marks = marks.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    marks = common.durable(marks.orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "_id"))
     ys = [f"_y{k}" for k in range(len(names))]
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    rows = common.durable(word_sets(slim.join(F.broadcast(marks), id_col), [id_col, *ys], "_text")).dropDuplicates(["sig"])
-    n, *positive = rows.agg(F.count("*"), *(F.sum(y) for y in ys)).first()
-    by_word = rows.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).where(F.col("n") >= min_docs)
+    kind = dict(slim.dtypes)[id_col]
+    texts = lambda some: slim.withColumnRenamed(id_col, "_id").join(F.broadcast(some), "_id")  # noqa: E731  at most `sample` rows go out
+    # the sampled texts are read again for each step, so no set of words is ever written
+    sigs = _over_texts(texts(marks), ["_id"], f"_id {kind}, sig long", lambda sets, c: [pa.array(c[0]), pa.array([_signature(x) for x in sets], pa.int64())])
+    marks = common.durable(marks.join(sigs.groupBy("sig").agg(F.min("_id").alias("_id"), F.min("sig").alias("_sig")).select("_id", "_sig"), "_id"))
+
+    def counted(sets: list[np.ndarray], c: list[np.ndarray]) -> list[pa.Array]:
+        word, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        return [pa.array(word.view(np.int64)), pa.array(np.bincount(at, minlength=len(word))), *(pa.array(np.bincount(at, y[owner], len(word))) for y in c)]
+
+    n, *positive = marks.agg(F.count("*"), *(F.sum(y) for y in ys)).first()
+    partial = _over_texts(texts(marks), ys, "word long, n long" + "".join(f", {y} double" for y in ys), counted)
+    by_word = partial.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(y).alias(y) for y in ys)).where(F.col("n") >= min_docs)
     chi2 = []
     for y, p in zip(ys, positive, strict=True):
         p = p or 0
@@ -108,14 +129,17 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         chi2.append(F.when(spread > 0, (F.col(y) - expected) * (F.col(y) - expected) / spread).otherwise(0.0))
     best = by_word.withColumn("chi2", F.greatest(*chi2, F.lit(0.0))).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").limit(most_words)
     vocabulary = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
-    wanted = F.array(*(F.lit(int(w)) for w in vocabulary.view(np.int64).tolist())) if len(vocabulary) else F.array().cast("array<long>")
-    train = rows.orderBy("sig").select(F.array_intersect("words", wanted).alias("words"), *ys).toArrow()
+
+    def indicated(sets: list[np.ndarray], c: list[np.ndarray]) -> list[pa.Array]:
+        own = [np.flatnonzero(np.isin(vocabulary, x)) for x in sets]
+        return [pa.array(c[0], pa.int64()), pa.array(own, pa.list_(pa.int64())), *(pa.array(y) for y in c[1:])]
+
+    train = _over_texts(texts(marks), ["_sig", *ys], "_sig long, words array<long>" + "".join(f", {y} double" for y in ys), indicated).orderBy("_sig").toArrow()
     chain = None
     if train.num_rows:
+        x = np.zeros((train.num_rows, len(vocabulary)))
         words = train.column("words").combine_chunks()
-        bounds = np.zeros(train.num_rows + 1, np.int64)
-        np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False), out=bounds[1:])
-        x = _indicators(pc.list_flatten(words).to_numpy(zero_copy_only=False).view(np.uint64), bounds, vocabulary)
+        x[np.repeat(np.arange(len(x)), pc.list_value_length(words).to_numpy(zero_copy_only=False)), pc.list_flatten(words).to_numpy(zero_copy_only=False)] = 1
         chain = fit_chain(x, np.stack([train.column(y).to_numpy() for y in ys], axis=1))
     shared = spark.sparkContext.broadcast((vocabulary, chain))
 
@@ -127,6 +151,5 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                 p = apply_chain(_indicators(h, bounds, vocabulary), chain) if chain else np.zeros((j - i, len(names)))
                 yield pa.record_batch([b.column(0).slice(i, j - i), *(pa.array(p[:, k]) for k in range(len(names)))], names=["id", *(f"p_{c}" for c in names)])
 
-    kind = dict(slim.dtypes)[id_col]
     out = slim.select(F.col(id_col).alias("id"), "_text").mapInArrow(run, f"id {kind}, " + ", ".join(f"p_{c} double" for c in names))
     return out.withColumnRenamed("id", id_col)
