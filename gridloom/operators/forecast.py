@@ -28,3 +28,54 @@ def seasonal(grid: DataFrame, shift_us: int) -> DataFrame:
 def correlation_vectors(grid: DataFrame, features: dict[str, Column]) -> DataFrame:
     """One row a meter: the correlation of its load with each feature, 0 where there is none."""
     return grid.groupBy("meter").agg(*(F.coalesce(F.nanvl(F.corr("value", x.cast("double")), F.lit(0.0)), F.lit(0.0)).alias(n) for n, x in features.items()))
+
+
+SEASONS, DAY_TYPES = ("summer", "winter", "inter"), ("weekday", "saturday", "sunday")
+ANCHORS = (21, 111, 202, 294)  # fixed values: the middle days of winter, spring, summer and autumn
+
+
+def season_shares(day: Column) -> dict[str, Column]:
+    """How far a day of the year belongs to each season: linear between the anchors."""
+    winter, spring, summer, autumn = ANCHORS
+    late = F.when(day < winter, day + 366).otherwise(day)
+    after = {"winter": (day - winter) / (spring - winter), "spring": (day - spring) / (summer - spring), "summer": (day - summer) / (autumn - summer), "autumn": (late - autumn) / (winter - autumn + 366)}
+    span = [day.between(a, b - 1) for a, b in zip(ANCHORS, ANCHORS[1:])]
+
+    def pick(first: Column, second: Column, third: Column, fourth: Column) -> Column:
+        return F.when(span[0], first).when(span[1], second).when(span[2], third).otherwise(fourth)
+
+    none = F.lit(0.0)
+    return {
+        "winter": pick(1 - after["winter"], none, none, after["autumn"]),
+        "summer": pick(none, after["spring"], 1 - after["summer"], none),
+        "inter": pick(after["winter"], 1 - after["spring"], after["summer"], 1 - after["autumn"]),
+    }
+
+
+def load_profile(grid: DataFrame, profiles: dict[tuple[str, str], list[float]], factors: list[float], annual: Column, zone: str = "UTC", quarter: bool = False) -> DataFrame:
+    """(meter, t, pred) by standard load profiles: 96 values for each (season, day type), a factor for each of 366 days, times the yearly use.
+
+    The share of the next quarter-hour is minute / 60; with `quarter`, the true share of the quarter passed.
+    """
+    if any(len(profiles[x, y]) != 96 for x in SEASONS for y in DAY_TYPES) or len(factors) != 366:
+        raise ValueError("a profile has 96 values, the factors are 366")
+    spark = grid.sparkSession
+    table = [(y, q, *(float(profiles[x, y][at % 96]) for at in (q, q + 1) for x in SEASONS)) for y in DAY_TYPES for q in range(96)]
+    names = ", ".join(f"{x}{k} double" for k in (0, 1) for x in SEASONS)
+    wide = F.broadcast(spark.createDataFrame(table, f"_type string, _quarter int, {names}"))  # 288 rows
+    factor = F.broadcast(spark.createDataFrame(list(enumerate(map(float, factors), 1)), "_day int, _factor double"))  # 366 rows
+    ts = F.timestamp_micros("t") if zone == "UTC" else F.from_utc_timestamp(F.timestamp_micros("t"), zone)
+    kind = F.when(F.weekday(ts) < 5, "weekday").when(F.weekday(ts) == 5, "saturday").otherwise("sunday")
+    share = (F.minute(ts) % 15) / 15 if quarter else F.minute(ts) / 60
+    rows = grid.select("meter", "t", annual.cast("double").alias("_annual"), F.dayofyear(ts).alias("_day"), kind.alias("_type"), (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15)).cast("int").alias("_quarter"), share.alias("_share"))
+    mix = season_shares(F.col("_day"))
+    pred = sum((((1 - F.col("_share")) * F.col(f"{x}0") + F.col("_share") * F.col(f"{x}1")) * mix[x] for x in SEASONS), F.lit(0.0))
+    return rows.join(wide, ["_type", "_quarter"]).join(factor, "_day").select("meter", "t", (pred * F.col("_factor") * F.col("_annual")).alias("pred"))
+
+
+def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(meter, rho): Spearman, the correlation of average ranks; null where one side is constant."""
+    some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = some.select("meter", *((F.rank().over(Window.partitionBy("meter").orderBy(c)) + (F.count("*").over(Window.partitionBy("meter", c)) - 1) / 2).alias(f"_{k}") for k, c in enumerate((x, y))))
+    rho = F.corr("_0", "_1")
+    return ranked.groupBy("meter").agg(F.when(~F.isnan(rho), rho).alias("rho"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import activations, disaggregate, energy, forecast, intervals, metrics, resample, sections
+from gridloom.operators import activations, cluster, disaggregate, energy, forecast, information, intervals, metrics, resample, sections, simulate, wiring
 from gridloom.sources import store
 
 H = 3600
@@ -477,3 +477,161 @@ def best_ac_type(s, d):
     rank = F.when(F.col("kind") == "purchase", 0).when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 2).otherwise(3)
     rows = store.events(s, d).groupBy("meter", "kind").agg(F.count("*").alias("n"))
     return rows.groupBy("meter").agg(F.min_by("kind", F.struct(rank, "kind")).alias("best"), F.min_by("n", F.struct(rank, "kind")).alias("n"))
+
+
+# The wiring tree: a region feeds nations, a nation suppliers and customers.
+_EDGES = """ed AS (SELECT 'r' || r_regionkey AS meter, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
+
+
+def edges(s, d) -> DataFrame:
+    def some(table: str, mark: str, key: str, up: str | None, parent: str | None) -> DataFrame:
+        above = F.concat(F.lit(up), F.col(parent).cast("string")) if parent else F.lit(None).cast("string")
+        return s.read.parquet(f"{d}/{table}.parquet").select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("meter"), above.alias("parent"))
+
+    parts = [some("region", "r", "r_regionkey", None, None), some("nation", "n", "n_nationkey", "r", "n_regionkey"), some("supplier", "s", "s_suppkey", "n", "s_nationkey"), some("customer", "c", "c_custkey", "n", "c_nationkey")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, tree AS (SELECT meter, meter AS root, 0 AS depth FROM ed WHERE parent IS NULL UNION ALL SELECT ed.meter, tree.root, tree.depth + 1 FROM ed JOIN tree ON ed.parent = tree.meter)
+SELECT meter, root, CAST(depth AS INTEGER) AS depth FROM tree""")
+def wiring_tree(s, d):
+    return wiring.wiring_tree(edges(s, d))
+
+
+_NATION_KWH = """en AS (SELECT 'n' || s_nationkey AS meter, sum(CAST(s_acctbal AS DOUBLE)) AS kwh FROM supplier GROUP BY 1 UNION ALL SELECT 'r' || n_regionkey, sum(CAST(s_acctbal AS DOUBLE)) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)"""
+
+
+def nation_energies(s, d) -> DataFrame:
+    """Suppliers' balances play the energies of nations and regions."""
+    sup = s.read.parquet(f"{d}/supplier.parquet").groupBy("s_nationkey").agg(F.sum(F.col("s_acctbal").cast("double")).alias("kwh"))
+    up = sup.join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("meter")).agg(F.sum("kwh").alias("kwh"))
+    return sup.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("meter"), "kwh").unionByName(up)
+
+
+@query(f"WITH {_EDGES}, {_NATION_KWH} SELECT ed.meter, ed.parent, CASE WHEN b.kwh <> 0 THEN round(a.kwh / b.kwh, 6) END AS proportion FROM ed JOIN en a ON ed.meter = a.meter JOIN en b ON ed.parent = b.meter")
+def proportion_of_upstream(s, d):
+    return r6(wiring.proportion_of_upstream(nation_energies(s, d), edges(s, d)), "proportion")
+
+
+@query(f"""WITH {_EDGES}, {_NATION_KWH} SELECT ed.parent AS meter, round(sum(CASE WHEN b.kwh <> 0 THEN a.kwh / b.kwh END), 6) AS submetered FROM ed JOIN en a ON ed.meter = a.meter JOIN en b ON ed.parent = b.meter GROUP BY 1""")
+def proportion_submetered(s, d):
+    return r6(wiring.proportion_of_upstream(nation_energies(s, d), edges(s, d)).groupBy(F.col("parent").alias("meter")).agg(F.sum("proportion").alias("submetered")), "submetered")
+
+
+@query(f"WITH {EV}, {KWH}, m AS (SELECT min(meter) AS m FROM en) SELECT CAST(meter AS VARCHAR) AS meter, round(kwh, 6) AS kwh FROM en, m WHERE meter <> m UNION ALL SELECT 'remainder', round(sum(CASE WHEN meter = m THEN kwh ELSE -kwh END), 6) FROM en, m")
+def energy_with_remainder(s, d):
+    """The meter of the smallest number plays the mains."""
+    ev = store.events(s, d)
+    first = ev.where("value is not null").agg(F.min("meter")).first()[0]
+    return r6(wiring.with_remainder(energy.total_energy(ev, 7200), first), "kwh")
+
+
+_RANK = "(SELECT meter, t, id, z, value FROM (SELECT *, value + 1e-10 * (CAST((id * 7919) % 1000003 AS DOUBLE) / 1000003) AS z FROM ev WHERE value IS NOT NULL AND NOT isnan(value)))"
+
+
+def _near_sql(k: int) -> str:
+    low = [f"lag(z, {j}) OVER w" if j else "z" for j in range(k + 1)]
+    high = [f"lead(z, {k - j}) OVER w" if j < k else "z" for j in range(k + 1)]
+    return "least(" + ", ".join(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest(z - {a}, {b} - z) END" for a, b in zip(low, high, strict=True)) + ")"
+
+
+def _digamma_sql(n: str) -> str:
+    return f"(ln({n} + 10) - 1 / (2 * ({n} + 10)) - 1 / (12 * ({n} + 10) ** 2) + 1 / (120 * ({n} + 10) ** 4) - (" + " + ".join(f"1 / ({n} + {i})" for i in range(10)) + "))"
+
+
+@query(f"""WITH {EV}, nr AS (SELECT meter, {_near_sql(3)} AS near FROM {_RANK} WINDOW w AS (PARTITION BY meter ORDER BY z, id)),
+g AS (SELECT meter, count(*) AS n, CAST(count(*) AS DOUBLE) AS c, avg(ln(greatest(near, 1e-15))) AS mean FROM nr GROUP BY meter)
+SELECT meter, CASE WHEN n > 3 THEN round(({_digamma_sql('c')} - (1.5 - 0.5772156649015329) + ln(2) + mean) / ln(2), 6) END AS entropy, n FROM g""")
+def entropy_per_meter(s, d):
+    return r6(information.entropy_per_meter(store.events(s, d)), "entropy")
+
+
+@query()
+def mutual_information(s, d):
+    """Of each reading and the one before it, a kind of event a group; not in SQL: neighbours in a plane."""
+    before = F.lag("value").over(resample_order())
+    rows = store.events(s, d).withColumn("y", before).select(F.col("kind").alias("meter"), "id", F.col("value").alias("x"), "y")
+    return r6(information.mutual_information(rows), "mi")
+
+
+def resample_order():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("meter").orderBy("t", "id")
+
+
+_MODE = f"WITH {EV}, c AS (SELECT meter, kind, count(*) AS n FROM ev GROUP BY ALL)"
+
+
+@query(f"{_MODE} SELECT meter, arg_min(kind, (-n, kind)) AS mode FROM c GROUP BY meter")
+def most_common_value(s, d):
+    """Of equal counts the smallest."""
+    counts = store.events(s, d).groupBy("meter", "kind").agg(F.count("*").alias("n"))
+    return counts.groupBy("meter").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("mode"))
+
+
+@query(f"WITH {EV}, m AS (SELECT count(DISTINCT meter) AS m FROM ev) SELECT kind FROM ev GROUP BY kind HAVING count(DISTINCT meter) = (SELECT m FROM m)")
+def common_ac_types(s, d):
+    """The kinds that every meter has."""
+    ev = store.events(s, d)
+    each = ev.groupBy("kind").agg(F.countDistinct("meter").alias("n"))
+    every = ev.agg(F.countDistinct("meter").alias("all"))  # one row
+    return each.join(F.broadcast(every), F.col("n") == F.col("all")).select("kind")
+
+
+@query("SELECT s_nationkey AS meter, min(CASE WHEN s_acctbal > 0 THEN CAST(s_acctbal AS DOUBLE) ELSE 10.0 END) AS threshold FROM supplier GROUP BY 1")
+def on_thresholds(s, d):
+    """A meter's threshold is the least of its appliances', which is 10 where the metadata give none."""
+    power = F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("double")), F.lit(10.0))
+    return s.read.parquet(f"{d}/supplier.parquet").groupBy(F.col("s_nationkey").alias("meter")).agg(F.min(power).alias("threshold"))
+
+
+# A made-up rule stands for the published profiles, which are a parameter.
+PROFILES = {(x, y): [50.0 + 20 * i + 10 * j + (q * 7) % 96 for q in range(96)] for i, x in enumerate(forecast.SEASONS) for j, y in enumerate(forecast.DAY_TYPES)}
+FACTORS = [0.8 + 0.001 * k for k in range(1, 367)]
+
+
+def _profile_sql() -> str:
+    kind = "CASE WHEN isodow(ts) <= 5 THEN 0 WHEN isodow(ts) = 6 THEN 1 ELSE 2 END"
+    value = "(50 + 20 * {i} + 10 * kd + {q} * 7 % 96)"
+    each = lambda i: f"((1 - sh) * {value.format(i=i, q='q')} + sh * {value.format(i=i, q='((q + 1) % 96)')})"
+    share = "CASE WHEN d >= 21 AND d < 111 THEN {a} WHEN d >= 111 AND d < 202 THEN {b} WHEN d >= 202 AND d < 294 THEN {c} ELSE {e} END"
+    late = "((CASE WHEN d < 21 THEN d + 366 ELSE d END) - 294) / 93.0"
+    summer = share.format(a="0.0", b="(d - 111) / 91.0", c="1 - (d - 202) / 92.0", e="0.0")
+    winter = share.format(a="1 - (d - 21) / 90.0", b="0.0", c="0.0", e=late)
+    inter = share.format(a="(d - 21) / 90.0", b="1 - (d - 111) / 91.0", c="(d - 202) / 92.0", e=f"1 - {late}")
+    return f"""WITH {EV}, gr AS (SELECT DISTINCT meter, t - t % 1200000000 AS t FROM ev), x AS (SELECT meter, t, make_timestamp(t) AS ts FROM gr),
+y AS (SELECT meter, t, dayofyear(ts) AS d, {kind} AS kd, hour(ts) * 4 + minute(ts) // 15 AS q, minute(ts) / 60.0 AS sh FROM x)
+SELECT meter, t, round(CAST(({each(0)} * ({summer}) + {each(1)} * ({winter}) + {each(2)} * ({inter})) * (0.8 + 0.001 * d) * 3.5 AS DOUBLE), 4) AS pred FROM y"""
+
+
+@query(_profile_sql())
+def slp_forecast(s, d):
+    grid = resample.mean(store.events(s, d), 1200)
+    return forecast.load_profile(grid, PROFILES, FACTORS, F.lit(3.5)).withColumn("pred", F.round("pred", 4))
+
+
+@query(f"""WITH {EV}, x AS (SELECT meter, value, hour(make_timestamp(t)) AS h FROM ev WHERE value IS NOT NULL),
+r AS (SELECT meter, rank() OVER (PARTITION BY meter ORDER BY value) + (count(*) OVER (PARTITION BY meter, value) - 1) / 2 AS a, rank() OVER (PARTITION BY meter ORDER BY h) + (count(*) OVER (PARTITION BY meter, h) - 1) / 2 AS b FROM x),
+c AS (SELECT meter, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM r GROUP BY meter) SELECT meter, round(rho, 6) AS rho FROM c""")
+def rank_correlation(s, d):
+    return r6(forecast.rank_correlation(store.events(s, d).withColumn("h", F.hour(F.timestamp_micros("t"))), "value", "h"), "rho")
+
+
+@query()
+def cluster_meters(s, d):
+    """k-means of the meters' correlation vectors; an iterative fit, not in SQL."""
+    return cluster.cluster_vectors(corr_vectors(s, d), ["workday", "evening"], 6)
+
+
+@query()
+def event_mixture(s, d):
+    """Three Gaussians over the readings; an iterative fit, not in SQL."""
+    return r6(cluster.gaussian_mixture(store.events(s, d).where("value is not null").select("meter", "id", "value"), ["value"], 3), "p")
+
+
+@query()
+def simulated_transients(s, d):
+    """Ten days of the seven machines; random draws, not in SQL."""
+    return r6(simulate.transients(s, 864_000, 7), "transition", "spike", "signature")
