@@ -44,3 +44,42 @@ def per_meter_csv(spark: SparkSession, path: str, dataset: str, columns: dict[st
 def reactive(active: str, phase: str):
     """Reactive power from active power and the phase angle in degrees."""
     return F.col(active) * F.tan(F.radians(phase))
+
+
+def positional_days(spark: SparkSession, path: str, dataset: str, columns: dict[int, tuple[str, str | None]], missing: float = -1.0) -> DataFrame:
+    """Day files `<building>/<meter>/<yyyy-mm-dd>.csv` of one line a second without a time column (as ECO has them).
+
+    A line's second is its number in the file, so a file is read whole by one task: 86400 lines at most. `columns` maps a
+    column's place to (physical quantity, AC type). Power that reads `missing` is dropped.
+    """
+    files = spark.read.text(f"{path}/*/*/*.csv", wholetext=True).withColumn("_f", F.input_file_name())
+    pick = lambda part: F.regexp_extract("_f", r"(\d+)/(\d+)/(\d{4}-\d{2}-\d{2})\.csv", part)
+    lines = files.select(pick(1).cast("int").alias("building"), pick(2).cast("int").alias("meter"), pick(3).cast("timestamp").alias("_day"), F.posexplode(F.split("value", r"\r?\n")).alias("_s", "_line")).where("_line <> ''")
+    values = F.array(*(F.struct(F.lit(q).alias("physical_quantity"), F.lit(ac).cast("string").alias("ac_type"), F.get(F.split("_line", ","), F.lit(k)).try_cast("double").alias("value")) for k, (q, ac) in columns.items()))
+    rows = lines.select("building", "meter", F.timestamp_seconds(F.unix_seconds("_day") + F.col("_s")).alias("ts"), F.explode(values).alias("v")).select("building", "meter", "ts", "v.*")
+    return _shaped(rows.where(F.col("value").isNotNull() & ((F.col("physical_quantity") != "power") | (F.col("value") != missing))), dataset)
+
+
+def coded_long(spark: SparkSession, path: str, dataset: str, lookup: DataFrame, scale: float = 10.0) -> DataFrame:
+    """Long CSV of (household, appliance code, date, time, data) and a lookup (building, code, meter), as HES has them: tenths of Wh, grouped by house."""
+    rows = spark.read.schema("building int, code int, day string, time string, data double").csv(path).join(lookup, ["building", "code"])
+    return _shaped(rows.select("building", "meter", F.to_timestamp(F.concat_ws(" ", "day", "time")).alias("ts"), (F.col("data") * scale).alias("value")), dataset, "energy")
+
+
+def filled_minutes(rows: DataFrame) -> DataFrame:
+    """One-minute means of readings on each series' gap-free grid (as iAWE is cleaned): of equal instants the smallest value counts; missing power is 0, any other quantity its median."""
+    keys = ["dataset", "building", "meter", "physical_quantity", "ac_type"]
+    rows = rows.withColumn("ac_type", F.coalesce("ac_type", F.lit(""))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    once = rows.groupBy(*keys, "ts").agg(F.min("value").alias("value"))
+    minutes = once.groupBy(*keys, F.date_trunc("minute", "ts").alias("ts")).agg(F.avg("value").alias("value"))
+    ends = minutes.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.median("value").alias("_m"))
+    grid = ends.select(*keys, "_m", F.explode(F.sequence("_a", "_b", F.expr("interval 1 minute"))).alias("ts"))
+    value = F.coalesce("value", F.when(F.col("physical_quantity") == "power", 0.0).otherwise(F.col("_m")))
+    return grid.join(minutes, [*keys, "ts"], "left").select("dataset", "building", "meter", "ts", "physical_quantity", F.nullif("ac_type", F.lit("")).alias("ac_type"), value.alias("value"))
+
+
+def from_database(spark: SparkSession, url: str, table: str, dataset: str, columns: dict[str, int], low: int, high: int, parts: int, options: dict[str, str] | None = None) -> DataFrame:
+    """A database table of (dataid, localminute, one column a meter in kW), read in ranges of dataid; watts."""
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="dataid", lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **(options or {})).load()
+    wide = rows.select(F.col("dataid").cast("int").alias("building"), F.col("localminute").cast("timestamp").alias("ts"), *((F.col(c).cast("double") * 1000).alias(str(m)) for c, m in columns.items()))
+    return _shaped(wide.unpivot(["building", "ts"], [str(m) for m in columns.values()], "meter", "value").where("value is not null").withColumn("meter", F.col("meter").cast("int")), dataset)

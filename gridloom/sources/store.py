@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,3 +45,38 @@ def parse_key(column: str) -> tuple:
 
 def schema() -> StructType:
     return StructType.fromDDL(READINGS)
+
+
+def load_sections(rows: DataFrame, sections: DataFrame, look_ahead: int = 0) -> DataFrame:
+    """Rows of (meter, t) inside any of the sections (meter, start, end), the end exclusive; overlapping sections don't repeat rows.
+
+    With look_ahead, each row also carries `ahead_1` ... the next values of its meter, whether or not they lie in a section.
+    Sections and rows meet in one ordered pass a meter, so a meter of many sections doesn't multiply its rows.
+    """
+    order = Window.partitionBy("meter").orderBy("t", "_kind")
+    seen = order.rowsBetween(Window.unboundedPreceding, 0)
+    if look_ahead:
+        ahead = Window.partitionBy("meter").orderBy("t")
+        rows = rows.withColumns({f"ahead_{k}": F.lead("value", k).over(ahead) for k in range(1, look_ahead + 1)})
+    marks = sections.where("start < end").select("meter", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("_step")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("_step")))).alias("m")).select("meter", "m.t", "m._step")
+    both = rows.withColumns({"_step": F.lit(0), "_kind": F.lit(1)}).unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    return both.withColumn("_open", F.sum("_step").over(seen)).where("_kind = 1 and _open > 0").select(*rows.columns)
+
+
+def remove(spark: SparkSession, path: str, dataset: str, building: int) -> bool:
+    """Delete one building's partition of a store; whether it was there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset={dataset}/building={int(building)}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def children(rows: DataFrame, building: int | None = None) -> DataFrame:
+    """The buildings of a store, or the meters of one building."""
+    return rows.select("dataset", "building").distinct() if building is None else rows.where(F.col("building") == building).select("dataset", "building", "meter").distinct()
+
+
+def with_external(rows: DataFrame, external: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """External columns (as weather by zip code) at each row's instant: the last known value of the place, before the first one the next."""
+    both = rows.withColumns({c: F.lit(None).cast(dict(external.dtypes)[c]) for c in columns}).withColumn("_own", F.lit(True)).unionByName(external.select(on, "t", *columns).withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(on).orderBy("t", "_own")
+    back, forth = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(forth)) for c in columns}).where("_own").drop("_own")
