@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.resample import nearest
@@ -68,24 +70,30 @@ def steady_states(readings: DataFrame, noise: float = 70, state: float = 15, emi
     return known(readings).select("meter", "t", "id", "value").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, transition double, level double")
 
 
+def pair_in_buffer(buffer: list[list], rows: Iterable[tuple[int, float]], size: int, tolerance: float, share: float, large: float) -> tuple[list[tuple], list[list]]:
+    """The pairs that rows (t, transition), in order, make with a ring buffer of (t, transition, matched), and the buffer after them."""
+    out = []
+    for t, p in rows:
+        if len(buffer) == size:
+            kept = [b for b in buffer if not b[2]]
+            buffer = kept if len(kept) < size else kept[1:]
+        buffer.append([t, p, False])
+        for gap in range(1, len(buffer)):
+            for a, b in zip(buffer, buffer[gap:], strict=False):
+                if a[1] > 0 > b[1] and not a[2] and not b[2]:
+                    big = max(abs(a[1]), abs(b[1]))
+                    if abs(a[1] + b[1]) < (tolerance if big < large else share * big):
+                        a[2] = b[2] = True
+                        out.append((a[0], a[1], b[0], b[1]))
+    return out, buffer
+
+
 def pair_transitions(transitions: DataFrame, size: int = 20, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
     """(meter, on_t, on, off_t, off): rises paired with later falls of like size in a ring buffer, nearest first."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        out, buffer = [], []
-        for t, p in zip(rows["t"], rows["transition"], strict=True):
-            if len(buffer) == size:
-                kept = [b for b in buffer if not b[2]]
-                buffer = kept if len(kept) < size else kept[1:]
-            buffer.append([t, p, False])
-            for gap in range(1, len(buffer)):
-                for a, b in zip(buffer, buffer[gap:], strict=False):
-                    if a[1] > 0 > b[1] and not a[2] and not b[2]:
-                        big = max(abs(a[1]), abs(b[1]))
-                        if abs(a[1] + b[1]) < (tolerance if big < large else share * big):
-                            a[2] = b[2] = True
-                            out.append((a[0], a[1], b[0], b[1]))
+        out = pair_in_buffer([], zip(rows["t"], rows["transition"], strict=True), size, tolerance, share, large)[0]
         return pd.DataFrame(out, columns=["on_t", "on", "off_t", "off"]).assign(meter=rows["meter"].iloc[0])[["meter", "on_t", "on", "off_t", "off"]]
 
     kind = dict(transitions.dtypes)["meter"]
@@ -156,3 +164,71 @@ def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float =
 
     kind = dict(mains.dtypes)["meter"]
     return known(mains).select("meter", "t", "id", "value").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
+    """(meter, on_t, on, off_t, off): from the last fall to the first, each with the nearest free rise of like size before it.
+
+    The way back ends where the power, undone step by step from the fall, lies below what the fall could have switched off.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        t, v = rows["t"].to_numpy(), rows["transition"].to_numpy(float)
+        used, out = np.zeros(len(v), bool), []
+        for j in np.flatnonzero(v < 0)[::-1]:
+            undone = 0.0
+            for i in range(j - 1, -1, -1):
+                big = max(abs(v[i]), abs(v[j]))
+                near = tolerance if abs(v[i] - v[j]) < large else share * big
+                if v[i] > 0 and not used[i] and abs(v[i] + v[j]) < near:
+                    used[i] = True
+                    out.append((t[i], v[i], t[j], v[j]))
+                    break
+                undone -= v[i]
+                if undone < v[j] - near:
+                    break
+        return pd.DataFrame(out, columns=["on_t", "on", "off_t", "off"]).assign(meter=rows["meter"].iloc[0])[["meter", "on_t", "on", "off_t", "off"]]
+
+    kind = dict(transitions.dtypes)["meter"]
+    return transitions.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, on double, off_t long, off double")
+
+
+def accept_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Of (meter, on_t, off_t, likelihood) the rows that are taken by descending likelihood while their span is still free; of equal ones the earlier."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["likelihood", "on_t", "off_t"], ascending=[False, True, True])
+        taken, keep = [], []
+        for a, b in zip(rows["on_t"], rows["off_t"], strict=True):
+            at = bisect.bisect_right(taken, (a, b))
+            free = (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b)
+            if free:
+                taken.insert(at, (a, b))
+            keep.append(free)
+        return rows[keep]
+
+    kind = dict(pairs.dtypes)["meter"]
+    some = pairs.where(F.col("likelihood") >= least).select("meter", "on_t", "off_t", "likelihood")
+    return some.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, off_t long, likelihood double")
+
+
+def centroid_states(transitions: DataFrame, centroids: dict[str, float]) -> DataFrame:
+    """(meter, t, device, state) of every transition: 1 for a rise, 0 for a fall, of the device whose centroid is nearest in size (of two the first)."""
+    size = F.abs("transition")
+    near = F.array_min(F.array(*(F.struct(F.abs(size - abs(float(c))).alias("far"), F.lit(k).alias("k"), F.lit(n).alias("device")) for k, (n, c) in enumerate(centroids.items()))))
+    return transitions.select("meter", "t", near["device"].alias("device"), F.when(F.col("transition") > 0, 1).otherwise(0).alias("state"))
+
+
+def filled_power(readings: DataFrame, states: DataFrame, centroids: dict[str, float]) -> DataFrame:
+    """(meter, t, id, device, power) for every reading: the device's centroid while it is on, from the reading after the event; 0 before any event.
+
+    Events and readings meet in one ordered pass a meter. Of several events of a device at one instant the off state counts.
+    """
+    once = states.groupBy("meter", "t", "device").agg(F.min("state").alias("state"))
+    wide = once.groupBy("meter", "t").pivot("device", list(centroids)).agg(F.first("state"))
+    both = known(readings).select("meter", "t", "id").withColumn("_own", F.lit(True)).unionByName(wide.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("meter").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    power = {n: F.coalesce(F.last(F.col(f"`{n}`"), True).over(before), F.lit(0)) * float(c) for n, c in centroids.items()}
+    filled = both.select("meter", "t", "id", "_own", *(x.alias(n) for n, x in power.items())).where("_own").drop("_own")
+    return filled.unpivot(["meter", "t", "id"], [F.col(f"`{n}`") for n in centroids], "device", "power")

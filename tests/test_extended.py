@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import cluster, forecast, information, simulate, wiring
+from gridloom.operators import cluster, disaggregate, forecast, information, simulate, wiring
 from gridloom.sources import converters, metadata, store
+from gridloom.streaming import stateful
 
 EDGES = "meter string, parent string"
 
@@ -148,3 +149,39 @@ def test_coded_rows_and_filled_minutes(spark, tmp_path):
     rows = spark.createDataFrame([("d", 1, 1, s, q, None, v) for s, v in ((0, 2.0), (0, 4.0), (30, 6.0), (150, 9.0)) for q in ("power", "voltage")], "dataset string, building int, meter int, s long, physical_quantity string, ac_type string, value double")
     filled = converters.filled_minutes(rows.withColumn("ts", F.timestamp_seconds("s")).drop("s"))
     assert sorted((r.physical_quantity, r.ts.minute, r.value) for r in filled.collect()) == [("power", 0, 4.0), ("power", 1, 0.0), ("power", 2, 9.0), ("voltage", 0, 4.0), ("voltage", 1, 6.5), ("voltage", 2, 9.0)]
+
+
+def test_pairing_from_falls(spark):
+    rows = [(1, 0, 200.0), (1, 10, 210.0), (1, 20, -205.0), (1, 30, -195.0), (2, 0, 100.0)]
+    got = sorted((r.meter, r.on_t, r.off_t) for r in disaggregate.pair_from_falls(spark.createDataFrame(rows, "meter long, t long, transition double")).collect())
+    assert got == [(1, 0, 20), (1, 10, 30)]
+
+
+def test_accepted_pairs_do_not_overlap(spark):
+    rows = [(1, 0, 10, 0.5), (1, 5, 8, 0.9), (1, 8, 12, 0.4), (1, 0, 5, 0.4), (1, 20, 30, 0.01)]
+    got = sorted((r.on_t, r.off_t) for r in disaggregate.accept_pairs(spark.createDataFrame(rows, "meter long, on_t long, off_t long, likelihood double"), 0.1).collect())
+    assert got == [(0, 5), (5, 8), (8, 12)]
+
+
+def test_centroid_states_and_filled_power(spark):
+    centroids = {"fridge": 90.0, "heater": 2000.0}
+    steps = spark.createDataFrame([(1, 2, 95.0), (1, 4, 1900.0), (1, 6, -92.0)], "meter long, t long, transition double")
+    states = disaggregate.centroid_states(steps, centroids)
+    assert sorted((r.t, r.device, r.state) for r in states.collect()) == [(2, "fridge", 1), (4, "heater", 1), (6, "fridge", 0)]
+    readings = spark.createDataFrame([(1, t, 1.0, t) for t in range(8)], "meter long, t long, value double, id long")
+    got = {(r.device, r.t): r.power for r in disaggregate.filled_power(readings, states, centroids).collect()}
+    assert [got["fridge", t] for t in range(8)] == [0, 0, 0, 90, 90, 90, 90, 0]
+    assert [got["heater", t] for t in range(8)] == [0, 0, 0, 0, 0, 2000, 2000, 2000]
+
+
+def test_streamed_pairs_equal_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(m, 10 * k + m, rng.choice([-1, 1]) * rng.choice([60.0, 300.0, 1500.0]) + rng.gauss(0, 5)) for m in (1, 2, 3) for k in range(90)]
+    kind = "meter long, t long, transition double"
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if part * 300 <= r[1] - r[0] < part * 300 + 300], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stateful.pair_transitions(stream).writeStream.format("memory").queryName("pairs_streamed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = sorted(map(tuple, disaggregate.pair_transitions(spark.createDataFrame(rows, kind)).collect()))
+    assert want and sorted(map(tuple, spark.sql("select * from pairs_streamed").collect())) == want
