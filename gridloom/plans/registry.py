@@ -635,3 +635,37 @@ def event_mixture(s, d):
 def simulated_transients(s, d):
     """Ten days of the seven machines; random draws, not in SQL."""
     return r6(simulate.transients(s, 864_000, 7), "transition", "spike", "signature")
+
+
+CENTROIDS = {"fridge": 60.0, "heater": 200.0}
+_STATES = """sw AS (SELECT meter, t, id, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
+st AS (SELECT meter, t, CASE WHEN abs(abs(tr) - 60) <= abs(abs(tr) - 200) THEN 'fridge' ELSE 'heater' END AS device, CASE WHEN tr > 0 THEN 1 ELSE 0 END AS state FROM sw WHERE abs(tr) > 40)"""
+
+
+def transitions(s, d) -> DataFrame:
+    return store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 40").select("meter", "t", "transition")
+
+
+@query(f"WITH {EV}, {_STATES} SELECT meter, t, device, CAST(state AS INTEGER) AS state FROM st")
+def centroid_states(s, d):
+    return disaggregate.centroid_states(transitions(s, d), CENTROIDS)
+
+
+@query(f"""WITH {EV}, {_STATES}, one AS (SELECT meter, t, device, min(state) AS state FROM st GROUP BY ALL), dv(device, c) AS (VALUES ('fridge', 60.0::DOUBLE), ('heater', 200.0::DOUBLE)),
+r AS (SELECT meter, t, id, device, c FROM ev CROSS JOIN dv WHERE value IS NOT NULL)
+SELECT r.meter, r.t, r.id, r.device, coalesce(one.state, 0) * c AS power FROM r ASOF LEFT JOIN one ON r.meter = one.meter AND r.device = one.device AND r.t > one.t""")
+def filled_power(s, d):
+    return disaggregate.filled_power(store.events(s, d), disaggregate.centroid_states(transitions(s, d), CENTROIDS), CENTROIDS)
+
+
+@query()
+def pairs_from_falls(s, d):
+    """A sequential rule, not in SQL."""
+    return r6(disaggregate.pair_from_falls(transitions(s, d)), "on", "off")
+
+
+@query()
+def accepted_pairs(s, d):
+    """Greedy acceptance, not in SQL."""
+    found = disaggregate.likelihood_pairs(transitions(s, d).withColumnRenamed("transition", "delta"), DAY, 60, (80, 40), (-80, 40), (20000, 20000))
+    return disaggregate.accept_pairs(found)
