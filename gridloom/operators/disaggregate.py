@@ -78,13 +78,13 @@ def pair_in_buffer(buffer: list[list], rows: Iterable[tuple[int, float]], size:
             kept = [b for b in buffer if not b[2]]
             buffer = kept if len(kept) < size else kept[1:]
         buffer.append([t, p, False])
-        for gap in range(1, len(buffer)):
-            for a, b in zip(buffer, buffer[gap:], strict=False):
-                if a[1] > 0 > b[1] and not a[2] and not b[2]:
-                    big = max(abs(a[1]), abs(b[1]))
-                    if abs(a[1] + b[1]) < (tolerance if big < large else share * big):
-                        a[2] = b[2] = True
-                        out.append((a[0], a[1], b[0], b[1]))
+        if p < 0:  # older pairs failed before, so only the new fall can match: the nearest rise first
+            for a in reversed(buffer[:-1]):
+                big = max(abs(a[1]), abs(p))
+                if a[1] > 0 and not a[2] and abs(a[1] + p) < (tolerance if big < large else share * big):
+                    a[2] = buffer[-1][2] = True
+                    out.append((a[0], a[1], t, p))
+                    break
     return out, buffer
 
 

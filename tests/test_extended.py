@@ -185,3 +185,23 @@ def test_streamed_pairs_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, disaggregate.pair_transitions(spark.createDataFrame(rows, kind)).collect()))
     assert want and sorted(map(tuple, spark.sql("select * from pairs_streamed").collect())) == want
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_buffer_pairs_against_all_distances(seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.choice([-1, 1]) * rng.choice([60.0, 300.0, 1500.0, 4000.0]) + rng.gauss(0, 60)) for k in range(200)]
+    want, held = [], []
+    for t, p in rows:
+        if len(held) == 6:
+            free = [x for x in held if not x["used"]]
+            held = free if len(free) < 6 else free[1:]
+        held.append({"t": t, "p": p, "used": False})
+        for far in range(1, 6):
+            for i in range(len(held) - far):
+                x, y = held[i], held[i + far]
+                top = max(abs(x["p"]), abs(y["p"]))
+                if x["p"] > 0 > y["p"] and not x["used"] and not y["used"] and abs(x["p"] + y["p"]) < (100 if top < 1000 else 0.035 * top):
+                    x["used"] = y["used"] = True
+                    want.append((x["t"], x["p"], y["t"], y["p"]))
+    assert disaggregate.pair_in_buffer([], rows, 6, 100, 0.035, 1000)[0] == want
