@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import activations, cluster, disaggregate, energy, forecast, information, intervals, metrics, resample, sections, simulate, wiring
+from gridloom.operators import activations, cluster, disaggregate, energy, eventbased, forecast, information, intervals, metrics, resample, sections, simulate, wiring
 from gridloom.sources import store
 
 H = 3600
@@ -669,3 +669,90 @@ def accepted_pairs(s, d):
     """Greedy acceptance, not in SQL."""
     found = disaggregate.likelihood_pairs(transitions(s, d).withColumnRenamed("transition", "delta"), DAY, 60, (80, 40), (-80, 40), (20000, 20000))
     return disaggregate.accept_pairs(found)
+
+
+@query(f"""WITH {EV}, h AS (SELECT meter, value AS x, hour(make_timestamp(t)) AS y FROM ev WHERE value IS NOT NULL),
+p AS (SELECT a.meter, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS nx, count(*) FILTER (a.y <> b.y) AS ny FROM h a JOIN h b ON a.meter = b.meter GROUP BY a.meter)
+SELECT meter, round(CASE WHEN nx > 0 AND ny > 0 THEN s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau FROM p""")
+def kendall_correlation(s, d):
+    return r6(forecast.kendall_correlation(store.events(s, d).withColumn("h", F.hour(F.timestamp_micros("t"))), "value", "h"), "tau")
+
+
+def segmented(s, d) -> DataFrame:
+    return eventbased.segments(disaggregate.steady_states(store.events(s, d), 30, 10), 30)
+
+
+@query()
+def event_segments(s, d):
+    """Segments of transients by plateaus; a sequential rule, not in SQL."""
+    return r6(segmented(s, d), "transition", "level")
+
+
+@query()
+def segment_pairs(s, d):
+    """Features of segments of two transients, whose segments are found sequentially."""
+    return r6(eventbased.segment_features(segmented(s, d), 2), "transition_avg", "transition_delta", "spike_up", "spike_down", "duration")
+
+
+@query()
+def segment_fours(s, d):
+    """Segments of four that may be two pairs."""
+    return r6(eventbased.split_fours(segmented(s, d)), "transition", "level")
+
+
+@query()
+def pair_mixture(s, d):
+    """Gaussians over the segments of two, by BIC, with the confidence check; an iterative fit."""
+    found = eventbased.segment_features(segmented(s, d), 2)
+    return r6(eventbased.mixture_by_bic(found, ["transition_avg", "transition_delta"], 4, ["transition_avg"]), "transition_avg", "transition_delta", "spike_up", "spike_down", "duration")
+
+
+@query()
+def long_segment_steps(s, d):
+    """Decoding of the segments of five to twelve transients; a dynamic programme."""
+    steps = {n: [([w], [[400.0]]), ([-w], [[400.0]])] for n, w in {"fridge": 60.0, "heater": 120.0}.items()}
+    return eventbased.decode_segments(segmented(s, d).where("size <= 12"), ["transition"], steps)
+
+
+PHASE_EPS = 2 * H
+_PHASES = f"""sw AS (SELECT meter % 3 AS phase, t // {H * 1000000} * {H * 1000000} AS t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
+once AS (SELECT phase, t, sum(tr) AS tr FROM sw WHERE abs(tr) > 60 GROUP BY ALL),
+j AS (SELECT a.phase AS phase_a, b.phase AS phase_b, a.t, a.tr AS transition_a, b.tr AS transition_b FROM once a JOIN once b ON a.t = b.t AND a.phase < b.phase AND a.tr * b.tr > 0),
+e AS (SELECT * FROM j QUALIFY count(*) OVER (PARTITION BY phase_a, phase_b) >= 10),
+c AS (SELECT *, count(*) OVER (PARTITION BY phase_a, phase_b ORDER BY t RANGE BETWEEN {PHASE_EPS * 1000000} PRECEDING AND {PHASE_EPS * 1000000} FOLLOWING) >= 5 AS core FROM e),
+k AS (SELECT *, t - lag(t) OVER (PARTITION BY phase_a, phase_b ORDER BY t) AS gap FROM c WHERE core),
+g AS (SELECT *, sum(CASE WHEN gap <= {PHASE_EPS * 1000000} THEN 0 ELSE 1 END) OVER (PARTITION BY phase_a, phase_b ORDER BY t) - 1 AS n FROM k)"""
+
+
+@query(f"""WITH {EV}, {_PHASES}
+SELECT 1 AS building, c.phase_a, c.phase_b, c.t, round(c.transition_a, 6) AS transition_a, round(c.transition_b, 6) AS transition_b, CAST(min(g.n) AS BIGINT) AS "group"
+FROM c JOIN g ON c.phase_a = g.phase_a AND c.phase_b = g.phase_b AND abs(c.t - g.t) <= {PHASE_EPS * 1000000} WHERE NOT c.core OR c.t = g.t GROUP BY ALL""")
+def phase_events(s, d):
+    hour = H * 1000000
+    sw = store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 60")
+    rows = sw.select(F.lit(1).alias("building"), (F.col("meter") % 3).alias("phase"), F.expr(f"t div {hour} * {hour}").alias("t"), "transition")
+    return r6(eventbased.phase_events(rows, PHASE_EPS), "transition_a", "transition_b")
+
+
+@query(f"""WITH {EV}, sw AS (SELECT meter, t, id, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
+r AS (SELECT meter, t, id, tr, (row_number() OVER (PARTITION BY meter ORDER BY t, id) - 1) // 4 AS run FROM sw WHERE abs(tr) > 40),
+f AS (SELECT *, row_number() OVER w = 1 AS first, sum(tr) OVER (PARTITION BY meter, run) AS err FROM r WINDOW w AS (PARTITION BY meter, run ORDER BY t, tr)),
+x AS (SELECT meter, t, sum(tr - CASE WHEN first THEN err ELSE 0 END) AS ch FROM f GROUP BY ALL)
+SELECT meter, 'all' AS appliance, t, round(sum(ch) OVER (PARTITION BY meter ORDER BY t), 6) + 0.0 AS power FROM x""")
+def appliance_power(s, d):
+    sw = store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 40")
+    rows = sw.select("meter", F.lit("all").alias("appliance"), F.expr("(row_number() over (partition by meter order by t, id) - 1) div 4").alias("run"), "t", "transition")
+    return eventbased.appliance_power(rows).withColumn("power", F.round("power", 6) + 0.0)
+
+
+@query()
+def pair_centroids(s, d):
+    """Mean shift over the sizes of pairs; iterative."""
+    return r6(eventbased.pair_centroids(disaggregate.pair_from_falls(transitions(s, d)), 20), "centroid")
+
+
+@query()
+def switch_parameters(s, d):
+    """What the likelihood pairing is trained to, from pairs that are found sequentially."""
+    found = eventbased.switch_parameters(disaggregate.pair_from_falls(transitions(s, d)), F.col("on_t"), F.col("off_t"))
+    return r6(found, *(c for c in found.columns if c != "meter"))
