@@ -714,7 +714,7 @@ def long_segment_steps(s, d):
     return eventbased.decode_segments(segmented(s, d).where("size <= 12"), ["transition"], steps)
 
 
-PHASE_EPS = 2 * H
+PHASE_EPS = 6 * H
 _PHASES = f"""sw AS (SELECT meter % 3 AS phase, t // {H * 1000000} * {H * 1000000} AS t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
 once AS (SELECT phase, t, sum(tr) AS tr FROM sw WHERE abs(tr) > 60 GROUP BY ALL),
 j AS (SELECT a.phase AS phase_a, b.phase AS phase_b, a.t, a.tr AS transition_a, b.tr AS transition_b FROM once a JOIN once b ON a.t = b.t AND a.phase < b.phase AND a.tr * b.tr > 0),

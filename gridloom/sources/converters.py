@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OUT = ["dataset", "building", "meter", "ts", "physical_quantity", "ac_type", "value"]
@@ -83,3 +83,22 @@ def from_database(spark: SparkSession, url: str, table: str, dataset: str, colum
     rows = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="dataid", lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **(options or {})).load()
     wide = rows.select(F.col("dataid").cast("int").alias("building"), F.col("localminute").cast("timestamp").alias("ts"), *((F.col(c).cast("double") * 1000).alias(str(m)) for c, m in columns.items()))
     return _shaped(wide.unpivot(["building", "ts"], [str(m) for m in columns.values()], "meter", "value").where("value is not null").withColumn("meter", F.col("meter").cast("int")), dataset)
+
+
+def block_csv(spark: SparkSession, path: str, dataset: str, meters: dict[str, int]) -> DataFrame:
+    """`building<n>/<file>.csv` whose blocks each begin with a header of their own, `timestamp` and device names (as GREEND has them).
+
+    A header may follow the rest of a broken line, which is lost. NUL characters go; a line with a broken time, or with more
+    fields than its header, counts as far as it can be read; lines before the first header and unknown devices don't count.
+    Of readings of a device at one instant the smallest counts. A file, a day of one building, is read whole by one task.
+    """
+    files = spark.read.text(f"{path}/building*/*.csv", wholetext=True).withColumn("_f", F.input_file_name())
+    lines = files.select(F.regexp_extract("_f", r"building(\d+)", 1).cast("int").alias("building"), "_f", F.posexplode(F.split(F.translate("value", "\0", ""), r"\r?\n")).alias("_n", "_line"))
+    head = F.when(F.instr("_line", "timestamp") > 0, F.expr("substring(_line, instr(_line, 'timestamp'))"))
+    headed = lines.withColumn("_head", F.last(head, True).over(Window.partitionBy("_f").orderBy("_n"))).where(head.isNull() & F.col("_head").isNotNull() & (F.col("_line") != ""))
+    names, values = F.split(F.trim("_head"), ","), F.split(F.trim("_line"), ",")
+    pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("text")), lambda p: p["name"].isNotNull() & p["text"].isNotNull())
+    known = F.create_map(*(F.lit(x) for item in meters.items() for x in item))
+    long = headed.select("building", F.get(values, F.lit(0)).try_cast("double").alias("_s"), F.explode(F.slice(pairs, 2, 1_000_000)).alias("p"))
+    rows = long.select("building", known[F.trim("p.name")].alias("meter"), F.timestamp_seconds("_s").alias("ts"), F.trim("p.text").try_cast("double").alias("value")).where("meter is not null and ts is not null and value is not null and not isnan(value)")
+    return _shaped(rows.groupBy("building", "meter", "ts").agg(F.min("value").alias("value")), dataset)
