@@ -137,14 +137,36 @@ def cluster_states(readings: DataFrame, k: int = 2, least: float = 10, few: int
     return counted.groupBy("meter").applyInPandas(one, f"meter {kind}, states array<int>")
 
 
-def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0) -> DataFrame:
-    """Viterbi decoding of the product chain of all devices (last device fastest), a task a meter."""
+def fhmm_train(readings: DataFrame, levels: list[float], prior: float = 1.0) -> DataFrame:
+    """(meter, state, mean, n, start, move array<double>) of each meter's chain over the sorted levels.
+
+    Readings go to the nearest level (of two the upper) and moves are counted from each reading to the next, `prior` added to
+    every count; a level without readings keeps its own value as mean. One ordered pass and one aggregation, no inner loop.
+    """
+    levels = sorted({float(x) for x in levels})
+    states = F.array(*map(F.lit, levels))
+    placed = known(readings).select("meter", "t", "id", "value", (F.array_position(states, nearest(states, F.col("value"))) - 1).alias("state"))
+    next_one = F.lead("state").over(Window.partitionBy("meter").orderBy("t", "id"))
+    counted = placed.withColumn("_next", next_one).groupBy("meter", "state").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), *(F.count_if(F.col("_next") == k).alias(f"_{k}") for k in range(len(levels))))
+    every = counted.select("meter").distinct().withColumn("state", F.explode(F.array(*(F.lit(k).cast("long") for k in range(len(levels))))))
+    full = every.join(counted, ["meter", "state"], "left").na.fill(0, ["n", *(f"_{k}" for k in range(len(levels)))])
+    moves = [F.col(f"_{k}") + F.lit(prior) for k in range(len(levels))]
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("meter"))
+    return full.select("meter", F.col("state").cast("int").alias("state"), F.coalesce("mean", F.get(states, F.col("state").cast("int"))).alias("mean"), "n", share.alias("start"), F.array(*(m / sum(moves, F.lit(0.0)) for m in moves)).alias("move"))
+
+
+def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0, moves: dict[str, list[list[float]]] | None = None) -> DataFrame:
+    """Viterbi decoding of the product chain of all devices (last device fastest), a task a meter.
+
+    `moves` gives a device's matrix of moves, as trained; a device without one stays with probability `stay`.
+    """
     names = list(states)
     combos = np.array(list(itertools.product(*states.values())), float)
     move = np.ones((1, 1))
-    for v in states.values():
+    for name, v in states.items():
         n = len(v)
-        move = np.kron(move, np.full((n, n), (1 - stay) / max(n - 1, 1)) + np.eye(n) * (stay - (1 - stay) / max(n - 1, 1)) if n > 1 else np.ones((1, 1)))
+        own = np.array(moves[name], float) if moves and name in moves else None
+        move = np.kron(move, own if own is not None else np.full((n, n), (1 - stay) / max(n - 1, 1)) + np.eye(n) * (stay - (1 - stay) / max(n - 1, 1)) if n > 1 else np.ones((1, 1)))
     log_move, total = np.log(np.maximum(move, 1e-300)), combos.sum(1)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

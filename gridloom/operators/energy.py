@@ -107,3 +107,23 @@ def clip(readings: DataFrame, lower: Column, upper: Column) -> DataFrame:
     """Values within the limits of their device, where it has both."""
     both = lower.isNotNull() & upper.isNotNull() & F.col("value").isNotNull()
     return readings.withColumn("value", F.when(both, F.greatest(lower, F.least(upper, F.col("value")))).otherwise(F.col("value")))
+
+
+def repaired_total(total: DataFrame, active: DataFrame, meters: int) -> DataFrame:
+    """(t, value) of a total (t, value) over meters of which only some send: the mean of the sending ones, of which `active` (t, n) has the number at each instant, times all `meters`. Instants at which none sends are left out."""
+    return total.join(active, "t").where("n > 0 and value is not null").select("t", (F.col("value") / F.col("n") * meters).alias("value"))
+
+
+def combine_partial(parts: DataFrame, known_types: tuple[str, ...] = ("active", "apparent", "reactive")) -> DataFrame:
+    """(meter, ac_type, kwh) of partial results (meter, ac_type, start, end, kwh), added up.
+
+    Results of a meter and type whose frames overlap raise ValueError, an unknown type raises KeyError; frames may touch.
+    """
+    unknown = parts.where(~F.col("ac_type").isin(*known_types) | F.col("ac_type").isNull()).select("ac_type").first()
+    if unknown:
+        raise KeyError(unknown.ac_type)
+    before = F.max("end").over(Window.partitionBy("meter", "ac_type").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    clash = parts.select("meter", "start", before.alias("_before")).where("_before > start").first()
+    if clash:
+        raise ValueError(f"frames of meter {clash.meter} overlap at {clash.start}")
+    return parts.groupBy("meter", "ac_type").agg(F.sum("kwh").alias("kwh"))

@@ -98,6 +98,18 @@ def segments(states: DataFrame, threshold: float = 70) -> DataFrame:
     return found.withColumns({"size": F.count("*").over(same), "place": F.row_number().over(same.orderBy("t", "transition")) - 1})
 
 
+def signature_peak(signature: Column, transition: Column) -> Column:
+    """By how much the power overshoots in the steps of a transient (array<double>): the highest running sum less the transition for a rise, the lowest for a fall. Null without steps."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"))
+
+    def grow(so_far: Column, step: Column) -> Column:
+        total = so_far["sum"] + step
+        return F.struct(total.alias("sum"), F.greatest(so_far["high"], total).alias("high"), F.least(so_far["low"], total).alias("low"))
+
+    found = F.aggregate(signature, start, grow)
+    return F.when(transition > 0, found["high"] - transition).otherwise(found["low"] - transition)
+
+
 def segment_features(transients: DataFrame, size: int, spike: str = "transition", end: str = "t") -> DataFrame:
     """One row a segment of `size` (2, 3 or 4) transients, of rows with segment, size and place.
 

@@ -756,3 +756,24 @@ def switch_parameters(s, d):
     """What the likelihood pairing is trained to, from pairs that are found sequentially."""
     found = eventbased.switch_parameters(disaggregate.pair_from_falls(transitions(s, d)), F.col("on_t"), F.col("off_t"))
     return r6(found, *(c for c in found.columns if c != "meter"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT meter, t, id, value, CASE WHEN value < 30 THEN 0 WHEN value < 130 THEN 1 ELSE 2 END AS state FROM ev WHERE value IS NOT NULL),
+n AS (SELECT *, lead(state) OVER (PARTITION BY meter ORDER BY t, id) AS nx FROM p),
+c AS (SELECT meter, state, count(*) AS n, avg(value) AS mean, count_if(nx = 0) AS a, count_if(nx = 1) AS b, count_if(nx = 2) AS c FROM n GROUP BY ALL),
+e AS (SELECT DISTINCT meter, s.state, s.level FROM p CROSS JOIN (VALUES (0, 0.0), (1, 60.0), (2, 200.0)) s(state, level)),
+f AS (SELECT meter, state, coalesce(mean, level) AS mean, coalesce(n, 0) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c FROM e LEFT JOIN c USING (meter, state))
+SELECT meter, CAST(state AS INTEGER) AS state, round(mean, 9) AS mean, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY meter), 6) AS start,
+round((a + 1.0::DOUBLE) / (a + b + c + 3), 6) AS to_0, round((b + 1.0::DOUBLE) / (a + b + c + 3), 6) AS to_1, round((c + 1.0::DOUBLE) / (a + b + c + 3), 6) AS to_2 FROM f""")
+def fhmm_train(s, d):
+    found = disaggregate.fhmm_train(store.events(s, d), [0, 60, 200])
+    return r6(found.select("meter", "state", F.round("mean", 9).alias("mean"), "n", "start", *(F.col("move")[k].alias(f"to_{k}") for k in range(3))), "start", "to_0", "to_1", "to_2")
+
+
+@query(f"""WITH {EV}, h AS (SELECT t // {H * 1000000} * {H * 1000000} AS t, sum(value) AS value, count(DISTINCT meter) AS n FROM ev WHERE value IS NOT NULL GROUP BY 1)
+SELECT t, round(value / n * (SELECT count(DISTINCT meter) FROM ev), 6) AS value FROM h""")
+def repaired_total(s, d):
+    hour = H * 1000000
+    ev = store.events(s, d).where("value is not null").withColumn("t", F.expr(f"t div {hour} * {hour}"))
+    meters = store.events(s, d).select("meter").distinct().count()
+    return r6(energy.repaired_total(ev.groupBy("t").agg(F.sum("value").alias("value")), ev.groupBy("t").agg(F.countDistinct("meter").alias("n")), meters), "value")

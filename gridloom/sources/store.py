@@ -80,3 +80,32 @@ def with_external(rows: DataFrame, external: DataFrame, on: str, columns: list[s
     order = Window.partitionBy(on).orderBy("t", "_own")
     back, forth = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     return both.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(forth)) for c in columns}).where("_own").drop("_own")
+
+
+def predictions(wide: DataFrame, dataset: str, building: int, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Readings and meter rows of a disaggregation (meter, t, a column a device): device k of `names` is meter k + 2, below meter 1, which stands for the mains."""
+    number = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k + 2))))
+    long = wide.select("t", *(F.col(f"`{n}`").cast("double").alias(n) for n in names)).unpivot(["t"], [F.col(f"`{n}`") for n in names], "_device", "value")
+    rows = long.select(F.lit(dataset).alias("dataset"), F.lit(building).alias("building"), number[F.col("_device")].alias("meter"), F.timestamp_micros("t").alias("ts"), F.lit("power").alias("physical_quantity"), F.lit("active").alias("ac_type"), "value")
+    meters = [(building, 1, None, True, None, key(building, 1), False)] + [(building, k + 2, n, False, 1, key(building, k + 2), False) for k, n in enumerate(names)]
+    return rows, wide.sparkSession.createDataFrame(meters, "building int, meter int, device_model string, site_meter boolean, submeter_of int, data_location string, disabled boolean")
+
+
+def cached(spark: SparkSession, path: str, name: str, make) -> DataFrame:
+    """The statistic `name` of a store: read from its cache folder, or made, written there and read."""
+    at = f"{path.rstrip('/')}/_cache/{name}"  # readers of the store pass over names with an underscore
+    files, target = _files(spark, at)
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def clear_cache(spark: SparkSession, path: str, name: str | None = None) -> bool:
+    """Drop one cached statistic, or all; whether there was any."""
+    files, target = _files(spark, f"{path.rstrip('/')}/_cache" + (f"/{name}" if name else ""))
+    return files.delete(target, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

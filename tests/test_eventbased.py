@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import eventbased, forecast
+from gridloom.operators import disaggregate, energy, eventbased, forecast
+from gridloom.sources import metadata, store
 
 S = 1_000_000
 TRANSIENTS = "meter string, t long, transition double, level double"
@@ -162,3 +163,47 @@ def test_kendall(spark):
         assert forecast.kendall_tau(x, y) == (pytest.approx(want) if want is not None else None)
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 3.0), (1, None, 9.0), (1, float("nan"), 1.0), (2, 1.0, 1.0)], "meter int, x double, y double")
     assert {r.meter: r.tau for r in forecast.kendall_correlation(df, "x", "y").collect()} == {1: 1.0, 2: None}
+
+
+def test_signature_peak(spark):
+    df = spark.createDataFrame([(1, [150.0, -50.0], 100.0), (2, [-120.0, 20.0], -100.0), (3, [100.0], 100.0), (4, None, 5.0)], "k int, sig array<double>, tr double")
+    assert [r.p for r in df.select("k", eventbased.signature_peak(F.col("sig"), F.col("tr")).alias("p")).orderBy("k").collect()] == [50.0, -20.0, 0.0, None]
+
+
+def test_trained_chain_decodes(spark):
+    values = [0, 200, 1000, 1200] * 25
+    rows = lambda vs: spark.createDataFrame([("m", k, float(v), k) for k, v in enumerate(vs)], "meter string, t long, value double, id long")
+    parts = {"a": [0, 200, 0, 200] * 25, "b": [0, 0, 1000, 1000] * 25}
+    moves = {}
+    for n, levels in (("a", [0, 200]), ("b", [0, 1000])):
+        got = disaggregate.fhmm_train(rows(parts[n]), levels).orderBy("state").collect()
+        assert [r["mean"] for r in got] == levels and [r.start for r in got] == [0.5, 0.5] and all(sum(r.move) == pytest.approx(1) for r in got)
+        moves[n] = [list(r.move) for r in got]
+    assert moves["a"][0] == [1 / 52, 51 / 52]
+    found = disaggregate.fhmm_decode(rows(values), {"a": [0.0, 200.0], "b": [0.0, 1000.0]}, moves=moves).orderBy("t").collect()
+    assert [r.a for r in found] == parts["a"] and [r.b for r in found] == parts["b"]
+    only = disaggregate.fhmm_train(rows([5.0]), [0, 200]).orderBy("state").collect()
+    assert [(r["mean"], r.n, list(r.move)) for r in only] == [(5.0, 1, [0.5, 0.5]), (200.0, 0, [0.5, 0.5])]
+
+
+def test_partial_results(spark):
+    part = lambda *rows: spark.createDataFrame(list(rows), "meter int, ac_type string, start long, end long, kwh double")
+    got = energy.combine_partial(part((1, "apparent", 0, 5, 40.0), (1, "apparent", 5, 9, 40.0), (1, "reactive", 0, 9, 50.0))).collect()
+    assert sorted((r.ac_type, r.kwh) for r in got) == [("apparent", 80.0), ("reactive", 50.0)]
+    with pytest.raises(ValueError):
+        energy.combine_partial(part((1, "active", 0, 9, 1.0), (1, "active", 1, 2, 1.0), (1, "active", 4, 20, 1.0)))
+    with pytest.raises(KeyError):
+        energy.combine_partial(part((1, "other", 0, 9, 1.0)))
+
+
+def test_predictions_and_cache(spark, tmp_path):
+    wide = spark.createDataFrame([("m", 0, 60.0, 0.0), ("m", S, 0.0, 200.0)], "meter string, t long, fridge double, heater double")
+    rows, meters = store.predictions(wide, "D", 4, ["fridge", "heater"])
+    at = str(tmp_path / "s")
+    store.save(rows, at)
+    assert sorted((r.meter, r.value) for r in store.load(spark, at).collect()) == [(2, 0.0), (2, 60.0), (3, 0.0), (3, 200.0)]
+    assert {(r.meter, r.parent) for r in metadata.edges(meters).collect()} >= {("4/2", "4/1"), ("4/3", "4/1")}
+    made = []
+    stat = lambda: (made.append(1), store.timeframe(store.load(spark, at)))[1]
+    assert store.cached(spark, at, "span", stat).count() == store.cached(spark, at, "span", stat).count() == 2 and len(made) == 1
+    assert store.load(spark, at).count() == 4 and store.clear_cache(spark, at, "span") and not store.clear_cache(spark, at, "span")
