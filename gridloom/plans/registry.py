@@ -709,9 +709,9 @@ def pair_mixture(s, d):
 
 @query()
 def long_segment_steps(s, d):
-    """Decoding of the segments of five to twelve transients; a dynamic programme."""
+    """Decoding of the segments of five transients or more; a dynamic programme."""
     steps = {n: [([w], [[400.0]]), ([-w], [[400.0]])] for n, w in {"fridge": 60.0, "heater": 120.0}.items()}
-    return eventbased.decode_segments(segmented(s, d).where("size <= 12"), ["transition"], steps)
+    return eventbased.decode_segments(segmented(s, d), ["transition"], steps)
 
 
 PHASE_EPS = 6 * H
