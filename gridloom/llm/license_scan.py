@@ -1,11 +1,15 @@
 """License scan: exact containment join of text blocks with notice templates, in DataFrame functions only.
 
-A block is a line of a text, a set of words. All words of the templates are ordered by their frequency over all
+A block is a line of a text, or a run of consecutive words over several lines (a wrapped notice), a set of words. All words of the templates are ordered by their frequency over all
 blocks, rarest first. A block B meets a template T if |B & T| >= need = ceil(threshold * |T|). Candidates come from an equi
 join of the first |T| - need + 1 words of T with the first |B| - need + 1 template words of B (prefix filter); blocks
 with fewer template words than any need fall out (length filter), and so do pairs whose remaining words, counted from
 the matching positions, can't reach the need (positional filter). What is left is counted exactly.
 
+A run for T has |words of T| / threshold words at most. Blocks of twice the longest run, one starting at every run's
+length, hold each run whole; in those that meet T the best run is looked for. A run counts if its hits stand on more than
+one line, none of which meets T by itself.
+
 Phrases (the base) are found word by word in the whole text. Defined results: a null text is empty, an empty text has
 no words, no labels and score 0; texts of any length are read whole; repeated rows give equal rows; only the id and the
 text are read, whatever other columns are called.
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
@@ -39,6 +43,10 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
 
 
+def _ints(values: list[int]) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
 def _list(words: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
@@ -69,15 +77,19 @@ def base(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     )
 
 
-def containment(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key, line, template, label, containment): every block (line) of docs (id, text) that holds enough of a template's words."""
-    spark = docs.sparkSession
+def _sets(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[int, str, list[str]]], dict[int, int], list[str]]:
+    """The templates' word sets, the words each needs, and all words."""
     sets = [(k, label, sorted(set(text.split()))) for k, (label, text) in enumerate(templates)]
     need = {k: math.ceil(threshold * len(words) - 1e-9) for k, _, words in sets}
-    vocabulary = sorted({w for _, _, words in sets for w in words})
+    return sets, need, sorted({w for _, _, words in sets for w in words})
+
+
+def _met(blocks: DataFrame, carried: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(carried..., template, label, own, n, both): every block with carried columns and words (of templates, each once) that holds enough of a template's."""
+    spark = blocks.sparkSession
+    sets, need, vocabulary = _sets(templates, threshold)
     least = min(need.values())
-    lines = docs.select(common.row_key("id", "text").alias("key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "block"))
-    blocks = lines.select("key", "line", F.array_intersect(F.split(F.regexp_replace("block", _GAP, " "), " "), _list(vocabulary)).alias("words")).where(F.size("words") >= least)
+    blocks = blocks.where(F.size("words") >= least)
     # the frequency of each template word over the blocks: at most as many rows as the templates have words
     seen = {r["word"]: r["count"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
@@ -89,10 +101,46 @@ def containment(docs: DataFrame, templates: list[tuple[str, str]], threshold: fl
     small = F.broadcast(spark.createDataFrame(rows, "template int, label string, token string, i int, n int, need int, own array<string>"))
     ordered = F.array_intersect(_list(order), F.col("words"))
     prefix = F.slice(F.col("ordered"), F.lit(1), F.size("ordered") - least + 1)
-    tokens = blocks.withColumn("ordered", ordered).select("key", "line", "ordered", F.posexplode(prefix).alias("j", "token"))
+    tokens = blocks.withColumn("ordered", ordered).select(*carried, "ordered", F.posexplode(prefix).alias("j", "token"))
     pairs = tokens.join(small, "token").where((F.size("ordered") >= F.col("need")) & (F.least(F.col("n") - F.col("i"), F.size("ordered") - F.col("j")) >= F.col("need")))
     counted = pairs.withColumn("both", F.size(F.array_intersect("ordered", "own"))).where("both >= need")
-    return counted.select("key", "line", "template", "label", (F.col("both") / F.col("n")).alias("containment")).distinct()
+    return counted.select(*carried, "template", "label", "own", "n", "both").distinct()
+
+
+def containment(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, line, template, label, containment): every line of docs (id, text) that holds enough of a template's words."""
+    vocabulary = _sets(templates, threshold)[2]
+    lines = docs.select(common.row_key("id", "text").alias("key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "block"))
+    blocks = lines.select("key", "line", F.array_intersect(F.split(F.regexp_replace("block", _GAP, " "), " "), _list(vocabulary)).alias("words"))
+    return _met(blocks, ["key", "line"], templates, threshold).select("key", "line", "template", "label", (F.col("both") / F.col("n")).alias("containment"))
+
+
+def wrapped(docs: DataFrame, lines: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, line, template, label, containment): every notice of docs (id, text) over several lines, by its first line; `lines` is what containment found."""
+    sets, need, vocabulary = _sets(templates, threshold)
+    reach = [math.ceil(len(text.split()) / threshold) for _, text in templates]
+    step = max(reach)
+    # one row a text: its lines as arrays of words
+    texts = docs.where(F.col("text").contains("\n")).select(common.row_key("id", "text").alias("key"), F.transform(F.split(F.lower("text"), "\n"), lambda t: F.split(F.regexp_replace(t, _GAP, " "), " ")).alias("_lines"))
+    numbered = F.flatten(F.transform("_lines", lambda ws, i: F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    texts = texts.dropDuplicates(["key"]).select("key", numbered.alias("_words")).where(F.size("_words") > 0)
+    blocks = texts.select("key", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))).alias("at")).select("key", "at", F.slice("_words", F.col("at") + 1, F.lit(2 * step)).alias("run"))
+    blocks = blocks.where(F.col("run")[0]["line"] < F.element_at("run", -1)["line"]).select("key", "at", "run", F.array_intersect(F.transform("run", lambda x: x["word"]), _list(vocabulary)).alias("words"))
+    found = _met(blocks, ["key", "at", "run"], templates, threshold).withColumn("reach", F.element_at(_ints(reach), F.col("template") + 1)).withColumn("need", F.element_at(_ints([need[k] for k in range(len(sets))]), F.col("template") + 1))
+
+    def best(i: Column) -> Column:
+        hits = F.filter(F.slice("run", i + 1, F.col("reach")), lambda x: F.array_contains("own", x["word"]))
+        return F.struct(F.size(F.array_distinct(F.transform(hits, lambda x: x["word"]))).alias("both"), (-i).alias("before"), F.try_element_at(hits, F.lit(1))["line"].alias("line"), F.try_element_at(hits, F.lit(-1))["line"].alias("last"))
+
+    starts = F.filter(F.sequence(F.lit(0), F.least(F.lit(step), F.size("run")) - 1), lambda i: F.array_contains("own", F.get("run", i)["word"]))
+    runs = F.filter(F.transform(starts, best), lambda r: (r["both"] >= F.col("need")) & (r["line"] < r["last"]))
+    found = found.select("key", "template", "label", "n", "at", F.explode(runs).alias("r")).select("key", "template", "label", "n", "r.both", (F.col("at") - F.col("r.before")).alias("at"), "r.line", "r.last")
+    alone = lines.select(F.col("key").alias("_key"), F.col("template").alias("_template"), F.col("line").alias("_line"))
+    found = found.join(alone, (F.col("key") == F.col("_key")) & (F.col("template") == F.col("_template")) & F.col("_line").between(F.col("line"), F.col("last")), "left_anti")
+    # runs that overlap are one notice: the fullest stays, of equals the first
+    around = Window.partitionBy("key", "template").orderBy("at").rangeBetween(-step, step)
+    one = F.struct(F.col("both"), -F.col("at"))
+    return found.withColumn("most", F.max(one).over(around)).where(F.col("most") == one).select("key", "line", "template", "label", (F.col("both") / F.col("n")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +150,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     template, containment) found.
     """
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    found = containment(slim, templates or TEMPLATES, threshold).groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("most"), F.array_sort(F.collect_list(F.struct("line", "template", "containment"))).alias("notices"))
+    templates = templates or TEMPLATES
+    # only texts that hold enough words of a template at all can hold a block that does
+    sets, need, vocabulary = _sets(templates, threshold)
+    some = F.array_intersect(F.split(plain(F.col("text")), " "), _list(vocabulary))
+    enough = F.exists(F.array(*(F.size(F.array_intersect("_some", _list(words))) >= need[k] for k, _, words in sets)), lambda x: x)
+    few = common.durable(slim.select("id", "text", some.alias("_some")).where(enough).select("id", "text"))
+    lines = common.durable(containment(few, templates, threshold))
+    found = lines.unionByName(wrapped(few, lines, templates, threshold)).groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("most"), F.array_sort(F.collect_list(F.struct("line", "template", "containment"))).alias("notices"))
     out = base(slim, phrases or PHRASES).join(found, "key", "left")
     return out.select(
         F.col("id").alias(id_col), "n_words", "starts", "base_labels",

@@ -87,6 +87,17 @@ def test_op1_containment_is_exact(spark):
     assert got == want
 
 
+def test_op1_finds_wrapped_notices(spark):
+    notice = [t for _, t in license_scan.TEMPLATES]
+    cut = lambda k, n, mark: "\n".join(mark + " ".join(notice[k].split()[i : i + n]) for i in range(0, len(notice[k].split()), n))
+    filler = "\n".join(" ".join(f"x{i}y{j}" for j in range(9)) for i in range(30))
+    texts = [cut(1, 13, "# "), f"{filler}\n{cut(5, 12, ' * ')}\n{filler}", cut(6, 10, "// "), f"{filler}\n{cut(6, 4, '')}", "permission is hereby\n" + filler + "\n" + cut(1, 30, "").replace("permission is hereby granted free of charge to", ""), cut(1, 13, "") + "\n" + filler + "\n" + notice[1]]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {d: [(n.line, n.template, n.containment) for n in r.notices or []] for d, r in got.items()}
+    assert found == {0: [(0, 1, 1.0)], 1: [(30, 5, 1.0)], 2: [(0, 6, 1.0)], 3: [(30, 6, 1.0)], 4: [], 5: [(0, 1, 1.0), (32, 1, 1.0)]}
+    assert [got[d].labels for d in range(5)] == [["mit"], ["gpl-3"], ["bsd"], ["bsd"], []] and got[1].score == 1.0
+
+
 def test_op2_pieces_and_places(hostile, empty):
     pieces = packing.tokenize_pieces(hostile, queries.tokenizer_path(), 64)
     packed = packing.pack(pieces, 64).collect()
