@@ -35,7 +35,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(common.table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(common.table(spark, sf_dir, "documents"), scope="text")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.rendered(F.col("base")), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans")).alias("spans"))
 

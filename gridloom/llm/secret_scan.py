@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
 Strong kinds (the base) are reported wherever they stand. Weak kinds (account names, key-like assignments, endpoints)
-are reported only if their complementary parts stand in the same scope, a line, with at most `reach` characters
-between: an account needs a secret, a key an identifier, an endpoint both. Parts become intervals; an interval join on
+are reported only if their complementary parts stand in the same scope, a line or the whole text, with at most `reach`
+characters between: an account needs a secret, a key an identifier, an endpoint both. Parts become intervals; an interval join on
 (row, line, bucket of `reach` characters) finds the neighbours, so the number of pairs is bound by what fits into a
 bucket and not by the text.
 
@@ -51,10 +51,15 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
-def linked(docs: DataFrame, reach: int) -> DataFrame:
-    """(key, more): the weak spans that complementary parts support, for the rows of docs (id, text) that have any."""
+def linked(docs: DataFrame, reach: int, scope: str = "line") -> DataFrame:
+    """(key, more): the weak spans that complementary parts support, for the rows of docs (id, text) that have any; the scope is "line" or "text"."""
+    if scope not in ("line", "text"):
+        raise ValueError(f"unknown scope {scope!r}")
     guard = "|".join(p for _, p, _, _ in WEAK)
-    lines = docs.where(F.col("text").rlike(guard)).dropDuplicates(["id", "text"]).select(common.row_key("id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
+    some = docs.where(F.col("text").rlike(guard)).dropDuplicates(["id", "text"])
+    # no pattern matches across a line's end, so the whole text has the spans of its lines
+    blocks = F.split("text", "\n") if scope == "line" else F.array("text")
+    lines = some.select(common.row_key("id", "text").alias("key"), F.posexplode(blocks).alias("line", "block"))
     before = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("base", F.coalesce(F.sum(F.length("block") + 1).over(before), F.lit(0)).cast("int"))
     every = F.concat(*(spans(F.col("block"), k, p, g, n) for k, p, g, n in [*BASE, *WEAK]))
@@ -71,12 +76,12 @@ def linked(docs: DataFrame, reach: int) -> DataFrame:
     return kept.groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("more"))
 
 
-def scan(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", scope: str = "line") -> DataFrame:
     """(id, base, spans) of every row: arrays of (start, rank, end, kind), by start and then by kind in the order of BASE and WEAK."""
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     every = F.array_sort(F.concat(*(spans(F.col("text"), k, p, g, n) for k, p, g, n in BASE)))
     rows = slim.select("id", common.row_key("id", "text").alias("key"), every.alias("base"))
-    out = rows.join(linked(slim, reach), "key", "left")
+    out = rows.join(linked(slim, reach, scope), "key", "left")
     return out.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))
 
 
@@ -84,7 +89,7 @@ def rendered(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", scope: str = "text") -> DataFrame:
     """docs with the same columns and rows, each found span of the text replaced by `mark`, overlapping ones by one.
 
     The column `chars_col`, if there, gets the new length; a null text stays null.
@@ -92,7 +97,7 @@ def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     every = F.array_sort(F.concat(*(spans(F.col("text"), k, p, g, n) for k, p, g, n in BASE)))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("row", common.row_key("id", "text").alias("key"), "text", every.alias("base")).join(linked(slim, reach), "key", "left")
+    rows = rows.select("row", common.row_key("id", "text").alias("key"), "text", every.alias("base")).join(linked(slim, reach, scope), "key", "left")
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
