@@ -1,8 +1,9 @@
 """A training corpus from `documents`: quality, near duplicates, benchmark leaks, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; the last returns the packed pieces. Defined results: documents with a null id pass the filters; of rows that
-repeat an id one stays after the near-duplicate stage; empty tables give empty results.
+of documents; the last returns the packed pieces. Defined results: documents with a null id pass the filters, the
+near-duplicate stage too; equal rows of one id are one document there, different texts of one id are documents of their own;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,9 +21,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    copies = chosen_path.jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays, of several texts of that id the one with the least hash."""
+    text = common.text_of()
+    named = docs.where("doc_id is not null").withColumns({"_h": F.xxhash64(text), "_n": F.length(text)})
+    keys = ["doc_id", "_h", "_n"]
+    # other texts than the first of an id get a number of their own beyond the ids
+    texts = named.select(*keys).distinct()
+    first = texts.groupBy("doc_id").agg(F.min(F.struct("_h", "_n")).alias("_first"), F.count("*").alias("_texts")).where("_texts > 1")
+    least, most = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    others = texts.join(first, "doc_id").where(F.struct("_h", "_n") != F.col("_first")).select(*keys)
+    number = F.monotonically_increasing_id() + 1
+    others = common.durable(others.withColumn("_more", F.lit(most) + number if (most or 0) < 1 << 62 else F.lit(least) - number))
+    if others.isEmpty():
+        named = named.withColumn("_s", F.col("doc_id").cast("long"))
+        found = chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s")
+        copies = found.where("_s <> class_id").select("_s").distinct()
+    else:
+        named = named.join(others, keys, "left").withColumn("_s", F.coalesce("_more", F.col("doc_id").cast("long"))).drop("_more")
+        found = chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s").select("_s", "class_id").distinct()
+        ranked = found.join(others.withColumnRenamed("_more", "_s"), "_s", "left").withColumn("_rank", F.struct(F.coalesce("doc_id", "_s"), F.col("_h").isNotNull(), "_h", "_n", "_s"))
+        stays = ranked.groupBy("class_id").agg(F.min("_rank").alias("_least"))
+        copies = ranked.join(stays, "class_id").where("_rank <> _least").select("_s")
+    kept = named.join(copies, "_s", "left_anti").dropDuplicates(["_s"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,3 +379,16 @@ def test_pipeline_on_small_tables(spark):
 
 def test_queries_and_sql_have_the_same_names():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 11
+def test_dedup_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, None), (1, text(2)), (1, text(3)), (1, text(3)), (1, text(4)), (2, text(3) + " end"), (3, text(2) + " end"), (4, text(5)), (4, text(5)), (5, ""), (5, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect())
+    assert got == collections.Counter([(None, text(0)), (None, text(1)), (None, None), (1, text(2)), (1, text(3)), (1, text(4)), (4, text(5)), (5, ""), (5, text(6))])
+    once = docs.where("doc_id is null or doc_id > 3")
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.dedup_stage(spark, once, "").collect()) == {None: 3, 4: 1, 5: 2}
+    assert corpus_pipeline.dedup_stage(spark, docs.where("false"), "").count() == 0
+
+
