@@ -112,24 +112,30 @@ def likelihood_pairs(switches: DataFrame, window_us: int, tolerance: float, on:
     return near.select("meter", "on_t", "off_t", (density(F.col("rise"), on) * density(F.col("fall"), off) * density((F.col("off_t") - F.col("on_t")) / 1e6, span)).alias("likelihood"))
 
 
-def kmeans_1d(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    centres = np.quantile(x, (np.arange(k) + 0.5) / k)
+def kmeans_1d(x: np.ndarray, k: int, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Centres of values that each stand there `weight` (a whole number) times."""
+    weight = np.ones(len(x), np.int64) if weight is None else weight
+    order = np.argsort(x, kind="stable")
+    x, weight = x[order], weight[order]
+    place = (np.arange(k) + 0.5) / k * (weight.sum() - 1)
+    below, upto = np.floor(place), np.cumsum(weight)
+    low, high = (x[np.searchsorted(upto, p, "right")] for p in (below, np.ceil(place)))
+    centres = low + (high - low) * (place - below)
     for _ in range(rounds):
         own = np.abs(x[:, None] - centres[None]).argmin(1)
-        new = np.array([x[own == i].mean() if (own == i).any() else centres[i] for i in range(k)])
+        new = np.array([np.average(x[own == i], weights=weight[own == i]) if (own == i).any() else centres[i] for i in range(k)])
         if np.allclose(new, centres):
             break
         centres = new
     return np.sort(centres)
 
 
-def cluster_states(readings: DataFrame, k: int = 2, least: float = 10, few: int = 20, bins: int = 4096) -> DataFrame:
+def cluster_states(readings: DataFrame, k: int = 2, least: float = 10, few: int = 20) -> DataFrame:
     """(meter, states array<int>): rounded centres of the values above `least`, and 0. Values are counted in bins of 1 W first, so a task holds a histogram, not the series."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        n = rows["n"].to_numpy()
-        x = np.repeat(rows["w"].to_numpy(float), np.maximum(1, np.ceil(n * bins / max(n.sum(), bins)).astype(int)))
-        states = [0] if n.sum() < few else sorted({0, *np.rint(kmeans_1d(x, min(k, len(np.unique(x))))).astype(int).tolist()})
+        n, x = rows["n"].to_numpy(), rows["w"].to_numpy(float)
+        states = [0] if n.sum() < few else sorted({0, *np.rint(kmeans_1d(x, min(k, len(np.unique(x))), weight=n)).astype(int).tolist()})
         return pd.DataFrame({"meter": [rows["meter"].iloc[0]], "states": [states]})
 
     kind = dict(readings.dtypes)["meter"]

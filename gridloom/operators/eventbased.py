@@ -283,34 +283,34 @@ def remainder(grid: DataFrame, appliances: DataFrame) -> DataFrame:
     return grid.join(taken, ["meter", "t"], "left").select("meter", "t", (F.col("value") - F.coalesce("_taken", F.lit(0.0))).alias("value"))
 
 
-def mean_shift(x: np.ndarray, width: float, rounds: int = 100) -> np.ndarray:
-    """Centres on a line: every different value moves to the mean of the values within `width` of it; centres closer than that merge, the fuller first."""
-    values = np.sort(x)
-    total = np.concatenate([[0.0], np.cumsum(values)])
+def mean_shift(x: np.ndarray, width: float, rounds: int = 100, weight: np.ndarray | None = None) -> np.ndarray:
+    """Centres on a line: every different value moves to the mean of the values within `width` of it; centres closer than that merge, the fuller first. Each value stands there `weight` times."""
+    order = np.argsort(x, kind="stable")
+    values, times = x[order], np.ones(len(x), np.int64) if weight is None else weight[order]
+    total, upto = np.concatenate([[0.0], np.cumsum(values * times)]), np.concatenate([[0], np.cumsum(times)])
     at = np.unique(values)
     for _ in range(rounds):
         lo, hi = np.searchsorted(values, at - width, "left"), np.searchsorted(values, at + width, "right")
-        moved = np.unique((total[hi] - total[lo]) / np.maximum(hi - lo, 1))
+        moved = np.unique((total[hi] - total[lo]) / np.maximum(upto[hi] - upto[lo], 1))
         if len(moved) == len(at) and np.allclose(moved, at):
             break
         at = moved
     lo, hi = np.searchsorted(values, at - width, "left"), np.searchsorted(values, at + width, "right")
     kept: list[float] = []
-    for k in np.lexsort((at, lo - hi)):
+    for k in np.lexsort((at, upto[lo] - upto[hi])):
         if all(abs(at[k] - c) > width for c in kept):
             kept.append(float(at[k]))
     return np.sort(kept)
 
 
 def pair_centroids(pairs: DataFrame, width: float = 50, grain: float = 1.0) -> DataFrame:
-    """(meter, centroid) of pairs' sizes, (on - off) / 2, by mean shift. Sizes are counted to `grain` first, so a task holds a histogram; a size counts at most 1000 times less often than it is there."""
+    """(meter, centroid) of pairs' sizes, (on - off) / 2, by mean shift. Sizes are counted to `grain` first, so a task holds a histogram."""
     size = F.round((F.col("on") - F.col("off")) / 2 / grain) * grain
     counted = pairs.groupBy("meter", size.alias("w")).agg(F.count("*").alias("n"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        share = max(1, math.ceil(rows["n"].sum() / 1_000_000))
-        x = np.repeat(rows["w"].to_numpy(float), np.maximum(1, rows["n"].to_numpy() // share))
-        return pd.DataFrame({"centroid": mean_shift(x, width)}).assign(meter=rows["meter"].iloc[0])[["meter", "centroid"]]
+        centres = mean_shift(rows["w"].to_numpy(float), width, weight=rows["n"].to_numpy())
+        return pd.DataFrame({"centroid": centres}).assign(meter=rows["meter"].iloc[0])[["meter", "centroid"]]
 
     return counted.groupBy("meter").applyInPandas(one, f"meter {dict(pairs.dtypes)['meter']}, centroid double")
 

@@ -207,3 +207,17 @@ def test_predictions_and_cache(spark, tmp_path):
     stat = lambda: (made.append(1), store.timeframe(store.load(spark, at)))[1]
     assert store.cached(spark, at, "span", stat).count() == store.cached(spark, at, "span", stat).count() == 2 and len(made) == 1
     assert store.load(spark, at).count() == 4 and store.clear_cache(spark, at, "span") and not store.clear_cache(spark, at, "span")
+
+
+def test_centres_weigh_every_value_as_often_as_it_is_there(spark):
+    rng = np.random.default_rng(5)
+    x, n = rng.permutation(3000).astype(float), rng.integers(1, 9, 3000)
+    whole = np.repeat(x, n)
+    assert np.allclose(disaggregate.kmeans_1d(x, 3, weight=n), disaggregate.kmeans_1d(whole, 3))
+    assert np.allclose(eventbased.mean_shift(x, 100, weight=n), eventbased.mean_shift(whole, 100))
+    # 3,000 values of one reading each beside two of a million each
+    rows = spark.range(3000).selectExpr("id", "double(1000 + id) as value", "1 as n").unionByName(spark.createDataFrame([(3000, 100.0, 1000000), (3001, 900.0, 1000000)], "id long, value double, n int"))
+    readings = rows.selectExpr("1 as meter", "id as t", "id", "value", "explode(sequence(1, n)) as _k")
+    assert disaggregate.cluster_states(readings).first().states == [0, 100, 905]
+    pairs = spark.createDataFrame([(100.0, 0), (140.0, 1)], "w double, many int").selectExpr("1 as meter", "w as on", "-w as off", "explode(sequence(1, if(many = 1, 2000, 2000000))) as _k")
+    assert abs(eventbased.pair_centroids(pairs).first().centroid - 100.04) < 0.001
