@@ -2,7 +2,8 @@
 
 Categories are predicted one after the other; the model of each also sees the logits of the earlier categories, which
 in training are out-of-fold predictions. Inputs are indicators of words, and of their first four to eight bytes, that go
-with some category, chosen by chi-squared over the training rows.
+with some category: all that reach a chi-squared of `min_chi2` for one over the training rows, however many, so that the
+words of one category never push out those of another. The fits are sparse.
 
 The models are fitted on at most `sample` labelled rows (the smallest hashes of the id), the one bounded part; all
 documents are scored, over whole texts. Defined results: a null or empty text has no word and gets the base rate; null
@@ -49,58 +50,148 @@ def _signature(x: np.ndarray) -> int:
     return int(textnum.mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))]))[0] >> np.uint64(1))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 12) -> np.ndarray:
-    """Newton steps of ridge logistic regression; the last coefficient is the free intercept."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    beta = np.zeros(z.shape[1])
-    pull = np.full(z.shape[1], ridge)
+class Sparse:
+    """A 0/1 matrix by rows, whose width may be any, with dense columns at its end."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, width: int, dense: np.ndarray | None = None):
+        self.row, self.column, self.rows, self.width = row.astype(np.int32), column.astype(np.int32), rows, width
+        self.dense = np.zeros((rows, 0)) if dense is None else dense
+        self.by_column = None
+
+    @staticmethod
+    def _sums(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Sums of x by its ascending owner."""
+        out = np.zeros(n)
+        if len(x):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[first]] = np.add.reduceat(x, first)
+        return out
+
+    def times(self, beta: np.ndarray) -> np.ndarray:
+        return self._sums(beta[self.column], self.row, self.rows) + self.dense @ beta[self.width :]
+
+    def back(self, r: np.ndarray, square: bool = False) -> np.ndarray:
+        """The transposed matrix (or that of its squares) times r."""
+        if self.by_column is None:
+            order = np.argsort(self.column, kind="stable")
+            self.by_column = self.row[order], self.column[order]
+        row, column = self.by_column
+        return np.concatenate([self._sums(r[row], column, self.width), (self.dense**2 if square else self.dense).T @ r])
+
+    def some(self, keep: np.ndarray) -> Sparse:
+        place, at = np.cumsum(keep) - 1, keep[self.row]
+        return Sparse(place[self.row[at]], self.column[at], int(keep.sum()), self.width, self.dense[keep])
+
+    def beside(self, more: np.ndarray) -> Sparse:
+        out = Sparse(self.row, self.column, self.rows, self.width, np.concatenate([self.dense, more[:, None]], axis=1))
+        out.by_column = self.by_column
+        return out
+
+    def merged(self) -> tuple[Sparse, np.ndarray]:
+        """The matrix with equal columns merged, and where each column went."""
+        mark = textnum.mix(np.arange(1, self.rows + 1, dtype=np.uint64))
+        order = np.argsort(self.column, kind="stable")
+        first = np.searchsorted(self.column[order], np.arange(self.width + 1))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mark[self.row[order]], dtype=np.uint64)])
+        again = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textnum.mix(mark)[self.row[order]], dtype=np.uint64)])
+        keys = np.stack([upto[first[1:]] - upto[first[:-1]], again[first[1:]] - again[first[:-1]]], axis=1)
+        _, lead, went = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+        keep = np.isin(self.column, lead)
+        return Sparse(self.row[keep], went.ravel()[self.column[keep]], self.rows, len(lead), self.dense), went.ravel()
+
+
+def logistic(x: Sparse, y: np.ndarray, ridge: float = 0.3, steps: int = 50, copies: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps of ridge logistic regression, each solved by conjugate gradients; the last coefficient is the free intercept.
+
+    A column that stands for `copies` equal ones is drawn to 0 as these would be together.
+    """
+    z = x.beside(np.ones(x.rows))
+    beta = np.zeros(z.width + z.dense.shape[1])
+    pull = np.full(len(beta), ridge)
+    if copies is not None:
+        pull[: z.width] /= copies
     pull[-1] = 1e-4
+
+    def loss(beta: np.ndarray) -> float:
+        t = z.times(beta)
+        return float((np.logaddexp(0, t) - y * t).sum() + (pull * beta * beta).sum() / 2)
+
+    now = loss(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        turn = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * beta)
-        beta += turn
-        if np.abs(turn).max() < 1e-5:
+        p = 1 / (1 + np.exp(-np.clip(z.times(beta), -30, 30)))
+        slope, w = z.back(y - p) - pull * beta, np.maximum(p * (1 - p), 1e-6)
+        if np.abs(slope).max() < 1e-4:
+            break
+        scale = 1 / (z.back(w, square=True) + pull)
+        turn, left = np.zeros(len(beta)), slope.copy()
+        way = scale * left
+        size = least = left @ way
+        for _ in range(4 * len(beta)):
+            bent = z.back(w * z.times(way)) + pull * way
+            step = size / (way @ bent)
+            turn += step * way
+            left -= step * bent
+            before, size = size, left @ (scale * left)
+            if size <= 1e-2 * least:
+                break
+            way = scale * left + size / before * way
+        part = 1.0
+        while (then := loss(beta + part * turn)) > now and part > 1e-6:
+            part /= 2
+        beta += part * turn
+        if now - then < 1e-6 * (1 + abs(now)):
             break
+        now = then
     return beta
 
 
-def predict(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+def predict(x: Sparse, beta: np.ndarray) -> np.ndarray:
     """Logits."""
-    return np.clip(x @ beta[:-1] + beta[-1], -30, 30)
+    return np.clip(x.times(beta[:-1]) + beta[-1], -30, 30)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = 4) -> list[np.ndarray]:
+def fit_chain(x: Sparse, y: np.ndarray, folds: int = 4) -> list[np.ndarray]:
     """One coefficient vector a category; the inputs of the later ones end with the earlier ones' out-of-fold logits."""
-    fold = np.arange(len(x)) % folds
-    chain, seen = [], x
+    fold, width = np.arange(x.rows) % folds, x.width
+    seen, went = x.merged()
+    copies = np.bincount(went, minlength=seen.width)
+    chain = []
     for k in range(y.shape[1]):
-        chain.append(logistic(seen, y[:, k]))
-        out = np.zeros(len(x))
+        whole = logistic(seen, y[:, k], copies=copies)
+        chain.append(np.concatenate([(whole[: seen.width] / copies)[went] if width else whole[:0], whole[seen.width :]]))
+        out = np.zeros(x.rows)
         for f in range(folds):
-            out[fold == f] = predict(seen[fold == f], logistic(seen[fold != f], y[fold != f, k]))
-        seen = np.concatenate([seen, out[:, None] / 10], axis=1)
+            out[fold == f] = predict(seen.some(fold == f), logistic(seen.some(fold != f), y[fold != f, k], copies=copies))
+        seen = seen.beside(out / 10)
     return chain
 
 
-def apply_chain(x: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
+def apply_chain(x: Sparse, chain: list[np.ndarray]) -> np.ndarray:
     seen, out = x, []
     for beta in chain:
         logit = predict(seen, beta)
         out.append(1 / (1 + np.exp(-logit)))
-        seen = np.concatenate([seen, logit[:, None] / 10], axis=1)
+        seen = seen.beside(logit / 10)
     return np.stack(out, axis=1)
 
 
-def _indicators(h: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(bounds) - 1, len(vocabulary)))
-    if len(vocabulary) and len(h):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        hit = vocabulary[at] == h
-        x[np.repeat(np.arange(len(x)), np.diff(bounds))[hit], at[hit]] = 1
-    return x
+def _places(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where h holds words of the sorted vocabulary, and which."""
+    if not len(vocabulary) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    hit = np.flatnonzero(vocabulary[at] == h)
+    return hit, at[hit]
+
+
+def _indicators(h: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> Sparse:
+    hit, at = _places(h, vocabulary)
+    width = max(len(vocabulary), 1)
+    cell = np.unique((np.searchsorted(bounds, hit, "right") - 1) * width + at)
+    return Sparse(cell // width, cell % width, len(bounds) - 1, len(vocabulary))
 
 
-def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 20_000, most_words: int = 256, min_chi2: float = 30.0, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 20_000, min_chi2: float = 30.0, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, p_<category>...) of every document; `categories` maps names, in the order of the chain, to 0/1 columns over `labels`."""
     spark, names = docs.sparkSession, list(categories)
     marks = labels.select(F.col(id_col), *(c.cast("double").alias(f"_y{k}") for k, c in enumerate(categories.values()))).dropna().dropDuplicates([id_col])
@@ -127,19 +218,19 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         expected = F.col("n") * F.lit(p / max(n, 1))
         spread = expected * F.lit(1 - p / max(n, 1)) * F.greatest(F.lit(1) - F.col("n") / F.lit(max(n, 1)), F.lit(1e-3))
         chi2.append(F.when(spread > 0, (F.col(y) - expected) * (F.col(y) - expected) / spread).otherwise(0.0))
-    best = by_word.withColumn("chi2", F.greatest(*chi2, F.lit(0.0))).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").limit(most_words)
+    best = by_word.withColumn("chi2", F.greatest(*chi2, F.lit(0.0))).where(F.col("chi2") >= min_chi2)
     vocabulary = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
 
     def indicated(sets: list[np.ndarray], c: list[np.ndarray]) -> list[pa.Array]:
-        own = [np.flatnonzero(np.isin(vocabulary, x)) for x in sets]
+        own = [_places(x, vocabulary)[1] for x in sets]
         return [pa.array(c[0], pa.int64()), pa.array(own, pa.list_(pa.int64())), *(pa.array(y) for y in c[1:])]
 
     train = _over_texts(texts(marks), ["_sig", *ys], "_sig long, words array<long>" + "".join(f", {y} double" for y in ys), indicated).orderBy("_sig").toArrow()
     chain = None
     if train.num_rows:
-        x = np.zeros((train.num_rows, len(vocabulary)))
         words = train.column("words").combine_chunks()
-        x[np.repeat(np.arange(len(x)), pc.list_value_length(words).to_numpy(zero_copy_only=False)), pc.list_flatten(words).to_numpy(zero_copy_only=False)] = 1
+        row = np.repeat(np.arange(train.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        x = Sparse(row, pc.list_flatten(words).to_numpy(zero_copy_only=False), train.num_rows, len(vocabulary))
         chain = fit_chain(x, np.stack([train.column(y).to_numpy() for y in ys], axis=1))
     shared = spark.sparkContext.broadcast((vocabulary, chain))
 

@@ -186,6 +186,22 @@ def test_op4_learns_a_chain(spark, hostile, empty):
     assert toxicity.classify(empty, y, cats).count() == 0
 
 
+def test_op4_keeps_the_words_of_every_category(spark):
+    # 400 telling words of junk, each with a larger chi-squared than the one word of toxic texts
+    rng = np.random.default_rng(11)
+    docs, labels = [], []
+    for i in range(1200):
+        junk, toxic = i % 2, int(i % 40 == 0)
+        w = rng.choice([f"w{k}" for k in range(300)], 30).tolist() + [f"#j{k}" for k in range(400) if rng.random() < 0.95] * junk + ["vile"] * toxic
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic, junk))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, junk int")
+    y = y.withColumn("toxic", F.when(F.col("doc_id") % 80 == 40, 0).otherwise(F.col("toxic")))
+    got = {r.doc_id: r.p_toxic for r in toxicity.classify(d, y.where("doc_id < 900"), {"junk": F.col("junk"), "toxic": F.col("toxic")}).collect()}
+    with_word, without = [got[i] for i in range(900, 1200) if i % 40 == 0], [got[i] for i in range(900, 1200) if i % 40]
+    assert min(with_word) > 0.2 > 0.05 > max(without)
+
+
 def brute_classes(rows, n=5, threshold=0.8):
     sets = []
     for _, t in rows:
@@ -377,8 +393,6 @@ def test_pipeline_on_small_tables(spark):
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
 
 
-def test_queries_and_sql_have_the_same_names():
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 11
 def test_dedup_stage_keeps_null_and_repeated_ids(spark):
     import corpus_pipeline
 
@@ -392,3 +406,5 @@ def test_dedup_stage_keeps_null_and_repeated_ids(spark):
     assert corpus_pipeline.dedup_stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_queries_and_sql_have_the_same_names():
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 11
