@@ -169,10 +169,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
         rows = common.durable(child(rows, level))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who")).where("size > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
         # buckets with the same members count once
-        done = done.groupBy("size", "who").agg(F.min("path").alias("path"))
+        done = done.groupBy("size", "who", "too").agg(F.min("path").alias("path"))
         leaves = rows.join(done.select("path", "size"), "path")
         found = leaves if found is None else found.unionByName(leaves)
         if level == depth:

@@ -249,6 +249,21 @@ def test_op5_hostile_rows(hostile, empty):
     assert by[6][0].class_id == by[7][0].class_id == 6 and by[0][0].class_id == 0 and by[1][0].n_links == 0
 
 
+def test_op5_keeps_buckets_whose_first_sums_agree(spark):
+    ids = np.arange(6000)
+    h = np.array([r[0] for r in spark.range(6000).selectExpr("pmod(xxhash64(id), 1099511627776)", "id").orderBy("id").collect()])
+    i, j = np.triu_indices(len(ids), 1)
+    total = h[i] + h[j]
+    order = np.argsort(total)
+    same = np.flatnonzero(np.diff(total[order]) == 0)
+    assert len(same)
+    four = [int(x) for k in (order[same[0]], order[same[0] + 1]) for x in (i[k], j[k])]
+    w = [[f"p{p}w{k}" for k in range(100)] for p in range(2)]
+    docs = spark.createDataFrame([(x, " ".join([*w[k // 2], f"e{k}"])) for k, x in enumerate(four)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in chosen_path.jaccard_classes(docs).collect()}
+    assert got == {x: min(four[k // 2 * 2 : k // 2 * 2 + 2]) for k, x in enumerate(four)}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 299)]
     got = {r.u: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
