@@ -41,10 +41,9 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels mark quality and toxicity, so the chain is: junk, toxic, and both."""
-    toxic, junk = F.col("toxic") == 1, F.col("quality") == 0
-    found = toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), {"junk": junk, "toxic": toxic, "toxic_junk": toxic & junk})
-    return found.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_junk", "p_toxic_junk")
+    """The labels mark quality and toxicity, so the chain is junk, then toxic."""
+    found = toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return found.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_junk")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,29 @@ def test_op4_keeps_the_words_of_every_category(spark):
     assert min(with_word) > 0.2 > 0.05 > max(without)
 
 
+def test_op4_null_and_repeated_labels(spark):
+    # toxic labels stand where quality is null, and the other way round; id 0 has two labels that disagree
+    docs = [(i, f"w{i % 7} w{i % 11} " + ("vile" if i % 4 == 0 else "fine") + (" %%x" if i % 5 == 0 else "")) for i in range(400)]
+    marks = [(i, int(i % 4 == 0), None) if i % 2 else (i, None, int(i % 5 > 0)) for i in range(400)] + [(i, int(i % 4 == 0), None) for i in range(0, 400, 4)] + [(0, 0, None), (None, 1, 1), (9999, 1, 0)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    cats = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    got = {r.doc_id: r for r in toxicity.classify(d, y, cats).collect()}
+    assert all((got[i].p_toxic >= 0.5) == (i % 4 == 0) for i in range(1, 400))
+    alone = {r.doc_id: r for r in toxicity.classify(d, y.withColumn("quality", F.lit(None).cast("int")), cats).collect()}
+    assert all((alone[i].p_toxic >= 0.5) == (i % 4 == 0) and alone[i].p_junk == 0 for i in range(1, 400))
+    assert toxicity.classify(d.unionByName(d), y, cats).count() == 800
+
+
+def test_op4_fit_reaches_the_optimum():
+    rng = np.random.default_rng(12)
+    x, y = rng.random((300, 8)) < 0.3, (rng.random(300) < 0.4).astype(float)
+    row, column = np.nonzero(x)
+    beta = toxicity.logistic(toxicity.Sparse(row, column, 300, 8), y, steps=500)
+    z = np.concatenate([x, np.ones((300, 1))], axis=1)
+    slope = z.T @ (1 / (1 + np.exp(-z @ beta)) - y) + np.append(np.full(8, 0.3), 1e-4) * beta
+    assert np.abs(slope).max() < 0.3  # of sums over 300 rows
+
+
 def brute_classes(rows, n=5, threshold=0.8):
     sets = []
     for _, t in rows:
