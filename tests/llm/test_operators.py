@@ -1,6 +1,7 @@
 """Every operator on hostile rows, and against brute force."""
 
 import collections
+import gzip
 import itertools
 import re
 import zlib
@@ -376,24 +377,40 @@ def test_op8_rules(spark):
             url_filter.MAX_BROADCAST = keep
 
 
-@pytest.mark.parametrize("block", [3, 64, 1 << 20])
-def test_op9_round_trip(spark, hostile, tmp_path, block):
+@pytest.mark.parametrize("block,width", [(3, 2), (64, 4), (1 << 20, 2)])
+def test_op9_round_trip(spark, hostile, tmp_path, block, width):
     path = str(tmp_path / "flat")
-    token_counts.write_token_files(hostile, path, queries.tokenizer_path(), rows_per_file=4)
     bpe = textnum.byte_bpe(queries.tokenizer_path(), special=False)
     small = hostile.where("length(text) < 500 or text is null") if block == 3 else hostile
-    if block == 3:
-        token_counts.write_token_files(small, path, queries.tokenizer_path(), rows_per_file=4)
-    want = collections.Counter((r.doc_id or 0, len(bpe.lib.encode(r.text or "", add_special_tokens=False).ids)) for r in small.select("doc_id", "text").collect())
-    got = token_counts.count_tokens(spark, path, block_ids=block).collect()
+    odd = spark.createDataFrame([(-5, "minus five"), (-(2**63), ""), (2**63 - 1, "the most"), (2**62 + 3, None)], "doc_id long, text string")
+    small = small.select("doc_id", "text").unionByName(odd)
+    token_counts.write_token_files(small, path, queries.tokenizer_path(), width=width, rows_per_file=4)
+    want = collections.Counter((r.doc_id, len(bpe.lib.encode(r.text or "", add_special_tokens=False).ids)) for r in small.collect())
+    got = token_counts.count_tokens(spark, path, width=width, block_ids=block, blocks_per_task=2).collect()
     assert collections.Counter((r.doc_id, r.tokens) for r in got) == want and all(r.ended for r in got)
+    assert len({(r.file, r.ordinal) for r in got}) == len(got)
 
 
 def test_op9_plain_and_unended_files(spark, tmp_path):
-    for name, ids in (("a.bin", [1, 2, 9, 9, 3]), ("b.bin", []), ("c.bin", [5, 5, 5, 5, 5, 5, 9])):
+    content = {"a.bin": [1, 2, 9, 9, 3], "b.bin": [], "c.bin": [5, 5, 5, 5, 5, 5, 9]}
+    for name, ids in content.items():
         (tmp_path / name).write_bytes(np.array(ids, "<u4").tobytes())
-    got = {(r.file.rsplit("/", 1)[1], r.ordinal): (r.tokens, r.ended, r.doc_id) for r in token_counts.count_tokens(spark, str(tmp_path), eos=9, block_ids=2).collect()}
-    assert got == {("a.bin", 0): (2, True, None), ("a.bin", 1): (0, True, None), ("a.bin", 2): (1, False, None), ("c.bin", 0): (6, True, None)}
+    (tmp_path / "d.bin.gz").write_bytes(gzip.compress(np.array(content["a.bin"], "<u4").tobytes() + b"x"))
+    got = {(r.file.rsplit("/", 1)[1], r.ordinal): (r.tokens, r.ended, r.doc_id) for r in token_counts.count_tokens(spark, str(tmp_path), eos=9, width=4, block_ids=2, blocks_per_task=1).collect()}
+    a = {0: (2, True, None), 1: (0, True, None), 2: (1, False, None)}
+    assert got == {("a.bin", k): v for k, v in a.items()} | {("d.bin.gz", k): v for k, v in a.items()} | {("c.bin", 0): (6, True, None)}
+
+
+def test_op9_blocks_against_a_plain_scan(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    want = {}
+    for f in range(5):
+        ids = rng.choice([1, 2, 3, 9], rng.integers(1, 400), p=[0.3, 0.3, 0.3, 0.1]).tolist()
+        (tmp_path / f"{f}.bin").write_bytes(np.array(ids, "<u2").tobytes())
+        docs = " ".join(map(str, ids)).replace("9", "|").split("|")
+        want |= {(f, k): len(d.split()) for k, d in enumerate(docs) if k < len(docs) - 1 or d.split()}
+    got = {(int(r.file.rsplit("/", 1)[1][0]), r.ordinal): r.tokens for r in token_counts.count_tokens(spark, str(tmp_path), eos=9, block_ids=7, blocks_per_task=3).collect()}
+    assert got == want
 
 
 def test_op10_against_brute_force(spark):
@@ -410,6 +427,22 @@ def test_op10_against_brute_force(spark):
     assert got == want and topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_op10_large_vectors(spark):
+    rng = np.random.default_rng(14)
+    size = [1.0, 1e5, 1e7, 1e9, 1e15, 1e300]
+    rows = [(i, (rng.standard_normal(3) * size[i % len(size)]).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(e * 1024)) if abs(e) < 2**52 else int(e) * 1024 for e in v] for i, v in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for wave in (64 << 20, 60):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, wave_bytes=wave, tile=32).collect()}
+        want = {}
+        for q in range(0, 300, 50):
+            best = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q)[:10]
+            want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+        assert got == want
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
