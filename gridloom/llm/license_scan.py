@@ -1,18 +1,19 @@
 """License scan: exact containment join of text blocks with notice templates, in DataFrame functions only.
 
-A block is a line of a text, or a run of consecutive words over several lines (a wrapped notice), a set of words. All words of the templates are ordered by their frequency over all
-blocks, rarest first. A block B meets a template T if |B & T| >= need = ceil(threshold * |T|). Candidates come from an equi
-join of the first |T| - need + 1 words of T with the first |B| - need + 1 template words of B (prefix filter); blocks
-with fewer template words than any need fall out (length filter), and so do pairs whose remaining words, counted from
-the matching positions, can't reach the need (positional filter). What is left is counted exactly.
+A run is a stretch of consecutive words of a text, over line ends too, of at most |words of T| / threshold words, that
+begins with a word of the template T. A run meets T if it holds need = ceil(threshold * |different words of T|) of its different
+words; as a run is hardly longer than the template, words scattered over a long line or text don't count.
 
-A run for T has |words of T| / threshold words at most. Blocks of twice the longest run, one starting at every run's
-length, hold each run whole; in those that meet T the best run is looked for. A run counts if its hits stand on more than
-one line, none of which meets T by itself.
+Blocks of twice the longest run, one starting at every run's length, hold each run whole. Which blocks can hold one is an
+exact set-similarity join: all words of the templates are ordered by their frequency over all blocks, rarest first.
+Candidates come from an equi join of the first |T| - need + 1 words of T with the first |B| - need + 1 template words of the
+block B (prefix filter); blocks with fewer template words than any need fall out (length filter), and so do pairs whose
+remaining words, counted from the matching positions, can't reach the need (positional filter). In the pairs that are left
+every run is counted exactly.
 
 Phrases (the base) are found word by word in the whole text. Defined results: a null text is empty, an empty text has
-no words, no labels and score 0; texts of any length are read whole; repeated rows give equal rows; only the id and the
-text are read, whatever other columns are called.
+no words, no labels and score 0; texts of any length are read whole; repeated rows give equal rows; of runs that overlap
+the fullest is the notice, of equals the first; only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ TEMPLATES = [
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 ]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def plain(text: Column) -> Column:
-    """The words of a text, lower-cased, with one blank between."""
-    return F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
+    """The words of a text, A-Z lower-cased, with one blank between."""
+    return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAP, " "))
 
 
 def _ints(values: list[int]) -> Column:
@@ -107,57 +109,44 @@ def _met(blocks: DataFrame, carried: list[str], templates: list[tuple[str, str]]
     return counted.select(*carried, "template", "label", "own", "n", "both").distinct()
 
 
-def containment(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key, line, template, label, containment): every line of docs (id, text) that holds enough of a template's words."""
-    vocabulary = _sets(templates, threshold)[2]
-    lines = docs.select(common.row_key("id", "text").alias("key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "block"))
-    blocks = lines.select("key", "line", F.array_intersect(F.split(F.regexp_replace("block", _GAP, " "), " "), _list(vocabulary)).alias("words"))
-    return _met(blocks, ["key", "line"], templates, threshold).select("key", "line", "template", "label", (F.col("both") / F.col("n")).alias("containment"))
+def runs(templates: list[tuple[str, str]], threshold: float) -> list[int]:
+    """The words that a run of each template has at most."""
+    return [math.ceil(len(text.split()) / threshold - 1e-9) for _, text in templates]
 
 
-def wrapped(docs: DataFrame, lines: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key, line, template, label, containment): every notice of docs (id, text) over several lines, by its first line; `lines` is what containment found."""
+def containment(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, word, template, label, containment): every notice of docs (id, words array<string>), by its first word (from 0)."""
     sets, need, vocabulary = _sets(templates, threshold)
-    reach = [math.ceil(len(text.split()) / threshold) for _, text in templates]
+    reach = runs(templates, threshold)
     step = max(reach)
-    # one row a text: its lines as arrays of words
-    texts = docs.where(F.col("text").contains("\n")).select(common.row_key("id", "text").alias("key"), F.transform(F.split(F.lower("text"), "\n"), lambda t: F.split(F.regexp_replace(t, _GAP, " "), " ")).alias("_lines"))
-    numbered = F.flatten(F.transform("_lines", lambda ws, i: F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
-    texts = texts.dropDuplicates(["key"]).select("key", numbered.alias("_words")).where(F.size("_words") > 0)
-    blocks = texts.select("key", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))).alias("at")).select("key", "at", F.slice("_words", F.col("at") + 1, F.lit(2 * step)).alias("run"))
-    blocks = blocks.where(F.col("run")[0]["line"] < F.element_at("run", -1)["line"]).select("key", "at", "run", F.array_intersect(F.transform("run", lambda x: x["word"]), _list(vocabulary)).alias("words"))
-    found = _met(blocks, ["key", "at", "run"], templates, threshold).withColumn("reach", F.element_at(_ints(reach), F.col("template") + 1)).withColumn("need", F.element_at(_ints([need[k] for k in range(len(sets))]), F.col("template") + 1))
-
-    def best(i: Column) -> Column:
-        hits = F.filter(F.slice("run", i + 1, F.col("reach")), lambda x: F.array_contains("own", x["word"]))
-        return F.struct(F.size(F.array_distinct(F.transform(hits, lambda x: x["word"]))).alias("both"), (-i).alias("before"), F.try_element_at(hits, F.lit(1))["line"].alias("line"), F.try_element_at(hits, F.lit(-1))["line"].alias("last"))
-
-    starts = F.filter(F.sequence(F.lit(0), F.least(F.lit(step), F.size("run")) - 1), lambda i: F.array_contains("own", F.get("run", i)["word"]))
-    runs = F.filter(F.transform(starts, best), lambda r: (r["both"] >= F.col("need")) & (r["line"] < r["last"]))
-    found = found.select("key", "template", "label", "n", "at", F.explode(runs).alias("r")).select("key", "template", "label", "n", "r.both", (F.col("at") - F.col("r.before")).alias("at"), "r.line", "r.last")
-    alone = lines.select(F.col("key").alias("_key"), F.col("template").alias("_template"), F.col("line").alias("_line"))
-    found = found.join(alone, (F.col("key") == F.col("_key")) & (F.col("template") == F.col("_template")) & F.col("_line").between(F.col("line"), F.col("last")), "left_anti")
-    # runs that overlap are one notice: the fullest stays, of equals the first
-    around = Window.partitionBy("key", "template").orderBy("at").rangeBetween(-step, step)
-    one = F.struct(F.col("both"), -F.col("at"))
-    return found.withColumn("most", F.max(one).over(around)).where(F.col("most") == one).select("key", "line", "template", "label", (F.col("both") / F.col("n")).alias("containment"))
+    texts = docs.select("key", "words").dropDuplicates(["key"]).where(F.size("words") > 0)
+    blocks = texts.select("key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))).alias("at")).select("key", "at", F.slice("words", F.col("at") + 1, F.lit(2 * step)).alias("run"))
+    blocks = blocks.withColumn("words", F.array_intersect("run", _list(vocabulary)))
+    found = _met(blocks, ["key", "at", "run"], templates, threshold).withColumns({"reach": F.element_at(_ints(reach), F.col("template") + 1), "need": F.element_at(_ints([need[k] for k in range(len(sets))]), F.col("template") + 1)})
+    # runs that begin in the block's first half; the next block has the others
+    starts = F.filter(F.sequence(F.lit(0), F.least(F.lit(step), F.size("run")) - 1), lambda i: F.array_contains("own", F.get("run", i)))
+    met = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice("run", i + 1, F.col("reach")), F.col("own"))).alias("both"), i.alias("i")))
+    found = found.select("key", "template", "label", "n", "at", F.explode(F.filter(met, lambda r: r["both"] >= F.col("need"))).alias("r"))
+    found = found.select("key", "template", "label", "n", "r.both", (F.col("at") + F.col("r.i")).alias("word"))
+    around = Window.partitionBy("key", "template").orderBy("word").rangeBetween(-step, step)
+    one = F.struct(F.col("both"), -F.col("word"))
+    return found.withColumn("most", F.max(one).over(around)).where(F.col("most") == one).select("key", "word", "template", "label", (F.col("both") / F.col("n")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, starts, base_labels, labels, score, notices) for every row.
 
-    score is 1 if a phrase stands in the text, else the largest containment found, else 0; notices are the (line,
+    score is 1 if a phrase stands in the text, else the largest containment found, else 0; notices are the (word,
     template, containment) found.
     """
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     templates = templates or TEMPLATES
-    # only texts that hold enough words of a template at all can hold a block that does
+    # only texts that hold enough words of a template at all can hold a run that does
     sets, need, vocabulary = _sets(templates, threshold)
-    some = F.array_intersect(F.split(plain(F.col("text")), " "), _list(vocabulary))
+    split = slim.select(common.row_key("id", "text").alias("key"), F.split(plain(F.col("text")), " ").alias("words"))
     enough = F.exists(F.array(*(F.size(F.array_intersect("_some", _list(words))) >= need[k] for k, _, words in sets)), lambda x: x)
-    few = common.durable(slim.select("id", "text", some.alias("_some")).where(enough).select("id", "text"))
-    lines = common.durable(containment(few, templates, threshold))
-    found = lines.unionByName(wrapped(few, lines, templates, threshold)).groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("most"), F.array_sort(F.collect_list(F.struct("line", "template", "containment"))).alias("notices"))
+    few = common.durable(split.withColumn("_some", F.array_intersect("words", _list(vocabulary))).where(enough).select("key", "words"))
+    found = containment(few, templates, threshold).groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("most"), F.array_sort(F.collect_list(F.struct("word", "template", "containment"))).alias("notices"))
     out = base(slim, phrases or PHRASES).join(found, "key", "left")
     return out.select(
         F.col("id").alias(id_col), "n_words", "starts", "base_labels",

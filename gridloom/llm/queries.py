@@ -105,19 +105,23 @@ def _sql_list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _license_sql() -> str:
     starts = " || ".join(f"[i for i in range(len(ws)) if ws[i + 1:i + {len(p.split())}] = {_sql_list(p.split())}]" for p in license_scan.PHRASES)
     labels = ", ".join(f"CASE WHEN (' ' || array_to_string(ws, ' ') || ' ') LIKE '% {p} %' THEN '{label}' END" for p, label in license_scan.PHRASES.items())
-    rows = ", ".join(f"({k}, '{label}', {_sql_list(sorted(set(t.split())))})" for k, (label, t) in enumerate(license_scan.TEMPLATES))
+    reach = license_scan.runs(license_scan.TEMPLATES, 0.8)
+    rows = ", ".join(f"({k}, '{label}', {reach[k]}, {_sql_list(sorted(set(t.split())))})" for k, (label, t) in enumerate(license_scan.TEMPLATES))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
-b AS (SELECT doc_id, len(ws) AS n_words, list_sort({starts}) AS starts, list_sort(list_distinct([x for x in [{labels}] if x IS NOT NULL])) AS bl FROM w),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS bw FROM d),
-tpl(k, label, tw) AS (VALUES {rows}),
-m AS (SELECT doc_id, label, len(list_intersect(bw, tw)) AS n, len(tw) AS m FROM lines CROSS JOIN tpl WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(n AS DOUBLE) / m) AS most FROM m GROUP BY doc_id)
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER_SQL.format("coalesce(text, '')")}, '{word}') AS ws FROM documents),
+b AS (SELECT doc_id, len(ws) AS n_words, list_sort({starts}) AS starts, list_sort(list_distinct([x for x in [{labels}] if x IS NOT NULL])) AS bl FROM d),
+tpl(k, label, reach, tw) AS (VALUES {rows}),
+c AS (SELECT doc_id, ws, k, label, reach, tw FROM d CROSS JOIN tpl WHERE len(list_intersect(ws, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+r AS (SELECT doc_id, label, tw, unnest([ws[i:i + reach - 1] for i in range(1, len(ws) + 1) if list_contains(tw, ws[i])]) AS run FROM c),
+m AS (SELECT doc_id, label, len(list_intersect(run, tw)) AS n, len(tw) AS m FROM r),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(n AS DOUBLE) / m) AS most FROM m WHERE n >= ceil(0.8 * m - 1e-9) GROUP BY doc_id)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, CAST(starts[1] AS BIGINT) AS first_word, CAST(starts[-1] AS BIGINT) AS last_word,
   array_to_string(bl, ',') AS base_labels, array_to_string(list_sort(list_distinct(bl || coalesce(more, []))), ',') AS labels,
   CASE WHEN len(bl) > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0)::DOUBLE END AS score

@@ -74,18 +74,30 @@ def test_op1_against_plain_python(spark, hostile, empty):
     assert got[9, 7].labels == ["mit"] and got[9, 7].score == 1.0
     block = "and this work is licensed under the gnu general public license version 2 ok"
     r = license_scan.scan(spark.createDataFrame([(1, f"x\n{block}\ny")], "doc_id long, text string")).first()
-    assert r.labels == ["gpl-3"] and r.score == 11 / 12 and [n.line for n in r.notices] == [1]
+    assert r.labels == ["gpl-3"] and r.score == 11 / 12 and [n.word for n in r.notices] == [2]
+    # scattered words of a notice are none, and only A-Z are lower-cased
+    odd = [(1, "the software was released by the people under a new mit plan and a license"), (2, "under the m\u0130t license under the mit lic\u212Aense UNDER The MIT License")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert got[1].labels == [] and got[1].score == 0 and got[2].starts == [8]
 
 
 def test_op1_containment_is_exact(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(14)]
     templates = [(f"l{k}", " ".join(rng.choice(vocabulary, 5 + k % 4, replace=False))) for k in range(6)]
-    texts = ["\n".join(" ".join(rng.choice(vocabulary, rng.integers(1, 12))) for _ in range(4)) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = collections.Counter((r.key.id, r.line, r.template) for r in license_scan.containment(docs, templates, 0.8).collect())
-    want = collections.Counter((d, n, k) for d, t in enumerate(texts) for n, b in enumerate(t.split("\n")) for k, (_, x) in enumerate(templates) if len(set(b.split()) & set(x.split())) >= 0.8 * len(set(x.split())) - 1e-9)
-    assert got == want
+    texts = [rng.choice([*vocabulary, "x", "y", "z"], rng.integers(1, 70)).tolist() for _ in range(60)] + [["w0"], []]
+    docs = spark.createDataFrame([((i, 0, 0), t) for i, t in enumerate(texts)], "key struct<id:int,h:int,n:int>, words array<string>")
+    got = collections.Counter((r.key.id, r.template, r.word, round(r.containment, 9)) for r in license_scan.containment(docs, templates, 0.8).collect())
+    want = collections.Counter()
+    reach = license_scan.runs(templates, 0.8)
+    for d, t in enumerate(texts):
+        for k, (_, x) in enumerate(templates):
+            own = set(x.split())
+            met = [(len(own & set(t[i : i + reach[k]])), -i) for i in range(len(t)) if t[i] in own]
+            met = [m for m in met if m[0] >= 0.8 * len(own) - 1e-9]
+            best = [m for m in met if m == max(o for o in met if abs(o[1] - m[1]) <= max(reach))]
+            want.update((d, k, -i, round(n / len(own), 9)) for n, i in best)
+    assert got == want and len(want) > 20
 
 
 def test_op1_finds_wrapped_notices(spark):
@@ -94,8 +106,8 @@ def test_op1_finds_wrapped_notices(spark):
     filler = "\n".join(" ".join(f"x{i}y{j}" for j in range(9)) for i in range(30))
     texts = [cut(1, 13, "# "), f"{filler}\n{cut(5, 12, ' * ')}\n{filler}", cut(6, 10, "// "), f"{filler}\n{cut(6, 4, '')}", "permission is hereby\n" + filler + "\n" + cut(1, 30, "").replace("permission is hereby granted free of charge to", ""), cut(1, 13, "") + "\n" + filler + "\n" + notice[1]]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    found = {d: [(n.line, n.template, n.containment) for n in r.notices or []] for d, r in got.items()}
-    assert found == {0: [(0, 1, 1.0)], 1: [(30, 5, 1.0)], 2: [(0, 6, 1.0)], 3: [(30, 6, 1.0)], 4: [], 5: [(0, 1, 1.0), (32, 1, 1.0)]}
+    found = {d: [(n.word, n.template, n.containment) for n in r.notices or []] for d, r in got.items()}
+    assert found == {0: [(0, 1, 1.0)], 1: [(270, 5, 1.0)], 2: [(0, 6, 1.0)], 3: [(270, 6, 1.0)], 4: [], 5: [(0, 1, 1.0), (20 + 270, 1, 1.0)]}
     assert [got[d].labels for d in range(5)] == [["mit"], ["gpl-3"], ["bsd"], ["bsd"], []] and got[1].score == 1.0
 
 
