@@ -35,7 +35,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(common.table(spark, sf_dir, "documents"), scope="text")
+    found = secret_scan.scan(common.table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.rendered(F.col("base")), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans")).alias("spans"))
 
@@ -137,16 +137,15 @@ def _secret_sql(reach: int = 200) -> str:
         return f"[{{'s': CAST({before} AS BIGINT), 'r': {secret_scan.ORDER[kind]}, 'e': CAST({before} + length(({whole})[i]) AS BIGINT), 'k': '{kind}'}} for i in range(1, len({whole}) + 1) if length(({part})[i]) >= {least}]"
 
     base = " || ".join(found("t", *k) for k in secret_scan.BASE)
-    every = " || ".join(found("block", *k) for k in [*secret_scan.BASE, *secret_scan.WEAK])
+    every = " || ".join(found("t", *k) for k in [*secret_scan.BASE, *secret_scan.WEAK])
     guard = "|".join(p for _, p, _, _ in secret_scan.WEAK).replace("'", "''")
     roles = ", ".join(f"'{k}': '{r}'" for k, r in secret_scan.ROLE.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, list_sort({base}) AS base FROM d),
-x AS (SELECT doc_id, i, ls[i] AS block, coalesce(list_sum([length(y) + 1 for y in ls[1:i - 1]]), 0) AS base FROM (SELECT doc_id, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d WHERE regexp_matches(t, '{guard}'))),
-p AS (SELECT doc_id, i, base, unnest({every}) AS z FROM x),
-q AS (SELECT doc_id, i, CAST(z.s + base AS BIGINT) AS s, z.r AS r, CAST(z.e + base AS BIGINT) AS e, z.k AS k, MAP {{{roles}}}[z.k] AS role FROM p),
-h AS (SELECT a.doc_id, a.s, a.r, a.e, a.k, a.role, bool_or(o.role = 'id') AS id, bool_or(o.role = 'secret') AS secret FROM q a JOIN q o ON a.doc_id = o.doc_id AND a.i = o.i AND o.role <> 'endpoint' AND o.s <= a.e + {reach} AND o.e >= a.s - {reach}
+p AS (SELECT doc_id, unnest({every}) AS z FROM d WHERE regexp_matches(t, '{guard}')),
+q AS (SELECT doc_id, z.s AS s, z.r AS r, z.e AS e, z.k AS k, MAP {{{roles}}}[z.k] AS role FROM p),
+h AS (SELECT a.doc_id, a.s, a.r, a.e, a.k, a.role, bool_or(o.role = 'id') AS id, bool_or(o.role = 'secret') AS secret FROM q a JOIN q o ON a.doc_id = o.doc_id AND o.role <> 'endpoint' AND o.s <= a.e + {reach} AND o.e >= a.s - {reach}
   WHERE a.r >= {len(secret_scan.BASE)} GROUP BY ALL),
 kept AS (SELECT doc_id, list({{'s': s, 'r': r, 'e': e, 'k': k}}) AS more FROM h WHERE role = 'id' AND secret OR role = 'secret' AND id OR role = 'endpoint' AND id AND secret GROUP BY doc_id),
 j AS (SELECT doc_id, base, list_sort(base || coalesce(more, [])) AS sp FROM b LEFT JOIN kept USING (doc_id))

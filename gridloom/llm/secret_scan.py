@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
 Strong kinds (the base) are reported wherever they stand. Weak kinds (account names, key-like assignments, endpoints)
-are reported only if their complementary parts stand in the same scope, a line or the whole text, with at most `reach`
-characters between: an account needs a secret, a key an identifier, an endpoint both. Parts become intervals; an interval join on
+are reported only if their complementary parts stand in the same scope, the whole text or a line, with at most `reach`
+characters between (so over line ends too, unless the scope is a line): an account needs a secret, a key an identifier, an endpoint both. Parts become intervals; an interval join on
 (row, line, bucket of `reach` characters) finds the neighbours, so the number of pairs is bound by what fits into a
 bucket and not by the text.
 
@@ -17,17 +17,25 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
+def _either(words: str) -> str:
+    """The pattern with each letter in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
 # Kind, pattern, group that is measured, least length of it.
-_WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_WORDS = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
+_SET = r"""["']?\x20*[:=]\x20*["']?"""
 BASE = [
-    ("assign", rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("assign", rf"""({_WORDS}){_SET}([A-Za-z0-9+/_.=-]+)""", 2, 8),
     # the same as AKIA[A-Z0-9]+ of 16 and [0-9a-f]+ of 32 characters or more: a run too short holds no longer one
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
+_NAMES = "|".join(map(_either, ("user(?:_?name|_?id)?", "login", "account", "client_?id", "access_?key_?id")))
+_KEYS = "|".join(map(_either, ("pwd", "passphrase", "credentials?", "private_?key", "(?:secret_?)?access_?key", "secret_?key", "auth")))
 WEAK = [
-    ("account", r"""(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]+)""", 1, 3),
-    ("key", r"""(?:[Pp]wd|[Pp]assphrase|[Cc]redential|[Pp]rivate_?[Kk]ey|[Aa]uth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    ("account", rf"""(?:{_NAMES}){_SET}([A-Za-z0-9_.@+-]+)""", 1, 3),
+    ("key", rf"""(?:{_KEYS}){_SET}([A-Za-z0-9+/_.=-]+)""", 1, 8),
     ("endpoint", r"""https?://([A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9_./-]*)?)""", 1, 4),
 ]
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "account": "id", "endpoint": "endpoint"}
@@ -35,35 +43,59 @@ ORDER = {kind: i for i, (kind, *_) in enumerate([*BASE, *WEAK])}
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group is long enough: split and extract see the same matches, so lengths add up to places."""
-    between, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+_CHUNK = 128
+
+
+def with_spans(rows: DataFrame, kinds: list[tuple[str, str, int, int]], out: str, text: str = "text") -> DataFrame:
+    """rows with `out`, the spans of each kind's leftmost non-overlapping matches whose group is long enough, kind after kind.
+
+    Split and extract see the same matches, so lengths add up to places: within chunks of matches first, then over the
+    chunks, so no long array is built element by element. Each step is a column of its own, computed once a row.
+    """
+    t, kept = F.col(text), rows.columns
+    empty = lambda kind: F.array().cast(kind)
+
+    def lengths(pattern: str, group: int) -> Column:
+        """Of each match: what stands between it and the one before, its length, the length of its group."""
+        whole, part = (F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in (0, group))
+        steps = F.transform(F.arrays_zip(F.split(t, pattern, -1), whole, part), lambda x: F.struct(F.length(x["0"]).alias("b"), F.length(x["1"]).alias("w"), F.length(x["2"]).alias("p")))
+        return F.when(t.rlike(pattern), F.filter(steps, lambda x: x["w"].isNotNull())).otherwise(empty("array<struct<b:int,w:int,p:int>>"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        one = F.array(F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        end = acc["at"] + x["b"] + x["w"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(end.alias("end"), x["w"].alias("w"), x["p"].alias("p")))).alias("out"))
+
+    def chunks(lens: Column) -> Column:
+        """(length, places within) of each chunk of matches."""
+        zero = F.struct(F.lit(0).alias("at"), empty("array<struct<end:int,w:int,p:int>>").alias("out"))
+        each = F.transform(F.sequence(F.lit(1), F.size(lens), F.lit(_CHUNK)), lambda i: F.aggregate(F.slice(lens, i, F.lit(_CHUNK)), zero, step))
+        return F.when(F.size(lens) > 0, each).otherwise(empty("array<struct<at:int,out:array<struct<end:int,w:int,p:int>>>>"))
+
+    def bases(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), empty("array<int>").alias("out"))
+        return F.aggregate(parts, zero, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def placed(k: int, kind: str, least: int) -> Column:
+        every = F.flatten(F.zip_with(f"_c{k}", f"_b{k}", lambda c, b: F.transform(F.filter(c["out"], lambda x: x["p"] >= least), lambda x: F.struct((b + x["end"] - x["w"]).alias("start"), F.lit(ORDER[kind]).alias("rank"), (b + x["end"]).alias("end"), F.lit(kind).alias("kind")))))
+        return every.cast(_SPAN)
 
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)), whole, part)
-    found = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    rows = rows.withColumns({f"_l{k}": lengths(p, g) for k, (_, p, g, _) in enumerate(kinds)})
+    rows = rows.withColumns({f"_c{k}": chunks(F.col(f"_l{k}")) for k in range(len(kinds))})
+    rows = rows.withColumns({f"_b{k}": bases(F.col(f"_c{k}")) for k in range(len(kinds))})
+    return rows.select(*kept, F.concat(*(placed(k, kind, n) for k, (kind, _, _, n) in enumerate(kinds))).alias(out))
 
 
-def linked(docs: DataFrame, reach: int, scope: str = "line") -> DataFrame:
+def linked(docs: DataFrame, reach: int, scope: str = "text") -> DataFrame:
     """(key, more): the weak spans that complementary parts support, for the rows of docs (id, text) that have any; the scope is "line" or "text"."""
     if scope not in ("line", "text"):
         raise ValueError(f"unknown scope {scope!r}")
     guard = "|".join(p for _, p, _, _ in WEAK)
     some = docs.where(F.col("text").rlike(guard)).dropDuplicates(["id", "text"])
-    # no pattern matches across a line's end, so the whole text has the spans of its lines
     blocks = F.split("text", "\n") if scope == "line" else F.array("text")
     lines = some.select(common.row_key("id", "text").alias("key"), F.posexplode(blocks).alias("line", "block"))
     before = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("base", F.coalesce(F.sum(F.length("block") + 1).over(before), F.lit(0)).cast("int"))
-    every = F.concat(*(spans(F.col("block"), k, p, g, n) for k, p, g, n in [*BASE, *WEAK]))
-    parts = lines.select("key", "line", "base", F.explode(every).alias("s")).select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"))
+    parts = with_spans(lines, [*BASE, *WEAK], "every", "block").select("key", "line", "base", F.explode("every").alias("s")).select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"))
     roles = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
     parts = parts.withColumn("role", roles[F.col("kind")])
     strong = [k for k, *_ in BASE]
@@ -76,11 +108,10 @@ def linked(docs: DataFrame, reach: int, scope: str = "line") -> DataFrame:
     return kept.groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("more"))
 
 
-def scan(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", scope: str = "line") -> DataFrame:
+def scan(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", scope: str = "text") -> DataFrame:
     """(id, base, spans) of every row: arrays of (start, rank, end, kind), by start and then by kind in the order of BASE and WEAK."""
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    every = F.array_sort(F.concat(*(spans(F.col("text"), k, p, g, n) for k, p, g, n in BASE)))
-    rows = slim.select("id", common.row_key("id", "text").alias("key"), every.alias("base"))
+    rows = with_spans(slim, BASE, "base").select("id", common.row_key("id", "text").alias("key"), F.array_sort("base").alias("base"))
     out = rows.join(linked(slim, reach, scope), "key", "left")
     return out.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))
 
@@ -95,9 +126,8 @@ def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col
     The column `chars_col`, if there, gets the new length; a null text stays null.
     """
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    every = F.array_sort(F.concat(*(spans(F.col("text"), k, p, g, n) for k, p, g, n in BASE)))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("row", common.row_key("id", "text").alias("key"), "text", every.alias("base")).join(linked(slim, reach, scope), "key", "left")
+    rows = with_spans(rows, BASE, "base").select("row", common.row_key("id", "text").alias("key"), "text", F.array_sort("base").alias("base")).join(linked(slim, reach, scope), "key", "left")
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
