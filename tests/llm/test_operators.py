@@ -334,43 +334,52 @@ def test_op6_isotonic_is_monotone():
     assert value.tolist() == [0, 0.5, 1] and at.tolist() == [0, 1.5, 4]
 
 
-def test_op7_against_brute_force(spark):
-    rng = np.random.default_rng(8)
+def bm25_hits(docs, items, half, theta=0.6):
+    """{(document, first word, item): score} by the formula, word by word; items are (id, question, answer)."""
+    full = {k: words(q) + words(a) for k, q, a in items}
+    full = {k: w for k, w in full.items() if w}
+    df = collections.Counter(x for w in full.values() for x in set(w))
+    mean = np.mean([len(w) for w in full.values()])
+    weight = {}
+    for k, w in full.items():
+        raw = {x: np.log(1 + (len(full) - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in collections.Counter(w).items()}
+        weight[k] = {x: v / sum(raw.values()) for x, v in raw.items()}
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for first in range(0, max(len(w), 1), half):
+            have = set(w[first : first + 2 * half])
+            for k, terms in weight.items():
+                score = sum(v for x, v in terms.items() if x in have)
+                if score >= theta:
+                    out[d, first, k] = score
+    return out
+
+
+def op7_case(rng):
     common = [f"c{i}" for i in range(30)]
     item = lambda: " ".join(rng.choice(common if rng.random() < 0.5 else [f"r{k}" for k in range(400)]) for _ in range(rng.integers(3, 60)))
     items = [(k, item()) for k in range(40)]
     filler = lambda n: " ".join(rng.choice([*common, *(f"r{k}" for k in range(400))], n))
     docs = [(d, filler(rng.integers(0, 300)) + (" " + items[d % 40][1] + " " + filler(80) if d % 3 == 0 else "")) for d in range(150)]
-    questions, answers = [], []
-    for _, t in items:
-        w = t.split()
-        cut = -(-len(w) * 7 // 10)
-        questions.append(" ".join(w[:cut]))
-        answers.append(" ".join(w[cut:]))
-    index = decontaminate.Index([k for k, _ in items], questions, answers)
-    found = set()
-    for i, _, raw, off in textnum.text_slices(pa.array([t for _, t in docs])):
-        _, _, h, bounds = textnum.words(raw, off)
-        for d, first, end, k, score in index.search(h, bounds, 0.6):
-            found.add((i + d, first - int(bounds[d]), int(index.ids[k]), round(score, 6)))
-    # every window and item scored one by one
-    want = set()
-    weight = collections.defaultdict(dict)
-    for cell, item_no, w in zip(index.cells, index.item, index.weight):
-        weight[int(item_no)][int(index.vocabulary[cell // index.blocks])] = w
-    for d, (_, t) in enumerate(docs):
-        raw = next(textnum.text_slices(pa.array([t])))
-        _, _, h, _ = textnum.words(*raw[2:])
-        for first in range(0, max(len(h), 1), index.half):
-            have = set(h[first : first + 2 * index.half].tolist())
-            for k, terms in weight.items():
-                score = sum(w for x, w in terms.items() if x in have)
-                if score >= 0.6:
-                    want.add((d, first, int(index.ids[k]), round(score, 6)))
-    assert {x[:3] for x in found} == {x[:3] for x in want}
-    table = spark.createDataFrame([(k, q, a) for (k, _), q, a in zip(items, questions, answers)], "item_id long, question string, answer string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
-    assert {(d, d % 40) for d in range(0, 150, 3)} <= got
+    cut = [-(-len(t.split()) * 7 // 10) for _, t in items]
+    return docs, [(k, " ".join(t.split()[:n]), " ".join(t.split()[n:])) for (k, t), n in zip(items, cut, strict=True)]
+
+
+def test_op7_against_brute_force(spark):
+    docs, items = op7_case(np.random.default_rng(8))
+    want = bm25_hits(docs, items, 64)
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    pages = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.contaminated(pages, table, question_share=0, answer_share=0).collect()
+    best = {}
+    for (d, first, k), score in want.items():
+        best[d, k] = max(best.get((d, k), (0, 0)), (round(score, 9), -first))
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in found} == {x: round(s, 6) for x, (s, _) in best.items()} and len(found) > 50
+    got = {(r.doc_id, r.item_id, r.start, round(r.score, 9)) for r in decontaminate.contaminated(pages, table).collect()}
+    assert {(d, d % 40) for d in range(0, 150, 3)} <= {x[:2] for x in got}
+    # waves bound memory alone
+    assert got == {(r.doc_id, r.item_id, r.start, round(r.score, 9)) for r in decontaminate.contaminated(pages, table, wave_words=200).collect()}
 
 
 def test_op7_hostile(spark, hostile, empty):
