@@ -53,3 +53,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and, as `size`, how many of the `total` rows have it; `size` is dropped.
+
+    Keys of more than a thousandth of all rows (so fewer than a thousand of them) are broadcast, as one task would get
+    all rows of such a key; the others meet in a shuffle. The table should be durable, as it is read twice.
+    """
+    most = max(1024, total // 1000)
+    hot = F.broadcast(table.where(F.col(size) > most).drop(size))
+    cold = table.where(F.col(size) <= most).drop(size)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
