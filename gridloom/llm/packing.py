@@ -100,8 +100,26 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds
     return [(basis[:, k].astype(int), int(np.floor(x[k] + 1e-9))) for k in range(n) if x[k] >= 1 - 1e-9]
 
 
-def plan(counts: dict[int, int], capacity: int = 1024, large: int = 128, groups: int = 64, rounds: int = 400) -> list[tuple[int, int, int, int, int]]:
-    """Ranges (length, first rank, number of ranks, first sequence, offset) that place `counts[length]` pieces of each length."""
+def plan(counts: dict[int, int], capacity: int = 1024, groups: int = 64, rounds: int = 400) -> list[tuple[int, int, int, int, int]]:
+    """Ranges (length, first rank, number of ranks, first sequence, offset) that place `counts[length]` pieces of each length.
+
+    From which length on a piece is a large one is tried from a half of the capacity to an eighth; the fewest sequences win.
+    Where small pieces abound the half does best, as they fill any gap, where middle lengths do the optimised configurations.
+    """
+    least = -(-sum(k * v for k, v in counts.items()) // capacity)
+    best: list[tuple[int, int, int, int, int]] | None = None
+    used = lambda ranges: max((s + n for _, _, n, s, _ in ranges), default=0)
+    for share in (2, 3, 4, 8):
+        found = plan_from(counts, capacity, capacity // share + 1, groups, rounds)
+        if best is None or used(found) < used(best):
+            best = found
+        if used(best) == least:
+            break
+    return best or []
+
+
+def plan_from(counts: dict[int, int], capacity: int, large: int, groups: int, rounds: int) -> list[tuple[int, int, int, int, int]]:
+    """The same with lengths from `large` on as large ones."""
     left = {k: v for k, v in counts.items() if k < capacity and v}
     bins: list[tuple[int, tuple[int, ...]]] = []  # times, lengths in order
     if counts.get(capacity):
@@ -183,35 +201,30 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
     """`pieces` with `sequence_id` and `offset`. Lengths lie between 1 and capacity.
 
     The pieces are written once to the checkpoint folder. Ranks come from hashed parts of each length (the parts
-    grow in number with spark.sql.shuffle.partitions), so that no length, however frequent, meets in one task. To the
-    driver go at most capacity x parts counts.
+    grow in number with spark.sql.shuffle.partitions), so that no length, however frequent, meets in one task; where the
+    ranks of a part begin is a running sum over the counts of the parts. To the driver go `capacity` counts.
     """
     spark = pieces.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = common.durable(pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")))
-    rows = pieces.groupBy(length_col, "_part").count().collect()
-    table = sorted((int(r[0]), int(r[1]), int(r[2])) for r in rows)
-    counts: dict[int, int] = {}
-    base = np.zeros(len(table), np.int64)
-    for i, (length, _, c) in enumerate(table):
-        base[i] = counts.get(length, 0)
-        counts[length] = base[i] + c
-    base_key = np.array([length * parts + p for length, p, _ in table], np.int64)
+    names = [c for c in pieces.columns if c != "_part"]
+    sizes = common.durable(pieces.groupBy(F.col(length_col).alias("_length"), "_part").agg(F.count("*").alias("_count")))
+    counts = {int(r[0]): int(r[1]) for r in sizes.groupBy("_length").agg(F.sum("_count")).collect()}
+    before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_length", F.col("_part").alias("_p"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
     found = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     step = int(max(counts.values(), default=0)) + 1
-    shared = spark.sparkContext.broadcast((base_key, base, found[:, 0] * step + found[:, 1], found))
-    names = [c for c in pieces.columns if c != "_part"]
+    shared = spark.sparkContext.broadcast((found[:, 0] * step + found[:, 1], found))  # ranges: some a length, whatever the rows
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_part").orderBy(*order)) - 1)
+    ranked = ranked.join(bases, (F.col(length_col) == F.col("_length")) & (F.col("_part") == F.col("_p"))).select(*names, (F.col("_rank") + F.col("_base")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_key, base, low, found = shared.value
+        low, found = shared.value
         for b in batches:
-            length = b.column(names.index(length_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            part, rank = (b.column(len(names) + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            rank = rank + base[np.searchsorted(base_key, length * parts + part)]
+            length, rank = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (names.index(length_col), len(names)))
             at = np.searchsorted(low, length * step + rank, "right") - 1
             cols = [b.column(k) for k in range(len(names))] + [pa.array(found[at, 3] + rank - found[at, 1]), pa.array(found[at, 4])]
             yield pa.record_batch(cols, names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_part", "_rank").mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema)
