@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import chosen_path, decontaminate, graph, license_scan, packing, quality, queries, secret_scan, textnum, token_counts, topk, toxicity, url_filter
@@ -396,12 +397,29 @@ def test_op8_rules(spark):
     assert got[:3] == [("", "", None, "allow")] * 3
     assert [x[2:] for x in got[3:]] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "allow"), (None, "allow"), ("org/es/", "block"), (None, "allow"), (None, "allow")]
     assert got[4][:2] == ("a.example.com", "/en/71") and url_filter.judge(pages.where("false"), queries.URL_RULES).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.MAX_BROADCAST, keep = 1, url_filter.MAX_BROADCAST
-        try:
-            url_filter.judge(pages, queries.URL_RULES)
-        finally:
-            url_filter.MAX_BROADCAST = keep
+    twice = pages.unionByName(pages).withColumns({"rule": F.lit("r"), "verdict": F.lit("v"), "probes": F.lit(1)})
+    assert url_filter.judge(twice, queries.URL_RULES).count() == 2 * len(urls)
+    assert {r.verdict for r in url_filter.judge(pages, [], default="block").collect()} == {"block"}
+
+
+def test_op8_digests_are_xxhash64(spark):
+    got = [r[0] for r in spark.createDataFrame([("com", "/en/"), ("é.ñ", "")], "h string, p string").select(url_filter.key(F.col("h"), F.col("p"))).collect()]
+    assert [x & (2**64 - 1) for x in got] == [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in ("com\0/en/", "é.ñ\0")]
+
+
+def test_op8_long_lists_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    host = lambda: ".".join(rng.choice(["a", "bc", "é", "com", "org"], rng.integers(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice(["x", "yy", "ü"], rng.integers(0, 4)))
+    rules = [("block" if rng.random() < 0.5 else "allow", host(), path() if rng.random() < 0.8 else "") for _ in range(300)] + [(None, "a", "/"), ("block", None, "/")]
+    urls = [f"http://{host()}{path()}" for _ in range(500)] + ["https://a." + "com." * 300 + "org/" + "x/" * 3000]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table, rows_per_file=40).collect()}
+    for i, u in enumerate(urls):
+        h, p = (u.split("://")[1] + "/").split("/", 1)
+        p = ("/" + p)[:-1]
+        fit = [(len(rh) + len(rp), len(rh), [-ord(c) for c in rh + rp], v, rh + rp) for v, rh, rp in rules if v and rh and (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        assert got[i] == ((max(fit)[4], max(fit)[3]) if fit else (None, "allow"))
 
 
 @pytest.mark.parametrize("block,width", [(3, 2), (64, 4), (1 << 20, 2)])
