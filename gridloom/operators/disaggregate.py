@@ -23,13 +23,56 @@ def combinations(states: dict[str, list[float]], most: int = 100_000) -> list[tu
 
 
 def co_predict(mains: DataFrame, states: dict[str, list[float]]) -> DataFrame:
-    """Combinatorial optimisation: the combination whose sum is nearest, of two the larger sum; a column a device."""
+    """Combinatorial optimisation: the combination whose sum is nearest, of two the larger sum; a column a device.
+
+    The sorted sums (at most `most` of combinations) go out once, and each batch of rows is placed among them by binary search.
+    """
     table = combinations(states)
-    sums = sorted({s for s, _ in table})
-    first = {s: next(c for t, c in table if t == s) for s in sums}
-    rows = mains.withColumn("_sum", nearest(F.array(*(F.lit(float(s)) for s in sums)), F.col("value")))
-    lookup = mains.sparkSession.createDataFrame([(float(s), *map(float, first[s])) for s in sums], ", ".join(["_sum double", *(f"`{n}` double" for n in states)]))
-    return rows.join(F.broadcast(lookup), "_sum").drop("_sum")  # at most `most` combinations
+    sums = np.array(sorted({s for s, _ in table}))
+    first: dict[float, tuple[float, ...]] = {}
+    for total, combo in table:
+        first.setdefault(total, combo)
+    shared = mains.sparkSession.sparkContext.broadcast((sums, np.array([first[x] for x in sums.tolist()], float)))
+
+    def place(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        sums, combos = shared.value
+        for rows in batches:
+            x = rows["value"].to_numpy(float)
+            up = np.clip(np.searchsorted(sums, x), 0, len(sums) - 1)
+            low = np.maximum(up - 1, 0)
+            at = np.where(np.abs(sums[low] - x) < np.abs(sums[up] - x), low, up)
+            chosen = np.where(np.isnan(x)[:, None], np.nan, combos[at])
+            yield rows.assign(**{n: pd.Series(chosen[:, k], index=rows.index).astype(object).where(~np.isnan(chosen[:, k]), None) for k, n in enumerate(states)})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in mains.schema), *(f"`{n}` double" for n in states)])
+    return mains.mapInPandas(place, schema)
+
+
+def runs(readings: DataFrame, state: float = 15, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(meter, run, t, ends, <column>...) of the runs of a series, where any column changes by more than `state` from one row to the next.
+
+    A run begins with a change and ends before the next change that follows a calm row. Its level is the mean from the last
+    row of the change on; `ends` is the first calm row's time (the change's last row's, where none follows). `first` marks the
+    meter's first row's time. All by windows over one ordered pass a meter.
+    """
+    order = Window.partitionBy("meter").orderBy("t", "id")
+    values = [F.col(c) for c in columns]
+    jump = F.lit(False)
+    for v in values:
+        jump = jump | (F.abs(v - F.coalesce(F.lag(v).over(order), F.lit(0.0))) > state)
+    rows = readings.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).withColumn("_jump", jump)
+    rows = rows.withColumn("_new", (F.col("_jump") & ~F.coalesce(F.lag("_jump").over(order), F.lit(False))).cast("long")).withColumn("_more", F.col("_jump") & F.coalesce(F.lead("_jump").over(order), F.lit(False)))
+    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    level = lambda c: F.avg(F.when(~F.col("_more"), F.col(c))).alias(c)
+    found = rows.groupBy("meter", "run").agg(F.min("t").alias("t"), F.coalesce(F.min(F.when(~F.col("_jump"), F.col("t"))), F.max("t")).alias("ends"), *(level(c) for c in columns))
+    return found.withColumn("first", F.min("t").over(Window.partitionBy("meter")))
+
+
+def _without_start(states: DataFrame, noise: float, columns: tuple[str, ...]) -> DataFrame:
+    """The states less a meter's first one where it is only the power that the series begins with."""
+    high = " or ".join(f"level_{c} > {noise}" for c in columns)
+    n = F.row_number().over(Window.partitionBy("meter").orderBy("run"))
+    return states.withColumn("_n", n).where(f"not (_n = 1 and t = first and ({high}))")
 
 
 def steady_states(readings: DataFrame, noise: float = 70, state: float = 15, emit_only: bool = False) -> DataFrame:
@@ -38,36 +81,38 @@ def steady_states(readings: DataFrame, noise: float = 70, state: float = 15, emi
     A sample that differs from the one before by more than `state` is a change; the level is the running mean since the
     last change. With emit_only the reference level moves only when a transition is emitted.
     """
+    found = steady_states_of(readings, ("value",), noise, state, emit_only)
+    return found.select("meter", "t", F.col("transition_value").alias("transition"), F.col("level_value").alias("level"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        t, v = rows["t"].to_numpy(), rows["value"].to_numpy(float)
-        out, level, before, prev, n, moving, since = [], 0.0, 0.0, 0.0, 0, False, t[0]
-
-        def emit() -> bool:
-            if abs(level - before) > noise:
-                out.append((since, level - before, level))
-                return True
-            return False
-
-        for k in range(len(v)):
-            jump = abs(v[k] - prev) > state
-            if jump and not moving:
-                done = emit()
-                if done or not emit_only:
-                    before = level
-                since = t[k]
-            if jump:
-                n = 0
-            level = (n * level + v[k]) / (n + 1)
-            n, moving, prev = n + 1, jump, v[k]
-        emit()
-        if out and out[0][2] > noise and out[0][0] == t[0]:
-            out.pop(0)
-        return pd.DataFrame({"meter": rows["meter"].iloc[0], "t": [o[0] for o in out], "transition": [o[1] for o in out], "level": [o[2] for o in out]})
 
-    kind = dict(readings.dtypes)["meter"]
-    return known(readings).select("meter", "t", "id", "value").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, transition double, level double")
+def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",), noise: float = 70, state: float = 15, emit_only: bool = False) -> DataFrame:
+    """(meter, t, ends, transition_<c>..., level_<c>...): the same of several columns, as active and reactive power, of which any may change.
+
+    `ends` is the first calm row's time after the change. The rows become runs by windows; with emit_only, where the
+    reference level depends on what was emitted, the runs alone (one row a change) go through a sequential pass.
+    """
+    found = runs(readings, state, columns)
+    if not emit_only:
+        order = Window.partitionBy("meter").orderBy("run")
+        found = found.select("meter", "run", "t", "ends", "first", *(F.col(c).alias(f"level_{c}") for c in columns), *((F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0.0))).alias(f"transition_{c}") for c in columns))
+        found = found.where(" or ".join(f"abs(transition_{c}) > {noise}" for c in columns))
+    else:
+        names = [f"transition_{c}" for c in columns]
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("run")
+            level, before = rows[list(columns)].to_numpy(float), np.zeros(len(columns))
+            moved = np.zeros(level.shape)
+            for k, now in enumerate(level):
+                if (np.abs(now - before) > noise).any():
+                    moved[k] = now - before
+                    before = now
+            rows[names] = moved
+            return rows[(np.abs(moved) > noise).any(axis=1)].rename(columns={c: f"level_{c}" for c in columns})[["meter", "run", "t", "ends", "first", *(f"level_{c}" for c in columns), *names]]
+
+        kind = dict(readings.dtypes)["meter"]
+        found = found.select("meter", "run", "t", "ends", "first", *columns).groupBy("meter").applyInPandas(one, f"meter {kind}, run long, t long, ends long, first long, " + ", ".join(f"{x} double" for x in [*(f"level_{c}" for c in columns), *names]))
+    return _without_start(found, noise, columns).select("meter", "t", "ends", *(f"transition_{c}" for c in columns), *(f"level_{c}" for c in columns))
 
 
 def pair_in_buffer(buffer: list[list], rows: Iterable[tuple[int, float]], size: int, tolerance: float, share: float, large: float) -> tuple[list[tuple], list[list]]:

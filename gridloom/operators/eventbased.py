@@ -243,9 +243,9 @@ def dense_groups(points: DataFrame, keys: list[str], eps_us: int, least: int) ->
     within eps of a core join it, the earlier of two.
     """
     around = Window.partitionBy(*keys).orderBy("t").rangeBetween(-eps_us, eps_us)
-    order = Window.partitionBy(*keys).orderBy("t")
+    order, turned = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys).orderBy(F.desc("t"))
     cored = points.withColumn("_core", F.when(F.count("*").over(around) >= least, F.col("t")))
-    before = cored.withColumns({"_last": F.last("_core", True).over(order.rangeBetween(Window.unboundedPreceding, -1)), "_next": F.first("_core", True).over(order.rangeBetween(1, Window.unboundedFollowing))})
+    before = cored.withColumns({"_last": F.last("_core", True).over(order.rangeBetween(Window.unboundedPreceding, -1)), "_next": F.last("_core", True).over(turned.rangeBetween(Window.unboundedPreceding, -1))})
     new = F.when(F.col("_core").isNotNull() & F.coalesce(F.col("t") - F.col("_last") > eps_us, F.lit(True)), F.col("t"))
     counted = before.withColumn("_new", new).withColumn("_fresh", (F.col("_new").isNotNull() & (F.col("t") != F.coalesce(F.lag("t").over(order), F.col("t") - 1))).cast("long"))
     numbered = counted.withColumn("_n", F.sum("_fresh").over(order.rangeBetween(Window.unboundedPreceding, 0)) - 1)

@@ -37,10 +37,11 @@ def linear(readings: DataFrame, step_s: int) -> DataFrame:
     samples = known(readings).select("meter", "t", "value", F.lit(0).alias("g")).groupBy("meter", "t", "g").agg(F.avg("value").alias("value"))
     points = grid(readings, step_s).select("meter", "t", F.lit(1).alias("g"), F.lit(None).cast("double").alias("value"))
     w = Window.partitionBy("meter").orderBy("t", "g")
+    # the next sample is the last one of the order turned round: both frames grow row by row
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    turned = Window.partitionBy("meter").orderBy(F.desc("t"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("g") == 0, F.struct("t", "value"))
-    rows = samples.unionByName(points).withColumn("p", F.last(at, True).over(back)).withColumn("n", F.first(at, True).over(ahead)).where("g = 1")
+    rows = samples.unionByName(points).withColumn("p", F.last(at, True).over(back)).withColumn("n", F.last(at, True).over(turned)).where("g = 1")
     share = (F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t"))
     value = F.when(F.col("p").isNull(), F.col("n.value")).when(F.col("n").isNull() | (F.col("p.t") == F.col("t")), F.col("p.value")).otherwise(F.col("p.value") + share * (F.col("n.value") - F.col("p.value")))
     return rows.select("meter", "t", value.alias("value"))

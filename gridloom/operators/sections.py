@@ -48,10 +48,15 @@ def on_sections(readings: DataFrame, on: Column) -> DataFrame:
 def merge_gaps(sections: DataFrame, gap_s: float) -> DataFrame:
     """Sections whose gap is at most gap_s become one."""
     reach = F.max("end").over(in_order("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    rows = sections.withColumn("new", F.when(F.col("start") - reach <= int(gap_s * US), 0).otherwise(1)).withColumn("run", F.sum("new").over(running("start", "end")))
+    rows = sections.withColumn("new", F.when(F.col("start") - reach <= round(gap_s * US), 0).otherwise(1)).withColumn("run", F.sum("new").over(running("start", "end")))
     return rows.groupBy("meter", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("meter", "start", "end")
 
 
+def nonzero_sections(readings: DataFrame, gap_s: float = 2.3) -> DataFrame:
+    """Sections of power above 0; gaps of at most gap_s, as lost samples leave them, are closed."""
+    return merge_gaps(on_sections(readings, F.col("value") > 0), gap_s)
+
+
 def simplify(sections: DataFrame) -> DataFrame:
     return merge_gaps(sections, 0)
 

@@ -73,8 +73,8 @@ def sweep_sql(name: str, sides: dict[str, int]) -> str:
 {name} AS (SELECT * FROM (SELECT meter, t AS s, lead(t) OVER (PARTITION BY meter ORDER BY t) AS e, CAST(sum(w) OVER (PARTITION BY meter ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level FROM {name}_e) WHERE e IS NOT NULL)"""
 
 
-def merge_sql(name: str, source: str, gap: int = 0) -> str:
-    return f"""{name}_m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY meter ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap * 1000000} THEN 0 ELSE 1 END AS new FROM {source}),
+def merge_sql(name: str, source: str, gap: float = 0) -> str:
+    return f"""{name}_m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY meter ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {round(gap * 1000000)} THEN 0 ELSE 1 END AS new FROM {source}),
 {name}_n AS (SELECT *, sum(new) OVER (PARTITION BY meter ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM {name}_m),
 {name} AS (SELECT meter, min(s) AS s, max(e) AS e FROM {name}_n GROUP BY meter, run)"""
 
@@ -104,10 +104,10 @@ def frequency_sections(s, d):
     return sections.frequency_sections(store.events(s, d), 1 / (2 * H))
 
 
-@query(f"WITH {EV}, {on_sql('n', 'value > 0')}, {good_sql('g')}, {sweep_sql('x', {'n': 1, 'g': 1})} {out('x')} WHERE level = 2")
+@query(f"WITH {EV}, {on_sql('n0', 'value > 0')}, {merge_sql('n', 'n0', 2.3)}, {good_sql('g')}, {sweep_sql('x', {'n': 1, 'g': 1})} {out('x')} WHERE level = 2")
 def nonzero_sections(s, d):
     ev = store.events(s, d)
-    return intervals.intersect(sections.on_sections(ev, F.col("value") > 0), sections.good_sections(ev, GAP))
+    return intervals.intersect(sections.nonzero_sections(ev), sections.good_sections(ev, GAP))
 
 
 @query(f"WITH {EV}, {on_sql('n', 'value > 15')} {out('n')}")
@@ -396,9 +396,48 @@ def co_predict(s, d):
     return disaggregate.co_predict(store.events(s, d).select("id", "value"), STATES)
 
 
-@query()
+def runs_sql(state: float = 15) -> str:
+    """rn(meter, run, t, value, first): a run begins with a change by more than `state` after a calm row; its level is the mean from the change's last row on."""
+    return f"""j1 AS (SELECT meter, t, id, value, abs(value - coalesce(lag(value) OVER w, 0)) > {state} AS j FROM ev WHERE value IS NOT NULL WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+j2 AS (SELECT *, CASE WHEN j AND NOT coalesce(lag(j) OVER w, false) THEN 1 ELSE 0 END AS n, j AND coalesce(lead(j) OVER w, false) AS more FROM j1 WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+j3 AS (SELECT *, sum(n) OVER (PARTITION BY meter ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM j2),
+rn AS (SELECT meter, run, min(t) AS t, avg(value) FILTER (NOT more) AS value, coalesce(min(t) FILTER (NOT j), max(t)) AS ends, min(min(t)) OVER (PARTITION BY meter) AS first FROM j3 GROUP BY meter, run)"""
+
+
+def states_sql(noise: float = 70, state: float = 15) -> str:
+    """ss(meter, t, ends, transition, level)"""
+    return f"""{runs_sql(state)}, tr AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY meter ORDER BY run), 0) AS transition FROM rn),
+ss AS (SELECT meter, t, ends, transition, value AS level FROM (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY run) AS k FROM tr WHERE abs(transition) > {noise}) WHERE NOT (k = 1 AND t = first AND value > {noise}))"""
+
+
+@query(f"WITH {EV}, {states_sql()} SELECT meter, t, round(transition, 6) AS transition, round(level, 6) AS level FROM ss")
 def steady_states(s, d):
-    return disaggregate.steady_states(store.events(s, d))
+    return r6(disaggregate.steady_states(store.events(s, d)), "transition", "level")
+
+
+@query(f"""WITH RECURSIVE {EV}, {runs_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY run) AS k FROM rn),
+e(meter, k, t, ends, first, level, transition, before) AS (SELECT meter, k, t, ends, first, value, CASE WHEN abs(value) > 70 THEN value ELSE 0 END, CASE WHEN abs(value) > 70 THEN value ELSE 0 END FROM o WHERE k = 1
+UNION ALL SELECT o.meter, o.k, o.t, o.ends, o.first, o.value, CASE WHEN abs(o.value - e.before) > 70 THEN o.value - e.before ELSE 0 END, CASE WHEN abs(o.value - e.before) > 70 THEN o.value ELSE e.before END FROM o JOIN e ON o.meter = e.meter AND o.k = e.k + 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY k) AS n FROM e WHERE transition <> 0)
+SELECT meter, t, ends, round(transition, 6) AS transition, round(level, 6) AS level FROM f WHERE NOT (n = 1 AND t = first AND level > 70)""")
+def emitted_states(s, d):
+    """The variant whose reference level moves only with what is emitted; with the end of each change."""
+    found = disaggregate.steady_states_of(store.events(s, d), emit_only=True)
+    return r6(found.withColumnsRenamed({"transition_value": "transition", "level_value": "level"}), "transition", "level")
+
+
+@query(f"""WITH {EV}, rp AS (SELECT meter, t, id, value, CASE kind WHEN 'view' THEN value * 0.5 ELSE 10.0 END AS q FROM ev WHERE value IS NOT NULL),
+j1 AS (SELECT *, abs(value - coalesce(lag(value) OVER w, 0)) > 15 OR abs(q - coalesce(lag(q) OVER w, 0)) > 15 AS j FROM rp WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+j2 AS (SELECT *, CASE WHEN j AND NOT coalesce(lag(j) OVER w, false) THEN 1 ELSE 0 END AS n, j AND coalesce(lead(j) OVER w, false) AS more FROM j1 WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+j3 AS (SELECT *, sum(n) OVER (PARTITION BY meter ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM j2),
+rn AS (SELECT meter, run, min(t) AS t, avg(value) FILTER (NOT more) AS p, avg(q) FILTER (NOT more) AS q, min(min(t)) OVER (PARTITION BY meter) AS first FROM j3 GROUP BY meter, run),
+tr AS (SELECT *, p - coalesce(lag(p) OVER w, 0) AS dp, q - coalesce(lag(q) OVER w, 0) AS dq FROM rn WINDOW w AS (PARTITION BY meter ORDER BY run))
+SELECT meter, t, round(dp, 6) AS active, round(dq, 6) AS reactive FROM (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY run) AS k FROM tr WHERE abs(dp) > 70 OR abs(dq) > 70) WHERE NOT (k = 1 AND t = first AND (p > 70 OR q > 70))""")
+def reactive_states(s, d):
+    """Steady states of active and reactive power together; a made-up reactive power."""
+    ev = store.events(s, d).withColumn("q", F.when(F.col("kind") == "view", F.col("value") * 0.5).otherwise(F.lit(10.0)))
+    found = disaggregate.steady_states_of(ev, ("value", "q"))
+    return r6(found.select("meter", "t", F.col("transition_value").alias("active"), F.col("transition_q").alias("reactive")), "active", "reactive")
 
 
 @query()

@@ -77,9 +77,10 @@ def children(rows: DataFrame, building: int | None = None) -> DataFrame:
 def with_external(rows: DataFrame, external: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """External columns (as weather by zip code) at each row's instant: the last known value of the place, before the first one the next."""
     both = rows.withColumns({c: F.lit(None).cast(dict(external.dtypes)[c]) for c in columns}).withColumn("_own", F.lit(True)).unionByName(external.select(on, "t", *columns).withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    order = Window.partitionBy(on).orderBy("t", "_own")
-    back, forth = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(forth)) for c in columns}).where("_own").drop("_own")
+    # the next known value is the last one of the order turned round, so both frames grow row by row
+    upto = lambda *order: Window.partitionBy(on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back, forth = upto("t", "_own"), upto(F.desc("t"), F.desc("_own"))
+    return both.withColumns({c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(forth)) for c in columns}).where("_own").drop("_own")
 
 
 def predictions(wide: DataFrame, dataset: str, building: int, names: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -85,6 +85,37 @@ def test_activations_bridge_and_borders(spark):
     assert [t for s, t in rows if s == 2] == [0, 1, 2, 3, 4, 5, 6] and [t for s, t in rows if s == 9] == [7, 8, 9, 10]
 
 
+def plain_states(rows, noise, state, emit_only):
+    """The rule row by row: (time, change, level)."""
+    est = last = prev = 0.0
+    n, ongoing, cur, out = 0, False, rows[0][0], []
+    for t, v in rows:
+        change = abs(v - prev) > state
+        if change and not ongoing:
+            hit = abs(est - last) > noise
+            if hit:
+                out.append((cur, round(est - last, 6), round(est, 6)))
+            if hit or not emit_only:
+                last = est
+            cur = t
+        n = 0 if change else n
+        est = (n * est + v) / (n + 1)
+        n, ongoing, prev = n + 1, change, v
+    if abs(est - last) > noise:
+        out.append((cur, round(est - last, 6), round(est, 6)))
+    return out[1:] if out and out[0][0] == rows[0][0] and out[0][2] > noise else out
+
+
+@pytest.mark.parametrize("emit_only", [False, True])
+def test_steady_states_against_the_rule_row_by_row(spark, emit_only):
+    rng = random.Random(3)
+    series = {m: [(i, float(rng.choice([0, 5, 40, 90, 100, 130, 300]))) for i in range(rng.randint(1, 60))] for m in range(60)}
+    got = disaggregate.steady_states(readings(spark, [(m, t, v) for m, rows in series.items() for t, v in rows]), 70, 15, emit_only).collect()
+    for m, rows in series.items():
+        mine = sorted((r.t // US, round(r.transition, 6), round(r.level, 6)) for r in got if r.meter == m)
+        assert mine == sorted(plain_states(rows, 70, 15, emit_only)), (m, rows)
+
+
 def test_steady_states_and_pairs(spark):
     v = [0] * 5 + [200] * 5 + [0] * 5
     found = disaggregate.steady_states(readings(spark, [(1, i, x) for i, x in enumerate(v)]))
