@@ -50,8 +50,15 @@ def histogram(readings: DataFrame, lo: float, hi: float, bins: int) -> DataFrame
 
 def activity_histogram(readings: DataFrame, threshold: float) -> DataFrame:
     """(meter, hour, on_days): on how many days the meter was on in each hour of the day."""
-    hours = known(readings).where(F.col("value") >= threshold).select("meter", F.expr(f"t div {3600 * US}").alias("h")).distinct()
-    return hours.groupBy("meter", (F.col("h") % 24).cast("int").alias("hour")).agg(F.count("*").alias("on_days"))
+    return activity_bins(readings, threshold, 86400, 3600).withColumnsRenamed({"bin": "hour", "periods": "on_days"})
+
+
+def activity_bins(readings: DataFrame, threshold: float, period_s: int, bin_s: int) -> DataFrame:
+    """(meter, bin, periods): in how many periods the meter was on in each bin of the period; a period is whole bins and starts where its multiples do (weeks on a Thursday, as 1970 did)."""
+    if period_s % bin_s:
+        raise ValueError("a period is a whole number of bins")
+    bins = known(readings).where(F.col("value") >= threshold).select("meter", F.expr(f"t div {bin_s * US}").alias("b")).distinct()
+    return bins.groupBy("meter", F.pmod("b", F.lit(period_s // bin_s)).cast("int").alias("bin")).agg(F.count("*").alias("periods"))
 
 
 def energy_per_period(readings: DataFrame, max_gap_s: float, period_s: float = 86400) -> DataFrame:
@@ -60,6 +67,32 @@ def energy_per_period(readings: DataFrame, max_gap_s: float, period_s: float = 8
     return rows.select("meter", F.when(F.col("periods") > 0, F.col("kwh") / F.col("periods")).alias("kwh_per_period"))
 
 
+def energy_per_uptime(readings: DataFrame, sections: DataFrame, max_gap_s: float, period_s: float = 86400) -> DataFrame:
+    """Average energy of a period that the meter was up: energy over the uptime of its sections in periods; null without uptime."""
+    up = sections.groupBy("meter").agg(F.sum(F.col("end") - F.col("start")).alias("_up"))
+    periods = F.col("_up") / US / period_s
+    return total_energy(readings, max_gap_s).join(up, "meter", "left").select("meter", F.when(periods > 0, F.col("kwh") / periods).alias("kwh_per_period"))
+
+
+def dropout_in_sections(readings: DataFrame, sections: DataFrame, period_s: float) -> DataFrame:
+    """(meter, rate, n): the dropout rate within sections alone, so gaps between them don't count: each section's rate, weighted by its samples. Sections are closed here."""
+    rows = within(readings, sections.withColumn("end", F.col("end") + 1))
+    span = (F.col("end") - 1 - F.col("start")) / US
+    each = known(rows).groupBy("meter", "start", "end").agg(F.count("*").alias("n")).withColumn("rate", F.greatest(F.lit(0.0), 1 - F.col("n") / (F.rint(span / period_s) + 1)))
+    return weighted_rate(each)
+
+
+def weighted_rate(parts: DataFrame) -> DataFrame:
+    """(meter, rate, n) of partial results (meter, rate, n): rates weighted by their samples, those without a rate left out."""
+    some = parts.where("rate is not null and n > 0")
+    return some.groupBy("meter").agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
+
+
+def mean_dropout(rates: DataFrame) -> DataFrame:
+    """(rate): the plain mean over meters, for a group."""
+    return rates.agg(F.avg("rate").alias("rate"))
+
+
 def fraction_per_meter(energy: DataFrame) -> DataFrame:
     whole = energy.agg(F.sum("kwh").alias("whole"))
     return energy.crossJoin(F.broadcast(whole)).select("meter", F.expr("try_divide(kwh, whole)").alias("fraction"))  # one row
@@ -70,6 +103,28 @@ def top_k(energy: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     return energy.orderBy(order, "meter").limit(k)
 
 
+def top_k_by(rows: DataFrame, k: int, by: str, ascending: bool = False, others: bool = False) -> DataFrame:
+    """(meter, by) of the k meters of the highest (or lowest) value, nulls left out, of equal ones the smaller meter; with `others` a row without meter that holds the sum of the rest."""
+    order = [F.col(by).asc() if ascending else F.col(by).desc(), F.col("meter")]
+    some = rows.where(F.col(by).isNotNull()).select("meter", by)
+    best = some.orderBy(*order).limit(k)
+    if not others:
+        return best
+    rest = some.join(F.broadcast(best.select("meter")), "meter", "left_anti").agg(F.sum(by).alias(by), F.count("*").alias("_n")).where("_n > 0")  # k rows
+    return best.unionByName(rest.select(F.lit(None).cast(dict(rows.dtypes)["meter"]).alias("meter"), by))
+
+
+def mean_over_types(energies: DataFrame, other: DataFrame) -> DataFrame:
+    """(meter, proportion) of energies (meter, ac_type, kwh): over those of the other, the mean over the AC types that both have; types of which the other has 0 don't count."""
+    both = energies.join(other.withColumnRenamed("kwh", "_other"), ["meter", "ac_type"]).where("_other <> 0")
+    return both.groupBy("meter").agg(F.avg(F.col("kwh") / F.col("_other")).alias("proportion"))
+
+
+def fraction_over_types(energies: DataFrame) -> DataFrame:
+    """(meter, fraction) of energies (meter, ac_type, kwh): each meter counts with the largest over its AC types."""
+    return fraction_per_meter(energies.groupBy("meter").agg(F.max("kwh").alias("kwh")))
+
+
 def with_remainder(energy: DataFrame, mains_kwh: Column, label: int = -1) -> DataFrame:
     rest = energy.agg(F.sum("kwh").alias("kwh")).select(F.lit(label).cast(dict(energy.dtypes)["meter"]).alias("meter"), (mains_kwh - F.col("kwh")).alias("kwh"))
     return energy.unionByName(rest)
@@ -88,6 +143,23 @@ def proportion_of_energy(own: DataFrame, other: DataFrame, good: DataFrame, max_
     return b.join(a, "meter", "left").select("meter", F.when(F.col("b") != 0, F.coalesce("a", F.lit(0.0)) / F.col("b")).alias("proportion"))
 
 
+def gram_pairs(grid: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b, r, n) of rows (meter, g, value) with a <= b: the correlation over shared instants, null where either is constant.
+
+    Meters go into blocks by hash. For each instant the values of a block are one array, so a pair of blocks meets in one row
+    an instant, and the sums of all its pairs come out of one pass; pairs without a shared instant are left out.
+    """
+    many = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("meter") / block)).cast("int")
+    blocks = int(grid.agg(many).first()[0])
+    rows = grid.where("value is not null").withColumn("_b", F.pmod(F.xxhash64("meter"), F.lit(blocks)).cast("int"))
+    packed = rows.groupBy("g", "_b").agg(F.collect_list(F.struct("meter", "value")).alias("_v"))  # one block's meters
+    side = lambda k: packed.select("g", F.col("_b").alias(f"_b{k}"), F.col("_v").alias(f"_v{k}"))
+    both = side(0).join(side(1), "g").where("_b0 <= _b1").select("_b0", "_b1", F.explode("_v0").alias("p"), "_v1").select("_b0", "_b1", "p", F.explode("_v1").alias("q"))
+    swap = F.col("p.meter") > F.col("q.meter")
+    both = both.where("_b0 <> _b1 or p.meter <= q.meter").select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"))
+    return both.groupBy(F.col("p.meter").alias("a"), F.col("q.meter").alias("b")).agg(F.corr("p.value", "q.value").alias("r"), F.count("*").alias("n"))
+
+
 def correlation_pairs(grid: DataFrame) -> DataFrame:
     """Pearson correlation of every two kinds of a series that share grid instants: rows (kind, g, value)."""
     a, b = grid.select(F.col("kind").alias("a"), "g", F.col("value").alias("x")), grid.select(F.col("kind").alias("b"), "g", F.col("value").alias("y"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import day_group, hour_group
+
 
 def lag_features(grid: DataFrame, lags: list[int]) -> DataFrame:
     """Shifted values (a negative lag looks ahead); rows without the largest shift are dropped."""
@@ -17,6 +22,49 @@ def lag_features(grid: DataFrame, lags: list[int]) -> DataFrame:
     return rows.dropna(subset=[f"lag_{max(lags)}"]) if max(lags) > 0 else rows
 
 
+def horizon_features(grid: DataFrame, target_lags: list[int], last_lags: list[int], horizons: list[int]) -> DataFrame:
+    """(meter, t, horizon, target, target_<k>..., last_<k>...): what a forecast of t + horizon knows at t.
+
+    A lag of the target's kind counts back from the target (and must not reach past t), one of the last entry's kind from t;
+    rows whose largest shift finds nothing are dropped. One ordered pass serves all horizons.
+    """
+    if any(k < h for k in target_lags for h in horizons):
+        raise ValueError("a target's lag must be as long as the horizon")
+    order = Window.partitionBy("meter").orderBy("t")
+    shift = lambda k: (F.lag("value", k) if k >= 0 else F.lead("value", -k)).over(order)
+    structs = [F.struct(F.lit(h).alias("horizon"), shift(-h).alias("target"), *(shift(k - h).alias(f"target_{k}") for k in target_lags), *(shift(k).alias(f"last_{k}") for k in last_lags)) for h in horizons]
+    rows = grid.select("meter", "t", F.array(*structs).alias("_h")).select("meter", "t", F.explode("_h").alias("h")).select("meter", "t", "h.*")
+    names = [f"target_{k}" for k in target_lags] + [f"last_{k}" for k in last_lags]
+    return rows.dropna(subset=["target", *names])
+
+
+def group_features(grid: DataFrame, day_groups: list[str], hour_groups: list[str]) -> DataFrame:
+    """grid with a 0/1 column a group of weekdays (`days_0-4`) and of hours (`hours_06-09`)."""
+    ts = F.timestamp_micros("t")
+    return grid.withColumns({f"days_{g}": day_group(ts, g) for g in day_groups} | {f"hours_{g}": hour_group(ts, g) for g in hour_groups})
+
+
+def with_external(grid: DataFrame, external: DataFrame, columns: list[str], horizon_us: int = 0) -> DataFrame:
+    """grid with the external columns (meter, t, ...) of the instant a horizon later; null where there are none."""
+    return grid.join(external.select("meter", (F.col("t") - horizon_us).alias("t"), *columns), ["meter", "t"], "left")
+
+
+def classification_sample(spark: SparkSession, rows: int, width: int, classes: int, seed: int = 0) -> DataFrame:
+    """(id, label, features array<double>): random points around their class; draws follow from the id, so partitions don't change them."""
+    draw = lambda *k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), *(F.lit(x) for x in k)), 11) / float(1 << 53)
+    label = F.floor(draw("label") * classes).cast("int")
+    table = spark.range(rows).withColumn("label", label)
+    return table.select("id", "label", F.array(*((F.col("label") + 1) * (draw("x", k) + 3.0) for k in range(width))).alias("features"))
+
+
+def sweep(run: Callable[..., DataFrame], settings: list[dict]) -> DataFrame:
+    """The rows of run(**setting) for each of the settings, with the setting as JSON; one plan, so they run together."""
+    if not settings:
+        raise ValueError("no settings")
+    parts = [run(**x).withColumn("setting", F.lit(json.dumps(x, sort_keys=True))) for x in settings]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def time_features(grid: DataFrame) -> DataFrame:
     ts = F.timestamp_micros("t")
     minutes = F.hour(ts) * 60 + F.minute(ts)

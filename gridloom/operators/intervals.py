@@ -93,3 +93,55 @@ def train_test_split(sections: DataFrame, period_s: float, fraction: float = 0.5
     rows = rows.withColumn("target", F.lit(fraction) * F.sum("n").over(Window.partitionBy("meter"))).withColumn("k", F.count("*").over(Window.partitionBy("meter")))
     hit = rows.where("upto > target or k = 1").withColumn("first", F.row_number().over(in_order("start"))).where("first = 1")
     return hit.select("meter", (F.col("start") + F.floor((F.col("target") - (F.col("upto") - F.col("n"))) * period_s) * US).cast("long").alias("split"))
+
+
+def adjacent(a: DataFrame, b: DataFrame, gap_s: float = 0) -> DataFrame:
+    """(meter, a_start, a_end, b_start, b_end): sections of a and b of which either begins at the other's end or at most gap_s after it.
+
+    Ends and starts meet in buckets of the gap, so the join is an equi join.
+    """
+    reach = round(gap_s * US)
+    step = max(reach, 1)
+    at = lambda c: F.expr(f"{c} div {step}")
+
+    def follows(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:
+        left = first.select("meter", F.col("start").alias(f"{names[0]}_start"), F.col("end").alias(f"{names[0]}_end"), F.explode(F.array(at("end"), at("end") + 1)).alias("_k"))
+        right = second.select("meter", F.col("start").alias(f"{names[1]}_start"), F.col("end").alias(f"{names[1]}_end"), at("start").alias("_k"))
+        return left.join(right, ["meter", "_k"]).where(F.col(f"{names[1]}_start").between(F.col(f"{names[0]}_end"), F.col(f"{names[0]}_end") + reach)).drop("_k")
+
+    columns = ["meter", "a_start", "a_end", "b_start", "b_end"]
+    return follows(a, b, ("a", "b")).select(*columns).unionByName(follows(b, a, ("b", "a")).select(*columns)).distinct()
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """The sections that lie wholly in one of the other table's disjoint sections."""
+    order = Window.partitionBy("meter").orderBy("start", "_kind", F.desc("end"))
+    both = inner.select("meter", "start", "end", F.lit(1).alias("_kind")).unionByName(outer.select("meter", "start", "end", F.lit(0).alias("_kind")))
+    reach = F.max(F.when(F.col("_kind") == 0, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_reach", reach).where("_kind = 1 and end <= _reach").select("meter", "start", "end")
+
+
+def overlapping(sections: DataFrame) -> DataFrame:
+    """The sections that begin before an earlier one of their meter has ended."""
+    before = F.max("end").over(in_order("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    return sections.select("meter", "start", "end", before.alias("_before")).where("start < _before").drop("_before")
+
+
+def check_no_overlap(sections: DataFrame) -> DataFrame:
+    """The same sections; ValueError if any two of a meter overlap."""
+    clash = overlapping(sections).first()
+    if clash:
+        raise ValueError(f"sections of meter {clash.meter} overlap at {clash.start}")
+    return sections
+
+
+def bounded(sections: DataFrame, lowest: int, highest: int) -> DataFrame:
+    """Sections with open bounds (null) closed by the given ones; empty ones are left out."""
+    return sections.select("meter", F.coalesce("start", F.lit(lowest)).alias("start"), F.coalesce("end", F.lit(highest)).alias("end")).where("start < end")
+
+
+def time_span(sections: DataFrame, intersection: bool = True) -> DataFrame:
+    """(start, end) of a group from its meters' hulls: what they share, or what they cover; no row where that is empty."""
+    each = hull(sections)
+    ends = (F.max("start"), F.min("end")) if intersection else (F.min("start"), F.max("end"))
+    return each.agg(ends[0].alias("start"), ends[1].alias("end")).where("start < end")

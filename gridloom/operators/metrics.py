@@ -51,3 +51,42 @@ def prematch(scores: DataFrame) -> DataFrame:
     """Each prediction with the truth of the best mcc above 0: rows (pred, truth, mcc)."""
     best = F.row_number().over(Window.partitionBy("pred").orderBy(F.desc("mcc"), "truth"))
     return scores.where("mcc > 0").withColumn("n", best).where("n = 1").drop("n")
+
+
+def sample_confusion(pairs: DataFrame, threshold: Column | float = 10.0) -> DataFrame:
+    """Counts and rates of on-states of aligned samples (meter, t, pred, truth): on is at or above the threshold; samples with a null are left out.
+
+    (meter, tp, fp, fn, tn, tpr, fpr, precision, recall, f1, hamming); a rate over nothing is null.
+    """
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    on, true = F.col("pred") >= limit, F.col("truth") >= limit
+    n = lambda c, name: F.count_if(c).alias(name)
+    counts = pairs.dropna(subset=["pred", "truth"]).groupBy("meter").agg(n(on & true, "tp"), n(on & ~true, "fp"), n(~on & true, "fn"), n(~on & ~true, "tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return counts.select(
+        "meter", "tp", "fp", "fn", "tn", div(tp, tp + fn).alias("tpr"), div(fp, fp + tn).alias("fpr"), div(tp, tp + fp).alias("precision"),
+        div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"), div(fp + fn, tp + fp + fn + tn).alias("hamming"),
+    )
+
+
+#: Metrics by name: what each takes (`energies`, `pairs` or `confusion`) and the column that holds it.
+REGISTRY = {
+    "error_energy": ("energies", energy_errors, "error"), "energy_assigned": ("energies", energy_errors, "assigned"), "deviation": ("energies", energy_errors, "deviation"),
+    "rmse": ("pairs", pointwise, "rmse"), "mae": ("pairs", pointwise, "mae"), "mne": ("pairs", pointwise, "mne"), "disagg_error": ("pairs", pointwise, "disagg_error"), "teca": ("pairs", pointwise, "teca"),
+    "precision": ("confusion", durations, "precision"), "recall": ("confusion", durations, "recall"), "f1": ("confusion", durations, "f1"), "accuracy": ("confusion", durations, "accuracy"), "mcc": ("confusion", durations, "mcc"),
+    "tpr": ("pairs", sample_confusion, "tpr"), "fpr": ("pairs", sample_confusion, "fpr"), "hamming": ("pairs", sample_confusion, "hamming"),
+}
+
+
+def per_appliance(wanted: list[str], **inputs: DataFrame) -> DataFrame:
+    """(meter, metric, value) of the wanted metrics; each source is computed once. An unknown name or a missing input raises KeyError."""
+    by_source: dict = {}
+    for name in wanted:
+        source, make, column = REGISTRY[name]
+        by_source.setdefault((source, make), []).append((name, column))
+    out = None
+    for (source, make), columns in by_source.items():
+        wide = make(inputs[source]).select("meter", *(F.col(c).cast("double").alias(n) for n, c in columns))
+        long = wide.unpivot(["meter"], [n for n, _ in columns], "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.sections import US, in_order, known
+from gridloom.operators.energy import within
+from gridloom.operators.sections import US, in_order, known, merge_gaps
 
 
 def bin_start(step_s: int, t: str = "t") -> Column:
@@ -72,6 +75,56 @@ def align(master: DataFrame, slave: DataFrame) -> DataFrame:
     return a.join(b, ["meter", "t"]).where("master is not null and slave is not null")
 
 
+def downsample(readings: DataFrame, width: int) -> DataFrame:
+    """(meter, t, value, low, high): at most `width` + 1 bins over each meter's own span, the bin's mean and extremes; a bin is a whole number of seconds, one at least."""
+    span = known(readings).groupBy("meter").agg(F.min("t").alias("_from"), F.greatest(F.lit(1.0), F.rint((F.max("t") - F.min("t")) / US / width)).alias("_step"))
+    step = (F.col("_step") * US).cast("long")
+    rows = known(readings).join(span, "meter").withColumn("_bin", (F.col("_from") + F.floor((F.col("t") - F.col("_from")) / step) * step).cast("long"))
+    return rows.groupBy("meter", F.col("_bin").alias("t")).agg(F.avg("value").alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def spectrum(grid: DataFrame, samples: int) -> DataFrame:
+    """(meter, part, k, magnitude) of a gap-free grid: the Fourier magnitudes 0..samples/2 of each `samples` consecutive values; a last part of fewer is left out, nulls count as 0.
+
+    Parts are cut by row number, so a task holds one part at a time however long a series is.
+    """
+    order = Window.partitionBy("meter").orderBy("t")
+    rows = grid.withColumn("_n", F.row_number().over(order) - 1).select("meter", F.expr(f"_n div {samples}").alias("part"), (F.col("_n") % samples).alias("_k"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    packed = rows.groupBy("meter", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("v")).where(F.size("v") == samples)
+
+    def run(batches):
+        for b in batches:
+            found = np.abs(np.fft.rfft(np.stack(b["v"].to_numpy()), axis=1)) if len(b) else np.zeros((0, 1))
+            yield pd.DataFrame({"meter": b["meter"], "part": b["part"], "m": list(found)})
+
+    found = packed.mapInPandas(run, f"meter {dict(grid.dtypes)['meter']}, part long, m array<double>")
+    return found.select("meter", "part", F.posexplode("m").alias("k", "magnitude"))
+
+
+def sliding(readings: DataFrame, length_s: int, step_s: int) -> DataFrame:
+    """(meter, t, value, n): mean and number of the known readings in each window of length_s that begins at a multiple of step_s."""
+    step, count = step_s * US, -(-length_s // step_s)
+    start = F.expr(f"t - pmod(t, {step})")
+    rows = known(readings).withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: start - k * step))).where(F.col("t") < F.col("_at") + length_s * US)
+    return rows.groupBy("meter", F.col("_at").alias("t")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+
+
+def session_totals(readings: DataFrame, gap_s: int) -> DataFrame:
+    """(meter, start, end, n, total) of sessions that a gap of more than gap_s ends; the end is the last reading's time."""
+    order = Window.partitionBy("meter").orderBy("t", "id")
+    new = F.when(F.col("t") - F.lag("t").over(order) <= gap_s * US, 0).otherwise(1)
+    rows = known(readings).withColumn("_new", new).withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("meter", "_s").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"), F.sum("value").alias("total")).drop("_s")
+
+
+def align_in_good(master: DataFrame, slave: DataFrame, step_s: int, good: DataFrame) -> DataFrame:
+    """(meter, t, master, slave) on a grid, both as means of their bins, within the master's good sections (gaps up to one step closed); either may be null, not both."""
+    a = mean(master, step_s).withColumnRenamed("value", "master")
+    b = mean(slave, step_s).withColumnRenamed("value", "slave")
+    both = a.join(b, ["meter", "t"], "full")
+    return within(both, merge_gaps(good, step_s))
+
+
 def nearest(values: Column, x: Column) -> Column:
     """The element of an array nearest to x; of two the larger."""
     return F.array_min(F.transform(values, lambda v: F.struct(F.abs(v - x).alias("d"), (-v).alias("o"), v.alias("v"))))["v"]

@@ -81,4 +81,4 @@ def gap_histogram(sections: DataFrame, edges_s: list[int]) -> DataFrame:
 
 def missing_phases(sections: DataFrame, phase: Column, phases: list[int]) -> DataFrame:
     """For each meter and phase whether there is any section."""
-    return sections.withColumn("phase", phase).groupBy("meter").pivot("phase", phases).agg(F.count("*") > 0).na.fill(False)
+    return sections.withColumn("phase", phase).groupBy("meter").pivot("phase", phases).agg(F.count("start") > 0).na.fill(False)

@@ -6,6 +6,7 @@ Events play the readings (a user is a meter), regions, nations, customers and su
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    """The other query modules add theirs when they are imported."""
+    import_module("gridloom.plans.metadata_queries")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)
 
 

@@ -31,6 +31,34 @@ def timeframe(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset", "building", "meter").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
+def row_count(rows: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(dataset, building, meter, n) of the rows in a window, the end exclusive."""
+    rows = rows.where(F.col("ts") >= F.lit(start).cast("timestamp")) if start else rows
+    rows = rows.where(F.col("ts") < F.lit(end).cast("timestamp")) if end else rows
+    return rows.groupBy("dataset", "building", "meter").agg(F.count("*").alias("n"))
+
+
+def has_columns(rows: DataFrame, columns: list[str]) -> bool:
+    return set(columns) <= set(rows.columns)
+
+
+def memory_bytes(n: int, columns: int) -> int:
+    """What so many rows take in memory: four bytes a value and eight a timestamp."""
+    return n * (4 * columns + 8)
+
+
+def check_memory(n: int, columns: int, most: int) -> None:
+    """For rows that are to be collected; MemoryError beyond the limit."""
+    if memory_bytes(n, columns) > most:
+        raise MemoryError(f"{memory_bytes(n, columns)} bytes; at most {most} are allowed")
+
+
+def first_of_each(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row a (meter, t): the first in the given order."""
+    n = F.row_number().over(Window.partitionBy("meter", "t").orderBy(*order))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
 def convert(spark: SparkSession, source: str, target: str, source_fmt: str, target_fmt: str) -> None:
     save(load(spark, source, source_fmt), target, target_fmt, "overwrite")
 
