@@ -113,7 +113,7 @@ class Index:
         halves = np.maximum(-(-np.diff(bounds) // self.half), 1)
         base = np.append(0, np.cumsum(halves))
         n = len(self.vocabulary)
-        both = np.unique((base[doc] + (pos - bounds[doc]) // self.half) * n + term)  # each word once a half window
+        both = textnum.different((base[doc] + (pos - bounds[doc]) // self.half) * n + term)  # each word once a half window
         at, term = both // n, both % n
         # pivot words call up their blocks, in the passage that begins with their half and in the one before
         size = self.lead_at[term + 1] - self.lead_at[term]
@@ -122,7 +122,7 @@ class Index:
         follows[base[:-1]] = False  # the first half of a text
         ends = ~follows[half + 1]  # the last half of a text begins no passage unless it is the only one
         only = ends & ~follows[half]
-        pairs = np.unique(np.concatenate([half[~ends | only] * self.blocks + block[~ends | only], (half[follows[half]] - 1) * self.blocks + block[follows[half]]]))
+        pairs = textnum.different(np.concatenate([half[~ends | only] * self.blocks + block[~ends | only], (half[follows[half]] - 1) * self.blocks + block[follows[half]]]))
         token = np.searchsorted(at, np.arange(base[-1] + 2))
         for lo in range(0, len(pairs), 4096):
             yield from self._evaluate(pairs[lo : lo + 4096], token, follows, term, bounds, base)
@@ -131,13 +131,12 @@ class Index:
         window, k = pairs // self.blocks, pairs % self.blocks
         lo, hi = token[window], token[window + 1 + follows[np.minimum(window + 1, len(follows) - 1)]]
         pick = np.repeat(np.arange(len(pairs)), hi - lo)
-        n = len(self.vocabulary)
-        key = np.unique(pick * n + term[textnum.ranges(lo, hi - lo)])
-        pick, t = key // n, key % n
-        cell = t * self.blocks + k[pick]
+        cell = term[textnum.ranges(lo, hi - lo)] * self.blocks + k[pick]
         place = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
         hit = self.cells[place] == cell
-        pick, place = pick[hit], place[hit]
+        # a word in both halves of a passage counts once
+        key = textnum.different(pick[hit] * len(self.cells) + place[hit])
+        pick, place = key // len(self.cells), key % len(self.cells)
         reach = np.bincount(pick, self.peak[place], len(pairs)) >= self.theta - 1e-9
         pick, place = pick[reach[pick]], place[reach[pick]]
         count = self.cell_at[place + 1] - self.cell_at[place]

@@ -123,6 +123,12 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+def different(x: np.ndarray) -> np.ndarray:
+    """The different values in ascending order; for many short arrays faster than np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class PieceTable:
     """Open-addressing table from a 64-bit hash to a row number; grows to the given number of entries, then starts anew."""
 
