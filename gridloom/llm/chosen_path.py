@@ -53,7 +53,7 @@ def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
                 s, at = textnum.shingles(h, bounds, words)
                 out = []
                 for k in range(j - i):
-                    u = np.unique(s[at[k] : at[k + 1]])
+                    u = textnum.different(s[at[k] : at[k + 1]])
                     key = textnum.mix(u) if len(u) else u
                     out.append((len(u), int(key.sum(dtype=np.uint64).view(np.int64)), int(textnum.mix(key + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), embed(u).tobytes() if len(u) else None))
                 cols = list(zip(*out, strict=True))
@@ -199,7 +199,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
             for i, j, raw, off in textnum.text_slices(b.column(4)):
                 _, _, h, bounds = textnum.words(raw, off)
                 s, at = textnum.shingles(h, bounds, words)
-                unique = [np.unique(s[at[k] : at[k + 1]]).tobytes() for k in range(j - i)]
+                unique = [textnum.different(s[at[k] : at[k + 1]]).tobytes() for k in range(j - i)]
                 yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(4)), pa.array(unique, pa.binary())], names=["node", "root", "size", "copies", "grams"])
 
     grams = texts.select("node", "root", "size", "copies", "text").mapInArrow(hashed, "node long, root long, size long, copies long, grams binary")
