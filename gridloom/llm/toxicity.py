@@ -40,7 +40,7 @@ def _over_texts(docs: DataFrame, carried: Sequence[str], schema: str, make) -> D
         for b in batches:
             for i, j, raw, off in textnum.text_slices(b.column(n)):
                 h, bounds = textnum.words_and_stems(raw, off)
-                sets += [np.unique(h[bounds[k] : bounds[k + 1]]) for k in range(j - i)]
+                sets += [textnum.different(h[bounds[k] : bounds[k + 1]]) for k in range(j - i)]
                 rows.append([b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in range(n)])
                 size += len(h)
                 if size > 1 << 22:
@@ -187,7 +187,7 @@ def _places(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _indicators(h: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> Sparse:
     hit, at = _places(h, vocabulary)
     width = max(len(vocabulary), 1)
-    cell = np.unique((np.searchsorted(bounds, hit, "right") - 1) * width + at)
+    cell = textnum.different((np.searchsorted(bounds, hit, "right") - 1) * width + at)
     return Sparse(cell // width, cell % width, len(bounds) - 1, len(vocabulary))
 
 
