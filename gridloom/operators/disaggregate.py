@@ -206,10 +206,10 @@ def fhmm_train(readings: DataFrame, levels: list[float], prior: float = 1.0) ->
     return full.select("meter", F.col("state").cast("int").alias("state"), F.coalesce("mean", F.get(states, F.col("state").cast("int"))).alias("mean"), "n", share.alias("start"), F.array(*(m / sum(moves, F.lit(0.0)) for m in moves)).alias("move"))
 
 
-def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0, moves: dict[str, list[list[float]]] | None = None) -> DataFrame:
-    """Viterbi decoding of the product chain of all devices (last device fastest), a task a meter.
+def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0, moves: dict[str, list[list[float]]] | None = None, longest: int = 1 << 20) -> DataFrame:
+    """Viterbi decoding of the product chain of all devices (last device fastest), a task for each `longest` samples of a meter.
 
-    `moves` gives a device's matrix of moves, as trained; a device without one stays with probability `stay`.
+    Each such stretch is decoded by itself. `moves` gives a device's matrix of moves, as trained; a device without one stays with probability `stay`.
     """
     names = list(states)
     combos = np.array(list(itertools.product(*states.values())), float)
@@ -224,7 +224,7 @@ def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float =
         rows = rows.sort_values(["t", "id"])
         v = rows["value"].to_numpy(float)
         fit = -((v[:, None] - total[None]) ** 2) / (2 * variance)
-        best, back = fit[0] - np.log(len(total)), np.zeros(fit.shape, int)
+        best, back = fit[0] - np.log(len(total)), np.zeros(fit.shape, np.int16 if len(total) < 1 << 15 else np.int32)
         for k in range(1, len(v)):
             step = best[:, None] + log_move
             back[k] = step.argmax(0)
@@ -236,7 +236,9 @@ def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float =
         return pd.DataFrame({"meter": rows["meter"].to_numpy(), "t": rows["t"].to_numpy()} | {n: found[:, i] for i, n in enumerate(names)})
 
     kind = dict(mains.dtypes)["meter"]
-    return known(mains).select("meter", "t", "id", "value").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, " + ", ".join(f"`{n}` double" for n in names))
+    place = F.row_number().over(Window.partitionBy("meter").orderBy("t", "id")) - 1
+    cut = known(mains).select("meter", "t", "id", "value").withColumn("_part", (place / longest).cast("int"))
+    return cut.groupBy("meter", "_part").applyInPandas(one, f"meter {kind}, t long, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
