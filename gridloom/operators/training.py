@@ -118,7 +118,7 @@ def fit_chains(packed: DataFrame, states: int, rounds: int = 10, prior: float =
     k = states
     values = packed.select("key", F.explode("v").alias("x"))
     share = [(i + 0.5) / k for i in range(k)]
-    spread = values.groupBy("key").agg(F.percentile_approx("x", share, 10_000).alias("mean"), F.greatest(F.var_pop("x") / k, F.lit(least_var)).alias("v0"))
+    spread = values.groupBy("key").agg(F.percentile_approx("x", share, 10_000).alias("mean"), F.greatest(F.var_pop("x") / (k * k), F.lit(least_var)).alias("v0"))
     near = lambda i: F.array(*(F.lit(0.9 if i == j else 0.1 / max(k - 1, 1)) for j in range(k))) if k > 1 else F.array(F.lit(1.0))
     # equal quantiles would stay equal, so each is moved a little
     mean = F.transform("mean", lambda m, i: m + i * F.sqrt("v0") * 0.1)

@@ -38,6 +38,7 @@ def query(sql: str | None = None):
 def _all() -> None:
     """The other query modules add theirs when they are imported."""
     import_module("gridloom.plans.metadata_queries")
+    import_module("gridloom.plans.training_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -448,11 +449,6 @@ def reactive_states(s, d):
     return r6(found.select("meter", "t", F.col("transition_value").alias("active"), F.col("transition_q").alias("reactive")), "active", "reactive")
 
 
-@query()
-def hart_pairs(s, d):
-    return disaggregate.pair_transitions(disaggregate.steady_states(store.events(s, d), emit_only=True))
-
-
 @query(f"""WITH {EV}, l AS (SELECT meter, t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS delta FROM ev), w AS (SELECT * FROM l WHERE abs(delta) > 40),
 p AS (SELECT a.meter, a.t AS on_t, b.t AS off_t, a.delta AS x, b.delta AS y FROM w a JOIN w b ON a.meter = b.meter AND a.delta > 0 AND b.delta < 0 AND b.t > a.t AND b.t < a.t + 86400000000 AND abs(a.delta + b.delta) < 20)
 SELECT meter, on_t, off_t, round(1e9 * (exp(-((x - 80) ** 2) / (2 * 50.0 ** 2)) / (50 * sqrt(2 * pi()))) * (exp(-((y + 80) ** 2) / (2 * 50.0 ** 2)) / (50 * sqrt(2 * pi()))) * (exp(-((((off_t - on_t) / 1e6) - 30000) ** 2) / (2 * 20000.0 ** 2)) / (20000 * sqrt(2 * pi()))), 6) AS likelihood FROM p""")
@@ -466,11 +462,6 @@ def kmeans_states(s, d):
     return disaggregate.cluster_states(store.events(s, d))
 
 
-@query()
-def fhmm_decode(s, d):
-    return disaggregate.fhmm_decode(store.events(s, d), STATES)
-
-
 @query(f"WITH {EV}, {MEAN}, l AS (SELECT meter, t, round(value, 6) AS value, round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 3) OVER w, 6) AS lag_3 FROM mn WINDOW w AS (PARTITION BY meter ORDER BY t)) SELECT * FROM l WHERE lag_3 IS NOT NULL")
 def lag_features(s, d):
     return r6(forecast.lag_features(resample.mean(store.events(s, d), H), [1, 3]), "value", "lag_1", "lag_3")
@@ -705,19 +696,6 @@ def filled_power(s, d):
     return disaggregate.filled_power(store.events(s, d), disaggregate.centroid_states(transitions(s, d), CENTROIDS), CENTROIDS)
 
 
-@query()
-def pairs_from_falls(s, d):
-    """A sequential rule, not in SQL."""
-    return r6(disaggregate.pair_from_falls(transitions(s, d)), "on", "off")
-
-
-@query()
-def accepted_pairs(s, d):
-    """Greedy acceptance, not in SQL."""
-    found = disaggregate.likelihood_pairs(transitions(s, d).withColumnRenamed("transition", "delta"), DAY, 60, (80, 40), (-80, 40), (20000, 20000))
-    return disaggregate.accept_pairs(found)
-
-
 @query(f"""WITH {EV}, h AS (SELECT meter, value AS x, hour(make_timestamp(t)) AS y FROM ev WHERE value IS NOT NULL),
 p AS (SELECT a.meter, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS nx, count(*) FILTER (a.y <> b.y) AS ny FROM h a JOIN h b ON a.meter = b.meter GROUP BY a.meter)
 SELECT meter, round(CASE WHEN nx > 0 AND ny > 0 THEN s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau FROM p""")
@@ -798,13 +776,6 @@ def pair_centroids(s, d):
     return r6(eventbased.pair_centroids(disaggregate.pair_from_falls(transitions(s, d)), 20), "centroid")
 
 
-@query()
-def switch_parameters(s, d):
-    """What the likelihood pairing is trained to, from pairs that are found sequentially."""
-    found = eventbased.switch_parameters(disaggregate.pair_from_falls(transitions(s, d)), F.col("on_t"), F.col("off_t"))
-    return r6(found, *(c for c in found.columns if c != "meter"))
-
-
 @query(f"""WITH {EV}, p AS (SELECT meter, t, id, value, CASE WHEN value < 30 THEN 0 WHEN value < 130 THEN 1 ELSE 2 END AS state FROM ev WHERE value IS NOT NULL),
 n AS (SELECT *, lead(state) OVER (PARTITION BY meter ORDER BY t, id) AS nx FROM p),
 c AS (SELECT meter, state, count(*) AS n, avg(value) AS mean, count_if(nx = 0) AS a, count_if(nx = 1) AS b, count_if(nx = 2) AS c FROM n GROUP BY ALL),
