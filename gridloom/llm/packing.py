@@ -205,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
     ranks of a part begin is a running sum over the counts of the parts. To the driver go `capacity` counts.
     """
     spark = pieces.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = common.durable(pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")))
     names = [c for c in pieces.columns if c != "_part"]
     sizes = common.durable(pieces.groupBy(F.col(length_col).alias("_length"), "_part").agg(F.count("*").alias("_count")))
