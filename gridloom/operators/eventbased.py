@@ -141,13 +141,22 @@ def split_fours(transients: DataFrame, threshold: float = 15) -> DataFrame:
     return transients.where("size = 4").join(known, ["meter", "segment"]).withColumn("grp", F.substring(F.col("_pattern"), F.col("place") + 1, F.lit(1)).cast("int")).drop("_pattern")
 
 
-def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of: list[str] | None = None, seed: int = 1) -> DataFrame:
-    """rows with `component` and `confident`: Gaussians fitted to all rows, as many as have the least BIC.
+def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of: list[str] | None = None, seed: int = 1, emphasis: dict[str, float] | None = None, criterion: str = "bic") -> DataFrame:
+    """rows with `component` and `confident`: Gaussians fitted to all rows, as many as have the least BIC (or AIC, by `criterion`).
+
+    `emphasis` makes a column count more (above 1) or less: the fit sees it so many times as wide, and distances are measured so.
 
     Confident is a row whose posterior is above 0.9 or which lies within a Mahalanobis distance of 1, unless its component is
     spread out (in one of `spread_of` above 0.3 of the mean and 10, with none below 0.01 of it) or small (fewer than 5 rows or a tenth of the average).
     No rows, or one different row, make component 0 without confidence.
     """
+    if criterion not in ("bic", "aic"):
+        raise ValueError(f"unknown criterion {criterion!r}")
+    if emphasis:
+        given = rows
+        scaled = rows.withColumns({f"_e_{c}": F.col(c) for c in emphasis}).withColumns({c: F.col(c) * float(f) for c, f in emphasis.items()})
+        found = mixture_by_bic(scaled, columns, most, spread_of, seed, None, criterion)
+        return found.withColumns({c: F.col(f"_e_{c}") for c in emphasis}).select(*given.columns, "component", "confident")
     raw = _vectors(rows, columns).persist()
     try:
         n, different = raw.count(), raw.select(*columns).distinct().limit(most + 1).count()
@@ -165,7 +174,8 @@ def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of
                 model = GaussianMixture(k=k, seed=seed, featuresCol="_raw", predictionCol="component", probabilityCol="_p").fit(raw)
                 fits.append((model.summary.logLikelihood, k, model, [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]))
         free = len(columns) * (len(columns) + 3) // 2
-        _, k, model, parts = min(fits, key=lambda f: -2 * f[0] + (f[1] * (free + 1) - 1) * math.log(n))
+        each = math.log(n) if criterion == "bic" else 2.0
+        _, k, model, parts = min(fits, key=lambda f: -2 * f[0] + (f[1] * (free + 1) - 1) * each)
         placed = model.transform(raw) if model else raw.withColumns({"component": F.lit(0), "_p": F.lit(None)})
         counts = {r["component"]: r["count"] for r in placed.groupBy("component").count().collect()}  # at most `most` rows
         sure = F.array_max(vector_to_array("_p")) > 0.9 if model else F.lit(True)
@@ -185,6 +195,28 @@ def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of
         raw.unpersist()
 
 
+def mixture_in_two(rows: DataFrame, first: list[str], second: list[str], most: tuple[int, int] = (5, 5), spread_of: list[str] | None = None) -> DataFrame:
+    """rows with `component` (as `a.b`) and `confident`: clusters by the first columns, then each of them by the second ones.
+
+    A second level is tried for each cluster whose rows aren't all sure; a cluster that doesn't fall apart keeps its rows' answers.
+    """
+    top = mixture_by_bic(rows, first, most[0], spread_of).withColumnsRenamed({"component": "_a", "confident": "_sure"}).persist()
+    try:
+        out = None
+        for r in top.groupBy("_a").agg(F.bool_and("_sure").alias("sure")).orderBy("_a").collect():  # at most `most` clusters
+            mine = top.where(F.col("_a") == r["_a"])
+            if r.sure:
+                found = mine.withColumns({"component": F.concat(F.col("_a").cast("string"), F.lit(".0")), "confident": F.lit(True)})
+            else:
+                below = mixture_by_bic(mine, second, most[1], spread_of)
+                found = below.withColumns({"component": F.concat_ws(".", F.col("_a").cast("string"), F.col("component").cast("string")), "confident": F.col("confident") | F.col("_sure")})
+            part = found.select(*rows.columns, "component", "confident")
+            out = part if out is None else out.unionByName(part)
+        return rows.withColumns({"component": F.lit(""), "confident": F.lit(False)}).where("false") if out is None else out
+    finally:
+        top.unpersist()
+
+
 def decode(x: np.ndarray, appliances: list[list[tuple[np.ndarray, np.ndarray]]], reach: float) -> list[tuple[int, int]]:
     """For each event (a row of x) the (appliance, step) it is given to, else (-1, -1).
 
@@ -268,6 +300,19 @@ def phase_events(transients: DataFrame, eps_s: float = 300, least: int = 5, fewe
     return dense_groups(enough, pair, int(eps_s * US), least).where("group is not null").select(*pair, "t", "transition_a", "transition_b", "group")
 
 
+def all_phase_events(transients: DataFrame, phases: int = 3) -> DataFrame:
+    """(building, t, transitions array, total) where all phases switch the same way at one instant; the array is in the order of the phases."""
+    once = transients.groupBy("building", "phase", "t").agg(F.sum("transition").alias("transition"))
+    at = once.groupBy("building", "t").agg(F.count("*").alias("_n"), F.min("transition").alias("_lo"), F.max("transition").alias("_hi"), F.array_sort(F.collect_list(F.struct("phase", "transition"))).alias("_x"))  # a row a phase
+    same = at.where((F.col("_n") == phases) & ((F.col("_lo") > 0) | (F.col("_hi") < 0)))
+    return same.select("building", "t", F.transform("_x", lambda x: x["transition"]).alias("transitions")).withColumn("total", F.aggregate("transitions", F.lit(0.0), lambda a, x: a + x))
+
+
+def single_phase(transients: DataFrame, together: DataFrame) -> DataFrame:
+    """The transients of a building's phases at instants that aren't in `together`."""
+    return transients.join(together.select("building", "t").distinct(), ["building", "t"], "left_anti")
+
+
 def appliance_power(events: DataFrame) -> DataFrame:
     """(meter, appliance, t, power) after each event of rows (meter, appliance, run, t, transition): what a run leaves over is taken from its first event, so that every run ends where it began."""
     run = Window.partitionBy("meter", "appliance", "run")

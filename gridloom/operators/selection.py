@@ -84,6 +84,14 @@ def one(meters: DataFrame, appliances: DataFrame, key) -> DataFrame:
     return found
 
 
+def groups_with(groups: DataFrame, meters: DataFrame, **keys) -> DataFrame:
+    """Groups (rows with `meters`, an array of building and meter) of which any member meets all keys."""
+    found = matching(meters, **keys).select(F.struct(*ID).alias("_m"))
+    each = groups.withColumn("_g", F.monotonically_increasing_id() if "group" not in groups.columns else F.col("group"))
+    hit = each.select("_g", F.explode("meters").alias("_m")).select("_g", F.struct("_m.building", "_m.meter").alias("_m")).join(found, "_m", "left_semi").select("_g").distinct()
+    return each.join(hit, "_g", "left_semi").drop("_g")
+
+
 def active(meters: DataFrame) -> DataFrame:
     """Meters that aren't disabled."""
     return meters.where(~F.coalesce("disabled", F.lit(False)))

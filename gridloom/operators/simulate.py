@@ -58,3 +58,11 @@ def steps(found: DataFrame) -> DataFrame:
     """(meter, t, value): the load of each meter after each transition."""
     order = Window.partitionBy("meter").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return found.select("meter", "t", F.sum("transition").over(order).alias("value"))
+
+
+def predefined(states: DataFrame, start_us: int, step_s: int = 3600) -> DataFrame:
+    """(meter, appliance, t, value) of a table with a column `step` (0, 1, ...) and one an appliance: each step lasts step_s; meters are numbered from 2 in the columns' order."""
+    names = [c for c in states.columns if c != "step"]
+    number = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k + 2))))
+    long = states.select("step", *(F.col(f"`{n}`").cast("double").alias(n) for n in names)).unpivot(["step"], [F.col(f"`{n}`") for n in names], "appliance", "value")
+    return long.select(number[F.col("appliance")].alias("meter"), "appliance", (F.lit(start_us) + F.col("step") * step_s * 1_000_000).cast("long").alias("t"), "value")

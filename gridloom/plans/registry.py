@@ -457,11 +457,6 @@ def mle_pairs(s, d):
     return found.withColumn("likelihood", F.round(F.col("likelihood") * 1e9, 6))
 
 
-@query()
-def kmeans_states(s, d):
-    return disaggregate.cluster_states(store.events(s, d))
-
-
 @query(f"WITH {EV}, {MEAN}, l AS (SELECT meter, t, round(value, 6) AS value, round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 3) OVER w, 6) AS lag_3 FROM mn WINDOW w AS (PARTITION BY meter ORDER BY t)) SELECT * FROM l WHERE lag_3 IS NOT NULL")
 def lag_features(s, d):
     return r6(forecast.lag_features(resample.mean(store.events(s, d), H), [1, 3]), "value", "lag_1", "lag_3")

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import disaggregate, eventbased, models, resample, sections
+from gridloom.operators import disaggregate, eventbased, models, resample, sections, simulate
 from gridloom.plans import registry
 from gridloom.plans.registry import DAY, EV, STATES, query, r6
 from gridloom.sources import store
@@ -144,3 +144,30 @@ def distinct_hours(s, d):
     """How many different hours each kind of event has over all meters."""
     ev = store.events(s, d).select("meter", "kind", resample.bin_start(3600).alias("h")).distinct()
     return ev.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EV}, sw AS (SELECT meter % 3 AS phase, t // 3600000000 * 3600000000 AS t, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
+o AS (SELECT phase, t, sum(tr) AS tr FROM sw WHERE abs(tr) > 60 GROUP BY ALL)
+SELECT t, round(sum(tr), 6) AS total, round(max(tr) FILTER (phase = 0), 6) AS first FROM o GROUP BY t HAVING count(*) = 3 AND (min(tr) > 0 OR max(tr) < 0)""")
+def all_phase_events(s, d):
+    sw = store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(registry.resample_order())).where("abs(transition) > 60")
+    rows = sw.select(F.lit(1).alias("building"), (F.col("meter") % 3).alias("phase"), F.expr("t div 3600000000 * 3600000000").alias("t"), "transition")
+    return r6(eventbased.all_phase_events(rows).select("t", "total", F.col("transitions")[0].alias("first")), "total", "first")
+
+
+@query("SELECT CAST(k AS INTEGER) AS meter, CASE k WHEN 2 THEN 'lamp' ELSE 'oven' END AS appliance, 1514764800000000 + i * 3600000000 AS t, CASE k WHEN 2 THEN (i % 3) * 40.0::DOUBLE ELSE (i // 5) * 1.5::DOUBLE END AS value FROM range(50) r(i), range(2, 4) m(k)")
+def predefined_machines(s, d):
+    table = s.range(50).select(F.col("id").alias("step"), (F.col("id") % 3 * 40).alias("lamp"), (F.expr("id div 5") * 1.5).alias("oven"))
+    return simulate.predefined(table, 1514764800000000)
+
+
+@query(f"""WITH RECURSIVE {EV}, h AS (SELECT meter, list(round(value) ORDER BY value) AS v, count(*) AS n FROM ev WHERE value > 10 GROUP BY meter),
+p AS (SELECT *, 0.25::DOUBLE * (n - 1) AS x, 0.75::DOUBLE * (n - 1) AS y FROM h WHERE n >= 20),
+k(meter, v, a, b, i, done) AS (SELECT meter, v, v[floor(x)::INT + 1] + (v[ceil(x)::INT + 1] - v[floor(x)::INT + 1]) * (x - floor(x)), v[floor(y)::INT + 1] + (v[ceil(y)::INT + 1] - v[floor(y)::INT + 1]) * (y - floor(y)), 0, false FROM p
+UNION ALL SELECT meter, v, CASE WHEN near THEN a ELSE c END, CASE WHEN near THEN b ELSE e END, i + 1, near FROM (SELECT *, abs(c - a) <= 1e-8 + 1e-5 * abs(a) AND abs(e - b) <= 1e-8 + 1e-5 * abs(b) AS near FROM
+(SELECT meter, v, a, b, i, coalesce(list_avg(list_filter(v, lambda x: abs(x - a) <= abs(x - b))), a) AS c, coalesce(list_avg(list_filter(v, lambda x: abs(x - a) > abs(x - b))), b) AS e FROM k WHERE NOT done AND i < 50) q) w),
+l AS (SELECT meter, arg_max(a, i) AS a, arg_max(b, i) AS b FROM k GROUP BY meter)
+SELECT h.meter, CASE WHEN h.n < 20 THEN [0] ELSE list_sort(list_distinct([0, round_even(a, 0)::INT, round_even(b, 0)::INT])) END AS states FROM h LEFT JOIN l USING (meter)""")
+def kmeans_states(s, d):
+    """Two centres a meter, by Lloyd's rounds from the quartiles."""
+    return disaggregate.cluster_states(store.events(s, d))

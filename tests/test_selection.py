@@ -119,3 +119,39 @@ def test_features_and_errors(spark):
     assert resample.spectrum(grid, 8).where("k = 0").first().magnitude == pytest.approx(28)
     long = spark.range(40_000).selectExpr("1L as meter", "id * 1000000 as t", "cast(id % 7 as double) as value", "id")
     assert resample.linear(long, 30).count() == 1334
+
+
+def test_messages(spark, tmp_path):
+    from gridloom.streaming import messages
+
+    lines = ['{"type": "reading", "content": {"meter": 1, "ts": "2024-01-01T00:00:00Z", "value": 2.5}}', '{"type": "note", "content": {"text": "hello"}}', "no json", '{"type": "reading", "content": {"meter": 2, "value": "x"}}', '{"type": "odd"}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines))
+    table = spark.read.text(str(tmp_path / "in")).withColumnRenamed("value", "body")
+    assert {(r.meter, r.value) for r in messages.of_type(table, "reading", messages.READING).collect()} == {(1, 2.5), (2, None)}
+    assert sorted(r.body for r in messages.broken(table, ["reading", "note"]).collect()) == ["no json", '{"type": "odd"}']
+    seen = {}
+    stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "body")
+    handlers = {"reading": (messages.READING, lambda rows, n: seen.setdefault("reading", []).extend(r.meter for r in rows.collect())), "note": ("text string", lambda rows, n: seen.setdefault("note", []).extend(r.text for r in rows.collect()))}
+    q = messages.subscribe(stream, handlers, str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen["reading"]) == [1, 2] and seen["note"] == ["hello"]
+
+
+def test_groups_with_a_member(meters, spark):
+    groups = spark.createDataFrame([("p", [(1, 1), (1, 2)]), ("q", [(1, 4)])], "name string, meters array<struct<building:int,meter:int>>")
+    assert [r.name for r in selection.groups_with(groups, meters, device_model="b").collect()] == ["p"]
+
+
+def test_mixtures(spark):
+    from gridloom.operators import eventbased
+
+    rows = [(i, [100.0, 100.0, 400.0][i % 3] + i % 5 * 0.1, [5.0, 60.0, 5.0][i % 3] + i % 4 * 0.1) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").coalesce(1)
+    got = {r.id: r.component for r in eventbased.mixture_by_bic(df, ["x", "y"], 2, emphasis={"x": 2.0}, criterion="aic").collect()}
+    assert len({got[i] for i in range(0, 120, 3)}) == 1 and got[0] != got[2]
+    two = {r.id: r.component for r in eventbased.mixture_in_two(df, ["x"], ["y"], (2, 2)).collect()}
+    assert len(two) == 120
+    with pytest.raises(ValueError):
+        eventbased.mixture_by_bic(df, ["x"], criterion="mdl")
