@@ -84,16 +84,17 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate([rates, np.stack(out, axis=1)], axis=1)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x array<double>)."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: str | None = None) -> DataFrame:
+    """(id, x array<double>, carried): of another column, a number, if one is named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, raw, off in textnum.text_slices(b.column(1)):
                 x = statistics(raw, off)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * DIM), pa.array(x.ravel()))], names=["id", "x"])
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * DIM), pa.array(x.ravel())), b.column(2).slice(i, j - i)], names=["id", "x", "carried"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, x array<double>")
+    more = (F.col(carried) if carried else F.lit(None)).cast("long").alias("carried")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), more).mapInArrow(run, "id long, x array<double>, carried long")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -192,9 +193,9 @@ def fit(rows: DataFrame, dim: int = 384, ridge: float = 1e-3, width: float = 0.7
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, half: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every document. `learn` and `half` (0 or 1) read the column `id`: which labelled rows to learn from."""
-    x = common.durable(features(docs, id_col, text_col))
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, half: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", carried: str | None = None) -> DataFrame:
+    """(id, score, predicted) of every document, and the column `carried`, a number, if one is named. `learn` and `half` (0 or 1) read the column `id`: which labelled rows to learn from."""
+    x = common.durable(features(docs, id_col, text_col, carried))
     y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("y"))
     rows = common.durable(x.where(learn).join(y, "id").select("x", "y", half.cast("int").alias("half")))
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows))
@@ -202,6 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, half: Column, la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = shared.value.score(_rows(b.column(1))) if b.num_rows else np.zeros(0)
-            yield pa.record_batch([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
+            yield pa.record_batch([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), b.column(2)], names=["id", "score", "predicted", "carried"])
 
-    return x.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+    scored = x.mapInArrow(run, "id long, score double, predicted int, carried long")
+    return scored.select(F.col("id").alias(id_col), "score", "predicted", *([F.col("carried").alias(carried)] if carried else []))

@@ -54,8 +54,8 @@ def remainder(of: str):
     return F.crc32(F.col(of).cast("string")) % 3
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs, common.table(spark, sf_dir, "labels"), learn=remainder("id") != 1, half=(remainder("id") == 0))
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, carried: str | None = None) -> DataFrame:
+    return quality.classify(docs, common.table(spark, sf_dir, "labels"), learn=remainder("id") != 1, half=(remainder("id") == 0), carried=carried)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +63,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 
-def benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str, id_col: str = "doc_id") -> DataFrame:
     question, answer = decontaminate.split_item()
     items = common.table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
-    return decontaminate.contaminated(docs, items)
+    return decontaminate.contaminated(docs, items, id_col=id_col)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,29 @@ def rendered(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows with `merged`: the spans of `found` with those that overlap made one, as (start, end, before), `before` being the end of the one before."""
+    shape = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        fresh = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), longer).otherwise(fresh)
+
+    # merged within chunks first, so that no long array is built element by element; then what two chunks share
+    chunk = F.transform(F.sequence(F.lit(1), F.size("found"), F.lit(_CHUNK)), lambda i: F.aggregate(F.slice("found", i, F.lit(_CHUNK)), F.array().cast(shape), step))
+    rows = rows.withColumn("_chunks", F.when(F.size("found") > 0, chunk).otherwise(F.array().cast(f"array<{shape}>")))
+    ends = F.transform("_chunks", lambda c: F.array_max(F.transform(c, lambda x: x["end"])))
+    rows = rows.withColumn("_ends", ends)
+    # the farthest end of all chunks before; a chunk's spans below it are cut to what lies beyond
+    far = F.transform("_chunks", lambda c, k: F.coalesce(F.array_max(F.slice("_ends", F.lit(1), k)), F.lit(0)))
+    cut = F.zip_with("_chunks", far, lambda c, e: F.filter(F.transform(c, lambda x: F.struct(F.greatest(x["start"], e).alias("start"), x["end"].alias("end"), (x["start"] < e).alias("joined"))), lambda x: x["start"] < x["end"]))
+    rows = rows.withColumn("_flat", F.flatten(cut))
+    before = F.transform("_flat", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(i > 0, F.element_at("_flat", F.greatest(i, F.lit(1)))["end"]).otherwise(0).alias("before"), x["joined"].alias("joined")))
+    return rows.withColumn("merged", before).drop("_chunks", "_ends", "_flat")
+
+
 def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", scope: str = "text") -> DataFrame:
     """docs with the same columns and rows, each found span of the text replaced by `mark`, overlapping ones by one.
 
@@ -130,14 +153,11 @@ def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col
     rows = with_spans(rows, BASE, "base").select("row", common.row_key("id", "text").alias("key"), "text", F.array_sort("base").alias("base")).join(linked(slim, reach, scope), "key", "left")
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.select("row", "text", found.alias("found")).select("row", F.when(F.size("found") > 0, clean).otherwise(text).alias("clean"))
+    rows = rows.select("row", "text", found.alias("found"))
+    rows = _merged(rows)
+    # a span that goes on from the chunk before has its mark already
+    pieces = F.transform("merged", lambda s: F.when(s["joined"], F.lit("")).otherwise(F.concat(F.substring(text, s["before"] + 1, s["start"] - s["before"]), F.lit(mark))))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at("merged", -1)["end"] + 1, F.length(text)))
+    rows = rows.select("row", F.when(F.size("merged") > 0, clean).otherwise(text).alias("clean"))
     new = {text_col: F.col("clean")} | ({chars_col: F.length("clean").cast(dict(docs.dtypes)[chars_col])} if chars_col in docs.columns else {})
     return rows.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
