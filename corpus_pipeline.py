@@ -1,9 +1,9 @@
 """A training corpus from `documents`: quality, near duplicates, benchmark leaks, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; the last returns the packed pieces. Defined results: documents with a null id pass the filters, the
-near-duplicate stage too; equal rows of one id are one document there, different texts of one id are documents of their own;
-empty tables give empty results.
+of documents, whatever more there are; the last returns the packed pieces. Stages judge rows by their id and text together
+(64-bit hashes of both), so documents without an id are judged like others, and different texts of one id each by itself. Equal
+rows share their fate; an empty table gives an empty result. A stage's docstring says what it does with the rest.
 """
 
 from __future__ import annotations
@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 from gridloom.llm import chosen_path, common, packing, queries, secret_scan
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number of the id and the text."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", common.text_of(), F.length(common.text_of())))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    rejected = queries.quality_scores(spark, docs, sf_dir).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier rejects go; null texts are scored as empty ones."""
+    named = _row(docs)
+    rejected = queries.quality_scores(spark, named, sf_dir, carried="_row").where("predicted = 0").select("_row").distinct()
+    return named.join(rejected, "_row", "left_anti").select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, of several texts of that id the one with the least hash."""
+    """Of each group of near duplicates the document with the smallest id stays, of several texts of that id the one with the least hash.
+
+    Equal rows of one id are one document; different texts of one id are documents of their own; documents without an id, which nothing could be kept by, all stay.
+    """
     text = common.text_of()
     named = docs.where("doc_id is not null").withColumns({"_h": F.xxhash64(text), "_n": F.length(text)})
     keys = ["doc_id", "_h", "_n"]
@@ -47,17 +56,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = queries.benchmark_hits(spark, docs, sf_dir).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
+    named = _row(docs)
+    leaks = queries.benchmark_hits(spark, named, sf_dir, id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return named.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its secrets masked."""
+    """Every document stays, its secrets masked and n_chars counted anew; null texts stay null."""
     return secret_scan.redacted(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document (a null or empty text is one separator) with their places."""
     pieces = packing.tokenize_pieces(docs, queries.tokenizer_path())
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
