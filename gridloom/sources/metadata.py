@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,34 +33,39 @@ def _number(x) -> float | None:
     return None if x is None else float(x)
 
 
-def files(spark: SparkSession, path: str) -> dict[str, dict]:
-    """The parsed files of a metadata folder by name without ending."""
-    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.{yaml,yml,json}").select(F.input_file_name().alias("f"), "value").collect()
-    out = {}
-    for r in rows:
-        name = r.f.rsplit("/", 1)[-1]
-        out[name.rsplit(".", 1)[0]] = _parse(name, r.value)
+def records(name: str, text: str) -> list[tuple[str, dict]]:
+    """(table, row) for everything that one metadata file says."""
+    stem, found, out = name.rsplit(".", 1)[0], _parse(name, text), []
+    if stem == "meter_devices":
+        for model, x in found.items():
+            ms = [{"physical_quantity": m.get("physical_quantity"), "ac_type": m.get("type") or None, "lower_limit": _number(m.get("lower_limit")), "upper_limit": _number(m.get("upper_limit"))} for m in x.get("measurements") or []]
+            out.append(("devices", {"model": model, "manufacturer": x.get("manufacturer"), "sample_period": _number(x.get("sample_period")), "max_sample_period": _number(x.get("max_sample_period")), "measurements": ms}))
+    elif re.fullmatch(r"building\d+", stem):
+        b = int(found.get("instance") or stem[len("building") :])
+        for m, x in (found.get("elec_meters") or {}).items():
+            x = x or {}
+            up = x.get("submeter_of")
+            row = {"building": b, "meter": int(m), "device_model": x.get("device_model"), "site_meter": bool(x.get("site_meter", False)), "submeter_of": None if up is None else int(up)}
+            out.append(("meters", row | {"data_location": x.get("data_location") or f"/building{b}/elec/meter{m}", "disabled": bool(x.get("disabled", False))}))
+        for x in found.get("appliances") or []:
+            on = x.get("on_power_threshold", (x.get("nominal_consumption") or {}).get("on_power"))
+            row = {"building": b, "type": x.get("type"), "instance": int(x.get("instance") or 1), "original_name": x.get("original_name"), "meters": [int(m) for m in x.get("meters") or []], "on_power": _number(on)}
+            out.append(("appliances", row | {"min_on_duration": _number(x.get("min_on_duration")), "min_off_duration": _number(x.get("min_off_duration")), "dominant": bool(x.get("dominant_appliance", False))}))
     return out
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """`meters`, `appliances` and `devices` of a metadata folder."""
-    meters, appliances, devices = [], [], []
-    for name, found in sorted(files(spark, path).items()):
-        if name == "meter_devices":
-            for model, x in found.items():
-                ms = [(m.get("physical_quantity"), m.get("type") or None, _number(m.get("lower_limit")), _number(m.get("upper_limit"))) for m in x.get("measurements") or []]
-                devices.append((model, x.get("manufacturer"), _number(x.get("sample_period")), _number(x.get("max_sample_period")), ms))
-        elif re.fullmatch(r"building\d+", name):
-            b = int(found.get("instance") or name[len("building") :])
-            for m, x in (found.get("elec_meters") or {}).items():
-                x = x or {}
-                up = x.get("submeter_of")
-                meters.append((b, int(m), x.get("device_model"), bool(x.get("site_meter", False)), None if up is None else int(up), x.get("data_location") or f"/building{b}/elec/meter{m}", bool(x.get("disabled", False))))
-            for x in found.get("appliances") or []:
-                on = x.get("on_power_threshold", (x.get("nominal_consumption") or {}).get("on_power"))
-                appliances.append((b, x.get("type"), int(x.get("instance") or 1), x.get("original_name"), [int(m) for m in x.get("meters") or []], _number(on), _number(x.get("min_on_duration")), _number(x.get("min_off_duration")), bool(x.get("dominant_appliance", False))))
-    return {"meters": spark.createDataFrame(meters, METERS), "appliances": spark.createDataFrame(appliances, APPLIANCES), "devices": spark.createDataFrame(devices, DEVICES)}
+    """`meters`, `appliances` and `devices` of a metadata folder; each file is parsed in the task that reads it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(kind, json.dumps(x)) for f, text in zip(rows["f"], rows["value"], strict=True) for kind, x in records(f.rsplit("/", 1)[-1], text)]
+            yield pd.DataFrame(found, columns=["kind", "record"])
+
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.{yaml,yml,json}").select(F.input_file_name().alias("f"), "value")
+    parsed = texts.mapInPandas(run, "kind string, record string")
+    one = lambda kind, schema: parsed.where(F.col("kind") == kind).select(F.from_json("record", schema).alias("_r")).select("_r.*")
+    return {"meters": one("meters", METERS), "appliances": one("appliances", APPLIANCES), "devices": one("devices", DEVICES)}
 
 
 def save(found: dict[str, DataFrame], path: str) -> None:
