@@ -39,6 +39,7 @@ def _all() -> None:
     """The other query modules add theirs when they are imported."""
     import_module("gridloom.plans.metadata_queries")
     import_module("gridloom.plans.training_queries")
+    import_module("gridloom.plans.converter_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
