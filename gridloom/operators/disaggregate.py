@@ -22,27 +22,67 @@ def combinations(states: dict[str, list[float]], most: int = 100_000) -> list[tu
     return sorted((sum(c), c) for c in itertools.product(*states.values()))
 
 
-def co_predict(mains: DataFrame, states: dict[str, list[float]]) -> DataFrame:
+def _halves(states: dict[str, list[float]]) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """The devices in two runs of about equally many combinations."""
+    names = list(states)
+    size = [math.prod(len(states[n]) for n in names[:k]) for k in range(len(names) + 1)]
+    cut = min(range(len(names) + 1), key=lambda k: max(size[k], size[-1] // size[k]))
+    return {n: states[n] for n in names[:cut]}, {n: states[n] for n in names[cut:]}
+
+
+class _Table:
+    """Different sums of combinations in ascending order, each with its first combination."""
+
+    def __init__(self, states: dict[str, list[float]], most: int):
+        first: dict[float, tuple[float, ...]] = {}
+        for total, combo in combinations(states, most):
+            first.setdefault(total, combo)
+        self.sums = np.array(sorted(first))
+        self.combos = np.array([first[x] for x in self.sums.tolist()], float).reshape(len(first), len(states))
+
+    def around(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the sums at or above x and below it, as far as there are any."""
+        up = np.clip(np.searchsorted(self.sums, x), 0, len(self.sums) - 1)
+        return up, np.maximum(up - 1, 0)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The combinations whose sums are nearest, of two the larger sum."""
+        up, low = self.around(x)
+        return self.combos[np.where(np.abs(self.sums[low] - x) < np.abs(self.sums[up] - x), low, up)]
+
+
+def nearest_of_two(a: _Table, b: _Table, x: np.ndarray) -> np.ndarray:
+    """The combinations of both tables' devices whose sums are nearest to x: for every sum of one the nearest of the other."""
+    out = np.empty((len(x), a.combos.shape[1] + b.combos.shape[1]))
+    for i, v in enumerate(x):
+        up, low = b.around(v - a.sums)
+        place = np.concatenate([up, low])
+        total = np.concatenate([a.sums, a.sums]) + b.sums[place]
+        k = np.lexsort((np.tile(np.arange(len(a.sums)), 2), -total, np.abs(total - v)))[0]
+        out[i] = np.concatenate([a.combos[k % len(a.sums)], b.combos[place[k]]])
+    return out
+
+
+def co_predict(mains: DataFrame, states: dict[str, list[float]], most: int = 100_000) -> DataFrame:
     """Combinatorial optimisation: the combination whose sum is nearest, of two the larger sum; a column a device.
 
-    The sorted sums (at most `most` of combinations) go out once, and each batch of rows is placed among them by binary search.
+    The sorted sums go out once, and each batch of rows is placed among them by binary search. More than `most` combinations
+    are met in the middle: two tables of half the devices each, so `most` squared combinations can be searched exactly; each row
+    then takes as many searches as one table has sums.
     """
-    table = combinations(states)
-    sums = np.array(sorted({s for s, _ in table}))
-    first: dict[float, tuple[float, ...]] = {}
-    for total, combo in table:
-        first.setdefault(total, combo)
-    shared = mains.sparkSession.sparkContext.broadcast((sums, np.array([first[x] for x in sums.tolist()], float)))
+    if math.prod(len(v) for v in states.values()) <= most:
+        shared = mains.sparkSession.sparkContext.broadcast((_Table(states, most),))
+    else:
+        shared = mains.sparkSession.sparkContext.broadcast(tuple(_Table(half, most) for half in _halves(states)))
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        sums, combos = shared.value
+        tables = shared.value
         for rows in batches:
             x = rows["value"].to_numpy(float)
-            up = np.clip(np.searchsorted(sums, x), 0, len(sums) - 1)
-            low = np.maximum(up - 1, 0)
-            at = np.where(np.abs(sums[low] - x) < np.abs(sums[up] - x), low, up)
-            chosen = np.where(np.isnan(x)[:, None], np.nan, combos[at])
-            yield rows.assign(**{n: pd.Series(chosen[:, k], index=rows.index).astype(object).where(~np.isnan(chosen[:, k]), None) for k, n in enumerate(states)})
+            known = ~np.isnan(x)
+            chosen = np.full((len(x), len(states)), np.nan)
+            chosen[known] = tables[0].nearest(x[known]) if len(tables) == 1 else nearest_of_two(*tables, x[known])
+            yield rows.assign(**{n: pd.Series(chosen[:, k], index=rows.index).astype(object).where(known, None) for k, n in enumerate(states)})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in mains.schema), *(f"`{n}` double" for n in states)])
     return mains.mapInPandas(place, schema)

@@ -125,3 +125,20 @@ def test_event_based(spark):
     for r in found:
         by.setdefault(r.appliance, []).append(round(r.power, -1))
     assert len(by) == 2 and sorted(max(x) for x in by.values()) == [100, 400]
+
+
+def test_combinations_met_in_the_middle(spark):
+    from gridloom.operators import disaggregate
+
+    rng = random.Random(5)
+    states = {f"d{k}": [0.0, *sorted(float(rng.randint(1, 400)) for _ in range(2))] for k in range(5)}
+    m = spark.createDataFrame([(i, float(rng.randint(-50, 2500))) for i in range(300)] + [(300, None)], "id long, value double")
+    one = {r.id: tuple(r) for r in disaggregate.co_predict(m, states).collect()}
+    two = {r.id: tuple(r) for r in disaggregate.co_predict(m, states, most=30).collect()}
+    for i, r in one.items():
+        if r[1] is None:
+            assert r[2:] == two[i][2:] == (None,) * 5
+        else:
+            assert sum(r[2:]) == sum(two[i][2:])
+    with pytest.raises(ValueError):
+        disaggregate.co_predict(m, states, most=3)
