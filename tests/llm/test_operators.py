@@ -321,7 +321,7 @@ def test_op6_held_out_and_hostile(spark, hostile, empty):
         bad = rng.random() < 0.25
         docs.append((i, " ".join(("x%%%" if bad and rng.random() < 0.5 else "word") + str(rng.integers(0, 50)) for _ in range(rng.integers(5, 60)))))
         labels.append((i, int(not bad)))
-    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(5, None)], "doc_id long, quality int")
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + labels[:40] + [(5, None), (None, 1)], "doc_id long, quality int")
     args = {"learn": queries.remainder("id") != 1, "half": queries.remainder("id") == 0}
     got = {r.doc_id: r for r in quality.classify(d, y, **args).collect()}
     held = [(got[i].predicted, q) for i, q in labels if zlib.crc32(str(i).encode()) % 3 == 1]
