@@ -72,9 +72,9 @@ def paired_meters(s, d):
 
 
 @query(f"""WITH {MT}, {AP}, {ON}, r AS (SELECT *, row_number() OVER (PARTITION BY building, meter ORDER BY dominant DESC, type DESC, instance) AS k, count(*) OVER (PARTITION BY building, meter) AS n FROM onm)
-SELECT building, meter, CASE WHEN dominant OR n = 1 THEN type END AS type, CASE WHEN dominant OR n = 1 THEN instance END AS instance FROM r WHERE k = 1""")
+SELECT building, meter, CASE WHEN dominant OR n = 1 THEN type ELSE '' END AS type, CASE WHEN dominant OR n = 1 THEN instance ELSE 0 END AS instance FROM r WHERE k = 1""")
 def dominant_appliances(s, d):
-    return selection.dominant(appliances(s, d))
+    return selection.dominant(appliances(s, d)).na.fill("", ["type"]).na.fill(0, ["instance"])
 
 
 @query(f"""WITH {MT}, {AP}, {ON}, r AS (SELECT *, row_number() OVER (PARTITION BY building, meter ORDER BY dominant DESC, type DESC, instance) AS k, count(*) OVER (PARTITION BY building, meter) AS n FROM onm)
@@ -238,9 +238,10 @@ def first_readings(s, d):
     return store.first_of_each(store.events(s, d).withColumn("t", resample.bin_start(H)), ["id"]).select("meter", "t", "id", "value")
 
 
-@query(f"WITH {EV}, {KWH} SELECT CAST(meter AS BIGINT) AS meter, round(kwh, 6) AS kwh FROM (SELECT meter, kwh FROM en ORDER BY kwh DESC, meter LIMIT 5) UNION ALL SELECT NULL, round(sum(kwh), 6) FROM (SELECT kwh FROM en ORDER BY kwh DESC, meter OFFSET 5)")
+@query(f"WITH {EV}, {KWH} SELECT CAST(meter AS VARCHAR) AS meter, round(kwh, 6) AS kwh FROM (SELECT meter, kwh FROM en ORDER BY kwh DESC, meter LIMIT 5) UNION ALL SELECT 'others', round(sum(kwh), 6) FROM (SELECT kwh FROM en ORDER BY kwh DESC, meter OFFSET 5)")
 def top_k_and_others(s, d):
-    return r6(energy.top_k_by(energy.total_energy(store.events(s, d), 7200), 5, "kwh", others=True), "kwh")
+    found = energy.top_k_by(energy.total_energy(store.events(s, d), 7200), 5, "kwh", others=True)
+    return r6(found.withColumn("meter", F.coalesce(F.col("meter").cast("string"), F.lit("others"))), "kwh")
 
 
 @query(f"""WITH {EV}, {good_sql('g')}, {KWH}, up AS (SELECT meter, sum(e - s) AS up FROM g GROUP BY meter) SELECT en.meter, CASE WHEN up > 0 THEN round(kwh / (up / 1e6 / 86400), 6) END AS kwh_per_period FROM en LEFT JOIN up ON en.meter = up.meter""")
@@ -314,11 +315,11 @@ def session_totals(s, d):
     return r6(resample.session_totals(store.events(s, d), GAP), "total")
 
 
-@query("SELECT event_type AS kind, CAST(hour(ts) AS INTEGER) AS hour, count(DISTINCT user_id) AS meters, round(sum(value), 6) AS total, CAST(grouping(event_type, hour(ts)) AS BIGINT) AS level FROM events GROUP BY CUBE (event_type, hour(ts))")
+@query("SELECT coalesce(event_type, 'all') AS kind, CAST(coalesce(hour(ts), -1) AS INTEGER) AS hour, count(DISTINCT user_id) AS meters, round(sum(value), 6) AS total, CAST(grouping(event_type, hour(ts)) AS BIGINT) AS level FROM events GROUP BY CUBE (event_type, hour(ts))")
 def usage_cube(s, d):
     ev = store.events(s, d).withColumn("hour", F.hour(F.timestamp_micros("t")))
     found = ev.cube("kind", "hour").agg(F.countDistinct("meter").alias("meters"), F.sum("value").alias("total"), F.grouping_id().cast("long").alias("level"))
-    return r6(found, "total")
+    return r6(found.na.fill("all", ["kind"]).na.fill(-1, ["hour"]), "total")
 
 
 @query(f"""WITH {EV}, {good_sql('g', 'id % 2 = 1')}, dm AS (SELECT meter, id % 2 AS p, t - t % 3600000000 AS t, avg(value) AS value FROM ev GROUP BY ALL), j AS (SELECT coalesce(a.meter, b.meter) AS meter, coalesce(a.t, b.t) AS t, a.value AS master, b.value AS slave FROM (SELECT * FROM dm WHERE p = 1) a FULL JOIN (SELECT * FROM dm WHERE p = 0) b ON a.meter = b.meter AND a.t = b.t),
@@ -355,11 +356,11 @@ def group_features(s, d):
     return forecast.group_features(resample.mean(store.events(s, d), H), ["0-4", "6"], ["06-09", "22-06"]).drop("value")
 
 
-@query(f"WITH {EV}, {MEAN}, x AS (SELECT DISTINCT meter, t - t % 86400000000 AS t, t // 86400000000 % 30 AS warm FROM ev) SELECT mn.meter, mn.t, CAST(x.warm AS BIGINT) AS warm FROM mn LEFT JOIN x ON x.meter = mn.meter AND x.t = mn.t + 7200000000")
+@query(f"WITH {EV}, {MEAN}, x AS (SELECT DISTINCT meter, t - t % 86400000000 AS t, t // 86400000000 % 30 AS warm FROM ev) SELECT mn.meter, mn.t, CAST(x.warm AS DOUBLE) AS warm FROM mn LEFT JOIN x ON x.meter = mn.meter AND x.t = mn.t + 7200000000")
 def external_features(s, d):
     ev = store.events(s, d)
     x = ev.select("meter", F.expr(f"t - t % {DAY}").alias("t")).distinct().withColumn("warm", F.expr(f"t div {DAY} % 30"))
-    return forecast.with_external(resample.mean(ev, H), x, ["warm"], 2 * H * sections.US).select("meter", "t", "warm")
+    return forecast.with_external(resample.mean(ev, H), x, ["warm"], 2 * H * sections.US).select("meter", "t", F.col("warm").cast("double").alias("warm"))
 
 
 @query(f"WITH {EV}, s AS (SELECT 1 AS a UNION ALL SELECT 2) SELECT kind, count(*) AS n, '{{\"least\": ' || CASE a WHEN 1 THEN '20' ELSE '90' END || '}}' AS setting FROM ev CROSS JOIN s WHERE value > CASE a WHEN 1 THEN 20 ELSE 90 END GROUP BY ALL")
@@ -367,13 +368,13 @@ def parameter_sweep(s, d):
     return forecast.sweep(lambda least: store.events(s, d).where(F.col("value") > least).groupBy("kind").agg(F.count("*").alias("n")), [{"least": 20}, {"least": 90}])
 
 
-@query("SELECT c_custkey AS id, upper(lower(c_mktsegment)[1]) || lower(c_mktsegment)[2:] AS label, c_nationkey || '_' || (c_custkey % 3) AS key, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-02 03:04:05' END AS seen, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS simplest FROM customer")
+@query("SELECT c_custkey AS id, upper(lower(c_mktsegment)[1]) || lower(c_mktsegment)[2:] AS label, c_nationkey || '_' || (c_custkey % 3) AS key, c_custkey % 3 <> 0 AS seen, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS DOUBLE) AS simplest FROM customer")
 def scalar_functions(s, d):
     n = F.col("c_custkey")
     return s.read.parquet(f"{d}/customer.parquet").select(
         n.alias("id"), scalars.capitalised(F.lower("c_mktsegment")).alias("label"), scalars.joined(F.array(F.col("c_nationkey").cast("long"), n % 3)).alias("key"),
-        scalars.timestamp_or_null(F.when(n % 3 == 0, "NaT").otherwise("2024-01-02 03:04:05")).alias("seen"),
-        scalars.simplest(F.when(n % 2 == 0, F.array("c_nationkey", "c_nationkey")).otherwise(F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1))).alias("simplest"),
+        scalars.timestamp_or_null(F.when(n % 3 == 0, "NaT").otherwise("2024-01-02 03:04:05")).isNotNull().alias("seen"),
+        scalars.simplest(F.when(n % 2 == 0, F.array("c_nationkey", "c_nationkey")).otherwise(F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1))).cast("double").alias("simplest"),
     )
 
 

@@ -167,7 +167,7 @@ k(meter, v, a, b, i, done) AS (SELECT meter, v, v[floor(x)::INT + 1] + (v[ceil(x
 UNION ALL SELECT meter, v, CASE WHEN near THEN a ELSE c END, CASE WHEN near THEN b ELSE e END, i + 1, near FROM (SELECT *, abs(c - a) <= 1e-8 + 1e-5 * abs(a) AND abs(e - b) <= 1e-8 + 1e-5 * abs(b) AS near FROM
 (SELECT meter, v, a, b, i, coalesce(list_avg(list_filter(v, lambda x: abs(x - a) <= abs(x - b))), a) AS c, coalesce(list_avg(list_filter(v, lambda x: abs(x - a) > abs(x - b))), b) AS e FROM k WHERE NOT done AND i < 50) q) w),
 l AS (SELECT meter, arg_max(a, i) AS a, arg_max(b, i) AS b FROM k GROUP BY meter)
-SELECT h.meter, CASE WHEN h.n < 20 THEN [0] ELSE list_sort(list_distinct([0, round_even(a, 0)::INT, round_even(b, 0)::INT])) END AS states FROM h LEFT JOIN l USING (meter)""")
+SELECT h.meter, array_to_string(CASE WHEN h.n < 20 THEN [0] ELSE list_sort(list_distinct([0, round_even(a, 0)::INT, round_even(b, 0)::INT])) END, ',') AS states FROM h LEFT JOIN l USING (meter)""")
 def kmeans_states(s, d):
     """Two centres a meter, by Lloyd's rounds from the quartiles."""
-    return disaggregate.cluster_states(store.events(s, d))
+    return disaggregate.cluster_states(store.events(s, d)).withColumn("states", F.array_join(F.col("states").cast("array<string>"), ","))
