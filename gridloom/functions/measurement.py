@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,3 +106,11 @@ def series(readings: DataFrame, measurements: DataFrame, physical_quantity: str
 
 def power_series(readings: DataFrame, measurements: DataFrame, ac_type="best", **wanted) -> DataFrame:
     return series(readings, measurements, "power", ac_type=ac_type, **wanted)
+
+
+def prepared(readings: DataFrame, measurements: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]] = (), **wanted) -> DataFrame:
+    """The readings of what `resolved` gives, through a chain of steps, each a function from readings to readings (as clipping, resampling, repair)."""
+    rows = load(readings, measurements, **wanted)
+    for step in steps:
+        rows = rows.transform(step)
+    return rows

@@ -145,3 +145,19 @@ def time_span(sections: DataFrame, intersection: bool = True) -> DataFrame:
     each = hull(sections)
     ends = (F.max("start"), F.min("end")) if intersection else (F.min("start"), F.max("end"))
     return each.agg(ends[0].alias("start"), ends[1].alias("end")).where("start < end")
+
+
+def to_json(sections: DataFrame) -> DataFrame:
+    """(meter, sections): all sections of a meter as one JSON list of objects with start and end, in order."""
+    rows = sections.groupBy("meter").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
+    return rows.select("meter", F.to_json("_s").alias("sections"))
+
+
+def from_json(texts: DataFrame) -> DataFrame:
+    """The sections of rows (meter, sections) as `to_json` gives them; open bounds are null."""
+    return texts.select("meter", F.explode(F.from_json("sections", "array<struct<start:long,end:long>>")).alias("_s")).select("meter", "_s.start", "_s.end")
+
+
+def duration_s(sections: DataFrame) -> DataFrame:
+    """sections with their length in seconds."""
+    return sections.withColumn("seconds", (F.col("end") - F.col("start")) / US)

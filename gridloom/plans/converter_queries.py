@@ -89,3 +89,11 @@ def filled_minutes(s, d):
     each = rows.select("i", "k", F.explode(F.array(F.lit(0), F.lit(30))).alias("o"))
     out = each.select(F.lit("x").alias("dataset"), F.lit(1).alias("building"), F.lit(1).alias("meter"), F.timestamp_seconds(F.lit(T0 // 60 * 60) + F.col("i") * 60 + F.col("o")).alias("ts"), F.when(F.col("k") == 0, "power").otherwise("voltage").alias("physical_quantity"), F.when(F.col("k") == 0, "active").alias("ac_type"), (F.col("k") * 100 + F.col("i") + F.col("o") / 30).cast("double").alias("value"))
     return shown(converters.filled_minutes(out))
+
+
+@query(f"""SELECT 1 AS building, CAST(m AS INTEGER) AS meter, {T0} + i * 6 AS s, 'power' AS physical_quantity, CASE m WHEN 1 THEN 'apparent' ELSE 'active' END AS ac_type, CAST(m * 10 + i % 5 AS DOUBLE) AS value FROM range(1, 4) m(m), range(80) i(i)
+UNION ALL SELECT 1, 54, {T0} + i, CASE k WHEN 2 THEN 'voltage' ELSE 'power' END, CASE k WHEN 0 THEN 'active' WHEN 1 THEN 'apparent' END, CASE k WHEN 0 THEN 100.5 + i WHEN 1 THEN 110.5 + i ELSE 230.25 END FROM range(90) i(i), range(3) k(k)""")
+def read_ukdale(s, d):
+    files = {f"house_1/channel_{m}.dat": "".join(f"{T0 + 6 * i} {m * 10 + i % 5}\n" for i in range(80)) for m in (1, 2, 3)}
+    files["house_1/mains.dat"] = "".join(f"{T0 + i} {100.5 + i} {110.5 + i} 230.25\n" for i in range(90))
+    return shown(converters.ukdale(s, written(s, files), {(1, 1): "apparent"}))

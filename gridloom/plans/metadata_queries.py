@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import measurement, scalars
 from gridloom.operators import energy, forecast, intervals, metrics, resample, sections, selection
-from gridloom.plans.registry import _CONF, DAY, EV, GAP, KWH, MEAN, H, _EN2, _PAIRS, confusion_durations, good, good_sql, out, pairs, query, r6, resample_order, two_energies
+from gridloom.plans.registry import _CONF, DAY, EV, GAP, KWH, MEAN, H, _EN2, _PAIRS, _sql, confusion_durations, entropy_per_meter, good, good_sql, out, pairs, query, r6, resample_order, two_energies
 from gridloom.sources import store
 
+def registry_sql(name: str) -> str:
+    return _sql[name]
+
+
 MT = """mt AS (SELECT 'x' AS dataset, s_nationkey AS building, CAST(s_suppkey AS INTEGER) AS meter, 'device ' || (s_suppkey % 3) AS device_model, s_suppkey % 10 = 0 AS site_meter, s_suppkey % 7 = 0 AS disabled FROM supplier)"""
 AP = """ap AS (SELECT c_nationkey AS building, lower(c_mktsegment) AS type, CAST(c_custkey % 3 + 1 AS INTEGER) AS instance, c_custkey % 4 = 0 AS dominant, c_custkey AS id, list(meter ORDER BY meter) AS meters FROM customer JOIN mt ON building = c_nationkey AND (meter + c_custkey) % 5 = 0 GROUP BY ALL)"""
 ON = "onm AS (SELECT building, unnest(meters) AS meter, type, instance, dominant FROM ap)"
@@ -411,3 +415,20 @@ def cached_sections(s, d):
     at = scratch(s)
     store.cached(s, at, "good", lambda: good(s, d))
     return store.cached(s, at, "good", lambda: good(s, d).where("false"))
+
+
+@query(f"WITH {EV}, {good_sql('g')} SELECT meter, s AS \"start\", e AS \"end\", (e - s) / 1e6::DOUBLE AS seconds FROM g")
+def json_round_trip(s, d):
+    return intervals.duration_s(intervals.from_json(intervals.to_json(good(s, d))))
+
+
+@query(f"WITH {MS}, h AS (SELECT meter, t - t % 3600000000 AS t, greatest(20.0, least(100.0, value)) AS value FROM rd JOIN best USING (building, meter, ac_type) WHERE physical_quantity = 'power') SELECT meter, t, round(avg(value), 6) AS value FROM h GROUP BY ALL")
+def prepared_load(s, d):
+    """The best power of each meter, clipped, then hourly means."""
+    steps = [lambda x: energy.clip(x, F.lit(20.0), F.lit(100.0)), lambda x: resample.mean(x, H)]
+    return r6(measurement.prepared(measured(s, d), measurements(s, d), steps, physical_quantity="power", ac_type="best"), "value")
+
+
+@query(f"SELECT meter, entropy FROM ({registry_sql('entropy_per_meter')}) ORDER BY entropy DESC NULLS LAST, meter LIMIT 5")
+def top_k_entropy(s, d):
+    return energy.top_k_by(entropy_per_meter(s, d), 5, "entropy")

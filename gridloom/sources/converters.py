@@ -20,6 +20,20 @@ def redd(spark: SparkSession, path: str) -> DataFrame:
     return _shaped(rows.withColumn("ac_type", F.when(F.col("meter") <= 2, "apparent").otherwise("active")), "REDD")
 
 
+def ukdale(spark: SparkSession, path: str, types: dict[tuple[int, int], str], mains_meter: int = 54) -> DataFrame:
+    """house_<n>/channel_<k>.dat: epoch seconds and watts, of the AC type that the metadata name (`types` by house and channel, else active), and house_<n>/mains.dat: a second's active and apparent power and voltage, which become one meter more."""
+    rows = spark.read.schema("s double, value double").csv(f"{path}/house_*/channel_*.dat", sep=" ").withColumn("f", F.input_file_name())
+    rows = rows.select(F.regexp_extract("f", r"house_(\d+)", 1).cast("int").alias("building"), F.regexp_extract("f", r"channel_(\d+)", 1).cast("int").alias("meter"), F.timestamp_seconds("s").alias("ts"), "value")
+    kind = F.lit("active")
+    for (b, m), ac in types.items():
+        kind = F.when((F.col("building") == b) & (F.col("meter") == m), ac).otherwise(kind)
+    mains = spark.read.schema("s double, active double, apparent double, voltage double").csv(f"{path}/house_*/mains.dat", sep=" ").withColumn("f", F.input_file_name())
+    long = mains.select(F.regexp_extract("f", r"house_(\d+)", 1).cast("int").alias("building"), F.lit(mains_meter).alias("meter"), F.timestamp_seconds("s").alias("ts"), "active", "apparent", "voltage").unpivot(["building", "meter", "ts"], ["active", "apparent", "voltage"], "_c", "value")
+    power = F.col("_c") != "voltage"
+    long = long.select("building", "meter", "ts", F.when(power, "power").otherwise("voltage").alias("physical_quantity"), F.when(power, F.col("_c")).alias("ac_type"), "value")
+    return _shaped(rows.withColumn("ac_type", kind), "UK-DALE").unionByName(_shaped(long, "UK-DALE"))
+
+
 def wide_csv(spark: SparkSession, path: str, dataset: str, time_col: str, columns: dict[str, int], building_pattern: str = r"(\d+)\.csv", epoch: bool = True) -> DataFrame:
     """One column a meter, one file a building (as REFIT has them)."""
     rows = spark.read.csv(path, header=True, inferSchema=False).withColumn("_f", F.input_file_name())
