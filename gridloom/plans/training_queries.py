@@ -171,3 +171,41 @@ SELECT h.meter, array_to_string(CASE WHEN h.n < 20 THEN [0] ELSE list_sort(list_
 def kmeans_states(s, d):
     """Two centres a meter, by Lloyd's rounds from the quartiles."""
     return disaggregate.cluster_states(store.events(s, d)).withColumn("states", F.array_join(F.col("states").cast("array<string>"), ","))
+
+
+# Segments by row number stand for those of the plateaus: what is made of them has SQL.
+_CUT = f"{TR}, sg AS (SELECT *, (k - 1) // {{n}} AS segment, CAST((k - 1) % {{n}} AS INTEGER) AS place, count(*) OVER (PARTITION BY meter, (k - 1) // {{n}}) AS size FROM ts)"
+_AT = ", ".join(f"max(v) FILTER (place = {k}) AS {x}, max(t) FILTER (place = {k}) AS t{k}" for k, x in enumerate("abcd"))
+_WIDE = f"{_CUT.format(n=4)}, wd AS (SELECT meter, segment, {_AT} FROM sg WHERE size = 4 GROUP BY ALL)"
+
+
+def cut_segments(s, d, n: int) -> DataFrame:
+    sw = store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(registry.resample_order())).where("abs(transition) > 40")
+    k = F.row_number().over(registry.resample_order()) - 1
+    rows = sw.select("meter", "t", "transition", k.alias("k")).select("meter", "t", "transition", F.expr(f"k div {n}").alias("segment"), (F.col("k") % n).cast("int").alias("place"))
+    return rows.join(rows.groupBy("meter", "segment").agg(F.count("*").alias("size")), ["meter", "segment"])
+
+
+@query(f"WITH {EV}, {_CUT.format(n=2)} SELECT meter, segment, round(sum(abs(v)) / 2, 6) AS transition_avg, round(sum(v), 6) AS transition_delta, round(max(v) FILTER (place = 0), 6) AS spike_up, round(max(v) FILTER (place = 1), 6) AS spike_down, round((max(t) FILTER (place = 1) - max(t) FILTER (place = 0)) / 1e6, 6) AS duration FROM sg WHERE size = 2 GROUP BY meter, segment")
+def pair_features(s, d):
+    return r6(eventbased.segment_features(cut_segments(s, d, 2), 2), "transition_avg", "transition_delta", "spike_up", "spike_down", "duration")
+
+
+@query(f"WITH {EV}, {_WIDE} SELECT meter, segment, {', '.join(f'round({x}, 6) AS {n}, round({x}, 6) AS {n}_spike' for x, n in zip('abcd', eventbased.ORDINALS, strict=True))}, {', '.join(f'round((t{k + 1} - t{k}) / 1e6, 6) AS {n}_duration' for k, n in enumerate(eventbased.ORDINALS[:3]))} FROM wd")
+def four_features(s, d):
+    found = eventbased.segment_features(cut_segments(s, d, 4), 4)
+    return r6(found, *(c for c in found.columns if c not in ("meter", "segment")))
+
+
+@query(f"""WITH {EV}, {_WIDE}, p AS (SELECT meter, segment, CASE WHEN a > 0 AND b > 0 AND c < 0 AND d < 0 THEN CASE WHEN abs(a + c) + abs(b + d) <= abs(a + d) + abs(b + c) THEN '0101' ELSE '0110' END WHEN a + b < 15 THEN '0011' END AS p FROM wd)
+SELECT sg.meter, sg.segment, sg.place, CAST(p.p[sg.place + 1] AS INTEGER) AS grp FROM sg JOIN p ON p.meter = sg.meter AND p.segment = sg.segment WHERE p.p IS NOT NULL""")
+def four_splits(s, d):
+    return eventbased.split_fours(cut_segments(s, d, 4)).select("meter", "segment", "place", "grp")
+
+
+@query(f"""WITH {EV}, {TR}, x AS (SELECT meter, k, v, [v * 1.25, -v * 0.5, v * 0.25] AS g FROM ts) SELECT meter, k, round(CASE WHEN v > 0 THEN greatest(g[1], g[1] + g[2], g[1] + g[2] + g[3]) - v ELSE least(g[1], g[1] + g[2], g[1] + g[2] + g[3]) - v END, 6) AS peak FROM x""")
+def signature_peaks(s, d):
+    sw = store.events(s, d).withColumn("v", F.col("value") - F.lag("value").over(registry.resample_order())).where("abs(v) > 40")
+    v = F.col("v")
+    rows = sw.withColumn("k", F.row_number().over(registry.resample_order()).cast("long"))
+    return r6(rows.select("meter", "k", eventbased.signature_peak(F.array(v * 1.25, -v * 0.5, v * 0.25), v).alias("peak")), "peak")

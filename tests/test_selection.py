@@ -155,3 +155,18 @@ def test_mixtures(spark):
     assert len(two) == 120
     with pytest.raises(ValueError):
         eventbased.mixture_by_bic(df, ["x"], criterion="mdl")
+
+
+def test_yaml_metadata(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from gridloom.sources import metadata
+
+    (tmp_path / "building3.yaml").write_text("instance: 3\nelec_meters:\n  1: {site_meter: true, device_model: m}\n  2: {submeter_of: 1}\nappliances:\n- {type: fridge, instance: 1, meters: [2], on_power_threshold: 30}\n")
+    (tmp_path / "meter_devices.yaml").write_text("m:\n  sample_period: 6\n  measurements:\n  - {physical_quantity: power, type: active, upper_limit: 5000}\n")
+    (tmp_path / "dataset.yaml").write_text("name: x\n")
+    found = metadata.tables(spark, str(tmp_path))
+    assert [(r.building, r.meter, r.site_meter, r.submeter_of, r.data_location) for r in found["meters"].orderBy("meter").collect()] == [(3, 1, True, None, "/building3/elec/meter1"), (3, 2, False, 1, "/building3/elec/meter2")]
+    a = found["appliances"].first()
+    assert (a.type, a.meters, a.on_power, a.dominant) == ("fridge", [2], 30.0, False)
+    m = found["devices"].first()
+    assert (m.model, m.sample_period, m.measurements[0].upper_limit, m.measurements[0].lower_limit) == ("m", 6.0, 5000.0, None)
