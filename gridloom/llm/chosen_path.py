@@ -169,7 +169,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
         rows = common.durable(child(rows, level))
-        sizes = common.durable(rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1"))
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
         total = rows.count()
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
         # buckets with the same members count once
@@ -190,7 +190,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
 
     links = dealt(found, "path", "size", 2 * block).groupBy("path", "lo", "hi").applyInArrow(near, "u long, v long")
     groups = common.durable(components(links))
-    by_root = common.durable(groups.groupBy("root").agg(F.count("*").alias("size")))
+    by_root = groups.groupBy("root").agg(F.count("*").alias("size"))
     groups = common.hot_join(groups, by_root.withColumn("_n", F.col("size")), ["root"], "_n", groups.count()).join(whole.groupBy("node").agg(F.sum("copies").alias("copies")), F.col("u") == F.col("node")).select("node", "root", "size", "copies")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(groups, "node")
 
@@ -219,7 +219,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("far"))
     counts = counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
     by_set = whole.select(*keys, "node", "copies").join(counts, "node", "left").select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    by_set = common.durable(by_set.withColumn("_n", F.col("copies")))
+    by_set = by_set.withColumn("_n", F.col("copies"))
     some = common.hot_join(base.where("n > 0").select("id", *keys), by_set, keys, "_n", base.count())
     alone = base.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(1).alias("copies"))
     out = some.select("id", "class_id", "n_links", "copies").unionByName(alone)

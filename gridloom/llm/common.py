@@ -59,7 +59,7 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, tota
     """rows joined with table, which has one row a key and, as `size`, how many of the `total` rows have it; `size` is dropped.
 
     Keys of more than a thousandth of all rows (so fewer than a thousand of them) are broadcast, as one task would get
-    all rows of such a key; the others meet in a shuffle. The table should be durable, as it is read twice.
+    all rows of such a key; the others meet in a shuffle. The table is read twice, so it should be cheap or durable.
     """
     most = max(1024, total // 1000)
     hot = F.broadcast(table.where(F.col(size) > most).drop(size))
