@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chosen_path, common, decontaminate, license_scan, packing, quality, secret_scan, token_counts, topk, toxicity, url_filter
+from gridloom.llm import bpe_prefixes, chosen_path, common, decontaminate, importance, license_scan, packing, quality, secret_scan, token_counts, topk, toxicity, url_filter, whitening
 
 # The rules that op8 judges by (verdict, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -90,6 +90,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_prefixes.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    both = bpe_prefixes.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_quality, op7_decontamination, op8_url_filter, op9_token_counts, op10_topk, pipeline]
+    found = [op1_license_scan, op2_best_fit_packing, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_quality, op7_decontamination, op8_url_filter, op9_token_counts, op10_topk, op11_bpe_prefixes, op12_importance, op13_whitening, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -219,6 +236,24 @@ SELECT doc_id, item_id, start, score, question_overlap, answer_overlap FROM y WH
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, question_overlap DESC, answer_overlap DESC, start) = 1"""
 
 
+# CRC-32 byte by byte: its table from the reversed polynomial, then a fold over the bytes of each different word.
+IMPORTANCE_SQL = f"""
+WITH k AS (SELECT [list_reduce([i] || range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) for i in range(256)] AS k),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql("coalesce(text, '')")} AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+tw AS (SELECT unnest({_words_sql("coalesce(text, '')")}) AS w FROM benchmark),
+u AS (SELECT w, list_reduce([4294967295] || [CAST('0x' || hex(w)[2 * i - 1:2 * i] AS BIGINT) for i in range(1, strlen(w) + 1)], lambda c, b: xor(k[(xor(c, b) & 255) + 1], c >> 8)) AS c FROM (SELECT w FROM dw UNION SELECT w FROM tw), k),
+b AS (SELECT w, xor(c, 4294967295) % 10000 AS b FROM u),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM tw JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM dw) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT count(*) FROM tw) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+x AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM dw JOIN b USING (w) JOIN g USING (b) GROUP BY r),
+y AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS score FROM d LEFT JOIN x USING (r)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n, weight) AS k, 10 * (count(*) OVER (PARTITION BY n >= 20)) // 100 AS most FROM y)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN n >= 20 AND k <= most THEN k END AS BIGINT) AS rank FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL: a tokenizer or a trained model. Their tests hold them against the library, brute force or held-out labels."""
-    return {"op1_license_scan": _license_sql(), "op3_secret_scan": _secret_sql(), "op5_ngram_jaccard": JACCARD_SQL, "op7_decontamination": _bm25_sql(), "op8_url_filter": _url_sql(), "op10_topk": TOPK_SQL}
+    return {"op1_license_scan": _license_sql(), "op3_secret_scan": _secret_sql(), "op5_ngram_jaccard": JACCARD_SQL, "op7_decontamination": _bm25_sql(), "op8_url_filter": _url_sql(), "op10_topk": TOPK_SQL, "op12_importance": IMPORTANCE_SQL}
