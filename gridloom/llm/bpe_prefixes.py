@@ -32,14 +32,18 @@ from gridloom.llm import textnum
 _NEVER = 1 << 62
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Vocabulary:
     """The tokens of a rank file with the merge that makes each: bytes have the least ranks, a merge's rank is its token's."""
 
     def __init__(self, path: str):
         import ahocorasick
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = read_ranks(path)
         if sorted(self.ranks.get(bytes([b]), -1) for b in range(256)) != list(range(256)):
             raise ValueError("the ranks 0 to 255 must be the 256 bytes")
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -85,7 +89,7 @@ class Vocabulary:
     def apart(self, a: int, b: int) -> bool:
         found = self.known.get((a, b))
         if found is None:
-            if len(self.known) >= 1 << 20:
+            if len(self.known) >= 1 << 18:
                 self.known.clear()
             found = self.known[a, b] = self._apart(a, b)
         return found
@@ -195,14 +199,6 @@ class PrefixBPE(textnum.ByteBPE):
         self.one, self.pattern = self.vocabulary.encode_piece, regex.compile(pattern)
         self.table = textnum.PieceTable()
         self._reset()
-        size = max(self.vocabulary.tokens) + 1
-        tokens = [self.vocabulary.tokens.get(i, b"") for i in range(size)]
-        self.bytes, self.size, self.at = self._laid_out(tokens)
-
-    @staticmethod
-    def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = np.array([len(x) for x in parts], np.int64)
-        return np.frombuffer(b"".join(parts), np.uint8), size, np.cumsum(size) - size
 
     def _pieces(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         starts = super()._pieces(raw, off)
@@ -222,6 +218,16 @@ class PrefixBPE(textnum.ByteBPE):
         """(ids of all texts, bounds by text)."""
         return self._plain(raw, off)
 
+
+class TokenBytes:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, path: str):
+        tokens = {i: t for t, i in read_ranks(path).items()}
+        parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.bytes, self.at = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(self.size) - self.size
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts, bounds by text)."""
         if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.size) or not self.size[ids].all()):
@@ -242,6 +248,15 @@ def prefix_bpe(path: str, pattern: str) -> PrefixBPE:
     return _kept[path, pattern]
 
 
+_bytes: dict[str, TokenBytes] = {}
+
+
+def token_bytes(path: str) -> TokenBytes:
+    if path not in _bytes:
+        _bytes[path] = TokenBytes(path)
+    return _bytes[path]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -257,12 +272,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, decoded): the bytes of the ids, which are UTF-8 where they come from a whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.large_binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = prefix_bpe(path, pattern)
+        tokens = token_bytes(path)
         for b in batches:
             lists = b.column(1)
             off = lists.offsets.to_numpy().astype(np.int64)
@@ -270,7 +285,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             step = 0
             while step < len(lists):  # about a slice of ids at a time
                 end = max(step + 1, int(np.searchsorted(off, off[step] + textnum.SLICE_BYTES, "right")) - 1)
-                data, at = bpe.decode(ids[off[step] - off[0] : off[end] - off[0]], off[step : end + 1] - off[step])
+                data, at = tokens.decode(ids[off[step] - off[0] : off[end] - off[0]], off[step : end + 1] - off[step])
                 out = pa.Array.from_buffers(pa.large_binary(), end - step, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.record_batch([b.column(0).slice(step, end - step), lists.slice(step, end - step), out], schema=schema)
                 step = end

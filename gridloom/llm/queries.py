@@ -95,7 +95,7 @@ def op11_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe_prefixes.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe_prefixes.decode(encoded, ranks, public_tokenizers.PATTERN)
+    both = bpe_prefixes.decode(encoded, ranks)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

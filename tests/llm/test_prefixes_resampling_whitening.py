@@ -84,7 +84,7 @@ def test_appends_and_edits_equal_a_new_encoding(vocabulary, library):
 def test_op11_on_hostile_rows_and_on_all_documents(spark, hostile, library):
     digest = lambda s: hashlib.sha256(s).hexdigest()
     for docs in (hostile, hostile.where("false"), hostile.repartition(3)):
-        both = bpe_prefixes.decode(bpe_prefixes.encode(docs, RANKS, PATTERN), RANKS, PATTERN).collect()
+        both = bpe_prefixes.decode(bpe_prefixes.encode(docs, RANKS, PATTERN), RANKS).collect()
         got = sorted((r.doc_id or -1, r.ids, bytes(r.decoded)) for r in both)
         assert got == sorted((r.doc_id or -1, library.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
@@ -95,8 +95,8 @@ def test_op11_on_hostile_rows_and_on_all_documents(spark, hostile, library):
     got = queries.op11_bpe_prefixes(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == len(docs) and all(tuple(r) == want[r.doc_id] for r in got)
     with pytest.raises(Exception, match="lacks"):
-        bpe_prefixes.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS, PATTERN).collect()
-    nothing = bpe_prefixes.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), RANKS, PATTERN).first()
+        bpe_prefixes.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS).collect()
+    nothing = bpe_prefixes.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), RANKS).first()
     assert (nothing.ids, bytes(nothing.decoded)) == ([], b"")
 
 
