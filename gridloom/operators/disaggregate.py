@@ -88,6 +88,17 @@ def co_predict(mains: DataFrame, states: dict[str, list[float]], most: int = 100
     return mains.mapInPandas(place, schema)
 
 
+def _in_runs(readings: DataFrame, state: float, columns: tuple[str, ...]) -> DataFrame:
+    """Readings with `run`, `_jump` (a change to this row) and `_more` (one from this row on, too)."""
+    order = Window.partitionBy("meter").orderBy("t", "id")
+    jump = F.lit(False)
+    for c in columns:
+        jump = jump | (F.abs(F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0.0))) > state)
+    rows = readings.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).withColumn("_jump", jump)
+    rows = rows.withColumn("_new", (F.col("_jump") & ~F.coalesce(F.lag("_jump").over(order), F.lit(False))).cast("long")).withColumn("_more", F.col("_jump") & F.coalesce(F.lead("_jump").over(order), F.lit(False)))
+    return rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def runs(readings: DataFrame, state: float = 15, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """(meter, run, t, ends, <column>...) of the runs of a series, where any column changes by more than `state` from one row to the next.
 
@@ -95,14 +106,7 @@ def runs(readings: DataFrame, state: float = 15, columns: tuple[str, ...] = ("va
     row of the change on; `ends` is the first calm row's time (the change's last row's, where none follows). `first` marks the
     meter's first row's time. All by windows over one ordered pass a meter.
     """
-    order = Window.partitionBy("meter").orderBy("t", "id")
-    values = [F.col(c) for c in columns]
-    jump = F.lit(False)
-    for v in values:
-        jump = jump | (F.abs(v - F.coalesce(F.lag(v).over(order), F.lit(0.0))) > state)
-    rows = readings.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).withColumn("_jump", jump)
-    rows = rows.withColumn("_new", (F.col("_jump") & ~F.coalesce(F.lag("_jump").over(order), F.lit(False))).cast("long")).withColumn("_more", F.col("_jump") & F.coalesce(F.lead("_jump").over(order), F.lit(False)))
-    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _in_runs(readings, state, columns)
     level = lambda c: F.avg(F.when(~F.col("_more"), F.col(c))).alias(c)
     found = rows.groupBy("meter", "run").agg(F.min("t").alias("t"), F.coalesce(F.min(F.when(~F.col("_jump"), F.col("t"))), F.max("t")).alias("ends"), *(level(c) for c in columns))
     return found.withColumn("first", F.min("t").over(Window.partitionBy("meter")))
@@ -125,8 +129,39 @@ def steady_states(readings: DataFrame, noise: float = 70, state: float = 15, emi
     return found.select("meter", "t", F.col("transition_value").alias("transition"), F.col("level_value").alias("level"))
 
 
-def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",), noise: float = 70, state: float = 15, emit_only: bool = False) -> DataFrame:
-    """(meter, t, ends, transition_<c>..., level_<c>...): the same of several columns, as active and reactive power, of which any may change.
+def signatures(readings: DataFrame, state: float = 15, longest: int = 256) -> DataFrame:
+    """(meter, run, signature array<double>, steps, high, low) of every change: the steps of the readings from the last calm one before it to the first calm one after it, in order.
+
+    `high` and `low` are the extremes of the steps' running sum. Both are the readings' extremes less the reading before the
+    first step, so they need no array: a change of more than `longest` steps, as a series that never rests has, has a null signature but its
+    steps and extremes. What comes before a meter's first change is none.
+    """
+    order = Window.partitionBy("meter").orderBy("t", "id")
+    rows = _in_runs(readings, state, ("value",))
+    step = F.col("value") - F.coalesce(F.lag("value").over(order), F.lit(0.0))
+    rows = rows.select("meter", "run", "t", "id", "value", "_jump", "_new", step.alias("_step"), F.lag("_jump").over(order).alias("_was"))
+    calm = F.lag(F.struct("value", "_step")).over(order)  # the row before a change
+    inside = rows.withColumn("_calm", F.when(F.col("_new") == 1, calm)).where("run > 0 and (_jump or _was)")
+    place = F.row_number().over(Window.partitionBy("meter", "run").orderBy("t", "id"))
+    inside = inside.withColumn("_n", place)
+    own = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= longest, F.struct("_n", "_step")))), lambda x: x["_step"])
+    found = inside.groupBy("meter", "run").agg(F.max("_calm").alias("_calm"), own.alias("_own"), F.count("*").alias("_rows"), F.max("value").alias("_max"), F.min("value").alias("_min"))
+    before, base = F.col("_calm._step"), F.coalesce(F.col("_calm.value") - F.col("_calm._step"), F.lit(0.0))
+    steps = F.col("_rows") + F.col("_calm").isNotNull().cast("long")
+    whole = F.concat(F.when(before.isNotNull(), F.array(before)).otherwise(F.array().cast("array<double>")), F.col("_own"))
+    return found.select("meter", "run", F.when(steps <= longest, whole).alias("signature"), steps.alias("steps"), F.greatest(F.col("_max") - base, before).alias("high"), F.least(F.col("_min") - base, before).alias("low"))
+
+
+def transients(readings: DataFrame, noise: float = 70, state: float = 15, emit_only: bool = True, longest: int = 256) -> DataFrame:
+    """(meter, t, ends, transition, level, signature, steps, peak): steady states with the steps of their changes and by how much these overshoot."""
+    found = steady_states_of(readings, ("value",), noise, state, emit_only, with_run=True)
+    both = found.join(signatures(readings, state, longest), ["meter", "run"], "left")
+    peak = F.when(F.col("transition_value") > 0, F.col("high") - F.col("transition_value")).otherwise(F.col("low") - F.col("transition_value"))
+    return both.select("meter", "t", "ends", F.col("transition_value").alias("transition"), F.col("level_value").alias("level"), "signature", "steps", peak.alias("peak"))
+
+
+def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",), noise: float = 70, state: float = 15, emit_only: bool = False, with_run: bool = False) -> DataFrame:
+    """(meter, t, ends, transition_<c>..., level_<c>...): the same of several columns, as active and reactive power, of which any may change; `with_run` also names each change's run.
 
     `ends` is the first calm row's time after the change. The rows become runs by windows; with emit_only, where the
     reference level depends on what was emitted, the runs alone (one row a change) go through a sequential pass.
@@ -152,7 +187,7 @@ def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",),
 
         kind = dict(readings.dtypes)["meter"]
         found = found.select("meter", "run", "t", "ends", "first", *columns).groupBy("meter").applyInPandas(one, f"meter {kind}, run long, t long, ends long, first long, " + ", ".join(f"{x} double" for x in [*(f"level_{c}" for c in columns), *names]))
-    return _without_start(found, noise, columns).select("meter", "t", "ends", *(f"transition_{c}" for c in columns), *(f"level_{c}" for c in columns))
+    return _without_start(found, noise, columns).select("meter", *["run"] * with_run, "t", "ends", *(f"transition_{c}" for c in columns), *(f"level_{c}" for c in columns))
 
 
 def pair_in_buffer(buffer: list[list], rows: Iterable[tuple[int, float]], size: int, tolerance: float, share: float, large: float) -> tuple[list[tuple], list[list]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.statistics import pearson
 from gridloom.operators.sections import US, in_order, known
 
 JOULES_PER_KWH = 3_600_000
@@ -143,27 +146,58 @@ def proportion_of_energy(own: DataFrame, other: DataFrame, good: DataFrame, max_
     return b.join(a, "meter", "left").select("meter", F.when(F.col("b") != 0, F.coalesce("a", F.lit(0.0)) / F.col("b")).alias("proportion"))
 
 
-def gram_pairs(grid: DataFrame, block: int = 64) -> DataFrame:
+def gram_pairs(grid: DataFrame, block: int = 256, stretch: int = 1024) -> DataFrame:
     """(a, b, r, n) of rows (meter, g, value) with a <= b: the correlation over shared instants, null where either is constant.
 
-    Meters go into blocks by hash. For each instant the values of a block are one array, so a pair of blocks meets in one row
-    an instant, and the sums of all its pairs come out of one pass; pairs without a shared instant are left out.
+    Meters are dealt into blocks and instants into stretches of at most `stretch` of those that occur, by hash. A block's
+    stretch is a matrix of meters by instants with a mask of what is known; two of them meet in one task, which
+    multiplies the masks, values and squares and leaves one row a pair of meters that share an instant. Values are
+    less their meter's mean, so that the sums keep their digits. Of repeated instants of a meter the mean counts.
     """
-    many = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("meter") / block)).cast("int")
-    blocks = int(grid.agg(many).first()[0])
-    rows = grid.where("value is not null").withColumn("_b", F.pmod(F.xxhash64("meter"), F.lit(blocks)).cast("int"))
-    packed = rows.groupBy("g", "_b").agg(F.collect_list(F.struct("meter", "value")).alias("_v"))  # one block's meters
-    side = lambda k: packed.select("g", F.col("_b").alias(f"_b{k}"), F.col("_v").alias(f"_v{k}"))
-    both = side(0).join(side(1), "g").where("_b0 <= _b1").select("_b0", "_b1", F.explode("_v0").alias("p"), "_v1").select("_b0", "_b1", "p", F.explode("_v1").alias("q"))
-    swap = F.col("p.meter") > F.col("q.meter")
-    both = both.where("_b0 <> _b1 or p.meter <= q.meter").select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"))
-    return both.groupBy(F.col("p.meter").alias("a"), F.col("q.meter").alias("b")).agg(F.corr("p.value", "q.value").alias("r"), F.count("*").alias("n"))
+    rows = grid.where("value is not null and not isnan(value)").groupBy("meter", "g").agg(F.avg("value").alias("value"))
+    many = lambda c, most: F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(c) * 1.1 / most)).cast("int")
+    blocks, stretches = (int(x) for x in rows.agg(many("meter", block), many("g", stretch)).first())
+    mean = rows.groupBy("meter").agg(F.avg("value").alias("_mean"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = rows.join(mean, "meter").select("meter", "g", (F.col("value") - F.col("_mean")).alias("v"), deal("meter", blocks).alias("own"), deal("g", stretches).alias("part"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = rows.withColumn("_o", others).withColumns({"lo": F.least("own", "_o"), "hi": F.greatest("own", "_o")}).drop("_o")
+    kind = dict(grid.dtypes)["meter"]
+
+    def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[1], key[2]
+        meters, at = np.unique(group["meter"].to_numpy(), return_inverse=True)
+        instants, when = np.unique(group["g"].to_numpy(), return_inverse=True)
+        x, mask = np.zeros((len(meters), len(instants))), np.zeros((len(meters), len(instants)))
+        x[at, when], mask[at, when] = group["v"].to_numpy(float), 1.0
+        side = np.zeros(len(meters), int)
+        side[at] = group["own"].to_numpy()
+        p, q = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        a, ma, b, mb = x[p], mask[p], x[q], mask[q]
+        n = ma @ mb.T
+        some = n > 0 if lo != hi else np.triu(n > 0)
+        i, j = np.nonzero(some)
+        sums = {"n": n, "x": a @ mb.T, "y": ma @ b.T, "xx": (a * a) @ mb.T, "yy": ma @ (b * b).T, "xy": a @ b.T}
+        first, second = meters[p[i]], meters[q[j]]
+        turn = first > second
+        out = {k: v[i, j] for k, v in sums.items()}
+        swap = lambda u, v: (np.where(turn, out[v], out[u]), np.where(turn, out[u], out[v]))
+        out["x"], out["y"], out["xx"], out["yy"] = *swap("x", "y"), *swap("xx", "yy")
+        return pd.DataFrame({"a": np.where(turn, second, first), "b": np.where(turn, first, second)} | out)
+
+    found = sent.groupBy("part", "lo", "hi").applyInPandas(multiply, f"a {kind}, b {kind}, n double, x double, y double, xx double, yy double, xy double")
+    total = found.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    spread = lambda u: F.col(f"{u}{u}") - F.col(u) * F.col(u) / F.col("n")
+    # what rounding leaves of a constant side isn't a spread
+    alive = lambda u: F.when((F.col("n") > 1) & (spread(u) > 1e-12 * F.col(f"{u}{u}")), spread(u))
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.sqrt(alive("x")) * F.sqrt(alive("y")))
+    return total.select("a", "b", F.when(F.col("a") == F.col("b"), F.when(alive("x").isNotNull(), 1.0)).when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def correlation_pairs(grid: DataFrame) -> DataFrame:
-    """Pearson correlation of every two kinds of a series that share grid instants: rows (kind, g, value)."""
+    """Pearson correlation of every two kinds of a series that share grid instants: rows (kind, g, value); null where a side is constant."""
     a, b = grid.select(F.col("kind").alias("a"), "g", F.col("value").alias("x")), grid.select(F.col("kind").alias("b"), "g", F.col("value").alias("y"))
-    return a.join(b, "g").where("a <= b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return a.join(b, "g").where("a <= b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def describe(readings: DataFrame) -> DataFrame:
@@ -171,8 +205,9 @@ def describe(readings: DataFrame) -> DataFrame:
 
 
 def autocorrelation(readings: DataFrame, lags: list[int]) -> DataFrame:
+    """One row a meter: the correlation with the reading so many places before, null where a side is constant."""
     rows = known(readings).select("meter", "value", *(F.lag("value", k).over(in_order()).alias(f"l{k}") for k in lags))
-    return rows.groupBy("meter").agg(*(F.corr("value", f"l{k}").alias(f"r{k}") for k in lags))
+    return rows.groupBy("meter").agg(*(pearson("value", f"l{k}").alias(f"r{k}") for k in lags))
 
 
 def clip(readings: DataFrame, lower: Column, upper: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import day_group, hour_group
+from gridloom.functions.statistics import pearson
 
 
 def lag_features(grid: DataFrame, lags: list[int]) -> DataFrame:
@@ -79,7 +80,7 @@ def seasonal(grid: DataFrame, shift_us: int) -> DataFrame:
 
 def correlation_vectors(grid: DataFrame, features: dict[str, Column]) -> DataFrame:
     """One row a meter: the correlation of its load with each feature, 0 where there is none."""
-    return grid.groupBy("meter").agg(*(F.coalesce(F.nanvl(F.corr("value", x.cast("double")), F.lit(0.0)), F.lit(0.0)).alias(n) for n, x in features.items()))
+    return grid.groupBy("meter").agg(*(F.coalesce(pearson("value", x), F.lit(0.0)).alias(n) for n, x in features.items()))
 
 
 SEASONS, DAY_TYPES = ("summer", "winter", "inter"), ("weekday", "saturday", "sunday")
@@ -129,8 +130,7 @@ def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(meter, rho): Spearman, the correlation of average ranks; null where one side is constant."""
     some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = some.select("meter", *((F.rank().over(Window.partitionBy("meter").orderBy(c)) + (F.count("*").over(Window.partitionBy("meter", c)) - 1) / 2).alias(f"_{k}") for k, c in enumerate((x, y))))
-    rho = F.corr("_0", "_1")
-    return ranked.groupBy("meter").agg(F.when(~F.isnan(rho), rho).alias("rho"))
+    return ranked.groupBy("meter").agg(pearson("_0", "_1").alias("rho"))
 
 
 def _ties(values: np.ndarray) -> int:

@@ -36,9 +36,9 @@ def durations(confusion: DataFrame) -> DataFrame:
 
 
 def fraction_assigned(energies: DataFrame) -> DataFrame:
-    """Sum over meters of the smaller of the two shares of energy."""
+    """Sum over meters of the smaller of the two shares of energy; null where a whole is 0."""
     whole = energies.agg(F.sum("pred").alias("p"), F.sum("truth").alias("q"))
-    return energies.crossJoin(F.broadcast(whole)).agg(F.sum(F.least(F.col("pred") / F.col("p"), F.col("truth") / F.col("q"))).alias("fraction"))  # one row
+    return energies.crossJoin(F.broadcast(whole)).agg(F.sum(F.when((F.col("p") != 0) & (F.col("q") != 0), F.least(F.expr("try_divide(pred, p)"), F.expr("try_divide(truth, q)")))).alias("fraction"))  # one row
 
 
 def forecast_errors(pairs: DataFrame, denominator: str = "forecast") -> DataFrame:

@@ -287,12 +287,12 @@ def fraction_over_types(s, d):
     return r6(energy.fraction_over_types(type_energies(s, d).where("p = 0")), "fraction")
 
 
-@query(f"WITH {EV}, {MEAN} SELECT a.meter AS a, b.meter AS b, round(CASE WHEN count(*) > 1 AND stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END, 5) AS r, count(*) AS n FROM mn a JOIN mn b ON a.t = b.t AND a.meter <= b.meter GROUP BY ALL HAVING count(*) > 2")
+@query(f"WITH {EV}, {MEAN} SELECT a.meter AS a, b.meter AS b, round(CASE WHEN count(*) > 1 AND stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END, 5) AS r, count(*) AS n FROM mn a JOIN mn b ON a.t = b.t AND a.meter <= b.meter GROUP BY ALL")
 def correlation_matrix(s, d):
-    """Every two meters, by blocks."""
+    """Every two meters that share an hour, by blocks."""
     grid = resample.mean(store.events(s, d), H).select("meter", F.col("t").alias("g"), "value")
-    found = energy.gram_pairs(grid).where("n > 2")
-    return found.select("a", "b", F.round(F.nanvl("r", F.lit(None)), 5).alias("r"), "n")
+    found = energy.gram_pairs(grid)
+    return found.select("a", "b", F.round("r", 5).alias("r"), "n")
 
 
 @query(f"""WITH {EV}, p AS (SELECT meter, min(t) AS f, greatest(1, round_even((max(t) - min(t)) / 1e6 / 50, 0)) AS st FROM ev GROUP BY meter), b AS (SELECT ev.meter, CAST(f + floor((t - f) / (CAST(st * 1000000 AS BIGINT))) * CAST(st * 1000000 AS BIGINT) AS BIGINT) AS t, value FROM ev JOIN p ON ev.meter = p.meter)

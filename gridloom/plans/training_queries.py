@@ -203,6 +203,24 @@ def four_splits(s, d):
     return eventbased.split_fours(cut_segments(s, d, 4)).select("meter", "segment", "place", "grp")
 
 
+_STEPS = f"""st AS (SELECT meter, t, id, value, value - coalesce(lag(value) OVER w, 0) AS d, abs(value - coalesce(lag(value) OVER w, 0)) > 15 AS j FROM ev WHERE value IS NOT NULL WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+rn AS (SELECT *, j AND NOT coalesce(lag(j) OVER w, false) AS b, lag(j) OVER w AS was, lag(value) OVER w AS pv, lag(d) OVER w AS pd FROM st WINDOW w AS (PARTITION BY meter ORDER BY t, id)),
+ru AS (SELECT *, sum(CAST(b AS INTEGER)) OVER (PARTITION BY meter ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM rn),
+sn AS (SELECT meter, run, min(t) AS t, max(pd) FILTER (b) AS pd, max(pv - pd) FILTER (b) AS base, list(d ORDER BY t, id) AS s, max(value) AS hi, min(value) AS lo FROM ru WHERE run > 0 AND (j OR was) GROUP BY ALL)"""
+
+
+@query(f"""WITH {EV}, {_STEPS} SELECT meter, t, CAST(len(s) + CAST(pd IS NOT NULL AS INTEGER) AS BIGINT) AS steps, round(hi - coalesce(base, 0), 6) AS high, round(lo - coalesce(base, 0), 6) AS low,
+round(coalesce(pd, s[1]), 6) AS first_step, round(s[-1], 6) AS last_step, round(coalesce(pd, 0) + list_sum(s), 6) + 0.0 AS whole FROM (SELECT meter, t, pd, base, s, greatest(hi, pd + coalesce(base, 0)) AS hi, least(lo, pd + coalesce(base, 0)) AS lo FROM sn)""")
+def delta_signatures(s, d):
+    """The steps of every change of the readings, as their number, extremes, ends and sum."""
+    ev = store.events(s, d).where("value is not null")
+    starts = disaggregate.runs(ev, 15).select("meter", "run", "t")
+    found = disaggregate.signatures(ev, 15, 10_000).join(starts, ["meter", "run"])
+    whole = F.aggregate("signature", F.lit(0.0), lambda a, b: a + b)
+    out = found.select("meter", "t", "steps", "high", "low", F.col("signature")[0].alias("first_step"), F.element_at("signature", -1).alias("last_step"), whole.alias("whole"))
+    return r6(out, "high", "low", "first_step", "last_step", "whole").withColumn("whole", F.col("whole") + 0.0)
+
+
 @query(f"""WITH {EV}, {TR}, x AS (SELECT meter, k, v, [v * 1.25, -v * 0.5, v * 0.25] AS g FROM ts) SELECT meter, k, round(CASE WHEN v > 0 THEN greatest(g[1], g[1] + g[2], g[1] + g[2] + g[3]) - v ELSE least(g[1], g[1] + g[2], g[1] + g[2] + g[3]) - v END, 6) AS peak FROM x""")
 def signature_peaks(s, d):
     sw = store.events(s, d).withColumn("v", F.col("value") - F.lag("value").over(registry.resample_order())).where("abs(v) > 40")
