@@ -11,12 +11,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.cluster import _vectors
+from gridloom.operators import cluster, mixture
 from gridloom.operators.sections import US
 
 ORDINALS = ["fst", "sec", "trd", "fth"]
@@ -144,7 +142,7 @@ def split_fours(transients: DataFrame, threshold: float = 15) -> DataFrame:
 def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of: list[str] | None = None, seed: int = 1, emphasis: dict[str, float] | None = None, criterion: str = "bic") -> DataFrame:
     """rows with `component` and `confident`: Gaussians fitted to all rows, as many as have the least BIC (or AIC, by `criterion`).
 
-    `emphasis` makes a column count more (above 1) or less: the fit sees it so many times as wide, and distances are measured so.
+    `emphasis` makes a column count more (above 1) or less: the M-step widens all others by it.
 
     Confident is a row whose posterior is above 0.9 or which lies within a Mahalanobis distance of 1, unless its component is
     spread out (in one of `spread_of` above 0.3 of the mean and 10, with none below 0.01 of it) or small (fewer than 5 rows or a tenth of the average).
@@ -152,47 +150,25 @@ def mixture_by_bic(rows: DataFrame, columns: list[str], most: int = 6, spread_of
     """
     if criterion not in ("bic", "aic"):
         raise ValueError(f"unknown criterion {criterion!r}")
-    if emphasis:
-        given = rows
-        scaled = rows.withColumns({f"_e_{c}": F.col(c) for c in emphasis}).withColumns({c: F.col(c) * float(f) for c, f in emphasis.items()})
-        found = mixture_by_bic(scaled, columns, most, spread_of, seed, None, criterion)
-        return found.withColumns({c: F.col(f"_e_{c}") for c in emphasis}).select(*given.columns, "component", "confident")
-    raw = _vectors(rows, columns).persist()
-    try:
-        n, different = raw.count(), raw.select(*columns).distinct().limit(most + 1).count()
-        if different < 2:
-            return rows.withColumns({"component": F.lit(0), "confident": F.lit(False)})
-        fits = []
-        for k in range(1, min(most, different) + 1):
-            if k == 1:  # every mixture needs two at least, so one Gaussian is two that are the same
-                mean = np.array(raw.agg(*(F.avg(vector_to_array("_raw")[i]) for i in range(len(columns)))).first(), float)
-                x = [vector_to_array("_raw")[i] - float(mean[i]) for i in range(len(columns))]
-                second = np.array(raw.agg(*(F.avg(u * v) for u in x for v in x)).first(), float).reshape(len(columns), -1) + 1e-6 * np.eye(len(columns))
-                fit = -n / 2 * (len(columns) * (math.log(2 * math.pi) + 1) + np.linalg.slogdet(second)[1])
-                fits.append((fit, 1, None, [(mean, second)]))
-            else:
-                model = GaussianMixture(k=k, seed=seed, featuresCol="_raw", predictionCol="component", probabilityCol="_p").fit(raw)
-                fits.append((model.summary.logLikelihood, k, model, [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]))
-        free = len(columns) * (len(columns) + 3) // 2
-        each = math.log(n) if criterion == "bic" else 2.0
-        _, k, model, parts = min(fits, key=lambda f: -2 * f[0] + (f[1] * (free + 1) - 1) * each)
-        placed = model.transform(raw) if model else raw.withColumns({"component": F.lit(0), "_p": F.lit(None)})
-        counts = {r["component"]: r["count"] for r in placed.groupBy("component").count().collect()}  # at most `most` rows
-        sure = F.array_max(vector_to_array("_p")) > 0.9 if model else F.lit(True)
-        looked, vector, confident = [columns.index(c) for c in spread_of or []], vector_to_array("_raw"), F.lit(False)
-        for i, (mean, cov) in enumerate(parts):
-            spread, size = np.sqrt(np.diag(cov))[looked], np.abs(mean[looked])
-            wide = ((spread > 0.3 * size) & (spread > 10)).any() and not (spread < 0.01 * size).any()
-            few = counts.get(i, 0) < max(5, 0.1 * n / max(len(counts), 1))
-            if wide or few:
-                continue
-            inverse = np.linalg.pinv(cov)
-            off = [vector[j] - float(m) for j, m in enumerate(mean)]
-            far = sum((off[p] * off[q] * float(inverse[p, q]) for p in range(len(off)) for q in range(len(off))), F.lit(0.0))
-            confident = F.when(F.col("component") == i, sure | (far < 1)).otherwise(confident)
-        return placed.select(*rows.columns, F.col("component").cast("int").alias("component"), confident.alias("confident"))
-    finally:
-        raw.unpersist()
+    wide = mixture.widening(columns, emphasis)
+    different = cluster._vectors(rows, columns).select(*columns).distinct().limit(most + 1).count()
+    if different < 2:
+        return rows.withColumns({"component": F.lit(0), "confident": F.lit(False)})
+    fits = mixture.fit(rows, columns, list(range(1, min(most, different) + 1)), emphasis, seed)
+    free = len(columns) * (len(columns) + 3) // 2
+    each = {k: math.log(n) if criterion == "bic" else 2.0 for k, (_, _, n) in fits.items()}
+    best = min(fits, key=lambda k: -2 * fits[k][1] + (k * (free + 1) - 1) * each[k])
+    model, _, n = fits[best]
+    found = mixture.placed(rows, columns, model)
+    counts = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}  # at most `most` rows
+    looked, usable = [columns.index(c) for c in spread_of or []], []
+    for i, (mean, cov) in enumerate(zip(model.mean, model.cov, strict=True)):
+        spread, size = (np.sqrt(np.diag(cov)) / wide)[looked], np.abs(mean[looked])
+        broad = ((spread > 0.3 * size) & (spread > 10)).any() and not (spread < 0.01 * size).any()
+        if not broad and counts.get(i, 0) >= max(5, 0.1 * n / max(len(counts), 1)):
+            usable.append(i)
+    confident = F.col("component").isin(usable) & ((F.col("_sure") > 0.9) | (F.col("_far") < 1))
+    return found.select(*rows.columns, "component", confident.alias("confident"))
 
 
 def mixture_in_two(rows: DataFrame, first: list[str], second: list[str], most: tuple[int, int] = (5, 5), spread_of: list[str] | None = None) -> DataFrame:

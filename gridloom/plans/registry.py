@@ -732,6 +732,15 @@ def pair_mixture(s, d):
     return r6(eventbased.mixture_by_bic(found, ["transition_avg", "transition_delta"], 4, ["transition_avg"]), "transition_avg", "transition_delta", "spike_up", "spike_down", "duration")
 
 
+@query()
+def weighted_mixture(s, d):
+    """Four Gaussians over changes and the minutes since the change before, the change counting a hundredfold; an iterative fit."""
+    order = resample_order()
+    rows = store.events(s, d).where("value is not null").select("meter", "t", "id", (F.col("value") - F.lag("value").over(order)).alias("change"), ((F.col("t") - F.lag("t").over(order)) / 6e7).alias("minutes")).where("abs(change) > 40")
+    found = eventbased.mixture_by_bic(rows, ["change", "minutes"], 4, ["change"], emphasis={"change": 100.0})
+    return r6(found, "change", "minutes")
+
+
 @query()
 def long_segment_steps(s, d):
     """Decoding of the segments of five transients or more; a dynamic programme."""
