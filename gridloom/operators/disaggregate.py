@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import chains
 from gridloom.operators.resample import nearest
 from gridloom.operators.sections import known
 
@@ -220,16 +221,33 @@ def pair_transitions(transitions: DataFrame, size: int = 20, tolerance: float =
     return transitions.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, on double, off_t long, off double")
 
 
-def likelihood_pairs(switches: DataFrame, window_us: int, tolerance: float, on: tuple[float, float], off: tuple[float, float], span: tuple[float, float]) -> DataFrame:
-    """Rise and fall pairs inside a window with the product of three normal densities; time buckets make it an equi join."""
+def _density(x: Column, p: tuple[float | Column, float | Column]) -> Column:
+    return F.exp(-((x - p[0]) * (x - p[0])) / (2 * p[1] * p[1])) / (p[1] * math.sqrt(2 * math.pi))
 
-    def density(x: Column, p: tuple[float, float]) -> Column:
-        return F.exp(-((x - p[0]) * (x - p[0])) / (2 * p[1] * p[1])) / (p[1] * math.sqrt(2 * math.pi))
 
+def near_pairs(switches: DataFrame, window_us: int, tolerance: float) -> DataFrame:
+    """(meter, on_t, rise, off_t, fall) of rises and falls of like size inside a window; time buckets make it an equi join."""
     rises = switches.where("delta > 0").select("meter", F.col("t").alias("on_t"), F.col("delta").alias("rise")).withColumn("bucket", F.explode(F.array(F.expr(f"on_t div {window_us}"), F.expr(f"on_t div {window_us} + 1"))))
     falls = switches.where("delta < 0").select("meter", F.col("t").alias("off_t"), F.col("delta").alias("fall"), F.expr(f"t div {window_us}").alias("bucket"))
-    near = rises.join(falls, ["meter", "bucket"]).where((F.col("off_t") > F.col("on_t")) & (F.col("off_t") < F.col("on_t") + window_us) & (F.abs(F.col("rise") + F.col("fall")) < tolerance))
-    return near.select("meter", "on_t", "off_t", (density(F.col("rise"), on) * density(F.col("fall"), off) * density((F.col("off_t") - F.col("on_t")) / 1e6, span)).alias("likelihood"))
+    return rises.join(falls, ["meter", "bucket"]).drop("bucket").where((F.col("off_t") > F.col("on_t")) & (F.col("off_t") < F.col("on_t") + window_us) & (F.abs(F.col("rise") + F.col("fall")) < tolerance))
+
+
+def _likelihood(on: tuple, off: tuple, span: tuple) -> Column:
+    return (_density(F.col("rise"), on) * _density(F.col("fall"), off) * _density((F.col("off_t") - F.col("on_t")) / 1e6, span)).alias("likelihood")
+
+
+def likelihood_pairs(switches: DataFrame, window_us: int, tolerance: float, on: tuple[float, float], off: tuple[float, float], span: tuple[float, float]) -> DataFrame:
+    """(meter, on_t, off_t, likelihood) of near pairs with the product of three normal densities."""
+    return near_pairs(switches, window_us, tolerance).select("meter", "on_t", "off_t", _likelihood(on, off, span))
+
+
+def likelihood_of_devices(switches: DataFrame, window_us: int, tolerance: float, devices: DataFrame, least_deviation: float = 1.0) -> DataFrame:
+    """(meter, device, on_t, off_t, likelihood) of near pairs for every device of (device, on_mean, on_deviation, off_..., span_...), a row a pair and device."""
+    p = [c for n in ("on", "off", "span") for c in (F.col(f"{n}_mean").alias(f"{n}_mean"), F.greatest(f"{n}_deviation", F.lit(least_deviation)).alias(f"{n}_deviation"))]
+    listed = devices.agg(F.collect_list(F.struct("device", *p)).alias("_d"))  # one row
+    both = near_pairs(switches, window_us, tolerance).join(F.broadcast(listed)).select("meter", "on_t", "rise", "off_t", "fall", F.explode("_d").alias("_d"))
+    of = lambda n: (F.col(f"_d.{n}_mean"), F.col(f"_d.{n}_deviation"))
+    return both.select("meter", F.col("_d.device").alias("device"), "on_t", "off_t", _likelihood(of("on"), of("off"), of("span")))
 
 
 def kmeans_1d(x: np.ndarray, k: int, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
@@ -281,39 +299,16 @@ def fhmm_train(readings: DataFrame, levels: list[float], prior: float = 1.0) ->
     return full.select("meter", F.col("state").cast("int").alias("state"), F.coalesce("mean", F.get(states, F.col("state").cast("int"))).alias("mean"), "n", share.alias("start"), F.array(*(m / sum(moves, F.lit(0.0)) for m in moves)).alias("move"))
 
 
-def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0, moves: dict[str, list[list[float]]] | None = None, longest: int = 1 << 20) -> DataFrame:
-    """Viterbi decoding of the product chain of all devices (last device fastest), a task for each `longest` samples of a meter.
+def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float = 0.95, variance: float = 5.0, moves: dict[str, list[list[float]]] | None = None, longest: int = chains.LONGEST) -> DataFrame:
+    """Viterbi decoding of the product chain of all devices (last device fastest): (meter, t, a column a device), the same for any `longest` samples a task.
 
-    Each such stretch is decoded by itself. `moves` gives a device's matrix of moves, as trained; a device without one stays with probability `stay`.
+    `moves` gives a device's matrix of moves, as trained; a device without one stays with probability `stay`.
     """
-    names = list(states)
-    combos = np.array(list(itertools.product(*states.values())), float)
-    move = np.ones((1, 1))
-    for name, v in states.items():
-        n = len(v)
-        own = np.array(moves[name], float) if moves and name in moves else None
-        move = np.kron(move, own if own is not None else np.full((n, n), (1 - stay) / max(n - 1, 1)) + np.eye(n) * (stay - (1 - stay) / max(n - 1, 1)) if n > 1 else np.ones((1, 1)))
-    log_move, total = np.log(np.maximum(move, 1e-300)), combos.sum(1)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        v = rows["value"].to_numpy(float)
-        fit = -((v[:, None] - total[None]) ** 2) / (2 * variance)
-        best, back = fit[0] - np.log(len(total)), np.zeros(fit.shape, np.int16 if len(total) < 1 << 15 else np.int32)
-        for k in range(1, len(v)):
-            step = best[:, None] + log_move
-            back[k] = step.argmax(0)
-            best = step.max(0) + fit[k]
-        path = [int(best.argmax())]
-        for k in range(len(v) - 1, 0, -1):
-            path.append(int(back[k][path[-1]]))
-        found = combos[path[::-1]]
-        return pd.DataFrame({"meter": rows["meter"].to_numpy(), "t": rows["t"].to_numpy()} | {n: found[:, i] for i, n in enumerate(names)})
-
-    kind = dict(mains.dtypes)["meter"]
-    place = F.row_number().over(Window.partitionBy("meter").orderBy("t", "id")) - 1
-    cut = known(mains).select("meter", "t", "id", "value").withColumn("_part", (place / longest).cast("int"))
-    return cut.groupBy("meter", "_part").applyInPandas(one, f"meter {kind}, t long, " + ", ".join(f"`{n}` double" for n in names))
+    names, levels = list(states), list(states.values())
+    own = [np.array(moves[n], float) if moves and n in moves else chains.staying(len(v), stay) for n, v in states.items()]
+    product = chains.Product(levels, own, variance)
+    found = chains.decode(mains, lambda _: product, [], (), longest)
+    return found.select("meter", "t", *(F.col("levels")[k].alias(n) for k, n in enumerate(names)))
 
 
 def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
@@ -344,8 +339,8 @@ def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float
     return transitions.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, on double, off_t long, off double")
 
 
-def accept_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Of (meter, on_t, off_t, likelihood) the rows that are taken by descending likelihood while their span is still free; of equal ones the earlier."""
+def accept_pairs(pairs: DataFrame, least: float = 0.0, keys: tuple[str, ...] = ("meter",)) -> DataFrame:
+    """Of (meter, on_t, off_t, likelihood) the rows that are taken by descending likelihood while their span is still free; of equal ones the earlier. Spans of different `keys` don't stand in each other's way."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["likelihood", "on_t", "off_t"], ascending=[False, True, True])
@@ -358,9 +353,9 @@ def accept_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
             keep.append(free)
         return rows[keep]
 
-    kind = dict(pairs.dtypes)["meter"]
-    some = pairs.where(F.col("likelihood") >= least).select("meter", "on_t", "off_t", "likelihood")
-    return some.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, off_t long, likelihood double")
+    kinds = ", ".join(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys)
+    some = pairs.where(F.col("likelihood") >= least).select(*keys, "on_t", "off_t", "likelihood")
+    return some.groupBy(*keys).applyInPandas(one, f"{kinds}, on_t long, off_t long, likelihood double")
 
 
 def centroid_states(transitions: DataFrame, centroids: dict[str, float]) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import disaggregate, eventbased, training
+from gridloom.operators import chains, disaggregate, eventbased, training
 
 
 class Disaggregator(Protocol):
@@ -28,6 +28,16 @@ class Supervised(Disaggregator, Protocol):
     def train(self, devices: DataFrame) -> None: ...
 
 
+MOST = 64  # devices that one mains may be split into
+
+
+def _few(models: DataFrame) -> list:
+    rows = models.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} devices can't be combined; train them by building")
+    return rows
+
+
 class _Kept:
     """A model in a table."""
 
@@ -56,25 +66,43 @@ class CombinatorialOptimisation(_Kept):
         self.model = training.states_by_silhouette(devices, 2 if many else self.most).select(F.col("meter").cast("string").alias("device"), "states")
 
     def states(self) -> dict[str, list[float]]:
-        """At most as many devices as there are combinations of, so few."""
-        return {r.device: [float(x) for x in r.states] for r in self._trained().orderBy("device").limit(64).collect()}
+        """Of all devices, whose combinations are tried; more than MOST raise ValueError."""
+        return {r.device: [float(x) for x in r.states] for r in _few(self._trained().orderBy("device"))}
 
     def disaggregate(self, mains: DataFrame) -> DataFrame:
         return disaggregate.co_predict(mains, self.states())
 
 
 class FactorialChains(_Kept):
-    """A Gaussian chain a device by EM, decoded together. With `key` other than the meter, as an appliance's type, meters of many buildings train one chain."""
+    """A Gaussian chain a device by EM, decoded together. With `key` other than the meter, as an appliance's type, meters of many buildings train one chain.
+
+    With `building` named, the devices and the mains carry such a column; each building's devices are trained for themselves and its mains are
+    decoded by them alone, models and mains meeting in a join.
+    """
 
-    def __init__(self, states: int = 2, rounds: int = 10, gap_s: float = 3600, longest: int = 4096, key: str = "meter"):
-        self.states, self.rounds, self.gap_s, self.longest, self.key = states, rounds, gap_s, longest, key
+    def __init__(self, states: int = 2, rounds: int = 10, gap_s: float = 3600, longest: int = 4096, key: str = "meter", building: str | None = None):
+        self.states, self.rounds, self.gap_s, self.longest, self.key, self.building = states, rounds, gap_s, longest, key, building
 
     def train(self, devices: DataFrame) -> None:
-        packed = training._cut(training.parts(devices, self.gap_s, self.longest, self.key))
-        self.model = training.fit_chains(packed, self.states, self.rounds).withColumn("key", F.col("key").cast("string"))
+        """The model has key (the device), mean, var, start, move and, where asked for, the building."""
+        if self.building is None:
+            packed = training._cut(training.parts(devices, self.gap_s, self.longest, self.key))
+            self.model = training.fit_chains(packed, self.states, self.rounds).withColumn("key", F.col("key").cast("string"))
+            return
+        place = F.struct(F.col(self.building).alias("building"), F.col(self.key).cast("string").alias("key"))
+        named = devices.withColumns({"_place": place, "_key": F.to_json(place)})
+        names = named.groupBy(F.col("_key").alias("key")).agg(F.first("_place").alias("_place"))
+        # a meter number may stand in several buildings
+        packed = training._cut(training.parts(named.withColumn("meter", F.col("_key")), self.gap_s, self.longest, "_key"))
+        found = training.fit_chains(packed, self.states, self.rounds)
+        self.model = found.join(names, "key").select(F.col("_place.building").alias(self.building), F.col("_place.key").alias("key"), *(c for c in found.columns if c != "key"))
 
     def disaggregate(self, mains: DataFrame) -> DataFrame:
-        rows = self._trained().orderBy("key").limit(64).collect()  # the states of all devices are combined, so few
+        """(meter, t, a column a device); by building (building, meter, t, id, device, power)."""
+        if self.building is not None:
+            levels = F.transform("mean", lambda x: F.rint(x))
+            return chains.decode_buildings(mains, self._trained().select(self.building, F.col("key").alias("device"), levels.alias("levels"), F.col("move").alias("moves")), [self.building])
+        rows = _few(self._trained().orderBy("key"))
         levels = {r.key: [float(round(x)) for x in r["mean"]] for r in rows}
         return disaggregate.fhmm_decode(mains, levels, moves={r.key: r.move for r in rows})
 
@@ -97,7 +125,7 @@ class Hart:
 
 
 class LikelihoodPairs(_Kept):
-    """Normal rises, falls and spans of one device, then pairs of the mains' switches by their likelihood, the best first."""
+    """Normal rises, falls and spans of every device, then for each device pairs of the mains' switches by their likelihood, the best first."""
 
     def __init__(self, window_us: int, tolerance: float, least: float = 0.0):
         self.window_us, self.tolerance, self.least = window_us, tolerance, least
@@ -107,13 +135,10 @@ class LikelihoodPairs(_Kept):
         self.model = eventbased.switch_parameters(disaggregate.pair_from_falls(found), F.col("on_t"), F.col("off_t"))
 
     def disaggregate(self, mains: DataFrame) -> DataFrame:
-        """(meter, on_t, off_t, likelihood) of the first device that was trained."""
-        p = self._trained().orderBy("meter").first()
-        if p is None:
-            return mains.selectExpr("meter", "t as on_t", "t as off_t", "0d as likelihood").where("false")
-        of = lambda name: (p[f"{name}_mean"], max(p[f"{name}_deviation"], 1.0))
+        """(meter, device, on_t, off_t, likelihood): every device has pairs of its own."""
         switches = disaggregate.steady_states(mains).select("meter", "t", F.col("transition").alias("delta"))
-        return disaggregate.accept_pairs(disaggregate.likelihood_pairs(switches, self.window_us, self.tolerance, of("on"), of("off"), of("span")), self.least)
+        found = disaggregate.likelihood_of_devices(switches, self.window_us, self.tolerance, self._trained().withColumnRenamed("meter", "device"))
+        return disaggregate.accept_pairs(found, self.least, ("meter", "device"))
 
 
 class EventBased:

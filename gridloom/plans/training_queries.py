@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import disaggregate, eventbased, models, resample, sections, simulate
+from gridloom.operators import chains, disaggregate, eventbased, models, resample, sections, simulate
 from gridloom.plans import registry
 from gridloom.plans.registry import DAY, EV, STATES, query, r6
 from gridloom.sources import store
@@ -75,6 +75,31 @@ def fhmm_decode(s, d):
     return disaggregate.fhmm_decode(store.events(s, d), STATES)
 
 
+def _building_sql() -> str:
+    """The same recursion, each building with the levels of its own devices: 0 and the rounded mean of the small and of the large readings."""
+    sql = _viterbi_sql()
+    move = [[math.prod(0.95 if a == b else 0.05 for a, b in zip(x, y, strict=True)) for y in itertools.product(range(2), repeat=2)] for x in itertools.product(range(2), repeat=2)]
+    logs = "[" + ", ".join("[" + ", ".join(f"ln({move[i][j]!r}::DOUBLE)" for i in range(4)) + "]" for j in range(4)) + "]"
+    start = sql.index("mt AS MATERIALIZED"), sql.index("o AS MATERIALIZED")
+    sql = sql[: start[0]] + f"""lv AS MATERIALIZED (SELECT meter % 10 AS building, coalesce(round_even(avg(value) FILTER (value < 50), 0), 0.0) AS a, coalesce(round_even(avg(value) FILTER (value >= 50), 0), 0.0) AS b FROM ev GROUP BY 1),
+mt AS MATERIALIZED (SELECT building, {logs} AS logs, [0.0, a, b, a + b] AS total FROM lv), """ + sql[start[1] :]
+    n = len(list(itertools.product(*STATES.values())))
+    sql = sql.replace(f"range(1, {n + 1})", "range(1, 5)").replace(f"ln({n})", "ln(4)").replace("mt WHERE k = 1", "mt WHERE k = 1 AND building = o.meter % 10").replace("o.k = w.k + 1, mt)", "o.k = w.k + 1 JOIN mt ON building = o.meter % 10)")
+    head = sql[: sql.rindex("SELECT o.meter, o.t,")]
+    return head + """, r AS (SELECT o.meter, o.t, o.k, j FROM b JOIN o ON o.meter = b.meter AND o.k = b.k)
+SELECT meter % 10 AS building, meter, t, d.device, CASE WHEN d.device = 'small' THEN (j - 1) % 2 * lv.a ELSE (j - 1) // 2 * lv.b END AS power FROM r JOIN lv ON building = meter % 10, (VALUES ('large'), ('small')) d(device)"""
+
+
+@query(_building_sql())
+def chains_by_building(s, d):
+    """The meters of ten buildings by the small and the large device of each, whose level is the mean of its building's readings."""
+    ev = store.events(s, d).withColumn("building", F.col("meter") % 10)
+    level = lambda on: F.coalesce(F.rint(F.avg(F.when(on, F.col("value")))), F.lit(0.0))
+    wide = ev.groupBy("building").agg(level(F.col("value") < 50).alias("small"), level(F.col("value") >= 50).alias("large"))
+    models_ = wide.unpivot(["building"], ["small", "large"], "device", "level").select("building", "device", F.array(F.lit(0.0), "level").alias("levels"), F.lit(None).cast("array<array<double>>").alias("moves"))
+    return chains.decode_buildings(ev, models_, ["building"], longest=50).drop("id")
+
+
 TR = "tq AS (SELECT meter, t, id, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS v FROM ev), ts AS MATERIALIZED (SELECT meter, t, v, row_number() OVER (PARTITION BY meter ORDER BY t, id) AS k FROM tq WHERE abs(v) > 40)"
 # Falls from the last to the first; each takes the nearest free rise that the way back reaches.
 _FALLS = f"""{TR}, sm AS (SELECT *, sum(v) OVER (PARTITION BY meter ORDER BY k) - v AS s FROM ts),
