@@ -5,9 +5,9 @@ for all. A set is embedded as `coords` coordinates, each the smallest n-gram of
 coordinate with a probability equal to their Jaccard similarity. Each run splits all sets recursively: a
 bucket draws coordinates (1/threshold of them on average) and each value of a drawn coordinate makes a smaller bucket;
 buckets of one die, small ones are compared by brute force on the coordinates, with a margin of four standard
-deviations. The number of runs follows from the target recall. What was found is grouped, the whole n-gram sets of
-each group are brought together, and every pair of a group is compared exactly. A large bucket or group is dealt out
-as pairs of blocks, so no task holds more than two blocks. What leaves a task is one row per set: its number of
+deviations; a bucket still large at the last level is one star of candidates. The number of runs follows from the target recall. What was found is grouped, the whole n-gram sets of
+each group are brought together, and every pair of a group is compared exactly. A large group is dealt out
+as pairs of blocks of about `grams` n-grams, so no task holds more than two blocks. What leaves a task is one row per set: its number of
 partners and one link of a spanning forest, never the pairs.
 
 Defined results: texts without words (null and empty ones too) link to nothing; a text of fewer words than an n-gram
@@ -62,13 +62,11 @@ def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary")
 
 
-def dealt(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Rows with lo and hi: one group a key of at most `block` rows, else one for each pair of blocks."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.col(key)), blocks).cast("int")
-    rows = rows.withColumn("_b", blocks).withColumn("block", F.when(F.col("_b") > 1, own).otherwise(0))
-    others = F.when(F.col("_b") > 1, F.sequence(F.lit(0), F.col("_b") - 1)).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("_o", F.explode(others)).withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_b", "_o")
+def dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """Rows with lo and hi: one group a key of one block, else one for each pair of its blocks."""
+    rows = rows.withColumn("block", F.when(F.col(blocks) > 1, F.pmod(F.xxhash64("node", F.col(key)), F.col(blocks))).otherwise(0).cast("int"))
+    others = F.sequence(F.lit(0), F.col(blocks) - 1)
+    return rows.withColumn("_o", F.explode(others)).withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_o")
 
 
 def coordinate_links(sig: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
@@ -96,14 +94,21 @@ def exact_links(hashes: list[np.ndarray], weight: np.ndarray, block: np.ndarray,
     """(first row of the linked group, weight of all partners) by exact Jaccard similarity; with cross, only between different blocks."""
     m = len(hashes)
     size = np.array([len(h) for h in hashes])
-    seen, column = np.unique(np.concatenate(hashes), return_inverse=True)
-    often = np.bincount(column) > 1  # only what two rows share can count
-    place = np.cumsum(often) - 1
-    wide = (int(often.sum()) + 63) // 64 or 1
-    bits = np.zeros((m, wide), np.uint64)
+    column = np.unique(np.concatenate(hashes), return_inverse=True)[1]
     owner = np.repeat(np.arange(m), size)
-    owner, column = owner[often[column]], place[column[often[column]]]
-    np.bitwise_or.at(bits, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    times = np.bincount(column)
+    # n-grams of many rows are bits, so that a pair takes some words; those of a few are lists of rows; those of one row can't count
+    many = times > max(1, m // 32)
+    place = np.cumsum(many) - 1
+    wide = (int(many.sum()) + 63) // 64 or 1  # at most 32 bits an n-gram of all rows
+    bits = np.zeros((m, wide), np.uint64)
+    dense = many[column]
+    np.bitwise_or.at(bits, (owner[dense], place[column[dense]] // 64), np.uint64(1) << (place[column[dense]] % 64).astype(np.uint64))
+    some = ~dense & (times[column] > 1)
+    order = np.argsort(column[some], kind="stable")
+    rows_of, first = owner[some][order], np.searchsorted(column[some][order], np.arange(len(times) + 1))
+    own_first = np.searchsorted(owner[some], np.arange(m + 1))
+    own_column = column[some]
     root, partners = np.arange(m), np.zeros(m, np.int64)
 
     def top(x: int) -> int:
@@ -118,11 +123,15 @@ def exact_links(hashes: list[np.ndarray], weight: np.ndarray, block: np.ndarray,
         if cross:
             ok &= block[later] != block[i]
         later = later[ok]
+        if not len(later):
+            continue
+        mine = own_column[own_first[i] : own_first[i + 1]]
+        shared = np.bincount(rows_of[textnum.ranges(first[mine], first[mine + 1] - first[mine])], minlength=m)
         step = max(1, (1 << 22) // wide)
         for at in range(0, len(later), step):
-            some = later[at : at + step]
-            both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
-            hit = some[both >= threshold * (size[i] + size[some] - both) - 1e-9]
+            part = later[at : at + step]
+            both = np.bitwise_count(bits[part] & bits[i]).sum(axis=1, dtype=np.int64) + shared[part]
+            hit = part[both >= threshold * (size[i] + size[part] - both) - 1e-9]
             partners[i] += weight[hit].sum()
             partners[hit] += weight[i]
             a = top(i)
@@ -143,12 +152,16 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(q)))
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, leaf: int = 256, depth: int = 4, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, n_copies) of every row: the smallest id it reaches over links, the number of other rows at or above the threshold, and of rows with its very set."""
-    base = common.durable(sets(docs, words, id_col, text_col))
+def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, leaf: int = 256, depth: int = 4, block: int = 2048, grams: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links, n_copies) of every row: the smallest id it reaches over links, the number of other rows at or above the threshold, and of rows with its very set.
+
+    Tables on the way go when they have served; that of the result, some numbers a row, stays in the shared folder.
+    """
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    base, _ = scratch.keep(sets(docs, words, id_col, text_col))
     keys = ["n", "k1", "k2"]
     whole = base.where("n > 0").groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    whole = common.durable(whole)
+    whole, _ = scratch.keep(whole)
     runs = runs_for(recall, threshold, depth)
 
     def drawn(path: str, salt: int) -> Column:
@@ -166,9 +179,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         return rows.select(F.xxhash64("path", "_c", value).alias("path"), "node")
 
     found: DataFrame | None = None
+    levels: list[str] = []
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
-        rows = common.durable(child(rows, level))
+        rows, path = scratch.keep(child(rows, level))
+        levels.append(path)
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
         total = rows.count()
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
@@ -188,10 +203,18 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         linked = root != np.arange(len(root))
         return pa.table({"u": node[linked], "v": node[root[linked]]})
 
-    links = dealt(found, "path", "size", 2 * block).groupBy("path", "lo", "hi").applyInArrow(near, "u long, v long")
-    groups = common.durable(components(links))
-    by_root = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = common.hot_join(groups, by_root.withColumn("_n", F.col("size")), ["root"], "_n", groups.count()).join(whole.groupBy("node").agg(F.sum("copies").alias("copies")), F.col("u") == F.col("node")).select("node", "root", "size", "copies")
+    small, large = found.where(F.col("size") <= block), found.where(F.col("size") > block).select("path", "node")
+    links = small.groupBy("path").applyInArrow(near, "u long, v long").distinct()
+    # what shares the last level's coordinates are candidates; the exact comparison decides
+    centre = large.groupBy("path").agg(F.min("node").alias("v"), F.count("*").alias("_n"))
+    stars = common.hot_join(large, centre, ["path"], "_n", base.count()).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    links, path = scratch.keep(links.unionByName(stars))
+    scratch.drop(*levels)
+    groups, _ = scratch.keep(components(links, scratch), path)
+    size_of = whole.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
+    groups = groups.join(size_of, F.col("u") == F.col("node")).select("node", "root", "copies", "n")
+    by_root = groups.groupBy("root").agg(F.ceil(F.sum("n") / grams).cast("int").alias("blocks"), F.count("*").alias("_n"))
+    groups, _ = scratch.keep(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", groups.count()))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(groups, "node")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +223,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
                 _, _, h, bounds = textnum.words(raw, off)
                 s, at = textnum.shingles(h, bounds, words)
                 unique = [textnum.different(s[at[k] : at[k + 1]]).tobytes() for k in range(j - i)]
-                yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(4)), pa.array(unique, pa.binary())], names=["node", "root", "size", "copies", "grams"])
+                yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(4)), pa.array(unique, pa.binary())], names=["node", "root", "blocks", "copies", "grams"])
 
-    grams = texts.select("node", "root", "size", "copies", "text").mapInArrow(hashed, "node long, root long, size long, copies long, grams binary")
+    hashes = texts.select("node", "root", "blocks", "copies", "text").mapInArrow(hashed, "node long, root long, blocks int, copies long, grams binary")
 
     def exact(key: tuple, group: pa.Table) -> pa.Table:
         node, weight, blk = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
@@ -211,16 +234,19 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         node, weight, blk = node[order], weight[order], blk[order]
         hashes = [np.frombuffer(grams[i], np.uint64) for i in order]
         root, partners = exact_links(hashes, weight, blk, key[1].as_py() != key[2].as_py(), threshold)
-        several = np.full(len(node), bool(group.column("size")[0].as_py() > block))
+        several = np.full(len(node), bool(group.column("blocks")[0].as_py() > 1))
         return pa.table({"node": node, "root": node[root], "links": partners, "several": several})
 
-    checked = common.durable(dealt(grams, "root", "size", block).groupBy("root", "lo", "hi").applyInArrow(exact, "node long, root long, links long, several boolean"))
+    checked, _ = scratch.keep(dealt(hashes, "root", "blocks").groupBy("root", "lo", "hi").applyInArrow(exact, "node long, root long, links long, several boolean"))
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("several").alias("several"))
-    joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("far"))
+    joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v")), scratch).select(F.col("u").alias("node"), F.col("root").alias("far"))
     counts = counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
     by_set = whole.select(*keys, "node", "copies").join(counts, "node", "left").select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     by_set = by_set.withColumn("_n", F.col("copies"))
     some = common.hot_join(base.where("n > 0").select("id", *keys), by_set, keys, "_n", base.count())
     alone = base.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(1).alias("copies"))
     out = some.select("id", "class_id", "n_links", "copies").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    out = out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    out = common.written(out, "classes")
+    scratch.drop()
+    return out

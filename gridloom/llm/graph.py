@@ -18,18 +18,23 @@ def _to_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     return common.hot_join(edges, least, ["u"], "n", total), least.drop("n")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every node that has a link: the smallest node it can reach. `edges` has u and v, in any direction."""
-    e = common.durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(edges: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
+    """(u, root) for every node that has a link: the smallest node it can reach. `edges` has u and v, in any direction.
+
+    Each step is a table in the shared folder, which goes when the next one stands; that of the result stays, with the tables of `scratch` where given.
+    """
+    scratch = scratch or common.Scratch(edges.sparkSession, "graph")
+    e, path = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
-    while True:
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, 2 * before[0])[0].select("u", "v", F.least("u", "m").alias("m"))
-        large = common.durable(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large, path = scratch.keep(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), path)
         found, least = _to_least(large, before[0])
         small = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = common.durable(small.distinct())
+        e, path = scratch.keep(small.distinct(), path)
         now = _state(e)
         if now == before:
-            return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+            break
         before = now
+    return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
