@@ -1,8 +1,9 @@
 """Best-fit packing by the linear grouping scheme.
 
 Only the histogram of lengths (at most `capacity` numbers) reaches the driver. There the large lengths are rounded up
-within groups of equal cardinality, column generation optimises the configurations of those few sizes, the actual
-lengths take the slots, and whatever is left or small goes best-fit into the gaps. The result is a table of ranges
+within groups of equal cardinality, column generation optimises the configurations of those few sizes, and actual
+lengths take the slots: the longest of its group each, and the last one the longest that still fits, so that the room won by rounding isn't lost.
+Whatever is left or small goes best-fit into the gaps. The result is a table of ranges
 (length, ranks, sequences, offset); each piece finds its place by its rank among the pieces of its length.
 
 Defined results: a null or empty text still makes one piece, the separator; repeated rows are packed each for
@@ -101,21 +102,38 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds
 
 
 def plan(counts: dict[int, int], capacity: int = 1024, groups: int = 64, rounds: int = 400) -> list[tuple[int, int, int, int, int]]:
-    """Ranges (length, first rank, number of ranks, first sequence, offset) that place `counts[length]` pieces of each length.
+    """Ranges (length, first rank, number of ranks, first sequence, offset) that place `counts[length]` pieces of each length."""
+    return best_plan(counts, capacity, groups, rounds)[1]
 
-    From which length on a piece is a large one is tried from a half of the capacity to an eighth; the fewest sequences win.
-    Where small pieces abound the half does best, as they fill any gap, where middle lengths do the optimised configurations.
-    """
+
+def best_plan(counts: dict[int, int], capacity: int = 1024, groups: int = 64, rounds: int = 400) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """(share, ranges): pieces above capacity / share count as large ones. A third, a quarter, an eighth and a half are tried, the fewest sequences win, of equal ones the first."""
     least = -(-sum(k * v for k, v in counts.items()) // capacity)
-    best: list[tuple[int, int, int, int, int]] | None = None
+    best: tuple[int, list[tuple[int, int, int, int, int]]] | None = None
     used = lambda ranges: max((s + n for _, _, n, s, _ in ranges), default=0)
-    for share in (2, 3, 4, 8):
+    for share in (3, 4, 8, 2):
         found = plan_from(counts, capacity, capacity // share + 1, groups, rounds)
-        if best is None or used(found) < used(best):
-            best = found
-        if used(best) == least:
+        if best is None or used(found) < used(best[1]):
+            best = share, found
+        if used(best[1]) == least:
             break
-    return best or []
+    return best
+
+
+def _filled(slots: list[int], lower: dict[int, int], left: dict[int, int], have: list[int], capacity: int) -> list[int]:
+    """Actual lengths for the slots of a configuration: of each group the longest, in the last slot the longest that fits. Slots may stay free, but the first."""
+    content, room = [], capacity
+    for k, slot in enumerate(slots):
+        last = k == len(slots) - 1
+        at = bisect.bisect_right(have, room if last else min(slot, room)) - 1
+        while at >= 0 and left[have[at]] <= content.count(have[at]):
+            at -= 1
+        if at >= 0 and (last or have[at] > lower[slot]):
+            content.append(have[at])
+            room -= have[at]
+        elif not k:
+            return []
+    return content
 
 
 def plan_from(counts: dict[int, int], capacity: int, large: int, groups: int, rounds: int) -> list[tuple[int, int, int, int, int]]:
@@ -127,32 +145,24 @@ def plan_from(counts: dict[int, int], capacity: int, large: int, groups: int, ro
     grouped = _grouped({k: v for k, v in left.items() if k >= large}, groups)
     opened: dict[int, list[tuple[int, tuple[int, ...]]]] = {}  # free room: configurations of actual lengths
     if grouped:
-        rounded: dict[int, list[list[int]]] = {}
+        demanded: dict[int, int] = {}
         for size, members in grouped:
-            rounded.setdefault(size, []).extend(members)
-        sizes = np.array(sorted(rounded, reverse=True))
-        demand = np.array([sum(c for _, c in rounded[s]) for s in sizes], float)
-        for config, times in _configurations(sizes, demand, capacity, rounds):
+            demanded[size] = demanded.get(size, 0) + sum(c for _, c in members)
+        sizes = np.array(sorted(demanded, reverse=True))
+        lower = dict(zip(sizes.tolist(), [*sizes[1:].tolist(), large - 1], strict=True))
+        have = sorted(left)
+        for config, times in _configurations(sizes, np.array([demanded[s] for s in sizes.tolist()], float), capacity, rounds):
             slots = [int(s) for s, k in zip(sizes, config, strict=True) for _ in range(k)]
-            while times and slots:
-                need = {s: slots.count(s) for s in set(slots)}
-                slots = [s for s in slots if rounded[s]]
-                if not slots:
-                    break
-                # so many bins alike that each slot takes one actual length
-                taken, part = [], times
-                for s in dict.fromkeys(slots):
-                    length, have = rounded[s][0]
-                    k = min(need[s], have)
-                    taken.append((s, length, k))
-                    part = min(part, have // k)
-                for s, length, k in taken:
-                    rounded[s][0][1] -= part * k
-                    left[length] -= part * k
-                    if not rounded[s][0][1]:
-                        rounded[s].pop(0)
-                content = tuple(length for _, length, k in taken for _ in range(k))
-                opened.setdefault(capacity - sum(content), []).append((part, content))
+            while times and (content := _filled(slots, lower, left, have, capacity)):
+                # so many bins alike
+                part = min(times, *(left[x] // content.count(x) for x in content))
+                for x in content:
+                    left[x] -= part
+                for x in set(content):
+                    if not left[x]:
+                        del left[x]
+                        have.pop(bisect.bisect_left(have, x))
+                opened.setdefault(capacity - sum(content), []).append((part, tuple(content)))
                 times -= part
     room = sorted(opened)
 

@@ -86,16 +86,22 @@ def with_spans(rows: DataFrame, kinds: list[tuple[str, str, int, int]], out: str
 
 
 def linked(docs: DataFrame, reach: int, scope: str = "text") -> DataFrame:
-    """(key, more): the weak spans that complementary parts support, for the rows of docs (id, text) that have any; the scope is "line" or "text"."""
+    """(key, more): the weak spans that complementary parts support, for the rows of docs (id, text) that have any; the scope is "line" or "text".
+
+    Only spans are shuffled, and those of repeated rows once (with the scope "line", the lines too).
+    """
     if scope not in ("line", "text"):
         raise ValueError(f"unknown scope {scope!r}")
     guard = "|".join(p for _, p, _, _ in WEAK)
-    some = docs.where(F.col("text").rlike(guard)).dropDuplicates(["id", "text"])
-    blocks = F.split("text", "\n") if scope == "line" else F.array("text")
-    lines = some.select(common.row_key("id", "text").alias("key"), F.posexplode(blocks).alias("line", "block"))
-    before = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("base", F.coalesce(F.sum(F.length("block") + 1).over(before), F.lit(0)).cast("int"))
-    parts = with_spans(lines, [*BASE, *WEAK], "every", "block").select("key", "line", "base", F.explode("every").alias("s")).select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"))
+    some = docs.where(F.col("text").rlike(guard)).select(common.row_key("id", "text").alias("key"), "text")
+    if scope == "text":
+        lines = some.select("key", F.lit(0).alias("line"), F.lit(0).alias("base"), F.col("text").alias("block"))
+    else:
+        lines = some.withColumn("_row", F.monotonically_increasing_id()).select("key", "_row", F.posexplode(F.split("text", "\n")).alias("line", "block"))
+        before = Window.partitionBy("key", "_row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+        lines = lines.withColumn("base", F.coalesce(F.sum(F.length("block") + 1).over(before), F.lit(0)).cast("int"))
+    found = with_spans(lines, [*BASE, *WEAK], "every", "block").select("key", "line", "base", F.explode("every").alias("s"))
+    parts = found.select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind")).distinct()
     roles = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
     parts = parts.withColumn("role", roles[F.col("kind")])
     strong = [k for k, *_ in BASE]
@@ -150,10 +156,10 @@ def redacted(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col
     """
     slim = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = with_spans(rows, BASE, "base").select("row", common.row_key("id", "text").alias("key"), "text", F.array_sort("base").alias("base")).join(linked(slim, reach, scope), "key", "left")
+    rows = with_spans(rows, BASE, "base").select("row", common.row_key("id", "text").alias("key"), F.array_sort("base").alias("base")).join(linked(slim, reach, scope), "key", "left")
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
-    text = F.col("text")
-    rows = rows.select("row", "text", found.alias("found"))
+    text = F.col("row").getField(text_col)
+    rows = rows.select("row", found.alias("found"))
     rows = _merged(rows)
     # a span that goes on from the chunk before has its mark already
     pieces = F.transform("merged", lambda s: F.when(s["joined"], F.lit("")).otherwise(F.concat(F.substring(text, s["before"] + 1, s["start"] - s["before"]), F.lit(mark))))

@@ -570,4 +570,4 @@ def test_dedup_stage_keeps_null_and_repeated_ids(spark):
 
 
 def test_queries_and_sql_have_the_same_names():
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 11
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 14
