@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chosen_path, common, packing, queries, secret_scan
+from gridloom.llm import chosen_path, common, queries, secret_scan
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -69,8 +69,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document (a null or empty text is one separator) with their places."""
-    pieces = packing.tokenize_pieces(docs, queries.tokenizer_path())
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return queries.packed_pieces(docs)
 
 
 STAGES = [("quality", quality_stage), ("near duplicates", dedup_stage), ("decontamination", decontaminate_stage), ("secrets", secret_stage), ("packing", pack_stage)]
