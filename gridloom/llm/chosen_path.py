@@ -153,16 +153,12 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, leaf: int = 256, depth: int = 4, block: int = 2048, grams: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, n_copies) of every row: the smallest id it reaches over links, the number of other rows at or above the threshold, and of rows with its very set.
-
-    Tables on the way go when they have served; that of the result, some numbers a row, stays in the shared folder.
-    """
-    scratch = common.Scratch(docs.sparkSession, "jaccard")
-    base, _ = scratch.keep(sets(docs, words, id_col, text_col))
+    """(id, class_id, n_links, n_copies) of every row: the smallest id it reaches over links, the number of other rows at or above the threshold, and of rows with its very set."""
+    base = common.durable(sets(docs, words, id_col, text_col))
     keys = ["n", "k1", "k2"]
     whole = base.where("n > 0").groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    whole, _ = scratch.keep(whole)
-    runs = runs_for(recall, threshold, depth)
+    whole = common.durable(whole)
+    runs, rows_in_all = runs_for(recall, threshold, depth), base.count()
 
     def drawn(path: str, salt: int) -> Column:
         """The coordinates that the bucket `path` draws: one, or two with probability 1/threshold - 1."""
@@ -179,19 +175,20 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         return rows.select(F.xxhash64("path", "_c", value).alias("path"), "node")
 
     found: DataFrame | None = None
-    levels: list[str] = []
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
-        rows, path = scratch.keep(child(rows, level))
-        levels.append(path)
+        rows = common.durable(child(rows, level))
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
         total = rows.count()
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
         # buckets with the same members count once
         done = done.groupBy("size", "who", "too").agg(F.min("path").alias("path"))
-        leaves = common.hot_join(rows, done.select("path", "size", F.col("size").alias("_n")), ["path"], "_n", total)
+        leaves = rows.join(done.where(F.col("size") <= block).select("path"), "path")
         found = leaves if found is None else found.unionByName(leaves)
         if level == depth:
+            # what shares the last level's coordinates are candidates; the exact comparison decides
+            centre = done.where(F.col("size") > block).join(rows.groupBy("path").agg(F.min("node").alias("v")), "path").select("path", "v", F.col("size").alias("_n"))
+            stars = common.hot_join(rows, centre, ["path"], "_n", total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
             break
         rows = common.hot_join(rows, sizes.where(F.col("size") > leaf).select("path", "size"), ["path"], "size", total).join(whole.select("node", "sig"), "node").select("node", "sig", "path")
     found = found.join(whole.select("node", "sig", "n"), "node")
@@ -203,18 +200,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         linked = root != np.arange(len(root))
         return pa.table({"u": node[linked], "v": node[root[linked]]})
 
-    small, large = found.where(F.col("size") <= block), found.where(F.col("size") > block).select("path", "node")
-    links = small.groupBy("path").applyInArrow(near, "u long, v long").distinct()
-    # what shares the last level's coordinates are candidates; the exact comparison decides
-    centre = large.groupBy("path").agg(F.min("node").alias("v"), F.count("*").alias("_n"))
-    stars = common.hot_join(large, centre, ["path"], "_n", base.count()).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    links, path = scratch.keep(links.unionByName(stars))
-    scratch.drop(*levels)
-    groups, _ = scratch.keep(components(links, scratch), path)
+    links = found.groupBy("path").applyInArrow(near, "u long, v long").distinct()
+    links = common.durable(links.unionByName(stars))
+    groups = common.durable(components(links))
     size_of = whole.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
     groups = groups.join(size_of, F.col("u") == F.col("node")).select("node", "root", "copies", "n")
     by_root = groups.groupBy("root").agg(F.ceil(F.sum("n") / grams).cast("int").alias("blocks"), F.count("*").alias("_n"))
-    groups, _ = scratch.keep(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", groups.count()))
+    groups = common.durable(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", groups.count()))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(groups, "node")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,16 +229,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         several = np.full(len(node), bool(group.column("blocks")[0].as_py() > 1))
         return pa.table({"node": node, "root": node[root], "links": partners, "several": several})
 
-    checked, _ = scratch.keep(dealt(hashes, "root", "blocks").groupBy("root", "lo", "hi").applyInArrow(exact, "node long, root long, links long, several boolean"))
+    checked = common.durable(dealt(hashes, "root", "blocks").groupBy("root", "lo", "hi").applyInArrow(exact, "node long, root long, links long, several boolean"))
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("several").alias("several"))
-    joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v")), scratch).select(F.col("u").alias("node"), F.col("root").alias("far"))
+    joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("far"))
     counts = counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
     by_set = whole.select(*keys, "node", "copies").join(counts, "node", "left").select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     by_set = by_set.withColumn("_n", F.col("copies"))
-    some = common.hot_join(base.where("n > 0").select("id", *keys), by_set, keys, "_n", base.count())
+    some = common.hot_join(base.where("n > 0").select("id", *keys), by_set, keys, "_n", rows_in_all)
     alone = base.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(1).alias("copies"))
     out = some.select("id", "class_id", "n_links", "copies").unionByName(alone)
-    out = out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
-    out = common.written(out, "classes")
-    scratch.drop()
-    return out
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))

@@ -35,26 +35,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Scratch:
-    """Tables in the shared folder that cut the lineage and go when they have served."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.made = spark, shared_path(spark, name), 0
-
-    def keep(self, df: DataFrame, instead_of: str | None = None) -> tuple[DataFrame, str]:
-        """(the same rows from a table, its path); the table `instead_of`, which df may read, is deleted then."""
-        self.made += 1
-        path = f"{self.path}/{self.made}"
-        df.write.parquet(path)
-        if instead_of:
-            delete(self.spark, instead_of)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, *paths: str) -> None:
-        for path in paths or (self.path,):
-            delete(self.spark, path)
-
-
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

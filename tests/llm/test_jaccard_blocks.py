@@ -1,10 +1,7 @@
 """The exact comparison of blocks and the dealing of groups, against brute force."""
 
-from pathlib import Path
-
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import chosen_path
 
@@ -60,11 +57,3 @@ def test_large_buckets_and_groups_give_the_same(spark, block, grams):
     root, partners = brute([s or {i} for i, s in enumerate(sets)], [1] * len(sets), [0] * len(sets), False, 0.8)
     got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.jaccard_classes(docs, leaf=4, block=block, grams=grams, recall=0.9999).collect()}
     assert got == {i: (root[i], partners[i]) for i in range(len(texts))}
-
-
-def test_no_table_stays_but_the_result(spark):
-    here = Path(spark.conf.get("spark.checkpoint.dir"))
-    before = set(here.glob("gridloom-*"))
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven "), (F.col("id") % 3).cast("string")).alias("text"))
-    assert chosen_path.jaccard_classes(docs).count() == 40
-    assert [p.name.split("-")[1] for p in set(here.glob("gridloom-*")) - before] == ["classes"]
