@@ -11,7 +11,6 @@ alike; only the id and the text are read, whatever other columns are called.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -102,7 +101,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def partition_sum(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum of of(batch) over all rows: one array a task, then one a merging task, then the driver's few; of n tasks the root of n merge."""
+    """The sum of of(batch) over all rows: one array a task, which merge sixteen at a time, level by level, until the driver gets one."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -118,9 +117,12 @@ def partition_sum(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], siz
                 total += np.frombuffer(x.as_buffer())
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
-    merging = math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
-    found = df.mapInArrow(first, "sum binary").repartition(merging).mapInArrow(merge, "sum binary").collect()
-    return sum((np.frombuffer(r[0]) for r in found), np.zeros(size))
+    left = df.rdd.getNumPartitions()
+    found = df.mapInArrow(first, "sum binary")
+    while left > 1:
+        left = -(-left // 16)
+        found = found.repartition(left).mapInArrow(merge, "sum binary")
+    return sum((np.frombuffer(r[0]) for r in found.collect()), np.zeros(size))
 
 
 def isotonic(positive: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
