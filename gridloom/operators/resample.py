@@ -15,10 +15,22 @@ def bin_start(step_s: int, t: str = "t") -> Column:
     return F.expr(f"{t} - pmod({t}, {step_s * US})")
 
 
+def steps(rows: DataFrame, first: str, last: str, step: int, name: str) -> DataFrame:
+    """A row for every step from the column `first` to `last`, both on the grid of the multiples of `step`, named `name`.
+
+    Days are listed first, then the steps of each, so that no array holds more than a day's steps or the days of a row.
+    """
+    day = 86400 * US
+    rows = rows.withColumn("_day", F.explode_outer(F.sequence(F.expr(f"({first} - pmod({first}, {day})) div {day}"), F.expr(f"({last} - pmod({last}, {day})) div {day}"))))
+    begin, end = F.col("_day") * day, F.col("_day") * day + (day - 1)
+    rows = rows.withColumns({"_lo": F.greatest(F.col(first), begin + F.pmod(-begin, F.lit(step))), "_hi": F.least(F.col(last), end - F.pmod(end, F.lit(step)))}).where("_lo <= _hi")
+    return rows.withColumn(name, F.explode(F.sequence("_lo", "_hi", F.lit(step)))).drop("_day", "_lo", "_hi")
+
+
 def grid(readings: DataFrame, step_s: int) -> DataFrame:
     """(meter, t) at every step from a meter's first bin to its last."""
     ends = known(readings).groupBy("meter").agg(F.min(bin_start(step_s)).alias("a"), F.max(bin_start(step_s)).alias("b"))
-    return ends.select("meter", F.explode(F.sequence("a", "b", F.lit(step_s * US))).alias("t"))
+    return steps(ends, "a", "b", step_s * US, "t").select("meter", "t")
 
 
 def asof(readings: DataFrame, step_s: int, limit_s: int | None = None) -> DataFrame:
@@ -54,7 +66,8 @@ def time_weighted(readings: DataFrame, step_s: int) -> DataFrame:
     """(meter, t, value): the mean of the step function over each bin that it covers, weighted by time."""
     step = step_s * US
     rows = known(readings).withColumn("next", F.lead("t").over(in_order())).where("next > t")
-    rows = rows.withColumn("b", F.explode(F.sequence(F.expr(f"t - pmod(t, {step})"), F.expr(f"next - 1 - pmod(next - 1, {step})"), F.lit(step))))
+    rows = rows.withColumns({"_from": F.expr(f"t - pmod(t, {step})"), "_to": F.expr(f"next - 1 - pmod(next - 1, {step})")})
+    rows = steps(rows, "_from", "_to", step, "b")
     span = F.least("next", F.col("b") + step) - F.greatest("t", "b")
     return rows.withColumn("s", span).groupBy("meter", F.col("b").alias("t")).agg((F.sum(F.col("value") * F.col("s")) / F.sum("s")).alias("value"))
 

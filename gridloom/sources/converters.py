@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.resample import steps
+from gridloom.operators.sections import US
+
 _OUT = ["dataset", "building", "meter", "ts", "physical_quantity", "ac_type", "value"]
 
 
@@ -87,7 +90,8 @@ def filled_minutes(rows: DataFrame) -> DataFrame:
     once = rows.groupBy(*keys, "ts").agg(F.min("value").alias("value"))
     minutes = once.groupBy(*keys, F.date_trunc("minute", "ts").alias("ts")).agg(F.avg("value").alias("value"))
     ends = minutes.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.median("value").alias("_m"))
-    grid = ends.select(*keys, "_m", F.explode(F.sequence("_a", "_b", F.expr("interval 1 minute"))).alias("ts"))
+    micros = ends.select(*keys, "_m", F.unix_micros("_a").alias("_a"), F.unix_micros("_b").alias("_b"))
+    grid = steps(micros, "_a", "_b", 60 * US, "_t").select(*keys, "_m", F.timestamp_micros("_t").alias("ts"))
     value = F.coalesce("value", F.when(F.col("physical_quantity") == "power", 0.0).otherwise(F.col("_m")))
     return grid.join(minutes, [*keys, "ts"], "left").select("dataset", "building", "meter", "ts", "physical_quantity", F.nullif("ac_type", F.lit("")).alias("ac_type"), value.alias("value"))
 
@@ -113,6 +117,6 @@ def block_csv(spark: SparkSession, path: str, dataset: str, meters: dict[str, in
     names, values = F.split(F.trim("_head"), ","), F.split(F.trim("_line"), ",")
     pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("text")), lambda p: p["name"].isNotNull() & p["text"].isNotNull())
     known = F.create_map(*(F.lit(x) for item in meters.items() for x in item))
-    long = headed.select("building", F.get(values, F.lit(0)).try_cast("double").alias("_s"), F.explode(F.slice(pairs, 2, 1_000_000)).alias("p"))
+    long = headed.select("building", F.get(values, F.lit(0)).try_cast("double").alias("_s"), F.explode(F.slice(pairs, F.lit(2), F.greatest(F.size(pairs) - 1, F.lit(0)))).alias("p"))
     rows = long.select("building", known[F.trim("p.name")].alias("meter"), F.timestamp_seconds("_s").alias("ts"), F.trim("p.text").try_cast("double").alias("value")).where("meter is not null and ts is not null and value is not null and not isnan(value)")
     return _shaped(rows.groupBy("building", "meter", "ts").agg(F.min("value").alias("value")), dataset)
