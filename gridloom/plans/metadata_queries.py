@@ -409,6 +409,19 @@ def store_round_trip(s, d):
     return r6(found.groupBy("building", "meter").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
 
 
+@query(f"""WITH {EV}, k AS (SELECT meter, CASE WHEN meter = (SELECT min(meter) FROM ev) THEN value * 2 ELSE value END AS value FROM ev) SELECT CAST(meter AS INTEGER) AS meter, count(*) AS n, round(sum(value), 6) AS total FROM k GROUP BY meter""")
+def put_and_append(s, d):
+    """A keyed store: the readings before a day, those from it on appended, then the first meter put anew with doubled values."""
+    rows = store.events(s, d).select(F.lit("x").alias("dataset"), (F.col("meter") % 3).cast("int").alias("building"), F.col("meter").cast("int").alias("meter"), F.timestamp_micros("t").alias("ts"), F.lit("power").alias("physical_quantity"), F.lit("active").alias("ac_type"), "value")
+    at, later = scratch(s), F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    dealt = rows.repartition(*store.KEY)  # so that a meter's folder gets one file a write
+    store.put(dealt.where(~later), at)
+    store.append(dealt.where(later), at)
+    first = rows.agg(F.min("meter")).first()[0]
+    store.put(rows.where(F.col("meter") == first).withColumn("value", F.col("value") * 2).coalesce(1), at)
+    return r6(store.load(s, at).groupBy("meter").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
 @query(f"WITH {EV}, {good_sql('g')} {out('g')}")
 def cached_sections(s, d):
     """A statistic that is made once and then read from the store's cache."""

@@ -91,6 +91,55 @@ def load_sections(rows: DataFrame, sections: DataFrame, look_ahead: int = 0) ->
     return both.withColumn("_open", F.sum("_step").over(seen)).where("_kind = 1 and _open > 0").select(*rows.columns)
 
 
+KEY = ["dataset", "building", "meter"]
+SPANS = "_spans"  # beside the readings; readers skip names with an underscore
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _write_keys(rows: DataFrame, path: str, fmt: str, mode: str) -> None:
+    options = {"partitionOverwriteMode": "dynamic"} | ({"header": "true"} if fmt == "csv" else {})
+    rows.write.format(fmt).options(**options).mode(mode).partitionBy(*KEY).save(path)
+
+
+def spans(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, building, meter, start, end) of everything that was put or appended to a keyed store, a row a write."""
+    return spark.read.schema("start timestamp, end timestamp, dataset string, building int, meter int").parquet(f"{path}/{SPANS}").select(*KEY, "start", "end")
+
+
+def put(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Readings that replace those of their meters in a keyed store (a folder a meter); the files of all other meters stay as they are.
+
+    Rows without a time raise ValueError, no rows do nothing. The readings are written first, then their spans: after a failure between the two, put again.
+    """
+    found = timeframe(rows)
+    if found.where("start is null").limit(1).count() or rows.where("ts is null").limit(1).count():
+        raise ValueError("a reading without a time")
+    if not found.limit(1).count():
+        return
+    _write_keys(rows, path, fmt, "overwrite")
+    _write_keys(found, f"{path}/{SPANS}", "parquet", "overwrite")
+
+
+def append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Readings added to a keyed store. If their span overlaps one of their meter that is there, or touches its end, nothing is written: ValueError."""
+    spark, found = rows.sparkSession, timeframe(rows)
+    if rows.where("ts is null").limit(1).count():
+        raise ValueError("a reading without a time")
+    if not found.limit(1).count():
+        return
+    if _there(spark, f"{path}/{SPANS}"):
+        old = spans(spark, path).withColumnsRenamed({"start": "_from", "end": "_to"})
+        clash = found.join(old, KEY).where("start <= _to and end >= _from").select(*KEY, "start").first()
+        if clash:
+            raise ValueError(f"meter {clash.meter} of building {clash.building} has readings at {clash.start} already")
+    _write_keys(rows, path, fmt, "append")
+    _write_keys(found, f"{path}/{SPANS}", "parquet", "append")
+
+
 def remove(spark: SparkSession, path: str, dataset: str, building: int) -> bool:
     """Delete one building's partition of a store; whether it was there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset={dataset}/building={int(building)}")
