@@ -581,18 +581,30 @@ def entropy_per_meter(s, d):
     return r6(information.entropy_per_meter(store.events(s, d)), "entropy")
 
 
-@query(f"""WITH {EV}, b AS (SELECT kind AS meter, id, value AS x, lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS y FROM ev),
-pt AS MATERIALIZED (SELECT meter, id, x + 1e-10::DOUBLE * (((id * 7919) % 1000003) / 1000003::DOUBLE) AS x, y + 1e-10::DOUBLE * (((id * 7919) % 1000003) / 1000003::DOUBLE) AS y FROM b WHERE x IS NOT NULL AND y IS NOT NULL),
-fr AS MATERIALIZED (SELECT a.meter, a.id, any_value(a.x) AS x, any_value(a.y) AS y, (min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 4))[4] - 1e-15 AS r FROM pt a JOIN pt b ON a.meter = b.meter GROUP BY a.meter, a.id),
-ct AS (SELECT f.meter, f.id, CAST(count(*) FILTER (p.x BETWEEN f.x - f.r AND f.x + f.r) AS DOUBLE) AS nx, CAST(count(*) FILTER (p.y BETWEEN f.y - f.r AND f.y + f.r) AS DOUBLE) AS ny FROM fr f JOIN pt p ON p.meter = f.meter GROUP BY f.meter, f.id)
-SELECT meter, round((1.5 - 0.5772156649015329 + {_digamma_sql('CAST(count(*) AS DOUBLE)')} - avg({_digamma_sql('greatest(nx, 1)')}) - avg({_digamma_sql('greatest(ny, 1)')})) / ln(2), 6) AS mi, count(*) AS n FROM ct GROUP BY meter""")
+def _information_sql(points: str, keys: str) -> str:
+    """All pairs of points compared; `points` is the text of pt(keys, id, x, y) without the shift."""
+    both = " AND ".join(f"a.{c} = b.{c}" for c in keys.split(", "))
+    return f"""sh AS MATERIALIZED (SELECT {keys}, row_number() OVER () AS id, x + 1e-10::DOUBLE * (((id * 7919) % 1000003) / 1000003::DOUBLE) AS x, y + 1e-10::DOUBLE * (((id * 7919) % 1000003) / 1000003::DOUBLE) AS y FROM ({points}) WHERE x IS NOT NULL AND y IS NOT NULL),
+fr AS MATERIALIZED (SELECT {', '.join(f'a.{c}' for c in keys.split(', '))}, a.id, any_value(a.x) AS x, any_value(a.y) AS y, (min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 4))[4] - 1e-15 AS r FROM sh a JOIN sh b ON {both} GROUP BY ALL),
+ct AS (SELECT {', '.join(f'a.{c}' for c in keys.split(', '))}, a.id, CAST(count(*) FILTER (b.x BETWEEN a.x - a.r AND a.x + a.r) AS DOUBLE) AS nx, CAST(count(*) FILTER (b.y BETWEEN a.y - a.r AND a.y + a.r) AS DOUBLE) AS ny FROM fr a JOIN sh b ON {both} GROUP BY ALL)
+SELECT {keys}, round((1.5 - 0.5772156649015329 + {_digamma_sql('CAST(count(*) AS DOUBLE)')} - avg({_digamma_sql('greatest(nx, 1)')}) - avg({_digamma_sql('greatest(ny, 1)')})) / ln(2), 6) AS mi, count(*) AS n FROM ct GROUP BY {keys}"""
+
+
+@query(f"WITH {EV}, {_information_sql('SELECT kind AS meter, id, value AS x, lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS y FROM ev', 'meter')}")
 def mutual_information(s, d):
-    """Of each reading and the one before it, a kind of event a group; the SQL compares all pairs, so it serves parts of 10,000 points at most."""
+    """Of each reading and the one before it, a kind of event a group; the SQL compares all pairs."""
     before = F.lag("value").over(resample_order())
     rows = store.events(s, d).withColumn("y", before).select(F.col("kind").alias("meter"), "id", F.col("value").alias("x"), "y")
     return r6(information.mutual_information(rows), "mi")
 
 
+@query(f"WITH {EV}, hr AS (SELECT kind, t - t % 3600000000 AS t, avg(value) AS value FROM ev WHERE value IS NOT NULL GROUP BY ALL), {_information_sql('SELECT a.kind AS meter_a, b.kind AS meter_b, a.t % 1000003 AS id, a.value AS x, b.value AS y FROM hr a JOIN hr b ON a.t = b.t AND a.kind < b.kind', 'meter_a, meter_b')}")
+def pairwise_information(s, d):
+    """Mutual information of the hourly means of every two kinds of events."""
+    ev = store.events(s, d).withColumn("meter", F.col("kind"))
+    return r6(information.pairwise_mutual_information(resample.mean(ev, H)), "mi")
+
+
 def resample_order():
     from pyspark.sql import Window
 

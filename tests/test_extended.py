@@ -48,16 +48,6 @@ def test_entropy_against_brute_force(spark):
     assert got[2].entropy is None and got[2].n == 1
 
 
-def test_mutual_information(spark):
-    rng = np.random.default_rng(2)
-    a, b = rng.standard_normal((2, 1500))
-    rows = [("same", k, float(u), float(0.9 * u + math.sqrt(0.19) * v)) for k, (u, v) in enumerate(zip(a, b))] + [("none", k, float(u), float(v)) for k, (u, v) in enumerate(zip(a, b))] + [("few", 0, 1.0, 1.0)]
-    df = spark.createDataFrame(rows, "meter string, id long, x double, y double")
-    for most in (10_000, 600):
-        got = {r.meter: r.mi for r in information.mutual_information(df, most=most).collect()}
-        assert got["same"] == pytest.approx(-0.5 * math.log2(0.19), abs=0.12) and abs(got["none"]) < 0.1 and got["few"] is None
-
-
 def test_load_profile(spark):
     flat = {(x, y): [{"summer": 1.0, "winter": 2.0, "inter": 4.0}[x] + q / 96 for q in range(96)] for x in forecast.SEASONS for y in forecast.DAY_TYPES}
     day = 86400 * 10**6  # 1970-01-01 is a Thursday
