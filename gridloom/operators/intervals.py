@@ -34,6 +34,18 @@ def intersect(*sides: DataFrame) -> DataFrame:
     return sweep([(s, 1) for s in sides]).where(F.col("level") == len(sides)).drop("level")
 
 
+def common(sections: DataFrame, group: DataFrame) -> DataFrame:
+    """(group, start, end) where all meters of a group (group, meter) have sections; a member without any leaves its group none.
+
+    The sections of a meter are disjoint; a meter may be in several groups and counts once in each.
+    """
+    members = group.where("group is not null and meter is not null").select("group", "meter").distinct()
+    sizes = members.groupBy("group").agg(F.count("*").alias("_members"))
+    held = sections.join(members, "meter").select(F.col("group").alias("meter"), "start", "end")
+    pieces = sweep([(held, 1)]).withColumnRenamed("meter", "group").join(sizes, "group").where("level = _members")
+    return merge_gaps(pieces.select(F.col("group").alias("meter"), "start", "end"), 0).withColumnRenamed("meter", "group")
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return sweep([(left, 1), (right, 2)]).where("level = 1").drop("level")
 

@@ -7,14 +7,15 @@ building whose number plus its own is a multiple of five.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import measurement, scalars
 from gridloom.operators import energy, forecast, intervals, metrics, resample, sections, selection
-from gridloom.plans.registry import _CONF, DAY, EV, GAP, KWH, MEAN, H, _EN2, _PAIRS, _sql, confusion_durations, entropy_per_meter, good, good_sql, out, pairs, query, r6, resample_order, two_energies
-from gridloom.sources import store
+from gridloom.plans.registry import _CONF, DAY, EV, GAP, KWH, MEAN, H, _EN2, _PAIRS, _sql, confusion_durations, entropy_per_meter, good, good_sql, merge_sql, out, pairs, query, r6, resample_order, sweep_sql, two_energies
+from gridloom.sources import dataset, store
 
 def registry_sql(name: str) -> str:
     return _sql[name]
@@ -390,8 +391,6 @@ def zone_shifts(s, d):
 
 def scratch(s) -> str:
     """A new folder where the cluster shares one, else a local one."""
-    import uuid
-
     base = s.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if s.sparkContext.master.startswith("local") else None)
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
@@ -422,12 +421,53 @@ def put_and_append(s, d):
     return r6(store.load(s, at).groupBy("meter").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
 
 
+def as_store(s, d) -> DataFrame:
+    """The events as the readings of a store of three buildings."""
+    return store.events(s, d).select(F.lit("x").alias("dataset"), (F.col("meter") % 3).cast("int").alias("building"), F.col("meter").cast("int").alias("meter"), F.timestamp_micros("t").alias("ts"), F.lit("power").alias("physical_quantity"), F.lit("active").alias("ac_type"), "value")
+
+
+def opened(s, d) -> dataset.DataSet:
+    at = scratch(s)
+    store.save(as_store(s, d), at, mode="overwrite")
+    return dataset.DataSet(s, at)
+
+
 @query(f"WITH {EV}, {good_sql('g')} {out('g')}")
 def cached_sections(s, d):
-    """A statistic that is made once and then read from the store's cache."""
-    at = scratch(s)
-    store.cached(s, at, "good", lambda: good(s, d))
-    return store.cached(s, at, "good", lambda: good(s, d).where("false"))
+    """A statistic made once a building and made again for the building that gets more readings."""
+    at, rows = scratch(s), as_store(s, d)
+    late = (F.col("building") == 1) & (F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
+    made = lambda r: sections.good_sections(r.select(F.struct(*store.KEY).alias("meter"), F.unix_micros("ts").alias("t"), "value", F.lit(0).alias("id")), GAP).select("meter.*", "start", "end")
+    store.save(rows.where(~late), at, mode="overwrite")
+    store.cached(s, at, "good", made)
+    store.save(rows.where(late), at)
+    return store.cached(s, at, "good", made).select(F.col("meter").cast("long").alias("meter"), "start", "end")
+
+
+_OPEN = "ev AS (SELECT CAST(user_id % 3 AS INTEGER) AS building, user_id AS meter, epoch_us(ts) AS t, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20')"
+
+
+@query(f"""WITH {_OPEN} SELECT coalesce(CAST(building AS VARCHAR), 'all') AS building, count(DISTINCT meter) AS meters, count(*) AS readings, CAST(min(t) AS BIGINT) AS "start", CAST(max(t) AS BIGINT) AS "end", round(avg(value), 6) AS mean FROM ev GROUP BY GROUPING SETS ((ev.building), ())""")
+def describe_dataset(s, d):
+    """A data set opened with a window: its buildings and the whole."""
+    found = opened(s, d).window("2024-01-05", "2024-01-20").describe()
+    return r6(found.select(F.coalesce(F.col("building").cast("string"), F.lit("all")).alias("building"), "meters", "readings", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "mean"), "mean")
+
+
+@query(f"WITH {_OPEN} SELECT building, CAST(meter AS INTEGER) AS meter, count(*) AS n, max(value) AS most FROM ev WHERE building = 1 GROUP BY ALL")
+def windowed_view(s, d):
+    """SQL over the view of a handle: one building in a window."""
+    name = f"readings_{uuid.uuid4().hex}"
+    opened(s, d).window("2024-01-05", "2024-01-20").of(1).view(name)
+    return s.sql(f"SELECT building, meter, count(*) AS n, max(value) AS most FROM {name} GROUP BY ALL")
+
+
+@query(f"""WITH {EV}, {good_sql('g', gap=24 * H)}, mb AS (SELECT DISTINCT meter // 4 AS grp, meter FROM ev), sz AS (SELECT grp, count(*) AS n FROM mb GROUP BY grp),
+hd AS (SELECT grp AS meter, s, e FROM g JOIN mb USING (meter)), {sweep_sql('x', {'hd': 1})}, p AS (SELECT x.meter, s, e FROM x JOIN sz ON grp = x.meter WHERE level = n), {merge_sql('m', 'p')} SELECT meter AS "group", s AS "start", e AS "end" FROM m""")
+def group_good_sections(s, d):
+    """Where all meters of a group of four have good sections."""
+    group = store.events(s, d).select(F.expr("meter div 4").alias("group"), "meter")
+    return intervals.common(good(s, d, gap=24 * H), group)
 
 
 @query(f"WITH {EV}, {good_sql('g')} SELECT meter, s AS \"start\", e AS \"end\", (e - s) / 1e6::DOUBLE AS seconds FROM g")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -169,13 +172,39 @@ def predictions(wide: DataFrame, dataset: str, building: int, names: list[str])
     return rows, wide.sparkSession.createDataFrame(meters, "building int, meter int, device_model string, site_meter boolean, submeter_of int, data_location string, disabled boolean")
 
 
-def cached(spark: SparkSession, path: str, name: str, make) -> DataFrame:
-    """The statistic `name` of a store: read from its cache folder, or made, written there and read."""
+def _listed(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(by, folder, mark) of each of a store's files; the mark is a hash of its name, length and time. No file is opened."""
+    kinds = {f.name: f.dataType for f in schema().fields}
+    files = spark.read.format("binaryFile").option("basePath", path).load(path)
+    return files.select(*(F.col(c).cast(kinds[c]).alias(c) for c in by), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.xxhash64("path", "length", "modificationTime").alias("mark"))
+
+
+def marks(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(by, _mark): one fingerprint for all files of a part of a store."""
+    each = _listed(spark, path, by).groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor("mark").alias("x"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("s"))
+    return each.select(*by, F.xxhash64(*by, "n", "x", "s").alias("_mark"))
+
+
+def cached(spark: SparkSession, path: str, name: str, make: Callable[[DataFrame], DataFrame], fmt: str = "parquet", by: Sequence[str] = ("dataset", "building")) -> DataFrame:
+    """The statistic `name` of the parts of a store: `make` of the readings, whose rows carry the columns `by`; each of its rows may depend on its own part alone.
+
+    Results are kept beside the readings under the fingerprint of their part. Only parts whose files are new or changed
+    since are read and made anew, parts that are gone give no rows. A failure between rows and fingerprints has these parts made again in place.
+    """
+    by = list(by)
     at = f"{path.rstrip('/')}/_cache/{name}"  # readers of the store pass over names with an underscore
-    files, target = _files(spark, at)
-    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
-        make().write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    now, known = marks(spark, path, by), _there(spark, f"{at}/marks/_SUCCESS")
+    changed = now.join(spark.read.schema("_mark long").parquet(f"{at}/marks"), "_mark", "left_anti") if known else now
+    folders = [r.folder for r in _listed(spark, path, by).join(changed, by, "left_semi").select("folder").distinct().collect()]  # fewer than the files that the driver lists for any read
+    if folders or not known:
+        reader = spark.read.schema(READINGS) if fmt == "csv" else spark.read
+        rows = reader.format(fmt).options(basePath=path, **({"header": "true"} if fmt == "csv" else {})).load(folders or path)
+        made = make(rows).join(changed, by)
+        spark.createDataFrame([(made.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{at}/schema")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_mark").parquet(f"{at}/rows")
+        changed.select("_mark").write.mode("append").parquet(f"{at}/marks")
+    shape = StructType.fromJson(json.loads(spark.read.text(f"{at}/schema").first()[0]))
+    return spark.read.schema(shape).parquet(f"{at}/rows").join(marks(spark, path, by).select("_mark"), "_mark", "left_semi").drop("_mark")
 
 
 def clear_cache(spark: SparkSession, path: str, name: str | None = None) -> bool:
