@@ -154,13 +154,30 @@ def children(rows: DataFrame, building: int | None = None) -> DataFrame:
     return rows.select("dataset", "building").distinct() if building is None else rows.where(F.col("building") == building).select("dataset", "building", "meter").distinct()
 
 
-def with_external(rows: DataFrame, external: DataFrame, on: str, columns: list[str]) -> DataFrame:
-    """External columns (as weather by zip code) at each row's instant: the last known value of the place, before the first one the next."""
-    both = rows.withColumns({c: F.lit(None).cast(dict(external.dtypes)[c]) for c in columns}).withColumn("_own", F.lit(True)).unionByName(external.select(on, "t", *columns).withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    # the next known value is the last one of the order turned round, so both frames grow row by row
-    upto = lambda *order: Window.partitionBy(on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    back, forth = upto("t", "_own"), upto(F.desc("t"), F.desc("_own"))
-    return both.withColumns({c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(forth)) for c in columns}).where("_own").drop("_own")
+def with_external(rows: DataFrame, external: DataFrame, on: str, columns: list[str], bucket_us: int = 86_400_000_000) -> DataFrame:
+    """External columns (as weather by zip code) at each row's instant t: the last known value of the place, before the first one the next.
+
+    Of several known values at one instant the largest counts; a row without an instant takes the first. A place without
+    external rows gives nulls; null is a place like others. The external table is filled by itself; rows meet it by place and
+    bucket, where a row carries in what was known before, so the rows of a place are not ordered in one task.
+    """
+    start = (F.col("t") - F.pmod("t", F.lit(bucket_us))).alias("_from")
+    kinds = dict(external.dtypes)
+    once = external.where("t is not null").groupBy(on, "t").agg(*(F.max(c).alias(c) for c in columns))
+    place = Window.partitionBy(on).orderBy("t")
+    back, forth = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
+    filled = once.select(on, "t", start, F.struct(*(F.coalesce(F.last(c, True).over(back), F.first(c, True).over(forth)).alias(c) for c in columns)).alias("_was"))
+    ends = filled.groupBy(on, "_from").agg(F.min_by("_was", "t").alias("_head"), F.max_by("_was", "t").alias("_tail"))
+    asked = rows.select(on, start).distinct().unionByName(ends, allowMissingColumns=True).groupBy(on, "_from").agg(F.first("_head", True).alias("_head"), F.first("_tail", True).alias("_tail"))
+    buckets = Window.partitionBy(on).orderBy("_from")
+    whole = buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = F.coalesce(F.last("_tail", True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.first("_head", True).over(whole))
+    known = asked.select(on, (F.col("_from") - 1).alias("t"), "_from", carried.alias("_was")).unionByName(filled).withColumn("_own", F.lit(False))
+    own = rows.drop(*columns)
+    both = own.withColumns({"_from": start, "_own": F.lit(True)}).unionByName(known, allowMissingColumns=True)
+    upto = Window.partitionBy(on, "_from").orderBy("t", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_was", F.last("_was", True).over(upto)).where("_own")
+    return found.select(*own.columns, *(F.col("_was")[c].cast(kinds[c]).alias(c) for c in columns))
 
 
 def predictions(wide: DataFrame, dataset: str, building: int, names: list[str]) -> tuple[DataFrame, DataFrame]:
