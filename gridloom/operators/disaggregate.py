@@ -1,4 +1,4 @@
-"""One series to many. Sequential rules run in one task a meter; all else is DataFrame work."""
+"""One series to many. Sequential rules pass over the ordered rows of many meters a task (`ordered`); all else is DataFrame work."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import chains
+from gridloom.operators import chains, ordered
 from gridloom.operators.resample import nearest
 from gridloom.operators.sections import known
 
@@ -161,6 +161,22 @@ def transients(readings: DataFrame, noise: float = 70, state: float = 15, emit_o
     return both.select("meter", "t", "ends", F.col("transition_value").alias("transition"), F.col("level_value").alias("level"), "signature", "steps", peak.alias("peak"))
 
 
+class _Emitted:
+    """Levels that differ by more than `noise` from the one put out last."""
+
+    def __init__(self, noise: float, columns: int):
+        self.noise, self.before = noise, (0.0,) * columns
+
+    def row(self, run: int, t: int, ends: int, first: int, *level: float) -> Iterable[tuple]:
+        moved = tuple(x - y for x, y in zip(level, self.before, strict=True))
+        if any(abs(x) > self.noise for x in moved):
+            self.before = level
+            yield (run, t, ends, first, *level, *moved)
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
 def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",), noise: float = 70, state: float = 15, emit_only: bool = False, with_run: bool = False) -> DataFrame:
     """(meter, t, ends, transition_<c>..., level_<c>...): the same of several columns, as active and reactive power, of which any may change; `with_run` also names each change's run.
 
@@ -173,21 +189,10 @@ def steady_states_of(readings: DataFrame, columns: tuple[str, ...] = ("value",),
         found = found.select("meter", "run", "t", "ends", "first", *(F.col(c).alias(f"level_{c}") for c in columns), *((F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0.0))).alias(f"transition_{c}") for c in columns))
         found = found.where(" or ".join(f"abs(transition_{c}) > {noise}" for c in columns))
     else:
-        names = [f"transition_{c}" for c in columns]
-
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("run")
-            level, before = rows[list(columns)].to_numpy(float), np.zeros(len(columns))
-            moved = np.zeros(level.shape)
-            for k, now in enumerate(level):
-                if (np.abs(now - before) > noise).any():
-                    moved[k] = now - before
-                    before = now
-            rows[names] = moved
-            return rows[(np.abs(moved) > noise).any(axis=1)].rename(columns={c: f"level_{c}" for c in columns})[["meter", "run", "t", "ends", "first", *(f"level_{c}" for c in columns), *names]]
-
-        kind = dict(readings.dtypes)["meter"]
-        found = found.select("meter", "run", "t", "ends", "first", *columns).groupBy("meter").applyInPandas(one, f"meter {kind}, run long, t long, ends long, first long, " + ", ".join(f"{x} double" for x in [*(f"level_{c}" for c in columns), *names]))
+        levels = [f"level_{c}" for c in columns]
+        own = found.select("meter", "run", "t", "ends", "first", *(F.col(c).alias(x) for c, x in zip(columns, levels, strict=True)))
+        shape = "run long, t long, ends long, first long, " + ", ".join(f"{x} double" for x in [*levels, *(f"transition_{c}" for c in columns)])
+        found = ordered.scan(own, ["meter"], ["run"], ["run", "t", "ends", "first", *levels], lambda: _Emitted(noise, len(columns)), shape)
     return _without_start(found, noise, columns).select("meter", *["run"] * with_run, "t", "ends", *(f"transition_{c}" for c in columns), *(f"level_{c}" for c in columns))
 
 
@@ -209,16 +214,33 @@ def pair_in_buffer(buffer: list[list], rows: Iterable[tuple[int, float]], size:
     return out, buffer
 
 
-def pair_transitions(transitions: DataFrame, size: int = 20, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
-    """(meter, on_t, on, off_t, off): rises paired with later falls of like size in a ring buffer, nearest first."""
+class _Buffered:
+    """Pairs by a ring buffer, which is all that is held."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        out = pair_in_buffer([], zip(rows["t"], rows["transition"], strict=True), size, tolerance, share, large)[0]
-        return pd.DataFrame(out, columns=["on_t", "on", "off_t", "off"]).assign(meter=rows["meter"].iloc[0])[["meter", "on_t", "on", "off_t", "off"]]
+    def __init__(self, *limits: float):
+        self.limits, self.buffer = limits, []
+
+    def row(self, t: int, transition: float) -> Iterable[tuple]:
+        out, self.buffer = pair_in_buffer(self.buffer, [(t, transition)], *self.limits)
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+PAIR = "on_t long, on double, off_t long, off double"
+
+
+def _switches(transitions: DataFrame) -> DataFrame:
+    return transitions.select("meter", "t", F.col("transition").cast("double").alias("transition")).where("transition is not null and not isnan(transition)")
+
+
+def pair_transitions(transitions: DataFrame, size: int = 20, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
+    """(meter, on_t, on, off_t, off): rises paired with later falls of like size in a ring buffer, nearest first.
 
-    kind = dict(transitions.dtypes)["meter"]
-    return transitions.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, on double, off_t long, off double")
+    Of transitions at one instant the larger fall comes first; null and NaN ones are left out. A task holds a buffer, however long the series.
+    """
+    return ordered.scan(_switches(transitions), ["meter"], ["t", "transition"], ["t", "transition"], lambda: _Buffered(size, tolerance, share, large), PAIR)
 
 
 def _density(x: Column, p: tuple[float | Column, float | Column]) -> Column:
@@ -311,51 +333,64 @@ def fhmm_decode(mains: DataFrame, states: dict[str, list[float]], stay: float =
     return found.select("meter", "t", *(F.col("levels")[k].alias(n) for k, n in enumerate(names)))
 
 
+class _FromFalls:
+    """Falls wait, the last of them first, for a rise that comes before them; rows come from the last to the first."""
+
+    def __init__(self, tolerance: float, share: float, large: float):
+        self.tolerance, self.share, self.large = tolerance, share, large
+        self.waiting: list[list] = []  # (t, transition, power undone so far)
+
+    def row(self, t: int, v: float) -> Iterable[tuple]:
+        free, still = v > 0, []
+        for fall in self.waiting:
+            near = self.tolerance if abs(v - fall[1]) < self.large else self.share * max(abs(v), abs(fall[1]))
+            if free and abs(v + fall[1]) < near:
+                free = False
+                yield t, v, fall[0], fall[1]
+                continue
+            fall[2] -= v
+            if fall[2] >= fall[1] - near:
+                still.append(fall)
+        self.waiting = still
+        if v < 0:
+            still.append([t, v, 0.0])
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
 def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
     """(meter, on_t, on, off_t, off): from the last fall to the first, each with the nearest free rise of like size before it.
 
-    The way back ends where the power, undone step by step from the fall, lies below what the fall could have switched off.
+    The way back ends where the power, undone step by step from the fall, lies below what the fall could have switched off, so
+    a task holds the falls that are still on their way. Of transitions at one instant the larger rise counts as the later one; null and NaN ones are left out.
     """
+    return ordered.scan(_switches(transitions), ["meter"], [F.desc("t"), F.desc("transition")], ["t", "transition"], lambda: _FromFalls(tolerance, share, large), PAIR)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t, v = rows["t"].to_numpy(), rows["transition"].to_numpy(float)
-        used, out = np.zeros(len(v), bool), []
-        for j in np.flatnonzero(v < 0)[::-1]:
-            undone = 0.0
-            for i in range(j - 1, -1, -1):
-                big = max(abs(v[i]), abs(v[j]))
-                near = tolerance if abs(v[i] - v[j]) < large else share * big
-                if v[i] > 0 and not used[i] and abs(v[i] + v[j]) < near:
-                    used[i] = True
-                    out.append((t[i], v[i], t[j], v[j]))
-                    break
-                undone -= v[i]
-                if undone < v[j] - near:
-                    break
-        return pd.DataFrame(out, columns=["on_t", "on", "off_t", "off"]).assign(meter=rows["meter"].iloc[0])[["meter", "on_t", "on", "off_t", "off"]]
 
-    kind = dict(transitions.dtypes)["meter"]
-    return transitions.groupBy("meter").applyInPandas(one, f"meter {kind}, on_t long, on double, off_t long, off double")
+class _Free:
+    """Spans that don't overlap those taken before."""
+
+    def __init__(self):
+        self.taken: list[tuple[int, int]] = []
+
+    def row(self, on_t: int, off_t: int, likelihood: float) -> Iterable[tuple]:
+        at = bisect.bisect_right(self.taken, (on_t, off_t))
+        if (at == 0 or self.taken[at - 1][1] <= on_t) and (at == len(self.taken) or self.taken[at][0] >= off_t):
+            self.taken.insert(at, (on_t, off_t))
+            yield on_t, off_t, likelihood
+
+    def end(self) -> Iterable[tuple]:
+        return ()
 
 
 def accept_pairs(pairs: DataFrame, least: float = 0.0, keys: tuple[str, ...] = ("meter",)) -> DataFrame:
-    """Of (meter, on_t, off_t, likelihood) the rows that are taken by descending likelihood while their span is still free; of equal ones the earlier. Spans of different `keys` don't stand in each other's way."""
+    """Of (meter, on_t, off_t, likelihood) the rows that are taken by descending likelihood while their span is still free; of equal ones the earlier. Spans of different `keys` don't stand in each other's way.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["likelihood", "on_t", "off_t"], ascending=[False, True, True])
-        taken, keep = [], []
-        for a, b in zip(rows["on_t"], rows["off_t"], strict=True):
-            at = bisect.bisect_right(taken, (a, b))
-            free = (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b)
-            if free:
-                taken.insert(at, (a, b))
-            keep.append(free)
-        return rows[keep]
-
-    kinds = ", ".join(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys)
-    some = pairs.where(F.col("likelihood") >= least).select(*keys, "on_t", "off_t", "likelihood")
-    return some.groupBy(*keys).applyInPandas(one, f"{kinds}, on_t long, off_t long, likelihood double")
+    A task holds the spans taken of one group, not its candidates.
+    """
+    some = pairs.where(F.col("likelihood") >= least)
+    return ordered.scan(some, list(keys), [F.desc("likelihood"), "on_t", "off_t"], ["on_t", "off_t", "likelihood"], _Free, "on_t long, off_t long, likelihood double")
 
 
 def centroid_states(transitions: DataFrame, centroids: dict[str, float]) -> DataFrame:
