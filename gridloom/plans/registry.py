@@ -40,6 +40,7 @@ def _all() -> None:
     import_module("gridloom.plans.metadata_queries")
     import_module("gridloom.plans.training_queries")
     import_module("gridloom.plans.converter_queries")
+    import_module("gridloom.plans.sql_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
