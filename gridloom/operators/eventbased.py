@@ -289,6 +289,29 @@ def single_phase(transients: DataFrame, together: DataFrame) -> DataFrame:
     return transients.join(together.select("building", "t").distinct(), ["building", "t"], "left_anti")
 
 
+def separate_phases(transients: DataFrame, phases: int = 3, eps_s: float = 300, least: int = 5, fewest: int = 10) -> DataFrame:
+    """(building, phases array, t, transitions array) of rows (building, phase, t, transition): each switch with the phases that it happened on.
+
+    Switches of all phases go first, then those of pairs of phases (`phase_events`), and what is left is of one phase. Where a phase of more than
+    three would stand in several pairs at one instant, the first pair in order has it. Transitions of a phase at one instant are summed up.
+    """
+    once = transients.where("t is not null and transition is not null").groupBy("building", "phase", "t").agg(F.sum("transition").alias("transition"))
+    order = F.array_sort(F.collect_list(F.struct("phase", "transition")))  # a row a phase
+    at = once.groupBy("building", "t").agg(order.alias("_x"))
+    same = F.forall("_x", lambda x: x["transition"] > 0) | F.forall("_x", lambda x: x["transition"] < 0)
+    whole = at.withColumn("_all", (F.size("_x") == phases) & same & F.lit(phases > 1))
+    all_of = whole.where("_all").select("building", F.transform("_x", lambda x: x["phase"]).alias("phases"), "t", F.transform("_x", lambda x: x["transition"]).alias("transitions"))
+    rest = whole.where("not _all").select("building", "t", F.inline("_x"))
+    both = phase_events(rest, eps_s, least, fewest)
+    first = lambda c: F.min(F.struct("phase_a", "phase_b")).over(Window.partitionBy("building", "t", c))
+    sides = both.withColumn("_p", F.explode(F.array("phase_a", "phase_b"))).withColumn("_ok", first("_p") == F.struct("phase_a", "phase_b"))
+    kept = sides.groupBy("building", "phase_a", "phase_b", "t").agg(F.every("_ok").alias("_ok"), F.first("transition_a").alias("_a"), F.first("transition_b").alias("_b")).where("_ok")
+    two = kept.select("building", F.array("phase_a", "phase_b").alias("phases"), "t", F.array("_a", "_b").alias("transitions"))
+    taken = two.select("building", F.explode("phases").alias("phase"), "t")
+    one = rest.join(taken, ["building", "phase", "t"], "left_anti").select("building", F.array("phase").alias("phases"), "t", F.array("transition").alias("transitions"))
+    return all_of.unionByName(two).unionByName(one)
+
+
 def appliance_power(events: DataFrame) -> DataFrame:
     """(meter, appliance, t, power) after each event of rows (meter, appliance, run, t, transition): what a run leaves over is taken from its first event, so that every run ends where it began."""
     run = Window.partitionBy("meter", "appliance", "run")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import chains, disaggregate, eventbased, training
@@ -149,7 +149,10 @@ class EventBased:
 
     def events(self, mains: DataFrame) -> DataFrame:
         """(meter, appliance, run, t, transition): the transients that went to an appliance; a run is one use of it."""
-        segments = training._cut(eventbased.segments(disaggregate.steady_states(mains, self.noise, self.state, emit_only=True), self.threshold))
+        return self._grouped(disaggregate.steady_states(mains, self.noise, self.state, emit_only=True))
+
+    def _grouped(self, states: DataFrame) -> DataFrame:
+        segments = training._cut(eventbased.segments(states, self.threshold))
         fours = eventbased.split_fours(segments)
         run = lambda *c: F.xxhash64("meter", "segment", *c)
         # segments of four that are two pairs count as segments of two
@@ -180,8 +183,30 @@ class EventBased:
         """(meter, appliance, t, power) after each event."""
         return eventbased.appliance_power(self.events(mains))
 
+    def events_of_phases(self, mains: DataFrame, phases: int = 3, eps_s: float = 300, least: int = 5, fewest: int = 10) -> DataFrame:
+        """(building, phases array, phase, appliance, run, t, transition) of mains (building, phase, t, id, value): what of each event lies on each of its phases.
+
+        Switches that phases share are a power flow of their own, for every set of phases, and so is what each phase has alone; the flows
+        are taken apart each for itself, by the level that its own switches add up to.
+        """
+        place = F.to_json(F.struct("building", "phase"))
+        named = mains.withColumn("meter", place)
+        names = named.groupBy("meter").agg(F.first("building").alias("building"), F.first("phase").alias("phase"))
+        found = disaggregate.steady_states(named, self.noise, self.state, emit_only=True).join(names, "meter")
+        flow = F.to_json(F.struct("building", "phases"))
+        parted = training._cut(eventbased.separate_phases(found.select("building", "phase", "t", "transition"), phases, eps_s, least, fewest).withColumn("meter", flow))
+        total = F.aggregate("transitions", F.lit(0.0), lambda a, x: a + x)
+        states = parted.select("meter", "t", total.alias("transition")).withColumn("level", F.sum("transition").over(Window.partitionBy("meter").orderBy("t")))
+        given = self._grouped(states).drop("transition").join(parted, ["meter", "t"])
+        each = F.explode(F.arrays_zip(F.col("phases").alias("phase"), F.col("transitions").alias("transition")))
+        return given.select("building", "phases", "appliance", "run", "t", each.alias("_e")).select("building", "phases", "_e.phase", "appliance", "run", "t", "_e.transition")
+
+    def disaggregate_phases(self, mains: DataFrame, phases: int = 3, eps_s: float = 300, least: int = 5, fewest: int = 10) -> DataFrame:
+        """(building, phases array, phase, appliance, t, power) on a phase after each event; an appliance is one of its building's and phases'."""
+        key = ["building", "phases", "phase"]
+        found = self.events_of_phases(mains, phases, eps_s, least, fewest).withColumn("meter", F.struct(*key))
+        return eventbased.appliance_power(found).select(*(F.col("meter")[k].alias(k) for k in key), "appliance", "t", "power")
 
-def _by(*keys: str):
-    from pyspark.sql import Window
 
+def _by(*keys: str):
     return Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

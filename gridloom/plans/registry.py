@@ -11,7 +11,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import activations, cluster, disaggregate, energy, eventbased, forecast, information, intervals, metrics, resample, sections, simulate, wiring
+from gridloom.operators import activations, cluster, disaggregate, energy, eventbased, forecast, information, intervals, metrics, models, resample, sections, simulate, wiring
 from gridloom.sources import store
 
 H = 3600
@@ -775,10 +775,38 @@ g AS (SELECT *, sum(CASE WHEN gap <= {PHASE_EPS * 1000000} THEN 0 ELSE 1 END) OV
 SELECT 1 AS building, c.phase_a, c.phase_b, c.t, round(c.transition_a, 6) AS transition_a, round(c.transition_b, 6) AS transition_b, CAST(min(g.n) AS BIGINT) AS "group"
 FROM c JOIN g ON c.phase_a = g.phase_a AND c.phase_b = g.phase_b AND abs(c.t - g.t) <= {PHASE_EPS * 1000000} WHERE NOT c.core OR c.t = g.t GROUP BY ALL""")
 def phase_events(s, d):
+    return r6(eventbased.phase_events(_phase_switches(s, d), PHASE_EPS), "transition_a", "transition_b")
+
+
+def _phase_switches(s: SparkSession, d: str) -> DataFrame:
     hour = H * 1000000
     sw = store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 60")
-    rows = sw.select(F.lit(1).alias("building"), (F.col("meter") % 3).alias("phase"), F.expr(f"t div {hour} * {hour}").alias("t"), "transition")
-    return r6(eventbased.phase_events(rows, PHASE_EPS), "transition_a", "transition_b")
+    return sw.select(F.lit(1).alias("building"), (F.col("meter") % 3).alias("phase"), F.expr(f"t div {hour} * {hour}").alias("t"), "transition")
+
+
+_PARTED = _PHASES.replace("once AS (", "onces AS (").replace("j AS (SELECT a.phase", f"""al AS (SELECT t, sum(tr) AS total FROM onces GROUP BY t HAVING count(*) = 3 AND (min(tr) > 0 OR max(tr) < 0)),
+once AS (SELECT * FROM onces ANTI JOIN al USING (t)),
+j AS (SELECT a.phase""", 1)
+
+
+@query(f"""WITH {EV}, {_PARTED},
+pr AS (SELECT DISTINCT c.phase_a, c.phase_b, c.t, c.transition_a + c.transition_b AS total FROM c JOIN g ON c.phase_a = g.phase_a AND c.phase_b = g.phase_b AND abs(c.t - g.t) <= {PHASE_EPS * 1000000})
+SELECT 1 AS building, '0+1+2' AS phases, t, round(total, 6) AS total FROM al UNION ALL SELECT 1, phase_a || '+' || phase_b, t, round(total, 6) FROM pr
+UNION ALL SELECT 1, CAST(phase AS VARCHAR), t, round(tr, 6) FROM once o WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.t = o.t AND o.phase IN (pr.phase_a, pr.phase_b))""")
+def separated_phases(s, d):
+    """Every switch of an hour with the phases that it happened on."""
+    found = eventbased.separate_phases(_phase_switches(s, d), 3, PHASE_EPS)
+    return r6(found.select("building", F.array_join("phases", "+").alias("phases"), "t", F.aggregate("transitions", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+@query()
+def event_based_phases(s, d):
+    """Hourly means of three meters each as the phases of a building, taken apart by shared and by single phases; mixtures by EM."""
+    hour = H * 1000000
+    phase = [F.floor(F.col("meter") / 3).alias("building"), (F.col("meter") % 3).cast("int").alias("phase"), F.expr(f"t div {hour} * {hour}").alias("t")]
+    mains = store.events(s, d).where("value is not null").groupBy(*phase).agg(F.avg("value").alias("value")).withColumn("id", F.col("t"))
+    found = models.EventBased(noise=30, state=10, threshold=30).disaggregate_phases(mains, 3, PHASE_EPS, 3, 3)
+    return r6(found.withColumn("phases", F.array_join("phases", "+")), "power")
 
 
 @query(f"""WITH {EV}, sw AS (SELECT meter, t, id, value - lag(value) OVER (PARTITION BY meter ORDER BY t, id) AS tr FROM ev),
