@@ -47,9 +47,45 @@ def forecast_errors(pairs: DataFrame, denominator: str = "forecast") -> DataFram
     return pairs.dropna(subset=["pred", "truth"]).groupBy("meter").agg(F.avg(d).alias("mae"), F.avg(div(d, F.abs(base))).alias("mape"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
+def _pieces(sections: DataFrame, bucket_us: int, meter: str) -> DataFrame:
+    """(place, meter's name, bucket, s, e): sections cut where buckets of time begin."""
+    b, size = F.col("bucket"), F.lit(bucket_us)
+    first, last = F.col("start") - F.pmod("start", size), F.col("end") - 1 - F.pmod(F.col("end") - 1, size)
+    cut = sections.where("end > start").withColumn("bucket", F.explode(F.sequence(first, last, size)))
+    return cut.select("place", F.col("meter").alias(meter), "bucket", F.greatest("start", b).alias("s"), F.least("end", b + size).alias("e"))
+
+
+def _shared(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """What pieces of a and of b share, both columns of names kept."""
+    b = b.withColumnsRenamed({"s": "_s", "e": "_e"})
+    both = a.join(b, on).where("s < _e and _s < e")
+    return both.withColumns({"s": F.greatest("s", "_s"), "e": F.least("e", "_e")}).drop("_s", "_e")
+
+
+def pair_scores(prediction: DataFrame, truth: DataFrame, good: DataFrame, bucket_s: int = 86400) -> DataFrame:
+    """(place, pred, truth, mcc) of the predictions and truths of a place that are on together at all; others have an mcc of 0 or less.
+
+    All three are sections (place, meter, start, end), good sections by truth, outside of which nothing counts; a meter's sections don't overlap.
+    Sections meet by place and bucket of time, so no place is one task, and only what overlaps makes a row.
+    """
+    us = bucket_s * 1_000_000
+    known = _pieces(good, us, "truth")
+    true = _shared(_pieces(truth, us, "truth"), known, ["place", "truth", "bucket"])
+    guess = _pieces(prediction, us, "pred")
+    total = lambda df, by, name: df.groupBy(*by).agg(F.sum(F.col("e") - F.col("s")).alias(name))
+    pair = ["place", "pred", "truth"]
+    tp = total(_shared(guess, true, ["place", "bucket"]), pair, "tp")
+    said = total(_shared(guess, known, ["place", "bucket"]), pair, "_said")
+    each = total(known, pair[::2], "_known").join(total(true, pair[::2], "_true"), pair[::2])
+    rates = tp.join(said, pair).join(each, pair[::2]).withColumns({"fp": F.col("_said") - F.col("tp"), "fn": F.col("_true") - F.col("tp")})
+    rates = rates.withColumn("tn", F.col("_known") - F.col("tp") - F.col("fp") - F.col("fn")).withColumn("meter", F.struct(*pair))
+    return durations(rates).select("meter.*", "mcc")
+
+
 def prematch(scores: DataFrame) -> DataFrame:
-    """Each prediction with the truth of the best mcc above 0: rows (pred, truth, mcc)."""
-    best = F.row_number().over(Window.partitionBy("pred").orderBy(F.desc("mcc"), "truth"))
+    """Each prediction (of a place, where there is such a column) with the truth of the best mcc above 0: rows (pred, truth, mcc)."""
+    own = [c for c in ("place", "pred") if c in scores.columns]
+    best = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("mcc"), "truth"))
     return scores.where("mcc > 0").withColumn("n", best).where("n = 1").drop("n")
 
 

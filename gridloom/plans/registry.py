@@ -398,6 +398,34 @@ def duration_scores(s, d):
     return r6(metrics.durations(confusion_durations(s, d)), "precision", "recall", "f1", "accuracy", "mcc")
 
 
+_SCORED = f"""WITH {EV}, {on_sql('p', 'value > 50', 'value IS NOT NULL AND id % 2 = 1')}, {on_sql('q', 'value > 50', 'value IS NOT NULL AND id % 2 = 0')}, {good_sql('g', 'value IS NOT NULL AND id % 2 = 0', 12 * H)},
+tr AS (SELECT q.meter, greatest(q.s, g.s) AS s, least(q.e, g.e) AS e FROM q JOIN g ON q.meter = g.meter AND q.s < g.e AND g.s < q.e),
+a AS (SELECT p.meter AS pred, x.meter AS truth, sum(least(p.e, x.e) - greatest(p.s, x.s)) AS tp FROM p JOIN tr x ON p.meter % 10 = x.meter % 10 AND p.s < x.e AND x.s < p.e GROUP BY ALL),
+b AS (SELECT p.meter AS pred, x.meter AS truth, sum(least(p.e, x.e) - greatest(p.s, x.s)) AS said FROM p JOIN g x ON p.meter % 10 = x.meter % 10 AND p.s < x.e AND x.s < p.e GROUP BY ALL),
+c AS (SELECT meter AS truth, sum(e - s) AS known FROM g GROUP BY 1), d AS (SELECT meter AS truth, sum(e - s) AS yes FROM tr GROUP BY 1),
+f AS (SELECT pred, truth, tp / 1e6 AS tp, (said - tp) / 1e6 AS fp, (yes - tp) / 1e6 AS fn, (known - said - yes + tp) / 1e6 AS tn FROM a JOIN b USING (pred, truth) JOIN c USING (truth) JOIN d USING (truth)),
+m AS (SELECT truth % 10 AS place, pred, truth, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) <> 0 THEN round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) END AS mcc FROM f)"""
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    """A reading of an odd number is a prediction, of an even one the truth; a place has a tenth of the meters."""
+    placed = lambda df: df.withColumn("place", F.col("meter") % 10)
+    ev = store.events(s, d)
+    odd, even = ev.where("id % 2 = 1"), ev.where("id % 2 = 0")
+    on = F.col("value") > 50
+    return r6(metrics.pair_scores(placed(sections.on_sections(odd, on)), placed(sections.on_sections(even, on)), placed(sections.good_sections(even, 12 * H))), "mcc")
+
+
+@query(f"{_SCORED} SELECT * FROM m")
+def scores_of_pairs(s, d):
+    return _scores(s, d)
+
+
+@query(f"{_SCORED} SELECT * FROM m WHERE mcc > 0 QUALIFY row_number() OVER (PARTITION BY place, pred ORDER BY mcc DESC, truth) = 1")
+def prematched_by_score(s, d):
+    return metrics.prematch(_scores(s, d))
+
+
 def _combos() -> str:
     return ", ".join(f"({t}, {', '.join(map(str, c))})" for t, c in {t: c for t, c in reversed(disaggregate.combinations(STATES))}.items())
 
