@@ -58,6 +58,23 @@ def per_meter_csv(spark: SparkSession, path: str, dataset: str, columns: dict[st
     return _shaped(long, dataset)
 
 
+def per_attribute_csv(spark: SparkSession, path: str, dataset: str, columns: dict[str, tuple[str, str | None]], buildings: dict[str, int] | None = None) -> DataFrame:
+    """One file an attribute, `<building>/<meter>/<attribute>.csv` of lines `milliseconds,value` (as COMBED has them).
+
+    As rows the attributes of a meter need no joining: an instant that one file lacks has no row of it. Files of attributes that aren't in
+    `columns` are not read on, nor are lines without an instant or a value. `buildings` gives the numbers of buildings with names (others are left out); a
+    line that stands twice counts once, and of different values at one instant the least.
+    """
+    rows = spark.read.schema("_ms string, _v string").csv(f"{path}/*/*/*.csv").withColumn("_f", F.input_file_name())
+    pick = lambda part: F.regexp_extract("_f", r"([^/]+)/(\d+)/([^/]+)\.csv", part)
+    number = F.create_map(*(F.lit(x) for pair in buildings.items() for x in pair))[pick(1)] if buildings else pick(1).try_cast("int")
+    named = rows.select(number.cast("int").alias("building"), pick(2).cast("int").alias("meter"), pick(3).alias("_c"), F.timestamp_millis(F.col("_ms").try_cast("double").cast("long")).alias("ts"), F.col("_v").try_cast("double").alias("value"))
+    of = lambda k: F.create_map(*(x for c, pair in columns.items() for x in (F.lit(c), F.lit(pair[k]).cast("string"))))[F.col("_c")]
+    some = named.where(F.col("_c").isin(list(columns))).where("building is not null and ts is not null and value is not null and not isnan(value)")
+    once = some.withColumns({"physical_quantity": of(0), "ac_type": of(1)}).groupBy("building", "meter", "ts", "physical_quantity", "ac_type").agg(F.min("value").alias("value"))
+    return _shaped(once, dataset)
+
+
 def reactive(active: str, phase: str):
     """Reactive power from active power and the phase angle in degrees."""
     return F.col(active) * F.tan(F.radians(phase))
