@@ -157,8 +157,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     base = common.durable(sets(docs, words, id_col, text_col))
     keys = ["n", "k1", "k2"]
     whole = base.where("n > 0").groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    whole = common.durable(whole)
     runs, rows_in_all = runs_for(recall, threshold, depth), base.count()
+    whole = common.durable(common.sized(whole, rows_in_all, 1 << 14))
 
     def drawn(path: str, salt: int) -> Column:
         """The coordinates that the bucket `path` draws: one, or two with probability 1/threshold - 1."""
@@ -175,11 +175,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         return rows.select(F.xxhash64("path", "_c", value).alias("path"), "node")
 
     found: DataFrame | None = None
+    total, found_rows = rows_in_all * runs, 0
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
-        rows = common.durable(child(rows, level))
+        rows = common.durable(common.sized(child(rows, level), math.ceil(total / threshold)))
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
         total = rows.count()
+        found_rows += total
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
         # buckets with the same members count once
         done = done.groupBy("size", "who", "too").agg(F.min("path").alias("path"))
@@ -201,12 +203,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         return pa.table({"u": node[linked], "v": node[root[linked]]})
 
     links = found.groupBy("path").applyInArrow(near, "u long, v long").distinct()
-    links = common.durable(links.unionByName(stars))
+    links = common.durable(common.sized(links.unionByName(stars), found_rows))
     groups = common.durable(components(links))
+    nodes = groups.count()
     size_of = whole.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
     groups = groups.join(size_of, F.col("u") == F.col("node")).select("node", "root", "copies", "n")
     by_root = groups.groupBy("root").agg(F.ceil(F.sum("n") / grams).cast("int").alias("blocks"), F.count("*").alias("_n"))
-    groups = common.durable(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", groups.count()))
+    groups = common.durable(common.sized(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", nodes), nodes))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(groups, "node")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 1 << 16) -> DataFrame:
+    """df, of about so many rows, in no more partitions than `each` rows or one a core fill, so that a small table takes few tasks and files. Shuffles by a key keep their number."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

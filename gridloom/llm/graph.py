@@ -23,14 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
     e = common.durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     while before[0]:
+        e = common.sized(e, before[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, 2 * before[0])[0].select("u", "v", F.least("u", "m").alias("m"))
-        large = common.durable(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = common.durable(common.sized(large, before[0]))
         found, least = _to_least(large, before[0])
         small = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = common.durable(small.distinct())
+        e = common.durable(common.sized(small.distinct(), before[0]))
         now = _state(e)
         if now == before:
             break
         before = now
-    return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+    nodes = e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+    return common.sized(nodes, 2 * before[0])
