@@ -44,10 +44,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if others.isEmpty():
         named = named.withColumn("_s", F.col("doc_id").cast("long"))
         found = chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s")
-        copies = found.where("_s <> class_id").select("_s").distinct()
+        copies = common.durable(found.where("_s <> class_id").select("_s").distinct())
     else:
         named = named.join(others, keys, "left").withColumn("_s", F.coalesce("_more", F.col("doc_id").cast("long"))).drop("_more")
-        found = chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s").select("_s", "class_id").distinct()
+        found = common.durable(chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s").select("_s", "class_id").distinct())
         ranked = found.join(others.withColumnRenamed("_more", "_s"), "_s", "left").withColumn("_rank", F.struct(F.coalesce("doc_id", "_s"), F.col("_h").isNotNull(), "_h", "_n", "_s"))
         stays = ranked.groupBy("class_id").agg(F.min("_rank").alias("_least"))
         copies = ranked.join(stays, "class_id").where("_rank <> _least").select("_s")

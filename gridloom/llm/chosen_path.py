@@ -237,7 +237,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("far"))
     counts = counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
     by_set = whole.select(*keys, "node", "copies").join(counts, "node", "left").select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    by_set = by_set.withColumn("_n", F.col("copies"))
+    # read more than once below; stored, so that neither joins nor exchanges of the sets are planned and run anew
+    by_set = common.durable(common.sized(by_set, rows_in_all)).withColumn("_n", F.col("copies"))
     some = common.hot_join(base.where("n > 0").select("id", *keys), by_set, keys, "_n", rows_in_all)
     alone = base.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(1).alias("copies"))
     out = some.select("id", "class_id", "n_links", "copies").unionByName(alone)
