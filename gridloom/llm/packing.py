@@ -218,7 +218,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = common.durable(pieces.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")))
     names = [c for c in pieces.columns if c != "_part"]
-    sizes = common.durable(pieces.groupBy(F.col(length_col).alias("_length"), "_part").agg(F.count("*").alias("_count")))
+    sizes = pieces.groupBy(F.col(length_col).alias("_length"), "_part").agg(F.count("*").alias("_count"))
+    sizes = common.durable(common.sized(sizes, capacity * parts))
     counts = {int(r[0]): int(r[1]) for r in sizes.groupBy("_length").agg(F.sum("_count")).collect()}
     before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_length", F.col("_part").alias("_p"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
@@ -227,6 +228,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
     shared = spark.sparkContext.broadcast((found[:, 0] * step + found[:, 1], found))  # ranges: some a length, whatever the rows
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_part").orderBy(*order)) - 1)
     ranked = ranked.join(bases, (F.col(length_col) == F.col("_length")) & (F.col("_part") == F.col("_p"))).select(*names, (F.col("_rank") + F.col("_base")).alias("_rank"))
+    ranked = common.sized(ranked, sum(counts.values()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, found = shared.value

@@ -203,6 +203,8 @@ class ByteBPE:
     merged once, in order of rank, as the library does; every other text (and one that holds `<|` or a contraction) goes to the library whole.
     """
 
+    most_ids = 1 << 24  # kept in all, or those of one slice
+
     def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
@@ -280,7 +282,8 @@ class ByteBPE:
         row = self.table.find(h)
         new = np.flatnonzero(row < 0)
         if len(new):
-            if self.table.used + len(new) > self.table.most:
+            # many long pieces fill the ids long before the table is full
+            if self.table.used + len(new) > self.table.most or self.end and self.end + len(raw) > self.most_ids:
                 self._reset()
                 new = np.arange(len(h))
                 if len(np.unique(h)) > self.table.most:
