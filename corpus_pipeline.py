@@ -37,7 +37,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # other texts than the first of an id get a number of their own beyond the ids
     texts = named.select(*keys).distinct()
     first = texts.groupBy("doc_id").agg(F.min(F.struct("_h", "_n")).alias("_first"), F.count("*").alias("_texts")).where("_texts > 1")
-    least, most = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    least, most, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     others = texts.join(first, "doc_id").where(F.struct("_h", "_n") != F.col("_first")).select(*keys)
     number = F.monotonically_increasing_id() + 1
     others = common.durable(others.withColumn("_more", F.lit(most) + number if (most or 0) < 1 << 62 else F.lit(least) - number))
@@ -52,7 +52,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         stays = ranked.groupBy("class_id").agg(F.min("_rank").alias("_least"))
         copies = ranked.join(stays, "class_id").where("_rank <> _least").select("_s")
     kept = named.join(copies, "_s", "left_anti").dropDuplicates(["_s"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    return common.sized(kept.unionByName(docs.where("doc_id is null")), rows, 1 << 12)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,18 @@ def test_last_job_of_near_duplicates_has_few_exchanges(spark):
     kept = corpus_pipeline.dedup_stage(spark, more, "")
     assert exchanges(kept) <= 12
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(k, texts[k]) for k in range(0, 40, 4)] + [(0, "a text of its own")])
+
+
+def test_few_documents_stay_in_few_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame([(k, f"text {k} of its own words {k * k}") for k in range(20)] + [(None, "no id"), (None, None)], "doc_id long, text string")
+        kept = corpus_pipeline.dedup_stage(spark, docs, "")
+        assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
