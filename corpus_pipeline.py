@@ -35,19 +35,21 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.where("doc_id is not null").withColumns({"_h": F.xxhash64(text), "_n": F.length(text)})
     keys = ["doc_id", "_h", "_n"]
     # other texts than the first of an id get a number of their own beyond the ids
-    texts = named.select(*keys).distinct()
-    first = texts.groupBy("doc_id").agg(F.min(F.struct("_h", "_n")).alias("_first"), F.count("*").alias("_texts")).where("_texts > 1")
     least, most, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    others = texts.join(first, "doc_id").where(F.struct("_h", "_n") != F.col("_first")).select(*keys)
+    texts = common.sized(named.select(*keys).distinct(), rows)
+    first = texts.groupBy("doc_id").agg(F.min(F.struct("_h", "_n")).alias("_first"), F.count("*").alias("_texts")).where("_texts > 1")
+    first = common.sized(first, rows)
+    others = common.sized(texts.join(first, "doc_id").where(F.struct("_h", "_n") != F.col("_first")).select(*keys), rows)
     number = F.monotonically_increasing_id() + 1
     others = common.durable(others.withColumn("_more", F.lit(most) + number if (most or 0) < 1 << 62 else F.lit(least) - number))
     if others.isEmpty():
         named = named.withColumn("_s", F.col("doc_id").cast("long"))
         found = chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s")
-        copies = common.durable(found.where("_s <> class_id").select("_s").distinct())
+        copies = common.durable(common.sized(found.where("_s <> class_id").select("_s").distinct(), rows))
     else:
         named = named.join(others, keys, "left").withColumn("_s", F.coalesce("_more", F.col("doc_id").cast("long"))).drop("_more")
         found = common.durable(chosen_path.jaccard_classes(named.select("_s", "text"), id_col="_s").select("_s", "class_id").distinct())
+        found = common.sized(found, rows)
         ranked = found.join(others.withColumnRenamed("_more", "_s"), "_s", "left").withColumn("_rank", F.struct(F.coalesce("doc_id", "_s"), F.col("_h").isNotNull(), "_h", "_n", "_s"))
         stays = ranked.groupBy("class_id").agg(F.min("_rank").alias("_least"))
         copies = ranked.join(stays, "class_id").where("_rank <> _least").select("_s")

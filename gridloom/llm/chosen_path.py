@@ -179,21 +179,24 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     rows = whole.select("node", "sig").withColumn("path", F.explode(F.array(*(F.lit(r).cast("long") for r in range(runs)))))
     for level in range(1, depth + 1):
         rows = common.durable(common.sized(child(rows, level), math.ceil(total / threshold)))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too")).where("size > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.expr("sum(cast(pmod(xxhash64(node), 1099511627776) as long))").alias("who"), F.expr("bit_xor(xxhash64(node, 1))").alias("too"))
         total = rows.count()
+        sizes = common.sized(sizes.where("size > 1"), total)
         found_rows += total
         done = sizes if level == depth else sizes.where(F.col("size") <= leaf)
         # buckets with the same members count once
-        done = done.groupBy("size", "who", "too").agg(F.min("path").alias("path"))
-        leaves = rows.join(done.where(F.col("size") <= block).select("path"), "path")
+        done = common.sized(done.groupBy("size", "who", "too").agg(F.min("path").alias("path")), total)
+        leaves = common.sized(rows.join(done.where(F.col("size") <= block).select("path"), "path"), total)
         found = leaves if found is None else found.unionByName(leaves)
         if level == depth:
             # what shares the last level's coordinates are candidates; the exact comparison decides
             centre = done.where(F.col("size") > block).join(rows.groupBy("path").agg(F.min("node").alias("v")), "path").select("path", "v", F.col("size").alias("_n"))
-            stars = common.hot_join(rows, centre, ["path"], "_n", total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+            centre = common.sized(centre, total)
+            stars = common.sized(common.hot_join(rows, centre, ["path"], "_n", total), total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
             break
-        rows = common.hot_join(rows, sizes.where(F.col("size") > leaf).select("path", "size"), ["path"], "size", total).join(whole.select("node", "sig"), "node").select("node", "sig", "path")
-    found = found.join(whole.select("node", "sig", "n"), "node")
+        rows = common.sized(common.hot_join(rows, sizes.where(F.col("size") > leaf).select("path", "size"), ["path"], "size", total), total)
+        rows = rows.join(whole.select("node", "sig"), "node").select("node", "sig", "path")
+    found = common.sized(found.join(whole.select("node", "sig", "n"), "node"), found_rows, 1 << 14)
 
     def near(group: pa.Table) -> pa.Table:
         node, n = (group.column(c).to_numpy() for c in ("node", "n"))
@@ -202,13 +205,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         linked = root != np.arange(len(root))
         return pa.table({"u": node[linked], "v": node[root[linked]]})
 
-    links = found.groupBy("path").applyInArrow(near, "u long, v long").distinct()
+    links = common.sized(found.groupBy("path").applyInArrow(near, "u long, v long"), found_rows, 1 << 14).distinct()
     links = common.durable(common.sized(links.unionByName(stars), found_rows))
     groups = common.durable(components(links))
     nodes = groups.count()
-    size_of = whole.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"))
-    groups = groups.join(size_of, F.col("u") == F.col("node")).select("node", "root", "copies", "n")
-    by_root = groups.groupBy("root").agg(F.ceil(F.sum("n") / grams).cast("int").alias("blocks"), F.count("*").alias("_n"))
+    size_of = common.sized(whole.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")), rows_in_all)
+    groups = common.sized(groups.join(size_of, F.col("u") == F.col("node")).select("node", "root", "copies", "n"), nodes)
+    by_root = common.sized(groups.groupBy("root").agg(F.ceil(F.sum("n") / grams).cast("int").alias("blocks"), F.count("*").alias("_n")), nodes)
     groups = common.durable(common.sized(common.hot_join(groups.drop("n"), by_root, ["root"], "_n", nodes), nodes))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(groups, "node")
 
@@ -234,8 +237,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
 
     checked = common.durable(dealt(hashes, "root", "blocks").groupBy("root", "lo", "hi").applyInArrow(exact, "node long, root long, links long, several boolean"))
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("several").alias("several"))
+    counts = common.sized(counts, nodes)
     joined = components(checked.where("several").select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("far"))
-    counts = counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
+    counts = common.sized(counts.join(joined, "node", "left").select("node", "links", F.coalesce("far", "root").alias("root")), nodes)
     by_set = whole.select(*keys, "node", "copies").join(counts, "node", "left").select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     # read more than once below; stored, so that neither joins nor exchanges of the sets are planned and run anew
     by_set = common.durable(common.sized(by_set, rows_in_all)).withColumn("_n", F.col("copies"))

@@ -14,8 +14,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def _to_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """(each edge with m, the least neighbour of its u; every u with m). Nodes of very many edges, the centres of stars, meet their edges by broadcast."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return common.hot_join(edges, least, ["u"], "n", total), least.drop("n")
+    least = common.sized(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), total)
+    return common.sized(common.hot_join(edges, least, ["u"], "n", total), total), least.drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:

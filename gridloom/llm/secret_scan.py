@@ -95,7 +95,9 @@ def linked(docs: DataFrame, reach: int, scope: str = "text") -> DataFrame:
     lines = some.select(common.row_key("id", "text").alias("key"), F.posexplode(blocks).alias("line", "block"))
     before = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("base", F.coalesce(F.sum(F.length("block") + 1).over(before), F.lit(0)).cast("int"))
-    parts = with_spans(lines, [*BASE, *WEAK], "every", "block").select("key", "line", "base", F.explode("every").alias("s")).select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"))
+    # outer: explode infers a filter on the array's size, into which the optimizer copies all searches, twice a read
+    spans = with_spans(lines, [*BASE, *WEAK], "every", "block").select("key", "line", "base", F.explode_outer("every").alias("s")).where("s is not null")
+    parts = spans.select("key", "line", (F.col("s.start") + F.col("base")).alias("start"), (F.col("s.end") + F.col("base")).alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"))
     roles = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
     parts = parts.withColumn("role", roles[F.col("kind")])
     strong = [k for k, *_ in BASE]
