@@ -231,8 +231,8 @@ class _Buffered:
 PAIR = "on_t long, on double, off_t long, off double"
 
 
-def _switches(transitions: DataFrame) -> DataFrame:
-    return transitions.select("meter", "t", F.col("transition").cast("double").alias("transition")).where("transition is not null and not isnan(transition)")
+def _switches(transitions: DataFrame, *more: str) -> DataFrame:
+    return transitions.select("meter", "t", *more, F.col("transition").cast("double").alias("transition")).where("transition is not null and not isnan(transition)")
 
 
 def pair_transitions(transitions: DataFrame, size: int = 20, tolerance: float = 100, share: float = 0.035, large: float = 1000) -> DataFrame:
@@ -363,9 +363,12 @@ def pair_from_falls(transitions: DataFrame, tolerance: float = 100, share: float
     """(meter, on_t, on, off_t, off): from the last fall to the first, each with the nearest free rise of like size before it.
 
     The way back ends where the power, undone step by step from the fall, lies below what the fall could have switched off, so
-    a task holds the falls that are still on their way. Of transitions at one instant the larger rise counts as the later one; null and NaN ones are left out.
+    a task holds the falls that are still on their way. Of transitions at one instant that of the larger `id` is the later one or, without
+    that column, the larger rise; null and NaN ones are left out.
     """
-    return ordered.scan(_switches(transitions), ["meter"], [F.desc("t"), F.desc("transition")], ["t", "transition"], lambda: _FromFalls(tolerance, share, large), PAIR)
+    later = "id" if "id" in transitions.columns else "transition"
+    rows = _switches(transitions, *["id"] * (later == "id"))
+    return ordered.scan(rows, ["meter"], [F.desc("t"), F.desc(later)], ["t", "transition"], lambda: _FromFalls(tolerance, share, large), PAIR)
 
 
 class _Free:

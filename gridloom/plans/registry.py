@@ -722,7 +722,7 @@ st AS (SELECT meter, t, CASE WHEN abs(abs(tr) - 60) <= abs(abs(tr) - 200) THEN '
 
 
 def transitions(s, d) -> DataFrame:
-    return store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 40").select("meter", "t", "transition")
+    return store.events(s, d).withColumn("transition", F.col("value") - F.lag("value").over(resample_order())).where("abs(transition) > 40").select("meter", "t", "id", "transition")
 
 
 @query(f"WITH {EV}, {_STATES} SELECT meter, t, device, CAST(state AS INTEGER) AS state FROM st")
