@@ -1,7 +1,7 @@
 """Operators by name in SQL, known to a session after `register`.
 
     SELECT * FROM hart_pairs(TABLE(SELECT meter, t, transition FROM changes) PARTITION BY meter ORDER BY (t, transition))
-    SELECT * FROM fall_pairs(TABLE(changes) PARTITION BY meter ORDER BY (t DESC, transition DESC))
+    SELECT * FROM fall_pairs(TABLE(changes) PARTITION BY meter ORDER BY (t DESC, id DESC))
     SELECT * FROM good_sections(3600)
     SELECT meter, dropout_rate(count(value), min(t), max(t), 60) AS rate FROM readings WHERE value IS NOT NULL GROUP BY meter
     SELECT meter, kendall(x, y) AS tau FROM pairs GROUP BY meter

@@ -29,8 +29,8 @@ def sql_hart_pairs(s, d):
 @query(_SQL["pairs_from_falls"])
 def sql_fall_pairs(s, d):
     table_functions.register(s)
-    found = registry.transitions(s, d).select("meter", "t", "transition")
-    return r6(s.sql("SELECT * FROM fall_pairs(TABLE({changes}) PARTITION BY meter ORDER BY (t DESC, transition DESC))", changes=found), "on", "off")
+    found = registry.transitions(s, d)
+    return r6(s.sql("SELECT * FROM fall_pairs(TABLE({changes}) PARTITION BY meter ORDER BY (t DESC, id DESC))", changes=found), "on", "off")
 
 
 @query(_SQL["dropout_rate"])

@@ -46,3 +46,8 @@ def test_falls_of_one_instant_go_by_number(spark):
 def test_falls_at_one_instant_as_in_sql(spark, tied):
     got, want = both(spark, tied, "pairs_from_falls")
     assert got == want and len(got) > 50
+
+
+def test_falls_by_name_at_one_instant_as_in_sql(spark, tied):
+    got, want = both(spark, tied, "sql_fall_pairs")
+    assert got == want and len(got) > 50
