@@ -51,3 +51,10 @@ def test_falls_at_one_instant_as_in_sql(spark, tied):
 def test_falls_by_name_at_one_instant_as_in_sql(spark, tied):
     got, want = both(spark, tied, "sql_fall_pairs")
     assert got == want and len(got) > 50
+
+
+def test_parameters_of_ties_as_in_sql(spark, tied):
+    got, want = both(spark, tied, "switch_parameters")
+    assert len(got) == len(want) == 3
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=2e-6)
