@@ -96,7 +96,7 @@ def chains_by_building(s, d):
     ev = store.events(s, d).withColumn("building", F.col("meter") % 10)
     level = lambda on: F.coalesce(F.rint(F.avg(F.when(on, F.col("value")))), F.lit(0.0))
     wide = ev.groupBy("building").agg(level(F.col("value") < 50).alias("small"), level(F.col("value") >= 50).alias("large"))
-    models_ = wide.unpivot(["building"], ["small", "large"], "device", "level").select("building", "device", F.array(F.lit(0.0), "level").alias("levels"), F.lit(None).cast("array<array<double>>").alias("moves"))
+    models_ = wide.unpivot(["building"], ["small", "large"], "device", "level").select("building", "device", F.array(F.lit(0.0), "level").alias("levels"), F.array(F.array(F.lit(0.95), F.lit(0.05)), F.array(F.lit(0.05), F.lit(0.95))).alias("moves"))
     return chains.decode_buildings(ev, models_, ["building"], longest=50).drop("id")
 
 

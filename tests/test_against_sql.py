@@ -94,3 +94,8 @@ def even(spark, tmp_path_factory) -> str:
 def test_paths_of_one_score_as_in_sql(spark, even):
     got, want = both(spark, even, "fhmm_decode")
     assert got == want and len(got) >= 2400
+
+
+def test_paths_of_buildings_as_in_sql(spark, even):
+    got, want = both(spark, even, "chains_by_building")
+    assert got == want and len(got) >= 4800
