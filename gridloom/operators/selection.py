@@ -159,30 +159,56 @@ def values(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(x.alias(column)).where(f"`{column}` is not null").distinct()
 
 
-def dominant(appliances: DataFrame) -> DataFrame:
-    """(building, meter, type, instance): the appliance of each meter that is marked as dominant, or its only one; null where several stand there without a mark."""
-    each = appliances.select("building", F.explode("meters").alias("meter"), "type", "instance", F.coalesce("dominant", F.lit(False)).alias("dominant"))
-    one = each.groupBy(*ID).agg(F.count("*").alias("n"), F.max_by(F.struct("type", "instance"), F.struct("dominant", F.col("type"), -F.col("instance"))).alias("a"), F.max("dominant").alias("marked"))
-    kept = F.col("marked") | (F.col("n") == 1)
-    return one.select(*ID, F.when(kept, F.col("a.type")).alias("type"), F.when(kept, F.col("a.instance")).alias("instance"))
+def _placed(appliances: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """appliances with `set`, where they name a set of meters, else with the `meter` of each of their meters."""
+    return appliances.drop("meters").withColumn("meter", F.explode(appliances["meters"])) if sets is None else appliances
 
 
-def groups(meters: DataFrame, appliances: DataFrame, column: str) -> DataFrame:
-    """(column, meters): the sorted ids of the meters of each value, of the meters' column or else of their dominant appliance's."""
+def _meters_of(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Rows of sets as rows of their meters."""
+    return rows if sets is None else rows.join(sets.select("building", "set", "meter"), ["building", "set"]).drop("set")
+
+
+def dominant(appliances: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(building, meter, type, instance): the appliance of each meter that is marked as dominant, or its only one; null where several stand there without a mark.
+
+    Appliances have their `meters`; or else a `set`, with `sets` (building, set, meter) for the meters that many of them
+    share, and are then counted and compared a set, so that no row a meter and appliance is made.
+    """
+    at = ["building", "meter" if sets is None else "set"]
+    each = _placed(appliances, sets).select(*at, F.struct(F.coalesce("dominant", F.lit(False)).alias("dominant"), "type", (-F.col("instance")).alias("_i"), "instance").alias("_top"))
+    own = _meters_of(each.groupBy(*at).agg(F.count("*").alias("n"), F.max("_top").alias("_top")), sets)
+    one = own if sets is None else own.groupBy(*ID).agg(F.sum("n").alias("n"), F.max("_top").alias("_top"))
+    kept = F.col("_top.dominant") | (F.col("n") == 1)
+    return one.select(*ID, F.when(kept, F.col("_top.type")).alias("type"), F.when(kept, F.col("_top.instance")).alias("instance"))
+
+
+def groups(meters: DataFrame, appliances: DataFrame, column: str, sets: DataFrame | None = None) -> DataFrame:
+    """(column, meters): the sorted ids of the meters of each value, of the meters' column or else of their dominant appliance's; `sets` as in `dominant`."""
     if column in meters.columns:
         rows = meters.select(*ID, column)
     else:
-        rows = meters.select(*ID).join(dominant(appliances), ID).join(appliances.select("building", "type", "instance", *([column] if column not in ("type", "instance") else [])), ["building", "type", "instance"])
+        rows = meters.select(*ID).join(dominant(appliances, sets), ID)
+        if column not in ("type", "instance"):
+            rows = rows.join(appliances.select("building", "type", "instance", column).distinct(), ["building", "type", "instance"])
+        else:
+            rows = rows.where("type is not null and instance is not null")
     return rows.where(f"`{column}` is not null").groupBy(column).agg(F.array_sort(F.collect_set(F.struct(*ID))).alias("meters"))
 
 
-def labels(meters: DataFrame, appliances: DataFrame, pretty: bool = True) -> DataFrame:
-    """(building, meter, label): the appliances' names with their instance (in pretty labels from the second on), `Site meter`, or the meter's number."""
-    each = appliances.select("building", F.explode("meters").alias("meter"), "type", "instance")
+def labels(meters: DataFrame, appliances: DataFrame, pretty: bool = True, sets: DataFrame | None = None) -> DataFrame:
+    """(building, meter, label): the appliances' names with their instance (in pretty labels from the second on), `Site meter`, or the meter's number; `sets` as in `dominant`.
+
+    A meter's names are counted, and written out as often as they stand there when its label is made.
+    """
+    at = ["building", "meter" if sets is None else "set"]
     number = F.when(F.col("instance") > 1, F.concat(F.lit(" "), F.col("instance").cast("string"))).otherwise("") if pretty else F.concat(F.lit(" "), F.col("instance").cast("string"))
-    named = each.select(*ID, F.concat(F.concat(F.upper(F.substring("type", 1, 1)), F.expr("substring(type, 2)")) if pretty else F.col("type"), number).alias("name"))
-    found = named.groupBy(*ID).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("name"))
-    return meters.join(found, ID, "left").select(*ID, F.coalesce("name", F.when(F.col("site_meter"), "Site meter"), F.concat(F.lit("Meter "), F.col("meter").cast("string"))).alias("label"))
+    named = _placed(appliances, sets).select(*at, F.concat(F.concat(F.upper(F.substring("type", 1, 1)), F.expr("substring(type, 2)")) if pretty else F.col("type"), number).alias("name"))
+    counted = _meters_of(named.groupBy(*at, "name").agg(F.count("*").alias("n")), sets)
+    counted = counted if sets is None else counted.groupBy(*ID, "name").agg(F.sum("n").alias("n"))
+    found = counted.groupBy(*ID).agg(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "n")))).alias("_names"))
+    label = F.array_join(F.flatten(F.transform("_names", lambda x: F.array_repeat(x["name"], x["n"].cast("int")))), ", ")
+    return meters.join(found, ID, "left").select(*ID, F.coalesce(label, F.when(F.col("site_meter"), "Site meter"), F.concat(F.lit("Meter "), F.col("meter").cast("string"))).alias("label"))
 
 
 def lacking(meters: DataFrame, devices: DataFrame, quantity: str, ac_types: Sequence[str]) -> DataFrame:

@@ -170,3 +170,25 @@ def test_yaml_metadata(spark, tmp_path):
     assert (a.type, a.meters, a.on_power, a.dominant) == ("fridge", [2], 30.0, False)
     m = found["devices"].first()
     assert (m.model, m.sample_period, m.measurements[0].upper_limit, m.measurements[0].lower_limit) == ("m", 6.0, 5000.0, None)
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    """(meters, appliances with arrays, the same with sets, the sets): a meter in two sets, a set without appliances, names that repeat."""
+    of = {"p": [1, 2], "q": [2], "r": [3, 4], "s": [5]}
+    named = [(1, "fridge", 1, "p", False), (1, "fridge", 1, "p", None), (1, "lamp", 2, "q", True), (1, "oven", 1, "q", True), (1, "oven", 1, "r", False), (2, "oven", 3, "p", False)]
+    meters = spark.createDataFrame([(b, m, m == 5) for b in (1, 2) for m in range(1, 7)], "building int, meter int, site_meter boolean")
+    arrays = spark.createDataFrame([(b, t, i, of[k], f) for b, t, i, k, f in named], "building int, type string, instance int, meters array<int>, dominant boolean")
+    sets = spark.createDataFrame([(b, k, m) for b in (1, 2) for k, own in of.items() for m in own], "building int, set string, meter int")
+    return meters, arrays, spark.createDataFrame(named, "building int, type string, instance int, set string, dominant boolean"), sets
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_dominant_of_sets(shared):
+    _, arrays, named, sets = shared
+    found = selection.dominant(named, sets)
+    assert rows_of(found) == rows_of(selection.dominant(arrays)) and len(rows_of(found)) == 6
+    assert {(r.building, r.meter): r.type for r in found.collect()} == {(1, 1): None, (1, 2): "oven", (1, 3): "oven", (1, 4): "oven", (2, 1): "oven", (2, 2): "oven"}
