@@ -192,3 +192,10 @@ def test_dominant_of_sets(shared):
     found = selection.dominant(named, sets)
     assert rows_of(found) == rows_of(selection.dominant(arrays)) and len(rows_of(found)) == 6
     assert {(r.building, r.meter): r.type for r in found.collect()} == {(1, 1): None, (1, 2): "oven", (1, 3): "oven", (1, 4): "oven", (2, 1): "oven", (2, 2): "oven"}
+
+
+def test_groups_of_sets(shared):
+    meters, arrays, named, sets = shared
+    for column in ("type", "instance"):
+        assert rows_of(selection.groups(meters, named, column, sets)) == rows_of(selection.groups(meters, arrays, column))
+    assert {r.type: len(r.meters) for r in selection.groups(meters, named, "type", sets).collect()} == {"oven": 5}
