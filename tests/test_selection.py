@@ -199,3 +199,11 @@ def test_groups_of_sets(shared):
     for column in ("type", "instance"):
         assert rows_of(selection.groups(meters, named, column, sets)) == rows_of(selection.groups(meters, arrays, column))
     assert {r.type: len(r.meters) for r in selection.groups(meters, named, "type", sets).collect()} == {"oven": 5}
+
+
+def test_labels_of_sets(shared):
+    meters, arrays, named, sets = shared
+    for pretty in (True, False):
+        assert rows_of(selection.labels(meters, named, pretty, sets)) == rows_of(selection.labels(meters, arrays, pretty))
+    got = {(r.building, r.meter): r.label for r in selection.labels(meters, named, sets=sets).collect()}
+    assert got[1, 2] == "Fridge, Fridge, Lamp 2, Oven" and got[1, 5] == "Site meter" and got[2, 6] == "Meter 6" and got[2, 2] == "Oven 3"
