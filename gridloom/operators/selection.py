@@ -161,7 +161,7 @@ def values(rows: DataFrame, column: str) -> DataFrame:
 
 def _placed(appliances: DataFrame, sets: DataFrame | None) -> DataFrame:
     """appliances with `set`, where they name a set of meters, else with the `meter` of each of their meters."""
-    return appliances.drop("meters").withColumn("meter", F.explode(appliances["meters"])) if sets is None else appliances
+    return appliances.withColumn("meter", F.explode("meters")).drop("meters") if sets is None else appliances
 
 
 def _meters_of(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
