@@ -51,3 +51,13 @@ def test_pairs_by_blocks_against_numpy(spark, block, stretch):
     for k, (r, n) in want.items():
         assert got[k][1] == n and (got[k][0] is None if r is None else abs(got[k][0] - r) < 1e-6), k
     assert energy.gram_pairs(spark.createDataFrame([], "meter long, g long, value double")).count() == 0
+
+
+def test_pairs_of_few_instants_are_not_shuffled(spark):
+    """One stretch holds all instants, so no exchange stands above the tasks that make pairs; with several one does."""
+    grid = spark.range(400).select((F.col("id") % 10).alias("meter"), (F.col("id") / 10).cast("long").alias("g"), (F.col("id") * 7 % 31).cast("double").alias("value"))
+    above = lambda df: df._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInPandas")[0]
+    one, many = energy.gram_pairs(grid, 4), energy.gram_pairs(grid, 4, 8)
+    assert "Exchange" not in above(one) and "Exchange" in above(many)
+    rows = lambda df: {(r.a, r.b): (round(r.r, 9), r.n) for r in df.collect()}
+    assert rows(one) == rows(many) and len(rows(one)) == 55
