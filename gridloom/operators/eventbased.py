@@ -79,6 +79,11 @@ def segment_ids(levels: np.ndarray, threshold: float) -> np.ndarray:
     return first[of] if len(label) else label
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by keys to as many tasks as a shuffle has; Spark would put rows of few bytes together in one, however long Python takes over them. Keys in an order that the rows are dealt by already change nothing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def segments(states: DataFrame, threshold: float = 70) -> DataFrame:
     """(meter, t, transition, level, segment, size, place) of steady states: a transient lies in the segment of the state before it (the first in its own).
 
@@ -91,7 +96,7 @@ def segments(states: DataFrame, threshold: float = 70) -> DataFrame:
         return rows.assign(segment=np.concatenate([ids[:1], ids[:-1]]))
 
     kind = dict(states.dtypes)["meter"]
-    found = states.select("meter", "t", "transition", "level").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, transition double, level double, segment long")
+    found = dealt(states.select("meter", "t", "transition", "level"), "meter").groupBy("meter").applyInPandas(one, f"meter {kind}, t long, transition double, level double, segment long")
     same = Window.partitionBy("meter", "segment")
     return found.withColumns({"size": F.count("*").over(same), "place": F.row_number().over(same.orderBy("t", "transition")) - 1})
 
@@ -241,7 +246,7 @@ def decode_segments(transients: DataFrame, columns: list[str], appliances: dict[
 
     kind = dict(transients.dtypes)["meter"]
     some = transients.where(F.col("size") >= least).select("meter", "segment", "t", "place", *(c for c in columns if c not in ("t", "place")))
-    return some.groupBy("meter", "segment").applyInPandas(one, f"meter {kind}, segment long, t long, place int, appliance string, step int")
+    return dealt(some, "segment", "meter").groupBy("meter", "segment").applyInPandas(one, f"meter {kind}, segment long, t long, place int, appliance string, step int")
 
 
 def dense_groups(points: DataFrame, keys: list[str], eps_us: int, least: int) -> DataFrame:

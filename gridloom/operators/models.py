@@ -196,7 +196,7 @@ class EventBased:
         flow = F.to_json(F.struct("building", "phases"))
         parted = training._cut(eventbased.separate_phases(found.select("building", "phase", "t", "transition"), phases, eps_s, least, fewest).withColumn("meter", flow))
         total = F.aggregate("transitions", F.lit(0.0), lambda a, x: a + x)
-        states = parted.select("meter", "t", total.alias("transition")).withColumn("level", F.sum("transition").over(Window.partitionBy("meter").orderBy("t")))
+        states = eventbased.dealt(parted.select("meter", "t", total.alias("transition")), "meter").withColumn("level", F.sum("transition").over(Window.partitionBy("meter").orderBy("t")))
         given = self._grouped(states).drop("transition").join(parted, ["meter", "t"])
         each = F.explode(F.arrays_zip(F.col("phases").alias("phase"), F.col("transitions").alias("transition")))
         return given.select("building", "phases", "appliance", "run", "t", each.alias("_e")).select("building", "phases", "_e.phase", "appliance", "run", "t", "_e.transition")

@@ -72,3 +72,12 @@ def test_appliances_of_phases(spark):
         power[k] = max(power.get(k, 0), round(r.power, -1))
     assert power == {((0, 1, 2), 0): 900, ((0, 1, 2), 1): 900, ((0, 1, 2), 2): 900, ((0, 1), 0): 400, ((0, 1), 1): 500, ((2,), 2): 250}
     assert {r.building for r in got} == {7}
+
+
+def test_few_rows_go_to_all_tasks(spark):
+    """Long segments take Python's time, not bytes, so that small tables must not end in one task."""
+    rows = [(m, 0, k, k, 60.0 * (-1) ** k, 6) for m in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "meter long, segment long, t long, place int, transition double, size long")
+    found = eventbased.decode_segments(df, ["transition"], {"a": [([60.0], [[400.0]]), ([-60.0], [[400.0]])]})
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.where("appliance = 'a'").count() == 240
